@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenweft.llm import minhash
+from lumenweft.llm import chat, licenses, minhash, mixing, quality
 from lumenweft.llm.common import documents
 
 
@@ -14,8 +14,24 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op1(documents(spark, sf_dir))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op2(documents(spark, sf_dir))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op4(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op8(documents(spark, sf_dir))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op9(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_dedup": op1_minhash_dedup}
+    return {q.__name__: q for q in (op1_minhash_dedup, op2_license_scan, op4_chat_format, op8_quality_rules, op9_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
