@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenweft.llm import chat, licenses, minhash, mixing, quality
+from lumenweft.llm import chat, licenses, lm, minhash, mixing, quality, toxicity
 from lumenweft.llm.common import documents
 
 
@@ -18,10 +18,18 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op2(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op3(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op4(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op5(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op8(documents(spark, sf_dir))
 
@@ -31,7 +39,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_minhash_dedup, op2_license_scan, op4_chat_format, op8_quality_rules, op9_source_mix)}
+    return {q.__name__: q for q in (op1_minhash_dedup, op2_license_scan, op3_toxicity, op4_chat_format, op5_lm_score, op8_quality_rules, op9_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
