@@ -25,8 +25,11 @@ from lumenweft.session import ship
 COORDINATES = 64
 #: At a similarity of 0.8 a pair misses 36 of 64 matches with a chance of 4e-6, at 0.85 of 3e-9.
 MATCHES = 36
-#: Shingles in a block of the exact comparison; two blocks and their matrix are held at once.
-BLOCK_SHINGLES = 150_000
+#: Load of a block of the exact comparison: its shingles, and so many more for each document; two blocks and the matrix
+#: of their documents are held at once.
+BLOCK_LOAD, DOCUMENT_LOAD = 240_000, 300
+#: Slots of the filter that keeps documents without candidates out of a join: a fixed size, whatever the input.
+FILTER_SLOTS = 1 << 20
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,12 +140,14 @@ def linked_pairs(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray,
         part = np.zeros((n, width), np.float32)
         part[rows[cuts[k] : cuts[k + 1]], cols[cuts[k] : cuts[k + 1]] - k * width] = 1
         both += part @ part.T
-    both = both.astype(np.int64)
-    ok = (den * both >= num * (sizes[:, None] + sizes[None, :] - both)) & (groups[:, None] != groups[None, :])
-    if len(np.unique(sides)) > 1:
-        ok &= sides[:, None] != sides[None, :]
-    i, j = np.nonzero(np.triu(ok, 1))
-    return list(zip(i.tolist(), j.tolist(), strict=True))
+    two, out = len(np.unique(sides)) > 1, []
+    for i in range(n):
+        row = both[i, i + 1 :].astype(np.int64)
+        ok = (den * row >= num * (sizes[i] + sizes[i + 1 :] - row)) & (groups[i + 1 :] != groups[i])
+        if two:
+            ok &= sides[i + 1 :] != sides[i]
+        out += [(i, i + 1 + j) for j in np.flatnonzero(ok).tolist()]
+    return out
 
 
 def _block_comparer(words: int, num: int, den: int):
@@ -197,6 +202,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     stars = materialize(prefix.join(leads, "key").where("u <> v").select("u", "v").distinct(), "stars")
     sig = classes.select("v", "sig")
     agreeing = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda same: same))
+    families = components(stars, "families")
+    slot = lambda column: F.pmod(F.xxhash64(column), F.lit(FILTER_SLOTS)).cast("int")
+    slots = F.broadcast(families.select(slot(F.col("node")).alias("slot")).distinct())
+    sig = sig.join(slots, slot(sig.v) == slots.slot, "left_semi")
     pairs = (
         stars.join(sig.select("v", F.col("sig").alias("a")), "v")
         .join(sig.select(F.col("v").alias("u"), F.col("sig").alias("b")), "u")
@@ -205,10 +214,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
         .distinct()
     )
     pairs = materialize(pairs, "pairs")
-    families = components(stars, "families")
 
     # Texts of documents that share a posting list at all; the others need no further look.
-    texts = materialize(rows.join(families.select(F.col("node").alias("id")), "id", "left_semi").join(classes.select(F.col("v").alias("id")).distinct(), "id", "left_semi"), "texts")
+    likely = rows.join(slots, slot(rows.id) == slots.slot, "left_semi")
+    texts = materialize(likely.join(families.select(F.col("node").alias("id")), "id", "left_semi"), "texts")
     weights = pairs.groupBy("u").agg(F.ceil(F.count("*") / 64).alias("salts"))
     salted = pairs.join(weights, "u").withColumn("salt", F.pmod(F.xxhash64("v"), "salts"))
     members = salted.join(texts, salted.v == texts.id).select("u", "salt", F.lit(1).alias("role"), "v", "text")
@@ -219,11 +228,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
 
     # What the stars left apart within a family is compared block by block; blocks of one component skip each other.
     nodes = families.withColumnRenamed("node", "v").withColumnRenamed("component", "family").join(joined.withColumnRenamed("node", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    nodes = nodes.join(classes.groupBy("v").agg(F.max("n").alias("n")), "v")
+    nodes = nodes.join(classes.groupBy("v").agg((F.max("n") + DOCUMENT_LOAD).alias("n")), "v")
     apart = nodes.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("family")
     nodes = materialize(nodes.join(apart, "family").select("family", "component", "v", "n"), "apart")
-    loads = nodes.groupBy("family", "component").agg(F.sum("n").alias("load")).withColumn("own", F.ceil(F.col("load") / BLOCK_SHINGLES))
-    small = loads.where("own <= 1").groupBy("family").agg(F.ceil(F.sum("load") / BLOCK_SHINGLES).alias("slots"))
+    loads = nodes.groupBy("family", "component").agg(F.sum("n").alias("load")).withColumn("own", F.ceil(F.col("load") / BLOCK_LOAD))
+    small = loads.where("own <= 1").groupBy("family").agg(F.ceil(F.sum("load") / BLOCK_LOAD).alias("slots"))
     placed = nodes.join(loads, ["family", "component"]).join(small, "family", "left")
     placed = placed.select(
         "family", "component", "v",
