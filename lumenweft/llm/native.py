@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenweft.llm.common import BLANKS
@@ -16,18 +18,27 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def repeated_window_words(df: DataFrame, window: int = 5, of: str = "words", into: str = "n_repeat_words") -> DataFrame:
-    """Adds the number of words that lie in a window of ``window`` words found twice or more in the same row.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it and wherever the plan moves it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
 
-    Windows are hashed (64 bits). Only rows that repeat a window at all sort their windows; a word counts once. Steps
-    are separate projections, as each refers to the one before several times.
+def repeated_words(words: Column, window: int = 5) -> Column:
+    """The number of words that lie in a window of ``window`` words found twice or more in the same row.
+
+    Windows are hashed (64 bits). Only rows that repeat a window at all sort their windows; a word counts once.
     """
-    kept = df.columns
-    df = df.withColumn("_h", F.transform(of, lambda w: F.xxhash64(w)))
-    df = df.withColumn("_w", F.when(F.size("_h") >= window, F.transform(F.sequence(F.lit(0), F.size("_h") - window), lambda i: F.xxhash64(*(F.get("_h", i + k) for k in range(window))))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_w")) < F.size("_w"), F.array_sort(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    twice = F.filter("_s", lambda s, k: (s.h == F.get("_s", k - 1).h) | (F.coalesce(s.h == F.get("_s", k + 1).h, F.lit(False))))
-    df = df.withColumn("_at", F.array_sort(F.transform(twice, lambda s: s.i)))
-    steps = F.zip_with("_at", F.slice("_at", 2, F.greatest(F.size("_at") - 1, F.lit(0))), lambda a, b: F.coalesce(F.least(b - a, F.lit(window)), F.lit(window)))
-    covered = F.when(F.col("_at").isNull() | (F.size("_at") == 0), 0).otherwise(F.aggregate(steps, F.lit(0).cast("long"), lambda n, s: n + s))
-    return df.select(*kept, covered.cast("long").alias(into))
+
+    def covered(s: Column) -> Column:
+        twice = F.filter(s, lambda x, k: F.coalesce(x.h == F.get(s, k - 1).h, F.lit(False)) | F.coalesce(x.h == F.get(s, k + 1).h, F.lit(False)))
+        at = F.array_sort(F.transform(twice, lambda x: x.i))
+        return let(at, lambda at: F.aggregate(F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda a, b: F.coalesce(F.least(b - a, F.lit(window)), F.lit(window))), F.lit(0), lambda n, x: n + x))
+
+    def of_windows(w: Column) -> Column:
+        return F.when(F.size(F.array_distinct(w)) < F.size(w), let(F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered)).otherwise(0)
+
+    def of_hashes(h: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(window))))
+        return F.when(F.size(h) >= window, let(windows, of_windows)).otherwise(0)
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes).cast("long")

@@ -8,39 +8,56 @@ The order never changes a verdict, only what has to be computed for it.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenweft.llm.common import materialize
-from lumenweft.llm.native import repeated_window_words, words
+from lumenweft.llm.native import let, repeated_words, words
 
 #: Rows on which costs and selectivities are measured.
 SAMPLE_ROWS = 400
 
+#: A rejecting condition over a text and its words.
+Rule = Callable[[Column, Column], Column]
 
-def count_of(pattern: str) -> Column:
-    return F.regexp_count(F.col("text"), F.lit(pattern))
 
+def count_of(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
 
-def rules() -> dict[str, Column]:
-    """Rejecting conditions over text and words; thresholds leave ordinary prose far below."""
-    n = F.greatest(F.size("words"), F.lit(1))
-    following = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: a == b)
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return {
-        "short": F.size("words") < 10,
-        "symbols": 100 * count_of(r"[#*$%&|<>]") > 30 * n,
-        "exclamations": 100 * count_of("!!") > 30 * n,
-        "capitals": 100 * count_of(r"\p{Lu}") > 60 * F.length(F.array_join("words", "")),
-        "stutter": 100 * F.size(F.filter(following, lambda same: same)) > 40 * n,
-        "lines": (F.size(lines) >= 4) & (2 * F.size(F.array_distinct(lines)) < F.size(lines)),
-    }
 
+def lines_of(text: Column) -> Column:
+    """The lines that have a word."""
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-def cascade_order(docs: DataFrame, conditions: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, cost in seconds, rejected share) on a sample of ``docs``, by rejection per cost, best first."""
-    sample = materialize(docs.limit(sample_rows), "sample")
+
+def repeats(seen: Column, sought: Column) -> Column:
+    """Over a fifth of the words stand in five-word windows found twice or more."""
+    return 100 * repeated_words(sought) > 20 * F.size(sought)
+
+
+def stutters(seen: Column, sought: Column) -> Column:
+    same = F.zip_with(sought, F.slice(sought, 2, F.greatest(F.size(sought) - 1, F.lit(0))), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    return 100 * F.size(F.filter(same, lambda x: x)) > 40 * F.size(sought)
+
+
+#: Thresholds leave ordinary prose far below.
+RULES: dict[str, Rule] = {
+    "short": lambda t, w: F.size(w) < 10,
+    "symbols": lambda t, w: 100 * count_of(t, r"[#*$%&|<>]") > 30 * F.size(w),
+    "exclamations": lambda t, w: 100 * count_of(t, "!!") > 30 * F.size(w),
+    "capitals": lambda t, w: 100 * count_of(t, r"\p{Lu}") > 60 * F.length(F.array_join(w, "")),
+    "stutter": stutters,
+    "lines": lambda t, w: let(lines_of(t), lambda x: (F.size(x) >= 4) & (2 * F.size(F.array_distinct(x)) < F.size(x))),
+}
+#: As a filter the base condition is one of the rules.
+FILTER_RULES = RULES | {"repeats": repeats}
+
+
+def cascade_order(docs: DataFrame, rules: dict[str, Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+    """(rule, cost in seconds, rejected share) on a sample of ``docs`` (text), by rejection per cost, best first."""
+    sample = materialize(docs.select(clean(F.col("text")).alias("text"), words(F.col("text").cast("string")).alias("words")).limit(sample_rows), "sample")
 
     def timed(condition: Column) -> tuple[float, float]:
         began = time.perf_counter()
@@ -49,31 +66,30 @@ def cascade_order(docs: DataFrame, conditions: dict[str, Column], sample_rows: i
 
     timed(F.lit(True))
     floor, _ = timed(F.lit(True))
-    seen = [(name, max(1e-3, (m := timed(c))[0] - floor), m[1]) for name, c in conditions.items()]
+    seen = [(name, max(1e-3, (m := timed(rule(F.col("text"), F.col("words"))))[0] - floor), m[1]) for name, rule in rules.items()]
     return sorted(seen, key=lambda x: (-x[2] / x[1], x[1], x[0]))
 
 
-def cascade(order: list[str], conditions: dict[str, Column]) -> Column:
-    """The first rule in ``order`` that rejects a row, else null; later rules are not evaluated."""
+def clean(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
+
+
+def cascade(order: list[str], rules: dict[str, Rule], text: Column, sought: Column) -> Column:
+    """The first rule in ``order`` that rejects a text, else null; later rules are not evaluated."""
     out = F.lit(None).cast("string")
     for name in reversed(order):
-        out = F.when(conditions[name], F.lit(name)).otherwise(out)
+        out = F.when(rules[name](text, sought), F.lit(name)).otherwise(out)
     return out
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"text": F.coalesce(F.col("text").cast("string"), F.lit("")), "words": words(F.col("text").cast("string"))})
-
-
-def quality_verdicts(docs: DataFrame, conditions: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` (text, anything else but ``words`` and ``rejected_by``) plus ``words`` and the rule that rejects a row.
+def keep_good(docs: DataFrame, rules: dict[str, Rule] = FILTER_RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` (text; all columns stay as they are) that no rule rejects.
 
     Null and empty texts are short. The sample only sets the order of the rules. An empty table stays empty.
     """
-    conditions = rules() if conditions is None else conditions
-    read = with_words(docs)
-    order = [name for name, _, _ in cascade_order(with_words(docs.select("text")), conditions, sample_rows)]
-    return read.withColumn("rejected_by", cascade(order, conditions))
+    order = [name for name, _, _ in cascade_order(docs, rules, sample_rows)]
+    text = clean(F.col("text"))
+    return docs.where(let(text, lambda t: let(words(t), lambda w: cascade(order, rules, t, w).isNull())))
 
 
 def op8(docs: DataFrame) -> DataFrame:
@@ -81,16 +97,18 @@ def op8(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty: all counts 0, base_failed. Repeated rows are judged each on its own.
     """
-    judged = quality_verdicts(docs.select("doc_id", "text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = judged.select(
-        "doc_id", "rejected_by", "words",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        count_of(r"[#*$%&|<>]").cast("long").alias("n_symbols"),
-        lines.alias("lines"),
-    )
-    out = out.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    out = repeated_window_words(out.drop("lines"))
+    order = [name for name, _, _ in cascade_order(docs, RULES)]
+
+    def measured(t: Column, w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            count_of(t, r"[#*$%&|<>]").cast("long").alias("n_symbols"),
+            let(lines_of(t), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+            cascade(order, RULES, t, w).alias("rejected_by"),
+        )
+
+    out = docs.select("doc_id", let(clean(F.col("text")), lambda t: let(words(t), lambda w: measured(t, w))).alias("m")).select("doc_id", "m.*")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"), "rejected_by")
