@@ -2,9 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from lumenweft.llm import decontamination, minhash, mixing, quality, secrets
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    return quality.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five words, 0.8) the smallest doc_id stays, of its repeated rows one."""
+    found = minhash.near_duplicates(docs)
+    rest = docs.join(found.where("not kept").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    same = Window.partitionBy("doc_id", "_text").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")))
+    once = rest.withColumn("_text", F.xxhash64("text")).withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
+    return once.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    found = decontamination.op10(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; every document stays."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents to train on with the number of copies to take: complete epochs, and one more where sampled."""
+    mixed = mixing.mix(docs).withColumn("copies", F.col("epochs") + F.col("extra").cast("long")).where("copies > 0")
+    taken = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("size").alias("size"), F.max("copies").alias("copies"))
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    return out.select(*docs.columns, "size", "copies")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("secret_scan", redact_secrets),
+    ("source_mix", mix_sources),
+]
+#: The retrieval, the forest and the exact duplicates cannot be put as SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

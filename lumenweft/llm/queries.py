@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenweft.llm import chat, decontamination, licenses, lm, minhash, mixing, quality, secrets, toxicity
+from lumenweft.llm import chat, decontamination, licenses, lm, minhash, mixing, quality, secrets, substrings, toxicity
 from lumenweft.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.op5(documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op6(documents(spark, sf_dir))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op7(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_minhash_dedup, op2_license_scan, op3_toxicity, op4_chat_format, op5_lm_score,
-        op7_secret_scan, op8_quality_rules, op9_source_mix, op10_decontamination,
+        op6_substring_dedup, op7_secret_scan, op8_quality_rules, op9_source_mix, op10_decontamination,
     )
     return {q.__name__: q for q in every}
 
