@@ -37,3 +37,11 @@ def local(cores: int = 8, partitions: int = 8) -> SparkSession:
     }.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder all executors share (``spark.checkpoint.dir``), or a temporary one if that is unset."""
+    import uuid
+
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='lumenweft-')).rstrip('/')}/lumenweft/{name}-{uuid.uuid4().hex}"
