@@ -13,11 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenweft.llm.common import materialize
 from lumenweft.llm.native import let, repeated_words, words
 
-#: Rows on which costs and selectivities are measured.
-SAMPLE_ROWS = 400
+#: Rows, and characters of each, on which costs and selectivities are measured; nothing else depends on them.
+SAMPLE_ROWS, SAMPLE_CHARACTERS = 200, 20_000
 
 #: A rejecting condition over a text and its words.
 Rule = Callable[[Column, Column], Column]
@@ -56,8 +55,13 @@ FILTER_RULES = RULES | {"repeats": repeats}
 
 
 def cascade_order(docs: DataFrame, rules: dict[str, Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, cost in seconds, rejected share) on a sample of ``docs`` (text), by rejection per cost, best first."""
-    sample = materialize(docs.select(clean(F.col("text")).alias("text"), words(F.col("text").cast("string")).alias("words")).limit(sample_rows), "sample")
+    """(rule, cost in seconds, rejected share) on a sample of ``docs`` (text), by rejection per cost, best first.
+
+    The sample is the first rows that a few tasks find, by way of the driver: a limit inside a larger plan would move
+    as many rows of every partition.
+    """
+    rows = docs.select(F.substring(clean(F.col("text")), 1, SAMPLE_CHARACTERS).alias("text")).limit(sample_rows).collect()
+    sample = docs.sparkSession.createDataFrame(rows, "text string").coalesce(1).select("text", words(F.col("text")).alias("words"))
 
     def timed(condition: Column) -> tuple[float, float]:
         began = time.perf_counter()
