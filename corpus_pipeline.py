@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenweft.llm import decontamination, minhash, mixing, quality, secrets
+from lumenweft.llm.common import unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +18,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, 0.8) the smallest doc_id stays, of its repeated rows one."""
     found = minhash.near_duplicates(docs)
     rest = docs.join(found.where("not kept").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    same = Window.partitionBy("doc_id", "_text").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")))
-    once = rest.withColumn("_text", F.xxhash64("text")).withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
+    digest, nth = unused(docs.columns, "digest"), unused(docs.columns, "nth")
+    same = Window.partitionBy("doc_id", digest).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")))
+    once = rest.withColumn(digest, F.xxhash64("text")).withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1)
     return once.select(*docs.columns)
 
 
@@ -34,11 +36,16 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents to train on with the number of copies to take: complete epochs, and one more where sampled."""
+    """The documents to train on with size and copies to take: complete epochs, and one more where sampled.
+
+    Columns of ``docs`` that are called size or copies give way to these.
+    """
     mixed = mixing.mix(docs).withColumn("copies", F.col("epochs") + F.col("extra").cast("long")).where("copies > 0")
-    taken = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("size").alias("size"), F.max("copies").alias("copies"))
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return out.select(*docs.columns, "size", "copies")
+    taken = mixed.groupBy("doc_id", "source").agg(F.max("size").alias("size"), F.max("copies").alias("copies"))
+    kept = [c for c in docs.columns if c.lower() not in ("size", "copies")]
+    rows = docs.select(F.struct(*kept).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source"))
+    return rows.join(taken, same).select("row.*", "size", "copies")
 
 
 STAGES = [

@@ -211,10 +211,10 @@ def redact(docs: DataFrame, path: str = "source", mark: str = "[SECRET]", thresh
     whole = scored.groupBy(F.col("doc_id.at").alias("at")).agg(F.first("doc_id.row").alias("row"), F.collect_set(F.when(F.col("score") >= threshold, F.col("candidate"))).alias("secrets"))
     longest_first = F.transform(F.array_sort(F.transform("secrets", lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x.s)
     cleaned = F.aggregate(longest_first, F.col("row.text"), lambda text, secret: F.replace(text, secret, F.lit(mark)))
-    out = whole.withColumn("cleaned", cleaned).select("row.*", F.col("cleaned").alias("_cleaned"))
-    out = out.withColumn("text", F.col("_cleaned"))
+    row = F.col("row").withField("text", cleaned)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        row = row.withField("n_chars", F.length(cleaned).cast(docs.schema["n_chars"].dataType))
+    out = whole.select(row.alias("row")).select("row.*")
     return none.select(*columns).unionByName(out.select(*columns))
 
 
