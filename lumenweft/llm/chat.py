@@ -43,8 +43,15 @@ def escape_role(role: str) -> str:
 
 
 def render(turns: list[Turn]) -> str:
-    """The default template: ``### Role: text </turn>`` a line, with reversible escapes."""
-    return "".join(f"### {escape_role(role[:1].upper() + role[1:] if role.islower() else '=' + role)}: {escape(text)} {END}\n" for role, text in turns)
+    """The default template: ``### Role: text </turn>`` a line, with reversible escapes.
+
+    A role that begins with a-z is written with a capital, any other after an equals sign.
+    """
+
+    def header(role: str) -> str:
+        return escape_role(role[0].upper() + role[1:] if "a" <= role[:1] <= "z" else "=" + role)
+
+    return "".join(f"### {header(role)}: {escape(text)} {END}\n" for role, text in turns)
 
 
 def _closing(text: str, mark: str, start: int) -> int:
