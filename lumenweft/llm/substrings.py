@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenweft.llm.common import materialize, prefix_hashes, span_hashes, text_bytes
+from lumenweft.llm.common import materialize, mix64, prefix_hashes, span_hashes, text_bytes
 from lumenweft.session import ship
 
 #: Bytes of text in a block and of hashing at a time; text bytes a bucket; bytes of the string that names a bucket.
-BLOCK_BYTES, PART_BYTES, BUCKET_BYTES, ANCHOR = 6 << 20, 1 << 20, 8 << 20, 16
+BLOCK_BYTES, PART_BYTES, BUCKET_BYTES, ANCHOR = 2 << 20, 1 << 19, 4 << 20, 16
 LEAST_BUCKETS = 32
 LAST = np.int64((1 << 63) - 1)
 
@@ -268,16 +268,21 @@ def _suffixes_of_block(plan: Plan, block: int, payload: bytes, bits: dict[int, b
             starts_.append(where + at)
             hashes_.append(span_hashes(prefix, where, where + length))
             anchors_.append(anchor + at)
-            keys_.append(strings[anchor])
+            # Smallest hashes crowd at the low end; mixed again they fill all buckets alike.
+            keys_.append(mix64(strings[anchor] + np.uint64(1)))
             outer_.append(beyond[where])
         at += size
     if not starts_:
         return [], (block, pack(np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    starts, hashes, anchors, keys, far = (np.concatenate(x) for x in (starts_, hashes_, anchors_, keys_, outer_))
+    del positions, ranks, found, inverse, outer, inner
+    hashes = np.concatenate(hashes_)
+    del hashes_
     order = np.argsort(hashes, kind="stable")
     sorted_ = hashes[order]
-    again = np.zeros(len(starts), bool)
+    again = np.zeros(len(order), bool)
     again[order[1:][sorted_[1:] == sorted_[:-1]]] = True
+    del hashes, order, sorted_
+    starts, anchors, keys, far = (np.concatenate(x) for x in (starts_, anchors_, keys_, outer_))
     local = runs(starts[again])
     sent = ~again & far
     s, p, k = starts[sent], anchors[sent], keys[sent]
