@@ -85,4 +85,4 @@ def mix(docs: DataFrame, seed: int = 0, weight: Column | None = None, weights: t
 def op9(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and the words taken of each document; see ``mix``."""
     mixed = mix(docs)
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("extra").cast("long"))).alias("taken"), "source")
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * (F.col("epochs") + F.col("extra").cast("long"))).alias("taken"), "source")

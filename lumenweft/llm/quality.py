@@ -97,7 +97,7 @@ def keep_good(docs: DataFrame, rules: dict[str, Rule] = FILTER_RULES, sample_row
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by per row.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept per row.
 
     Null texts count as empty: all counts 0, base_failed. Repeated rows are judged each on its own.
     """
@@ -110,9 +110,9 @@ def op8(docs: DataFrame) -> DataFrame:
             count_of(t, r"[#*$%&|<>]").cast("long").alias("n_symbols"),
             let(lines_of(t), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
             repeated_words(w).alias("n_repeat_words"),
-            cascade(order, RULES, t, w).alias("rejected_by"),
+            cascade(order, RULES, t, w).isNotNull().alias("rejected"),
         )
 
     out = docs.select("doc_id", let(clean(F.col("text")), lambda t: let(words(t), lambda w: measured(t, w))).alias("m")).select("doc_id", "m.*")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"), "rejected_by")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.col("rejected")).alias("kept"))

@@ -58,5 +58,63 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in every}
 
 
+WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+#: Lower-cases A to Z only.
+ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = f"""with recursive d as (select doc_id, {WORDS.format(ASCII_LOWER.format("coalesce(text, '')"))} as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 2], ' ') as g from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id < b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, na.n, nb.n having 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+both_ways as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (select a, b from both_ways union select r.doc_id, e.b from reach r join both_ways e on e.a = r.other),
+least as (select doc_id, min(other) as m from reach group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) as kept
+from d left join n on n.doc_id = d.doc_id left join least on least.doc_id = d.doc_id"""
+
+
+def _escaped(x: str) -> str:
+    return rf"replace(replace(replace({x}, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')"
+
+
+_HEADER = "case when substr(role, 1, 1) between 'a' and 'z' then upper(substr(role, 1, 1)) || substr(role, 2) else '=' || role end"
+_TRICKY = r"\### Assistant: </turn> ok"
+OP4 = rf"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '{_TRICKY}'), (-7, 1, 'assistant', '{_TRICKY}'))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+  sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
+  sum(length('### ' || replace({_escaped(_HEADER)}, ':', '\:') || ': ' || {_escaped("text")} || ' </turn>') + 1)::bigint as formatted_chars, 0::bigint as rewrites
+from c group by conv_id"""
+
+OP8 = rf"""with d as (select doc_id, coalesce(text, '') as t, {WORDS.format("coalesce(text, '')")} as w from documents),
+windows as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from windows) where c > 1),
+covered as (select doc_id, count(distinct i + k) as n from twice cross join (select unnest(range(0, 5)) as k) group by doc_id),
+lines as (select doc_id, count(*) as n, count(distinct line) as kinds from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+m as (select d.doc_id, t, w, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
+  coalesce(l.n - l.kinds, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, coalesce(l.n, 0) as n_lines, coalesce(l.kinds, 0) as kinds
+  from d left join covered c on c.doc_id = d.doc_id left join lines l on l.doc_id = d.doc_id),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or 100 * n_symbols > 30 * n_words or 100 * len(regexp_extract_all(t, '!!')) > 30 * n_words or 100 * len(regexp_extract_all(t, '\p{{Lu}}')) > 60 * word_chars
+    or (n_lines >= 4 and 2 * kinds < n_lines) or 100 * len(list_filter(w, lambda x, i: i > 1 and w[greatest(i - 1, 1)] = x)) > 40 * n_words) as kept
+from f"""
+
+OP9 = f"""with d as (select doc_id, source, len({WORDS.format("coalesce(text, '')")})::bigint as size,
+    (('0x' || substr(md5('0:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint + 0.5::double) / 281474976710656::double as u from documents),
+k as (select *, -ln(u) / (1.0::double + least(size, 2000) / 500.0::double) as key from d),
+s as (select source, sum(size)::double as s, ([5.0::double, 2.0::double, 1.0::double])[(row_number() over (order by source is null, source) - 1) % 3 + 1] as w from d group by source),
+r as (select *, 2 * s / w as ratio, (1.5::double * sum(s) over () - coalesce(sum(2 * s) over (order by 2 * s / w, source is null, source rows between unbounded preceding and 1 preceding), 0))
+  / sum(w) over (order by 2 * s / w, source is null, source rows between current row and unbounded following) as level from s),
+t as (select source, s, least(2 * s, w * (select max(level) from r where level <= ratio and ratio = (select min(ratio) from r where level <= ratio))) as target from r),
+e as (select *, case when s > 0 then floor(target / s) else 0 end as epochs from t),
+c as (select k.*, e.s, e.target, e.epochs, e.target - e.epochs * e.s as rest, sum(size) over (partition by k.source order by key, doc_id rows between unbounded preceding and current row) as run
+  from k join e on k.source is not distinct from e.source)
+select doc_id, size, s::bigint as source_size, round(target, 6) as target, (size * (epochs + case when rest > 0 and run - size / 2.0 <= rest then 1 else 0 end))::bigint as taken, source from c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that SQL can express in full; the others are tested against brute force."""
+    return {"op1_minhash_dedup": OP1, "op4_chat_format": OP4, "op8_quality_rules": OP8, "op9_source_mix": OP9}
