@@ -229,8 +229,8 @@ def _mark(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(steps)[:size] > 0
 
 
-def _suffixes_of_block(plan: Plan, block: int, payload: bytes, bits: dict[int, bytes]) -> tuple[list[tuple], tuple]:
-    """Packets (bucket, block, payload) of windows that may repeat elsewhere; (block, payload) of repeats within."""
+def _suffixes_of_block(plan: Plan, payload: bytes, bits: dict[int, bytes]) -> tuple[list[tuple[int, bytes]], bytes]:
+    """(bucket, packet) of windows that may repeat elsewhere; the spans of windows that repeat within the block."""
     ids, lengths, data = unpack(payload)
     positions, ranks = plan.ranks(lengths, data)
     found, inverse, counts = np.unique(ranks, return_inverse=True, return_counts=True)
@@ -239,26 +239,34 @@ def _suffixes_of_block(plan: Plan, block: int, payload: bytes, bits: dict[int, b
     for bucket, packed in bits.items():
         a, b = cuts[bucket], cuts[bucket + 1]
         elsewhere[a:b] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8))[: b - a]
-    outer, inner = elsewhere[inverse], (counts > 1)[inverse]
+    shared = (counts > 1)[inverse] | elsewhere[inverse]
+    positions, outer = positions[shared], elsewhere[inverse][shared]
+    del ranks, found, inverse, counts, shared
+    if not len(positions):
+        return [], pack(*runs(positions))
+    # Only documents with a shared rank are looked at; they are laid end to end anew.
+    home_begins = np.cumsum(lengths) - lengths
+    doc = np.searchsorted(home_begins + lengths, positions, side="right")
+    touched = np.unique(doc)
+    data = np.concatenate([data[home_begins[d] : home_begins[d] + lengths[d]] for d in touched.tolist()])
+    ids, lengths, home_begins = ids[touched], lengths[touched], home_begins[touched]
     ends = np.cumsum(lengths)
     begins = ends - lengths
+    doc = np.searchsorted(touched, doc)
+    positions += (begins - home_begins)[doc]
     length, width = plan.length, plan.length - plan.anchor + 1
     starts_, hashes_, anchors_, keys_, outer_ = [], [], [], [], []
     at = 0
     for a, b in parts(lengths):
         size = int(lengths[a:b].sum())
         low, high = np.searchsorted(positions, (at, at + size))
-        hit = outer[low:high] | inner[low:high]
-        if hit.any() and size >= length:
-            own = positions[low:high][hit] - at
-            doc = np.searchsorted(ends[a:b] - at, own, side="right")
-            doc_begin, doc_end = begins[a:b][doc] - at, ends[a:b][doc] - at
-            first, last = np.maximum(own - plan.v + 1, doc_begin), np.minimum(own, doc_end - length)
-            fits = first <= last
-            marked = _mark(size, first[fits], last[fits] + 1)
-            far = outer[low:high][hit] & fits
+        own, mine = positions[low:high] - at, doc[low:high]
+        first, last = np.maximum(own - plan.v + 1, begins[mine] - at), np.minimum(own, ends[mine] - at - length)
+        fits = first <= last
+        if fits.any():
+            where = np.flatnonzero(_mark(size, first[fits], last[fits] + 1))
+            far = outer[low:high] & fits
             beyond = _mark(size, first[far], last[far] + 1)
-            where = np.flatnonzero(marked)
             prefix = prefix_hashes(data[at : at + size])
             short = np.arange(size - plan.anchor + 1)
             strings = span_hashes(prefix, short, short + plan.anchor)
@@ -273,8 +281,7 @@ def _suffixes_of_block(plan: Plan, block: int, payload: bytes, bits: dict[int, b
             outer_.append(beyond[where])
         at += size
     if not starts_:
-        return [], (block, pack(np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    del positions, ranks, found, inverse, outer, inner
+        return [], pack(*runs(positions[:0]))
     hashes = np.concatenate(hashes_)
     del hashes_
     order = np.argsort(hashes, kind="stable")
@@ -283,82 +290,119 @@ def _suffixes_of_block(plan: Plan, block: int, payload: bytes, bits: dict[int, b
     again[order[1:][sorted_[1:] == sorted_[:-1]]] = True
     del hashes, order, sorted_
     starts, anchors, keys, far = (np.concatenate(x) for x in (starts_, anchors_, keys_, outer_))
-    local = runs(starts[again])
+
+    def home(x: np.ndarray) -> np.ndarray:
+        return x + (home_begins - begins)[np.searchsorted(ends, x, side="right")]
+
+    # A run of repeats that goes on into the next document is two runs at home.
+    local = pack(*runs(home(starts[again])))
     sent = ~again & far
     s, p, k = starts[sent], anchors[sent], keys[sent]
-    packets: list[tuple] = []
+    packets: list[tuple[int, bytes]] = []
     if len(s):
         new = np.append(True, (np.diff(s) != 1) | (np.diff(p) != 0))
         heads = np.flatnonzero(new)
         sizes = np.diff(np.append(heads, len(s)))
         s, k = s[heads], k[heads]
         bucket = (k >> np.uint64(64 - (plan.buckets.bit_length() - 1))).astype(np.int64)
-        doc = np.searchsorted(ends, s, side="right")
+        mine = np.searchsorted(ends, s, side="right")
         by = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[by], np.arange(plan.buckets + 1))
         for r in np.flatnonzero(np.diff(edges)).tolist():
-            mine = by[edges[r] : edges[r + 1]]
-            texts = b"".join(data[x : x + n + length - 1].tobytes() for x, n in zip(s[mine].tolist(), sizes[mine].tolist(), strict=True))
-            packets.append((r, block, pack(ids[doc[mine]], s[mine], s[mine] - begins[doc[mine]], sizes[mine].astype(np.int32), np.frombuffer(texts, np.uint8))))
-    return packets, (block, pack(*local))
+            own = by[edges[r] : edges[r + 1]]
+            texts = b"".join(data[x : x + n + length - 1].tobytes() for x, n in zip(s[own].tolist(), sizes[own].tolist(), strict=True))
+            packets.append((r, pack(ids[mine[own]], home(s[own]), s[own] - begins[mine[own]], sizes[own].astype(np.int32), np.frombuffer(texts, np.uint8))))
+    return packets, local
+
 
+#: Packets of windows are of kind 0, spans of repeats (first starts, last starts) of kind 1.
+SORTED = "bucket long, kind int, block long, payload binary"
 
-SORTED = "bucket long, block long, payload binary"
+
+def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (("bucket", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
 
 def _suffixes(plan: Plan):
-    """Rows sorted by block, a block's bits before its texts. Repeats within a block go out under bucket -1."""
+    """Rows (block, bucket, payload) sorted by block; under bucket -1 the block itself, after it come the others' bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _grouped(batches, 3):
             bits = {bucket: payload for _, bucket, payload in rows if bucket >= 0}
             for _, bucket, payload in rows:
                 if bucket < 0:
-                    packets, local = _suffixes_of_block(plan, block, payload, bits)
-                    packets.append((-1, *local))
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in packets], pa.int64()), pa.array([x[1] for x in packets], pa.int64()), pa.array([x[2] for x in packets], pa.binary())], ["bucket", "block", "payload"])
+                    packets, local = _suffixes_of_block(plan, payload, bits)
+                    yield _rows([(r, 0, block, p) for r, p in packets] + [(block % plan.buckets, 1, block, local)])
 
     return run
 
 
 def _sort_buckets(plan: Plan):
-    """Windows of a bucket in order of (doc_id, block, place): all but the first of equal ones repeat."""
+    """Windows of a bucket in order of (doc_id, block, place): all but the first of equal ones repeat.
+
+    Whole runs come first: a run equal to an earlier one repeats in all its windows and is done.
+    """
+
+    def parts_of(packet: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        spans = packet[3].astype(np.int64) + plan.length - 1
+        at = 0
+        for a, b in parts(spans):
+            size = int(spans[a:b].sum())
+            yield a, b, np.cumsum(spans[a:b]) - spans[a:b], packet[4][at : at + size]
+            at += size
+
+    def repeats(rows: list[tuple]) -> Iterator[tuple[int, int, int, bytes]]:
+        opened = [unpack(r[3]) for r in rows]
+        ids, starts, offsets, sizes = (np.concatenate([x[k] for x in opened]) for k in range(4))
+        sizes = sizes.astype(np.int64)
+        packet = np.repeat(np.arange(len(rows)), [len(x[0]) for x in opened])
+        blocks = np.array([r[2] for r in rows], np.int64)
+        order = np.lexsort((offsets, blocks[packet], ids))
+        whole = []
+        for x in opened:
+            for a, b, begin, text in parts_of(x):
+                n = x[3][a:b].astype(np.int64)
+                whole.append(mix64(span_hashes(prefix_hashes(text), begin, begin + n + plan.length - 1) + n.astype(np.uint64)))
+        whole = np.concatenate(whole)[order]
+        by = np.argsort(whole, kind="stable")
+        sorted_ = whole[by]
+        done = np.zeros(len(order), bool)
+        done[order[by[1:][sorted_[1:] == sorted_[:-1]]]] = True
+        hashes, at = [], 0
+        for x in opened:
+            for a, b, begin, text in parts_of(x):
+                left = np.flatnonzero(~done[at + a : at + b])
+                if len(left):
+                    n = x[3][a:b].astype(np.int64)[left]
+                    every = np.repeat(begin[left] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    hashes.append(span_hashes(prefix_hashes(text), every, every + plan.length))
+            at += len(x[3])
+        del opened
+        left = np.flatnonzero(~done)
+        hashes = np.concatenate(hashes)
+        begin = np.cumsum(sizes[left]) - sizes[left]
+        place = np.empty(len(order), np.int64)
+        place[left] = np.arange(len(left))
+        order = place[order[~done[order]]]
+        # Windows in the order of their texts, then equal hashes together, that order kept.
+        n = sizes[left][order]
+        every = np.repeat(begin[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        hashes = hashes[every]
+        by = np.argsort(hashes, kind="stable")
+        sorted_ = hashes[by]
+        again = every[by[1:][sorted_[1:] == sorted_[:-1]]]
+        run = np.searchsorted(begin, again, side="right") - 1
+        where, home = starts[left][run] + again - begin[run], packet[left][run]
+        for k in np.unique(np.concatenate([home, packet[done]])).tolist():
+            own = done & (packet == k)
+            firsts, lasts = runs(np.sort(where[home == k]))
+            yield 0, 1, int(blocks[k]), pack(np.concatenate([firsts, starts[own]]), np.concatenate([lasts, starts[own] + sizes[own] - 1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, 3):
-            opened = [unpack(r[2]) for r in rows]
-            ids, starts, offsets, sizes = (np.concatenate([x[k] for x in opened]) for k in range(4))
-            sizes = sizes.astype(np.int64)
-            packet = np.repeat(np.arange(len(rows)), [len(x[0]) for x in opened])
-            blocks = np.array([r[1] for r in rows], np.int64)
-            spans = sizes + plan.length - 1
-            hashes = []
-            for x in opened:
-                own = x[3].astype(np.int64) + plan.length - 1
-                at = 0
-                for a, b in parts(own):
-                    size = int(own[a:b].sum())
-                    begin = np.cumsum(own[a:b]) - own[a:b] + at
-                    n = x[3][a:b].astype(np.int64)
-                    every = np.repeat(begin - at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    hashes.append(span_hashes(prefix_hashes(x[4][at : at + size]), every, every + plan.length))
-                    at += size
-            del opened, spans
-            hashes = np.concatenate(hashes)
-            begin = np.cumsum(sizes) - sizes
-            order = np.lexsort((offsets, blocks[packet], ids))
-            # Windows in the order of their texts, then equal hashes together, that order kept.
-            every = np.repeat(begin[order] - (np.cumsum(sizes[order]) - sizes[order]), sizes[order]) + np.arange(sizes.sum())
-            by = np.argsort(hashes[every], kind="stable")
-            sorted_ = hashes[every][by]
-            again = every[by[1:][sorted_[1:] == sorted_[:-1]]]
-            run_of = np.searchsorted(begin, again, side="right") - 1
-            where = starts[run_of] + again - begin[run_of]
-            home = packet[run_of]
-            out = []
-            for k in np.unique(home).tolist():
-                out.append((int(blocks[k]), pack(*runs(np.sort(where[home == k])))))
-            yield pa.RecordBatch.from_arrays([pa.array([-2] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "block", "payload"])
+        for _, rows in _grouped(batches, 4):
+            packets = [r for r in rows if r[1] == 0]
+            yield _rows([r for r in rows if r[1] == 1] + (list(repeats(packets)) if packets else []))
 
     return run
 
@@ -420,11 +464,10 @@ def substring_dedup(docs: DataFrame, length: int = 100, with_kept: bool = True)
     plan, n_blocks = Plan(length, n_bytes), max(1, n_blocks)
     buckets = min(plan.buckets, 4096)
     texts = blocks.select("block", F.lit(-1).cast("long").alias("bucket"), "payload")
-    ranks = blocks.select("block", "payload").mapInArrow(_cover_suffixes(plan), SORTED)
+    ranks = blocks.select("block", "payload").mapInArrow(_cover_suffixes(plan), "bucket long, block long, payload binary")
     shared = ranks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_shared_ranks, "block long, bucket long, payload binary")
-    suffixes = materialize(_by_block(shared.unionByName(texts), n_blocks, _suffixes(plan), SORTED), "suffixes")
-    repeats = suffixes.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_sort_buckets(plan), SORTED)
-    spans = suffixes.where("bucket < 0").unionByName(repeats).select("block", F.lit(0).alias("part"), "payload")
+    suffixes = _by_block(shared.unionByName(texts), n_blocks, _suffixes(plan), SORTED)
+    spans = suffixes.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "block").mapInArrow(_sort_buckets(plan), SORTED).select("block", F.lit(0).alias("part"), "payload")
     rows = spans.unionByName(blocks.select("block", F.lit(1).alias("part"), "payload"))
     return _by_block(rows, n_blocks, _removal(plan, with_kept, to_arrow_schema(StructType.fromDDL(KEPT))), KEPT)
 
