@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import random
 import string
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenweft.llm.native import let
+
 # What a candidate looks like (16 characters or more, with a digit), and the head of a private key.
 _IN = r"A-Za-z0-9+/_=\-"
 CANDIDATE = rf"(?<![{_IN}])(?=[A-Za-z+/_=\-]*+[0-9])[{_IN}]{{16,}}|-----BEGIN [A-Z ]{{0,24}}PRIVATE KEY-----"
@@ -34,14 +37,13 @@ TRAIN_ROWS, TREES, DEPTH, LEAF = 4000, 15, 5, 8
 THRESHOLD = 0.5
 
 
-def with_features(df: DataFrame) -> DataFrame:
-    """Adds FEATURES to a table with candidate, before, after and path."""
-    c = F.col("candidate")
-    n = F.length(c).cast("double")
+def features(candidate: Column, before: Column, path: Column) -> dict[str, Column]:
+    """FEATURES of a candidate with what stands before it and the path of its text."""
+    c, n = candidate, F.length(candidate).cast("double")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
     flag = lambda condition: F.coalesce(condition, F.lit(False)).cast("double")
     runs = F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.length(x))
-    columns = {
+    return {
         "length": n,
         "digits": share("[0-9]"),
         "capitals": share("[A-Z]"),
@@ -50,14 +52,18 @@ def with_features(df: DataFrame) -> DataFrame:
         "hex": flag(c.rlike("^[0-9a-fA-F]+$")),
         "dictionary": 1.0 - F.length(F.regexp_replace(c, "(?i)(" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")", "")) / n,
         "letter_run": F.coalesce(F.array_max(runs), F.lit(0)) / n,
-        "word_for": flag(F.col("before").rlike(FOR)),
-        "word_against": flag(F.col("before").rlike(AGAINST)),
-        "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"']?$")),
-        "example_path": flag(F.col("path").rlike(EXAMPLE_PATH)),
+        "word_for": flag(before.rlike(FOR)),
+        "word_against": flag(before.rlike(AGAINST)),
+        "assigned": flag(before.rlike(r"[=:]\s*[\"']?$")),
+        "example_path": flag(path.rlike(EXAMPLE_PATH)),
         "placeholder": flag(c.rlike(PLACEHOLDER)),
         "groups": F.regexp_count(c, F.lit("[-_/=+]")).cast("double"),
     }
-    return df.withColumns(columns)
+
+
+def with_features(df: DataFrame) -> DataFrame:
+    """Adds FEATURES to a table with candidate, before and path."""
+    return df.withColumns(features(F.col("candidate"), F.col("before"), F.col("path")))
 
 
 def labelled_findings(rows: int = TRAIN_ROWS, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
@@ -144,16 +150,16 @@ def grow_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = D
     return out
 
 
-def _tree_column(tree: Tree) -> Column:
+def _tree_column(tree: Tree, feature: Callable[[str], Column]) -> Column:
     if isinstance(tree, float):
         return F.lit(tree)
-    feature, cut, low, high = tree
-    return F.when(F.col(FEATURES[feature]) <= cut, _tree_column(low)).otherwise(_tree_column(high))
+    which, cut, low, high = tree
+    return F.when(feature(FEATURES[which]) <= cut, _tree_column(low, feature)).otherwise(_tree_column(high, feature))
 
 
-def forest_column(forest: list[Tree]) -> Column:
-    """The mean vote of the trees over the feature columns."""
-    return reduce(lambda a, b: a + b, [_tree_column(t) for t in forest]) / float(len(forest))
+def forest_column(forest: list[Tree], feature: Callable[[str], Column] = F.col) -> Column:
+    """The mean vote of the trees over the features."""
+    return reduce(lambda a, b: a + b, [_tree_column(t, feature) for t in forest]) / float(len(forest))
 
 
 _forests: dict[int, list[Tree]] = {}
@@ -173,14 +179,28 @@ def trained_forest(spark: SparkSession, findings: list[tuple[str, str, str, str,
     return forest
 
 
+def found_in(text: Column) -> Column:
+    """The candidates of a text, in order."""
+    return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+
+
+def neighbourhoods(text: Column, found: Column) -> Column:
+    """(candidate, before, after) of each candidate; the text is split only if there are any."""
+
+    def of(parts: Column) -> Column:
+        # What stands before a candidate ends its part of the text, what stands after it begins the next part.
+        last = lambda p: F.when(F.length(p) > LEFT, F.substring(p, -LEFT, LEFT)).otherwise(p)
+        return F.transform(found, lambda c, i: F.struct(c.alias("candidate"), last(F.get(parts, i)).alias("before"), F.substring(F.get(parts, i + 1), 1, RIGHT).alias("after")))
+
+    return F.when(F.size(found) > 0, let(F.split(text, CANDIDATE), of))
+
+
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """(doc_id, path, ordinal, candidate, before, after): every candidate of every text with its neighbourhood."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select("doc_id", (F.col(path).cast("string") if path in docs.columns else F.lit("")).alias("path"), text.alias("text"))
-    df = df.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
-    df = df.withColumn("parts", F.when(F.size("found") > 0, F.transform(F.split("text", CANDIDATE), lambda p: F.concat(F.substring(p, 1, RIGHT), F.lit("\x00"), F.when(F.length(p) > LEFT, F.substring(p, -LEFT, LEFT)).otherwise(p)))))
-    zipped = F.transform("found", lambda c, i: F.struct(c.alias("candidate"), F.substring_index(F.get("parts", i), "\x00", -1).alias("before"), F.substring_index(F.get("parts", i + 1), "\x00", 1).alias("after")))
-    return df.select("doc_id", "path", F.posexplode(zipped).alias("ordinal", "found")).select("doc_id", "path", "ordinal", "found.candidate", "found.before", "found.after")
+    listed = let(text, lambda t: let(found_in(t), lambda found: neighbourhoods(t, found)))
+    df = docs.select("doc_id", (F.col(path).cast("string") if path in docs.columns else F.lit("")).alias("path"), F.posexplode(listed).alias("ordinal", "found"))
+    return df.select("doc_id", "path", "ordinal", "found.candidate", "found.before", "found.after")
 
 
 def secret_scan(docs: DataFrame, path: str = "source", threshold: float = THRESHOLD, findings: list | None = None) -> DataFrame:
@@ -198,24 +218,29 @@ def secret_scan(docs: DataFrame, path: str = "source", threshold: float = THRESH
 
 
 def redact(docs: DataFrame, path: str = "source", mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with each secret in a text replaced by ``mark``; n_chars, if there, follows. No row is dropped.
+    """``docs`` with each secret in a text replaced by ``mark``; n_chars, if there, follows. No row is dropped or moved.
 
-    Only rows with a candidate go through the forest and are put together again; all others stay where they are.
+    The forest votes within the row, and only in texts with a candidate.
     """
-    columns = docs.columns
-    some, none = docs.where(F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))), docs.where(~F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False)))
-    inner = some.select(F.struct(F.struct(*columns).alias("row"), F.monotonically_increasing_id().alias("at")).alias("doc_id"), "text", (F.col(path) if path in columns else F.lit("")).alias("path"))
-    head = F.col("candidate").startswith("-----BEGIN ")
-    scored = with_features(candidates(inner, "path")).withColumn("score", F.when(head, 1.0).otherwise(forest_column(trained_forest(docs.sparkSession))))
-    # All candidates of a row are in one partition, so a row is one row again before it is shuffled.
-    whole = scored.groupBy(F.col("doc_id.at").alias("at")).agg(F.first("doc_id.row").alias("row"), F.collect_set(F.when(F.col("score") >= threshold, F.col("candidate"))).alias("secrets"))
-    longest_first = F.transform(F.array_sort(F.transform("secrets", lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x.s)
-    cleaned = F.aggregate(longest_first, F.col("row.text"), lambda text, secret: F.replace(text, secret, F.lit(mark)))
-    row = F.col("row").withField("text", cleaned)
-    if "n_chars" in columns:
-        row = row.withField("n_chars", F.length(cleaned).cast(docs.schema["n_chars"].dataType))
-    out = whole.select(row.alias("row")).select("row.*")
-    return none.select(*columns).unionByName(out.select(*columns))
+    forest = trained_forest(docs.sparkSession)
+    place = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
+
+    def secret(x: Column) -> Column:
+        named = features(x.candidate, x.before, place)
+        vote = let(F.struct(*(v.alias(k) for k, v in named.items())), lambda f: forest_column(forest, lambda name: f[name]))
+        return x.candidate.startswith("-----BEGIN ") | (vote >= threshold)
+
+    def cleaned(text: Column, found: Column) -> Column:
+        bad = F.array_distinct(F.transform(F.filter(neighbourhoods(text, found), secret), lambda x: x.candidate))
+        longest_first = F.transform(F.array_sort(F.transform(bad, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x.s)
+        return F.when(F.size(found) > 0, F.aggregate(longest_first, text, lambda t, s: F.replace(t, s, F.lit(mark)))).otherwise(text)
+
+    text = F.col("text").cast("string")
+    out = docs.withColumn("text", F.when(text.isNotNull(), let(text, lambda t: let(found_in(t), lambda found: cleaned(t, found)))))
+    if "n_chars" in docs.columns:
+        kept = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), kept).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def op7(docs: DataFrame) -> DataFrame:
