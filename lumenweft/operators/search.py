@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,25 +45,40 @@ def vector_top_k(store: DataFrame, query: list[float], k: int = 5, id_col: str =
     return scored.orderBy(F.desc("_score"), id_col).limit(k).withColumn("vector_similarity", V.clamp(F.col("_score"), -1.0)).drop("_score")
 
 
-#: Queries scored at a time.
-QUERIES_AT_ONCE = 4096
+#: Queries that a task holds at a time, and their bytes; queries whose scores are held at a time.
+QUERIES_AT_ONCE, QUERY_BYTES, SCORED_AT_ONCE = 4096, 32 << 20, 256
 BATCHED = "query_id long, id long, score double"
 
 
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores of each row with their ids, ties by smaller id."""
+    if scores.shape[1] > k:
+        # Rows whose k-th score is tied over the cut are cut by id, the others by score alone.
+        part = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(scores, part, 1).min(axis=1, keepdims=True)
+        for row in np.flatnonzero((scores >= least).sum(axis=1) > k):
+            part[row] = np.lexsort((ids[row], -scores[row]))[:k]
+        ids, scores = np.take_along_axis(ids, part, 1), np.take_along_axis(scores, part, 1)
+    order = np.lexsort((ids, -scores), axis=1)
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+
 def _batch_scorer(ids: np.ndarray, queries: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_ids = np.zeros((len(ids), 0), np.int64)
-        best = np.zeros((len(ids), 0))
+        starts = range(0, len(ids), SCORED_AT_ONCE)
+        held = [(np.zeros((len(queries[a : a + SCORED_AT_ONCE]), 0), np.int64), np.zeros((len(queries[a : a + SCORED_AT_ONCE]), 0))) for a in starts]
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             if not len(keys):
                 continue
-            scores = np.hstack([best, queries @ flat.reshape(len(keys), -1).T])
-            every = np.hstack([best_ids, np.broadcast_to(keys, (len(ids), len(keys)))])
-            order = np.lexsort((every, -scores), axis=1)[:, :k]
-            best_ids, best = np.take_along_axis(every, order, 1), np.take_along_axis(scores, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best_ids.ravel()), pa.array(best.ravel())], ["query_id", "id", "score"])
+            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1).T
+            for n, a in enumerate(starts):
+                scores = queries[a : a + SCORED_AT_ONCE] @ vectors
+                own = best_of(np.broadcast_to(keys, scores.shape), scores, k)
+                held[n] = best_of(np.hstack([held[n][0], own[0]]), np.hstack([held[n][1], own[1]]), k)
+        for a, (found, scores) in zip(starts, held, strict=True):
+            asked = np.repeat(ids[a : a + SCORED_AT_ONCE], found.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(found.ravel()), pa.array(scores.ravel())], ["query_id", "id", "score"])
 
     return run
 
@@ -69,12 +86,13 @@ def _batch_scorer(ids: np.ndarray, queries: np.ndarray, k: int):
 def vector_top_k_batch(store: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, rank, score): the k best rows of ``store`` for each row (query_id, vector) of ``queries``.
 
-    Queries go in blocks of QUERIES_AT_ONCE; each task keeps k rows a query, so what is merged is small.
+    Queries go in blocks of a fixed size; each task keeps k rows a query, so what is merged is small.
     """
     ship(store.sparkSession)
     width = store.select(F.max(F.size(vector))).first()[0]
     rows = store.where(V.valid(F.col(vector)) & (F.size(vector) == F.lit(width))).select(F.col(id_col).cast("long"), V.doubles(F.col(vector)))
     out, block = None, []
+    most = max(1, min(QUERIES_AT_ONCE, QUERY_BYTES // (8 * (width or 1))))
 
     def scored(block: list) -> DataFrame:
         ids, matrix = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
@@ -82,7 +100,7 @@ def vector_top_k_batch(store: DataFrame, queries: DataFrame, k: int = 5, id_col:
 
     for row in queries.select(F.col("query_id").cast("long"), V.doubles(F.col(vector))).toLocalIterator():
         block.append(row)
-        if len(block) == QUERIES_AT_ONCE:
+        if len(block) == most:
             out, block = scored(block) if out is None else out.unionByName(scored(block)), []
     if block:
         out = scored(block) if out is None else out.unionByName(scored(block))
@@ -116,19 +134,17 @@ def lexical_top_k(docs: DataFrame, prompt: str, k: int, id_col: str, tokens: Col
     Ties go to the larger sha256 of query, null byte and id. Query terms that no row has count in the query's length.
     A query without terms gives no rows. Norms need every term's frequency, so terms are counted once and joined once.
     """
-    from collections import Counter
-
     spark = docs.sparkSession
     words = [w for w in spark.range(1).select(T.terms(F.lit(prompt)).alias("t")).first()[0]]
     if not words:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
-    tf = term_frequencies(docs, id_col, tokens)
+    counts = Counter(words)
+    # Only the query's terms are counted for its weights: a few rows a document, without the term table.
+    shared = docs.select(F.explode(F.array_intersect(tokens, F.array(*(F.lit(t) for t in counts)))).alias("term"))
+    known = {r.term: r["n"] for r in shared.groupBy("term").agg(F.count("*").alias("n")).collect()}
     n = docs.count()
+    tf = term_frequencies(docs, id_col, tokens)
     df = document_frequencies(tf)
-    counts = Counter(words)
-    known = {r.term: r.df for r in df.where(F.col("term").isin(*counts)).collect()}
-    import math
-
     weights = {t: c * (math.log((1.0 + n) / (1.0 + known.get(t, 0))) + 1.0) for t, c in counts.items()}
     length = max(math.sqrt(sum(w * w for w in weights.values())), 1e-8)
     of_query = F.coalesce(F.try_element_at(F.create_map(*(x for t, w in weights.items() for x in (F.lit(t), F.lit(w)))), F.col("term")), F.lit(0.0))

@@ -496,7 +496,7 @@ def feature_validate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", good.alias("valid"))
 
 
-@query()
+@query("select count(*) = count(distinct vec_id) and min(len(embedding)) = max(len(embedding)) and bool_and(abs(list_dot_product(embedding::double[], embedding::double[]) - 1) <= 0.005) as current from embeddings")
 def store_is_current(spark: SparkSession, sf: str) -> DataFrame:
     store = table(spark, sf, "embeddings")
     mark = build.fingerprint(version=1, model="stub", width=64)

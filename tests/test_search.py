@@ -84,3 +84,14 @@ def test_import_normalizes_and_rejects(spark):
     for bad in ([(1, [0.0, 0.0])], [(1, [1.0]), (2, [1.0, 2.0])], [(1, [1.0]), (1, [1.0])], [(1, [float("nan")])], [(1, None)]):
         with pytest.raises(ValueError):
             build.import_vectors(spark.createDataFrame(bad, "id long, v array<double>"), "id", "v")
+
+
+def test_best_of_cuts_ties_by_id():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for k in (1, 3, 7):
+        ids, scores = rng.permuted(np.tile(np.arange(9), (20, 1)), axis=1), rng.integers(0, 3, (20, 9)).astype(float)
+        got, _ = search.best_of(ids, scores, k)
+        for row in range(20):
+            assert got[row].tolist() == [i for _, i in sorted(zip(-scores[row], ids[row], strict=True))][:k]
