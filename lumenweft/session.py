@@ -39,6 +39,12 @@ def local(cores: int = 8, partitions: int = 8) -> SparkSession:
     return builder.getOrCreate()
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """What was written at ``path`` goes when the driver's JVM ends, on any file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder all executors share (``spark.checkpoint.dir``), or a temporary one if that is unset."""
     import uuid
