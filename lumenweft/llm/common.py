@@ -9,9 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenweft.session import delete_at_exit
+
 #: Space, tab, line feed, vertical tab, form feed and carriage return: everything else is part of a word.
 BLANKS = b" \t\n\x0b\x0c\r"
 #: A word for Java and DuckDB regular expressions.
@@ -43,10 +45,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table goes when the driver ends.
+    """
     path = f"{scratch_dir(df.sparkSession)}/lumenweft/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -62,6 +68,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Slots of the filter that tells rows apart by id before a join: a fixed size, whatever the input.
+FILTER_SLOTS = 1 << 20
+
+
+def slot(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_SLOTS)).cast("int")
+
+
+def slots_of(ids: DataFrame, column: str) -> DataFrame:
+    """The slots of some ids, to be broadcast: FILTER_SLOTS numbers at most."""
+    return F.broadcast(ids.select(slot(F.col(column)).alias("slot")).distinct())
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` that are surely none of ``ids`` (doc_id), and those that may be. Neither is shuffled.
+
+    With very many ids all slots are taken and every row may be one; nothing but the saving is lost then.
+    """
+    slots = slots_of(ids, "doc_id")
+    same = slot(docs["doc_id"]) == slots["slot"]
+    return docs.join(slots, same, "left_anti"), docs.join(slots, same, "left_semi")
+
+
 # --- Arrow batches as bytes -----------------------------------------------------------------------------------------
 
 
@@ -154,6 +183,36 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(prefix_hashes(LOWER[data]), starts, ends), first
 
 
+class Lookup:
+    """Places of values in a sorted array of distinct hashes, by a table over their upper bits instead of a search."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        bits = min(22, max(8, len(hashes).bit_length() + 6))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        slots, counts = np.unique(hashes >> self.shift, return_counts=True)
+        self.most = int(counts.max()) if len(counts) else 0
+        # A slot without hashes points at the end, where nothing matches.
+        empty = np.ones(1 << bits, bool)
+        empty[slots.astype(np.int64)] = False
+        self.first[empty] = len(hashes)
+        # Past the end stands the complement of the last hash: never equal to a value that was looked up there.
+        self.padded = np.append(hashes, np.full(self.most + 1, ~hashes[-1] if len(hashes) else 0, np.uint64))
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        """The place of each value, or -1."""
+        out = np.full(len(values), -1, np.int64)
+        if not len(self.hashes):
+            return out
+        some = np.flatnonzero((at := self.first[(values >> self.shift).astype(np.int64)]) < len(self.hashes))
+        at, sought = at[some], values[some]
+        for k in range(self.most):
+            hit = self.padded[at + k] == sought
+            out[some[hit]] = at[hit] + k
+        return out
+
+
 def crc32_mod(column, n: int):
     """crc32 of a value's text, modulo n, as a Spark expression."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(n)
