@@ -62,6 +62,14 @@ def last_per_hash(prior: DataFrame, order: str) -> DataFrame:
     return prior.withColumn("_rn", F.row_number().over(Window.partitionBy("hash").orderBy(F.desc(order)))).where("_rn = 1").drop("_rn")
 
 
+def reusable(prior: DataFrame, metadata: dict | None, version: int, model: str, width: int) -> DataFrame:
+    """Rows of an earlier store (hash, ordinal, payload) that may be taken over: none if version, model or width differ,
+    else those with a valid vector, at unit length."""
+    same = metadata is not None and (metadata.get("version"), metadata.get("model"), metadata.get("width")) == (version, model, width)
+    good = V.valid(F.col("payload")) & (F.size("payload") == width) & F.col("hash").isNotNull()
+    return prior.where(good if same else F.lit(False)).withColumn("payload", V.normalized(F.col("payload")))
+
+
 def incremental(source: DataFrame, prior: DataFrame, checkpoint: DataFrame) -> DataFrame:
     """``source`` (ordinal, hash, ...) with ``status``: reused from ``prior``, cached in ``checkpoint``, or pending.
 

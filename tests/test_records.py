@@ -77,6 +77,14 @@ def test_incremental_keeps_the_last_of_a_hash(spark):
     assert rows == {1: ("reused", "b"), 2: ("reused", "b"), 3: ("cached", "y"), 4: ("pending", None)}
 
 
+def test_only_matching_stores_are_reused(spark):
+    prior = spark.createDataFrame([("a", 1, [3.0, 4.0]), ("b", 2, [0.0, 0.0]), ("c", 3, [1.0]), (None, 4, [1.0, 0.0])], "hash string, ordinal long, payload array<float>")
+    meta = {"version": 1, "model": "m", "width": 2}
+    (row,) = build.reusable(prior, meta, 1, "m", 2).collect()
+    assert row.hash == "a" and [round(x, 6) for x in row.payload] == [0.6, 0.8]
+    assert build.reusable(prior, meta, 1, "other", 2).count() == build.reusable(prior, None, 1, "m", 2).count() == 0
+
+
 def test_rebuild_is_idempotent(spark, tmp_path):
     source = spark.createDataFrame([(1, "T", "one"), (2, "U", "two"), (3, "T", "one")], "ordinal long, title string, summary string")
     empty = spark.createDataFrame([], "hash string, ordinal long, payload array<float>")
