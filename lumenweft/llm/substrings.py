@@ -28,7 +28,7 @@ from lumenweft.llm.common import materialize, mix64, prefix_hashes, span_hashes,
 from lumenweft.session import ship
 
 #: Bytes of text in a block and of hashing at a time; text bytes a bucket; bytes of the string that names a bucket.
-BLOCK_BYTES, PART_BYTES, BUCKET_BYTES, ANCHOR = 2 << 20, 1 << 19, 4 << 20, 16
+BLOCK_BYTES, PART_BYTES, BUCKET_BYTES, ANCHOR = 5 << 19, 1 << 19, 4 << 20, 16
 LEAST_BUCKETS = 32
 LAST = np.int64((1 << 63) - 1)
 
@@ -57,7 +57,7 @@ def period_for(length: int) -> int:
 # --- packing --------------------------------------------------------------------------------------------------------
 
 
-def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 5) -> bytes:
     parts = [struct.pack("<q", len(arrays))]
     for a in arrays:
         raw = np.ascontiguousarray(a).tobytes()
@@ -185,7 +185,9 @@ def _grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[in
     """Rows sorted by their first column, gathered by it."""
     key, held = None, []
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(width)), strict=True):
+        columns = [batch.column(k) for k in range(width)]
+        for i in range(batch.num_rows):
+            row = tuple(c[i].as_py() for c in columns)
             if row[0] != key and held:
                 yield key, held
                 held = []
