@@ -163,6 +163,17 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64((prefix[ends] - prefix[starts]) * down[starts])
 
 
+def hashed_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """Hashes of ascending spans of some bytes, taken in slices, so that a very long text needs no longer tables."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + most, side="right")))
+        out[i:j] = span_hashes(prefix_hashes(data[a : int(ends[j - 1])]), starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
 def word_spans(offsets: np.ndarray, data: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each document the index of its first word (n + 1 values)."""
     inside = is_word[data]
@@ -180,7 +191,7 @@ def word_spans(offsets: np.ndarray, data: np.ndarray, is_word: np.ndarray = IS_W
 def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each lower-cased (A-Z) word, and each document's first word."""
     starts, ends, first = word_spans(offsets, data)
-    return span_hashes(prefix_hashes(LOWER[data]), starts, ends), first
+    return hashed_spans(LOWER[data], starts, ends), first
 
 
 class Lookup:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenweft.llm.common import LOWER, chunks, prefix_hashes, span_hashes, word_spans
+from lumenweft.llm.common import LOWER, chunks, hashed_spans, word_spans
 from lumenweft.session import ship
 
 # Phrases that name a licence, and their labels.
@@ -69,7 +69,7 @@ IS_TOKEN[:0x30] = IS_TOKEN[0x3A:0x61] = IS_TOKEN[0x7B:0x80] = False
 def _hash_words(text: str) -> np.ndarray:
     data = LOWER[np.frombuffer(text.encode(), np.uint8)]
     starts, ends, _ = word_spans(np.array([0, len(data)]), data, IS_TOKEN)
-    return span_hashes(prefix_hashes(data), starts, ends)
+    return hashed_spans(data, starts, ends)
 
 
 class Automaton:
@@ -185,7 +185,7 @@ def _scanner(phrases: dict[str, str], templates: list[tuple[str, str, str]], sch
             for first, end, offsets, data in chunks(batch):
                 low = LOWER[data]
                 starts, ends, begin = word_spans(offsets, low, IS_TOKEN)
-                hashes = span_hashes(prefix_hashes(low), starts, ends)
+                hashes = hashed_spans(low, starts, ends)
                 at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
                 token = np.where(vocabulary[at] == hashes, at, -1)
                 doc = np.repeat(np.arange(end - first), np.diff(begin))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenweft.llm.common import chunks, materialize, mix64, stream64, word_hashes
+from lumenweft.llm.common import chunks, materialize, mix64, slot, slots_of, stream64, word_hashes
 from lumenweft.llm.components import components
 from lumenweft.session import ship
 
@@ -28,8 +28,6 @@ MATCHES = 36
 #: Load of a block of the exact comparison: its shingles, and so many more for each document; two blocks and the matrix
 #: of their documents are held at once.
 BLOCK_LOAD, DOCUMENT_LOAD = 240_000, 300
-#: Slots of the filter that keeps documents without candidates out of a join: a fixed size, whatever the input.
-FILTER_SLOTS = 1 << 20
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,8 +201,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     sig = classes.select("v", "sig")
     agreeing = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda same: same))
     families = components(stars, "families")
-    slot = lambda column: F.pmod(F.xxhash64(column), F.lit(FILTER_SLOTS)).cast("int")
-    slots = F.broadcast(families.select(slot(F.col("node")).alias("slot")).distinct())
+    slots = slots_of(families, "node")
     sig = sig.join(slots, slot(sig.v) == slots.slot, "left_semi")
     pairs = (
         stars.join(sig.select("v", F.col("sig").alias("a")), "v")
