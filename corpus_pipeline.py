@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenweft.llm import decontamination, minhash, mixing, quality, secrets
-from lumenweft.llm.common import unused
+from lumenweft.llm.common import materialize, split_by_ids, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,18 +16,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, 0.8) the smallest doc_id stays, of its repeated rows one."""
-    found = minhash.near_duplicates(docs)
-    rest = docs.join(found.where("not kept").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("id").alias("doc_id"))
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    gone, repeated = materialize(gone, "gone"), materialize(repeated, "repeated")
+    # Only rows that may go or repeat are moved.
+    clear, doubtful = split_by_ids(docs, gone.union(repeated))
+    rest = doubtful.join(gone.distinct(), "doc_id", "left_anti")
     digest, nth = unused(docs.columns, "digest"), unused(docs.columns, "nth")
     same = Window.partitionBy("doc_id", digest).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")))
     once = rest.withColumn(digest, F.xxhash64("text")).withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1)
-    return once.select(*docs.columns)
+    return clear.select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     found = decontamination.op10(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = materialize(found.select("doc_id").distinct(), "contaminated")
+    clear, doubtful = split_by_ids(docs, found)
+    return clear.select(*docs.columns).unionByName(doubtful.join(found, "doc_id", "left_anti").select(*docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
