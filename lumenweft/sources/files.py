@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from lumenweft import fixed
 from lumenweft.functions import text as T
@@ -172,5 +172,3 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     fs.delete(target, False)
     fs.rename(temporary, target)
 
-
-STRING = StringType()
