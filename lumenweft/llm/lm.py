@@ -1,10 +1,11 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Frequent n-grams of the training texts become states; an arc carries a smoothed log-probability, a failure arc the
-backoff weight. One left-to-right traversal carries the state over a text. Which n-grams are kept is decided by their
-share of all tokens, so the automaton has a size bound that does not depend on the corpus. All other words fall back to
-the add-one unigram, whose counts come from the whole corpus and stay distributed: such words leave the traversal as
-(row, word hash, count) rows and meet their counts in a join. Scores are sums over tokens, so both parts just add up.
+All n-grams of the training texts seen LEAST times or more are in the model; an arc carries a smoothed log-probability, a
+failure arc the backoff weight. The model grows with the corpus, so no task holds it: texts are cut into chunks, whose
+distinct n-grams are dealt by hash to buckets. A bucket adds up what all chunks send and answers each with the totals of
+what it sent. Round by round a chunk learns the counts of its words and pairs, of its triples (of kept pairs only) and what
+its contexts leave to words they were not seen with; then it scores its texts. Words below LEAST fall back to the add-one
+unigram of the whole corpus.
 """
 
 from __future__ import annotations
@@ -18,26 +19,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenweft.llm.common import Lookup, chunks, crc32_mod, materialize, word_hashes
+from lumenweft.llm.common import chunks, crc32_mod, mix64, word_hashes
+from lumenweft.llm.substrings import pack, unpack
 from lumenweft.session import ship
 
-#: Least share of all training tokens: of words whose counts every task holds (so at most 1 / share of them), of words
-#: in n-grams, and of kept n-grams by length.
-COUNTED, IN_NGRAMS = 1e-5, 3e-4
-KEPT = {2: 3e-5, 3: 1e-5}
+#: Times that an n-gram is seen at least to be kept, whatever the size of the corpus.
+LEAST = 2
 DISCOUNT = 0.75
 #: Stands for the end of a text; no word hashes to it but by chance (1 in 2**64).
 END = np.uint64(0x656E64)
-
-
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word hash, count) of training texts, counted by chunk."""
-    for batch in batches:
-        for first, end, offsets, data in chunks(batch, most=1 << 21):
-            hashes, _ = word_hashes(offsets, data)
-            found, counts = np.unique(hashes, return_counts=True)
-            found, counts = np.append(found, END), np.append(counts, end - first)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["word", "n"])
+#: Text of a chunk and of what a bucket holds, in bytes about.
+CHUNK, BUCKET_BYTES = 2 << 20, 4 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 32, 4096
 
 
 def _tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,42 +39,9 @@ def _tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.insert(hashes, first[1:], END), first + np.arange(len(first))
 
 
-def _find(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Place of each value in a sorted array, or -1."""
-    if not len(sorted_):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
-    return np.where(sorted_[at] == values, at, -1)
-
-
-def ngram_codes(ids: np.ndarray, begin: np.ndarray, kept: list[np.ndarray], width: int) -> np.ndarray:
-    """Codes of the n-grams one longer than the longest kept ones: place of the shorter kept n-gram * width + word.
-
-    ``kept`` holds the sorted codes of the kept bigrams, trigrams and so on. n-grams do not cross texts.
-    """
-    inside = np.ones(len(ids), bool)
-    inside[begin[:-1]] = False
-    state = ids
-    for codes in kept:
-        state = np.where(inside & (np.roll(state, 1) >= 0) & (ids >= 0), _find(codes, np.roll(state, 1) * width + ids), -1)
-    good = inside & (np.roll(state, 1) >= 0) & (ids >= 0)
-    return (np.roll(state, 1) * width + ids)[good]
-
-
-def _ngram_counter(words: np.ndarray, kept: list[np.ndarray]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = Lookup(words)
-        for batch in batches:
-            for _, _, offsets, data in chunks(batch, most=1 << 21):
-                tokens, begin = _tokens(offsets, data)
-                found, counts = np.unique(ngram_codes(place(tokens), begin, kept, len(words)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(counts)], ["code", "n"])
-
-    return run
-
-
 class Backoff:
-    """The automaton: arcs (state * width + word) to (log10 probability, next state); failure arcs with weights.
+    """The automaton in one place, as a statement of the scores: arcs (state * width + word) to (log10 probability, next
+    state); failure arcs with weights. Chunks come to the same scores without it.
 
     State 0 is the empty context; a context is a state if it has a kept successor. Probabilities of a kept n-gram are
     discounted; what is left goes, through the backoff weight, to the words that have no arc, so they add up to one.
@@ -158,86 +118,267 @@ class Backoff:
         return total
 
 
-ROW = "rid long, doc_id {id}, held_out boolean, word long, n long, n_tokens long, n_known long, base double, score double"
-
-
-def _scorer(counted: np.ndarray, counts: np.ndarray, words: np.ndarray, model: Backoff, kind: pa.DataType):
-    """A row for each text, and one for each of its words whose count the task does not hold."""
-    log_size = math.log10(model.total + model.distinct + 1)
-    logs = np.append(np.log10(counts + 1.0) - log_size, 0.0)
-    in_model = _find(words, counted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = Lookup(counted)
-        rid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        for batch in batches:
-            for first, end, offsets, data in chunks(batch):
-                n = end - first
-                tokens, begin = _tokens(offsets, data)
-                doc = np.repeat(np.arange(n), np.diff(begin))
-                at = place(tokens)
-                held = at >= 0
-                value = np.where(held, logs[at], -log_size)
-                base = np.bincount(doc, value, n)
-                word = np.where(held, in_model[at], -1) if len(counted) else at
-                known = np.bincount(doc, held, n).astype(np.int64)
-                outside = np.bincount(doc, np.where(word >= 0, 0.0, value), n)
-                listed = word.tolist()
-                score = [model.score(listed[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-                rare, rare_doc = tokens[~held], doc[~held]
-                order = np.lexsort((rare, rare_doc))
-                rare, rare_doc = rare[order], rare_doc[order]
-                new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (rare_doc[1:] != rare_doc[:-1])
-                starts = np.flatnonzero(new)
-                m = len(starts)
-                none = lambda k, t: pa.nulls(k, t)
-                ids = batch.column(0).slice(first, n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([rid + np.arange(n), rid + rare_doc[starts]])),
-                        pa.concat_arrays([ids, none(m, kind)]),
-                        pa.concat_arrays([batch.column(2).slice(first, n), none(m, pa.bool_())]),
-                        # Rows of texts go to any partition of the join, by a number that is no word's hash but by chance.
-                        pa.array(np.concatenate([(np.arange(n, dtype=np.int64) + rid) * 0x2545F4914F6CDD1D, rare[starts].view(np.int64)])),
-                        pa.array(np.concatenate([np.zeros(n, np.int64), np.diff(np.append(starts, len(rare)))])),
-                        pa.concat_arrays([pa.array(np.diff(begin)), none(m, pa.int64())]),
-                        pa.concat_arrays([pa.array(known), none(m, pa.int64())]),
-                        pa.concat_arrays([pa.array(base), none(m, pa.float64())]),
-                        pa.concat_arrays([pa.array(np.asarray(score) + outside), none(m, pa.float64())]),
-                    ],
-                    [c.split()[0] for c in ROW.split(", ")],
-                )
-                rid += n
+
+class _Chunk:
+    """Tokens of some texts as places in their distinct words, and the n-grams among them.
+
+    ``at[k]`` has, for each token, the place among the chunk's distinct n-grams of the one of k words that ends there, or
+    -1. An n-gram is looked at if the two one shorter in it are kept. n-grams do not cross texts.
+    """
+
+    def __init__(self, payload: bytes):
+        words, ids, self.begin, train = unpack(payload)
+        self.words, self.width = _values(words), len(words) // 8
+        self.ids = _numbers(ids)
+        self.doc = np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
+        self.trained = train.astype(bool)[self.doc]
+        self.start = np.zeros(len(self.ids), bool)
+        self.start[self.begin[:-1]] = True
+        end = np.searchsorted(self.words, END)
+        self.at = {1: np.where(self.ids == end, -1, self.ids)}
+        self.hashes = {1: self.words}
+        self.n = {1: np.bincount(self.ids[self.trained], minlength=self.width)}
+        self.prefix, self.suffix = {}, {}
+
+    def before(self, k: int) -> np.ndarray:
+        """The n-gram of k words that ends right before each token, or -1."""
+        out = np.roll(self.at[k], 1)
+        out[self.start] = -1
+        return out
+
+    def grow(self, k: int, kept: np.ndarray) -> None:
+        """Finds the n-grams of k words, given which of the shorter ones are kept."""
+        left, right = self.before(k - 1), self.at[k - 1]
+        here = np.flatnonzero((left >= 0) & (right >= 0))
+        here = here[kept[left[here]] & kept[right[here]]]
+        codes, first, place = np.unique(left[here] * self.width + self.ids[here], return_index=True, return_inverse=True)
+        self.at[k] = np.full(len(self.ids), -1)
+        self.at[k][here] = place
+        self.prefix[k], self.suffix[k] = codes // max(1, self.width), right[here[first]]
+        self.hashes[k] = mix64(mix64(self.hashes[k - 1][self.prefix[k]]) + self.words[codes % max(1, self.width)])
+        self.n[k] = np.bincount(place[self.trained[here]], minlength=len(codes))
+
+
+def _talk(chunk: _Chunk, order: int, total: int, distinct: int):
+    """What a chunk asks, round by round, as (hashes, numbers to add up) by kind, being sent (totals, is it the first).
+
+    Returns the logarithms of each token's unigram and backoff probability, and whether it is known. The last two
+    arguments matter from the second round on.
+    """
+    count, first, p, back = {}, {}, {}, {}
+    if order > 1:
+        chunk.grow(2, np.ones(chunk.width, bool))
+    levels = range(1, min(order, 2) + 1)
+    for k, (sums, firsts) in zip(levels, (yield [(chunk.hashes[k], [chunk.n[k]]) for k in levels]), strict=True):
+        count[k], first[k] = sums[0], firsts
+    kept = {1: np.ones(chunk.width, bool)}
+    p[1] = (count[1] + 1.0) / (total + distinct + 1)
+    for k in range(2, order + 1):
+        # Counts of k words are known; those of k + 1 words and the sums over the followers of k - 1 words are asked.
+        kept[k] = count[k] >= LEAST
+        p[k] = np.where(kept[k], (count[k] - DISCOUNT) / np.maximum(1, count[k - 1][chunk.prefix[k]]), 0.0)
+        own = kept[k] & first[k]
+        context = chunk.prefix[k][own]
+        given = [np.bincount(context, values[own], len(kept[k - 1])) for values in (p[k], p[k - 1][chunk.suffix[k]])]
+        asked = np.flatnonzero(count[k - 1] >= LEAST)
+        asks = [(chunk.hashes[k - 1][asked], [g[asked] for g in given])]
+        if k < order:
+            chunk.grow(k + 1, kept[k])
+            asks.append((chunk.hashes[k + 1], [chunk.n[k + 1]]))
+        told = yield asks
+        back[k - 1] = np.zeros(len(kept[k - 1]))
+        back[k - 1][asked] = np.log10(1 - told[0][0][0]) - np.log10(1 - told[0][0][1])
+        if k < order:
+            count[k + 1], first[k + 1] = told[1][0][0], told[1][1]
+    # The longest kept n-gram that ends at a token decides; each longer context before it is backed off from.
+    base = np.log10(p[1])[chunk.ids]
+    score = base.copy()
+    for k in range(2, order + 1):
+        context, gram = chunk.before(k - 1), chunk.at[k]
+        some = np.flatnonzero(context >= 0)
+        score[some] += back[k - 1][context[some]]
+        some = np.flatnonzero(gram >= 0)
+        some = some[kept[k][gram[some]]]
+        score[some] = np.log10(p[k][gram[some]])
+    return base, score, count[1][chunk.ids] > 0
+
+
+def _deal(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by bucket (the low bits) and rest, the sorted rests, and where each bucket begins (buckets + 1)."""
+    bits = np.uint64(buckets.bit_length() - 1)
+    turned = (hashes >> bits) | (hashes << (np.uint64(64) - bits))
+    order = np.argsort(turned)
+    turned = turned[order]
+    begin = np.searchsorted(turned, np.arange(buckets, dtype=np.uint64) << (np.uint64(64) - bits))
+    return order, hashes[order] >> bits, np.append(begin, len(hashes))
+
+
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Sorted numbers as differences, byte plane by byte plane."""
+    return np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def _values(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _flat(numbers: np.ndarray) -> np.ndarray:
+    """32-bit numbers, byte plane by byte plane."""
+    return np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as chunks: number, training tokens, tokens, and (doc_id, held_out) as an Arrow stream."""
+    chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+    for batch in batches:
+        for first, end, offsets, data in chunks(batch, most=CHUNK):
+            tokens, begin = _tokens(offsets, data)
+            words, ids = np.unique(tokens, return_inverse=True)
+            part = batch.slice(first, end - first).select(["doc_id", "held_out"])
+            train = np.array([h is False for h in part.column(1).to_pylist()], np.uint8)
+            payload = pack(_planes(words), _flat(ids), begin, train, level=1)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema) as stream:
+                stream.write_batch(part)
+            n_train = int(np.diff(begin)[train == 1].sum())
+            columns = [pa.array([chunk]), pa.array([n_train]), pa.array([payload], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "n_train", "payload", "rows"])
+            chunk += 1
+
+
+def _spread(key: int) -> int:
+    """Partition of a chunk, whose number has its low bits mostly clear."""
+    return (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32
+
+
+def _same(key: int) -> int:
+    return key
+
+
+def _by_key(rows: Iterator[tuple]) -> Iterator[tuple[int, list[tuple]]]:
+    """Pairs of a partition gathered by key, in the order of their values' first two numbers."""
+    held: dict[int, list[tuple]] = {}
+    for key, row in rows:
+        held.setdefault(key, []).append(row)
+    for key in sorted(held):
+        yield key, sorted(held.pop(key), key=lambda r: r[:2])
+
+
+def _replay(rows: list[tuple], rounds: int, order: int, total: int, distinct: int, buckets: int):
+    """A chunk's talk from its rows (round, bucket, payload; round -1: itself): what it asks next, or its result."""
+    chunk = _Chunk(rows[0][2])
+    talk = _talk(chunk, order, total, distinct)
+    asks = next(talk)
+    for k in range(rounds):
+        told = [unpack(r[2]) for r in rows if r[0] == k]
+        answers, at = [], 0
+        for hashes, values in asks:
+            by, back = _deal(hashes, buckets)[0], []
+            for v in range(len(values) + 1):
+                joined = np.concatenate([t[at + v] for t in told]) if told else np.zeros(0, np.int64)
+                out = np.empty(len(hashes), joined.dtype)
+                out[by] = joined
+                back.append(out)
+            answers.append((back[:-1], back[-1].astype(bool)))
+            at += len(values) + 1
+        try:
+            asks = talk.send(answers)
+        except StopIteration as done:
+            return chunk, done.value
+    return chunk, asks
+
+
+def _asker(rounds: int, order: int, total: int, distinct: int, buckets: int):
+    """(bucket, (chunk, 0, payload)) of the next round."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for key, own in _by_key(rows):
+            _, asks = _replay(own, rounds, order, total, distinct, buckets)
+            dealt = [(*_deal(hashes, buckets), values) for hashes, values in asks]
+            for b in range(buckets):
+                if any(begin[b + 1] > begin[b] for _, _, begin, _ in dealt):
+                    parts = []
+                    for by, rest, begin, values in dealt:
+                        here = slice(begin[b], begin[b + 1])
+                        parts += [_planes(rest[here]), *(v[by[here]] for v in values)]
+                    yield b, (key, 0, pack(*parts, level=1))
+
+    return run
+
+
+def _answerer(round_: int, widths: list[int]):
+    """Adds up a bucket: (chunk, (round, bucket, payload, words)) for each chunk that asked.
+
+    ``widths`` has how many numbers stand with a hash, by kind of hash. The words with a count stand in one of the rows.
+    """
+
+    def run(pairs: Iterator[tuple]) -> Iterator[tuple]:
+        for bucket, rows in _by_key(pairs):
+            opened = [unpack(r[2]) for r in rows]
+            replies: list[list[np.ndarray]] = [[] for _ in rows]
+            words, at = 0, 0
+            for kind, width in enumerate(widths):
+                hashes = [_values(o[at]) for o in opened]
+                cuts = np.cumsum([len(h) for h in hashes])[:-1]
+                _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+                for v in range(width):
+                    values = np.concatenate([o[at + 1 + v] for o in opened])
+                    # Counts below 2**53 are exact as floats.
+                    sums = np.bincount(place, values).astype(values.dtype)
+                    for reply, part in zip(replies, np.split(sums[place], cuts), strict=True):
+                        reply.append(part)
+                    if v == 0:
+                        seen = np.flatnonzero(values > 0)
+                        firsts = np.zeros(len(place), np.uint8)
+                        firsts[seen[np.unique(place[seen], return_index=True)[1]]] = 1
+                for reply, part in zip(replies, np.split(firsts, cuts), strict=True):
+                    reply.append(part)
+                if kind == 0:
+                    words = int(firsts.sum())
+                at += width + 1
+            for k, (row, reply) in enumerate(zip(rows, replies, strict=True)):
+                yield row[0], (round_, bucket, pack(*reply, level=1), words if k == 0 else 0)
 
     return run
 
 
-def train(texts: DataFrame, order: int = 3) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, Backoff]:
-    """Counts of all words (a table), the frequent words' hashes and counts, those in n-grams, and the automaton."""
-    counts = materialize(texts.mapInArrow(_counter, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-
-    def least(share: float, least: int = 2) -> int:
-        return max(least, math.ceil(share * total))
-
-    # A share of s is reached by 1 / s words at most.
-    top = counts.where(F.col("n") >= least(COUNTED, 1)).collect()
-    counted = np.array([r.word for r in top], np.int64).view(np.uint64)
-    numbers = np.array([r.n for r in top], np.int64)
-    by = np.argsort(counted)
-    counted, numbers = counted[by], numbers[by]
-    chosen = (numbers >= least(IN_NGRAMS)) & (counted != END)
-    words, in_ngrams = counted[chosen], numbers[chosen]
-    levels: list[dict[int, int]] = []
-    kept: list[np.ndarray] = []
-    for length in range(2, order + 1):
-        rows = texts.mapInArrow(_ngram_counter(words, kept), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least(KEPT[length])).collect() if len(words) else []
-        levels.append({r.code: r.n for r in rows})
-        kept.append(np.array(sorted(levels[-1]), np.int64))
-        if not rows:
-            break
-    return counts, counted, numbers, words, Backoff(in_ngrams, total, distinct, levels)
+SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scorer(rounds: int, order: int, total: int, distinct: int, buckets: int):
+    """The scores of each chunk's texts, as an Arrow stream."""
+
+    def run(pairs: Iterator[tuple]) -> Iterator[tuple[bytearray]]:
+        for _, rows in _by_key(pairs):
+            chunk, (base, score, known) = _replay(rows, rounds, order, total, distinct, buckets)
+            part = pa.ipc.open_stream(rows[0][3]).read_next_batch()
+            n = part.num_rows
+            columns = [
+                part.column(0),
+                part.column(1),
+                pa.array(np.diff(chunk.begin)),
+                pa.array(np.bincount(chunk.doc, known, n).astype(np.int64)),
+                pa.array(np.full(n, total, np.int64)),
+                pa.array(np.bincount(chunk.doc, base, n)),
+                pa.array(np.bincount(chunk.doc, score, n)),
+            ]
+            out = pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCORED.split(", ")])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, out.schema) as stream:
+                stream.write_batch(out)
+            yield (bytearray(sink.getvalue().to_pybytes()),)
+
+    return run
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield from pa.ipc.open_stream(batch.column(0)[k].as_buffer())
 
 
 def lm_scores(docs: DataFrame, held_out: object, order: int = 3) -> DataFrame:
@@ -246,32 +387,27 @@ def lm_scores(docs: DataFrame, held_out: object, order: int = 3) -> DataFrame:
     ``held_out`` is a boolean column; rows where it is true train nothing. Null texts count as empty and consist of the
     end alone. Repeated rows count and are scored each. Without training texts every word is unknown. Base and score
     are sums over tokens of log10 probabilities: of the add-one unigram, and of the backoff automaton.
-
-    ``docs`` should be a stored table: rows are numbered as they are read, and a task that runs again must read them in
-    the same order.
     """
-    ship(docs.sparkSession)
+    spark = ship(docs.sparkSession)
     read = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
-    counts, counted, numbers, words, model = train(read.where("not held_out").select("doc_id", "text"), order)
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = read.schema["doc_id"].dataType
-    rows = read.mapInArrow(_scorer(counted, numbers, words, model, to_arrow_type(kind)), ROW.format(id=kind.simpleString()))
-    joined = rows.join(counts.select("word", F.col("n").alias("c")).hint("shuffle_hash"), "word", "left")
-    sums = joined.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.coalesce(F.max("n_known"), F.lit(0)).alias("n_known"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
-        F.max("base").alias("base"),
-        F.max("score").alias("score"),
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("more"),
-    )
-    return sums.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("more_known")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("more")).alias("base_score"), (F.col("score") + F.col("more")).alias("score"),
-    )
+    coded = read.mapInArrow(_coder, "chunk long, n_train long, payload binary, rows binary").rdd
+    # Chunks and answers meet by chunk. They are pairs in RDDs, so that a chunk is moved once, not again every round.
+    parts = max(1, 4 * coded.getNumPartitions())
+    home = coded.map(lambda r: (r[0], (-1, r[1], bytes(r[2]), bytes(r[3])))).partitionBy(parts, _spread)
+    total, size = home.map(lambda r: (r[1][1], len(r[1][2]))).fold((0, 0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    # A chunk takes about half of its text.
+    buckets = min(MOST_BUCKETS, 1 << max(LEAST_BUCKETS - 1, 2 * size // BUCKET_BYTES).bit_length())
+    known, distinct = home, 0
+    for k in range(max(1, order)):
+        # The kinds of a round: words and pairs; later the sums over followers and the next longer n-grams.
+        widths = [1] * min(order, 2) if k == 0 else [2, 1] if k + 2 <= order else [2]
+        asked = known.mapPartitions(_asker(k, order, total, distinct, buckets)).partitionBy(buckets, _same)
+        told = asked.mapPartitions(_answerer(k, widths)).partitionBy(parts, _spread)
+        if k == 0:
+            distinct = told.map(lambda r: r[1][3]).sum()
+        known = known.union(told)
+    scored = known.mapPartitions(_scorer(max(1, order), order, total, distinct, buckets))
+    return spark.createDataFrame(scored, "payload binary").mapInArrow(_opened, SCORED.format(id=read.schema["doc_id"].dataType.simpleString()))
 
 
 def op5(docs: DataFrame) -> DataFrame:

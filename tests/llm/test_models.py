@@ -249,3 +249,24 @@ def test_pipeline(spark, docs, odd, sf):
     assert len(set(last.columns)) == len(last.columns) and last.count() > 0
     once = corpus_pipeline.near_dedup(spark, odd, sf)
     assert once.where("doc_id in (1, 2)").count() == 1 and once.where("doc_id is null").count() == 2
+
+
+def test_language_model_keeps_every_ngram_seen_twice(spark, docs):
+    """Scores are those of the automaton over all n-grams seen twice or more, and what it learns grows with the corpus."""
+    rows = [(r.doc_id, lower_words(r.text)) for r in docs.select("doc_id", "text").orderBy("doc_id").limit(60).collect()]
+    learned = [w for i, w in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    number = {w: k for k, w in enumerate(sorted({x for t in learned for x in t}))}
+    texts, width = [[number[x] for x in t] for t in learned], len(number)
+    counts, pairs, triples = (Counter(g for t in texts for g in zip(*(t[k:] for k in range(n)), strict=False)) for n in (1, 2, 3))
+    kept = sorted(p for p, n in pairs.items() if n >= 2)
+    place = {p: k for k, p in enumerate(kept)}
+    levels = [{a * width + b: pairs[a, b] for a, b in kept}, {place[a, b] * width + c: n for (a, b, c), n in triples.items() if n >= 2}]
+    assert len(levels[0]) > 1000 and len(levels[1]) > 100
+    total = sum(counts.values()) + len(texts)
+    model = lm.Backoff(np.array([counts[w,] for w in range(width)]), total, width + 1, levels)
+    size = math.log10(total + width + 2)
+    got = {r.doc_id: r.score for r in lm.op5(spark.createDataFrame([(i, b" ".join(w).decode()) for i, w in rows], "doc_id long, text string").repartition(3)).collect()}
+    for i, w in rows:
+        # The end of a text and unknown words have no arc.
+        rest = math.log10(len(texts) + 1) - size - sum(x not in number for x in w) * size
+        assert got[i] == pytest.approx(model.score([number.get(x, -1) for x in w] + [-1]) + rest)
