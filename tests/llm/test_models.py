@@ -270,3 +270,18 @@ def test_language_model_keeps_every_ngram_seen_twice(spark, docs):
         # The end of a text and unknown words have no arc.
         rest = math.log10(len(texts) + 1) - size - sum(x not in number for x in w) * size
         assert got[i] == pytest.approx(model.score([number.get(x, -1) for x in w] + [-1]) + rest)
+
+
+def test_decontamination_beside_repeated_words(spark, docs, sf):
+    """Items that are there word by word are found, however often one of their words is repeated around them."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    common = Counter(x for r in docs.collect() for x in set(lower_words(r.text)))
+    items = [(b.item_id, b.text, min((w for w in b.text.split() if w.isalpha()), key=lambda w: common[w.lower().encode()])) for b in bench.orderBy("item_id").collect()]
+    rows = []
+    for j, (item, text, _) in enumerate(items):
+        other = next(w for _, _, w in items[j + 1 :] + items if w.lower() not in text.lower())
+        rows += [(10**6 + 10 * j + k, f"{(other + ' ') * n}{text} {(other + ' ') * n}", item) for k, n in enumerate((27, 66))]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
+    matches = decontamination.benchmark_matches(df, bench).where("contaminated and doc_id >= 1000000").collect()
+    assert not {(i, item) for i, _, item in rows} - {(r.doc_id, r.item_id) for r in matches}
+    assert any(r.cosine < decontamination.COSINE for r in matches)
