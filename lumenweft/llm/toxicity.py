@@ -22,8 +22,8 @@ from lumenweft.session import ship
 
 #: Bound on the labelled rows that the lexicon and the model are fitted on (in order of a hash of doc_id).
 TRAIN_ROWS = 20_000
-#: Bounds on the lexicon and on known clean words next to it.
-TERMS, EXCEPTIONS = 4000, 20_000
+#: Bound on the lexicon.
+TERMS = 4000
 #: Shorter terms allow no edit; words around a hit that are its context; remembered words of a task.
 EDIT_LENGTH, CONTEXT_WORDS, REMEMBERED = 5, 12, 400_000
 
@@ -147,7 +147,14 @@ class Matcher:
         exact = [self.weights[h[2]] for h in found if not h[4] and h[3] == 0]
         fuzzy = [self.weights[h[2]] for h in found if not h[4] and h[3] > 0]
         told = [self.weights[h[2]] for h in found if h[4]]
-        near = max((sum(1 for g in found if abs(g[0] - h[0]) <= CONTEXT_WORDS) for h in found[:200]), default=0)
+        # Hits come in the order of the text: those around each are counted between two pointers.
+        near, low, high = 0, 0, 0
+        for h in found:
+            while h[0] - found[low][0] > CONTEXT_WORDS:
+                low += 1
+            while high < len(found) and found[high][0] - h[0] <= CONTEXT_WORDS:
+                high += 1
+            near = max(near, high - low)
         return [
             math.log1p(sum(exact)), math.log1p(sum(fuzzy)), math.log1p(sum(told)), max(exact, default=0.0), math.log1p(len({h[2] for h in found})),
             math.log1p(100 * len(found) / max(1, n_words)), math.log1p(near),
@@ -236,7 +243,8 @@ def train(docs: DataFrame, labels: DataFrame, usable, train_rows: int = TRAIN_RO
     if not terms:
         return {}, set(), np.zeros(8)
     clean = words.where("n - toxic >= 2 and 2 * toxic < n").select("word").mapInArrow(_near_terms(terms), "word string")
-    exceptions = {r.word for r in clean.orderBy("word").limit(EXCEPTIONS).collect()}
+    # All of them: an edit away from a term, and in the rows trained on, so they are bounded by these.
+    exceptions = {r.word for r in clean.collect()}
     seen = late.mapInArrow(_features(terms, exceptions), "x array<double>, y long").collect()
     x, y = np.array([r.x for r in seen]).reshape(len(seen), 7), np.array([r.y for r in seen], float)
     return terms, exceptions, fit_logistic(x, y) if len(seen) else np.append(np.ones(7), -3.0)

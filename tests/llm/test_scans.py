@@ -94,6 +94,14 @@ def test_toxicity_context_and_odd_rows(spark, odd):
     assert toxicity.op3(odd.where("false"), labels.where("false")).count() == 0
 
 
+def test_toxicity_counts_hits_anywhere():
+    matcher = toxicity.Matcher({"moron": 5.0}, set())
+    apart = ("moron " + "sea " * 30) * 210
+    n, found = matcher.hits(apart + "moron " * 9)
+    brute = max(sum(abs(g[0] - h[0]) <= toxicity.CONTEXT_WORDS for g in found) for h in found)
+    assert matcher.features(n, found)[-1] == pytest.approx(np.log1p(brute)) and brute >= 9
+
+
 def test_secrets(spark, docs, odd):
     larger = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     planted = {(r.doc_id, m) for r in larger.collect() for m in re.findall(r'(?i)token = "([0-9a-f]{40})"', r.text)}
