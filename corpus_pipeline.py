@@ -15,14 +15,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8) the smallest doc_id stays, of its repeated rows one."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("id").alias("doc_id"))
+    """Of each group of near-duplicates (five words, 0.8) the smallest doc_id stays, of its repeated rows one.
+
+    Where a doc_id stands with different texts, each of them is a document of its own.
+    """
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    gone, repeated = materialize(gone, "gone"), materialize(repeated, "repeated")
+    repeated = materialize(repeated, "repeated")
+    node, digest, nth = (unused(docs.columns, c) for c in ("node", "digest", "nth"))
+
+    def with_nodes(rows: DataFrame) -> DataFrame:
+        """The number that a row's text goes by: its doc_id, or a hash of both if the doc_id is repeated."""
+        again = repeated.withColumn(node, F.lit(True))
+        return rows.join(again, "doc_id", "left").withColumn(node, F.when(F.col(node), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")))
+
+    clear, doubtful = split_by_ids(docs, repeated)
+    doubtful = with_nodes(doubtful)
+    nodes = clear.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(doubtful.select(F.col(node).alias("doc_id"), "text"))
+    moved = minhash.near_duplicates(nodes).where("not kept").select("id", F.col("component_id").alias("component"))
+    moved = materialize(moved.distinct(), "moved")
+    members = moved.union(moved.select(F.col("component").alias("id"), "component").distinct())
+    of = doubtful.select(F.col(node).alias("id"), F.col("doc_id").cast("long").alias("doc")).where("id <> doc").distinct()
+    members = materialize(members.join(of, "id", "left").withColumn("doc", F.coalesce("doc", "id")), "members")
+    best = members.groupBy("component").agg(F.min(F.struct("doc", "id")).alias("best"))
+    gone = materialize(members.join(best, "component").where("id <> best.id").select("id", "doc"), "gone")
     # Only rows that may go or repeat are moved.
-    clear, doubtful = split_by_ids(docs, gone.union(repeated))
-    rest = doubtful.join(gone.distinct(), "doc_id", "left_anti")
-    digest, nth = unused(docs.columns, "digest"), unused(docs.columns, "nth")
+    clear, doubtful = split_by_ids(docs, gone.select(F.col("doc").cast(docs.schema["doc_id"].dataType).alias("doc_id")).union(repeated))
+    rest = with_nodes(doubtful).join(gone.select(F.col("id").alias(node)).distinct(), node, "left_anti")
     same = Window.partitionBy("doc_id", digest).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")))
     once = rest.withColumn(digest, F.xxhash64("text")).withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1)
     return clear.select(*docs.columns).unionByName(once.select(*docs.columns))

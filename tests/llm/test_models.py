@@ -285,3 +285,15 @@ def test_decontamination_beside_repeated_words(spark, docs, sf):
     matches = decontamination.benchmark_matches(df, bench).where("contaminated and doc_id >= 1000000").collect()
     assert not {(i, item) for i, _, item in rows} - {(r.doc_id, r.item_id) for r in matches}
     assert any(r.cosine < decontamination.COSINE for r in matches)
+
+
+def test_near_dedup_of_repeated_ids(spark, sf):
+    """A text goes if it is a near copy itself, not because its doc_id has another one."""
+    rng = random.Random(8)
+    prose = lambda: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(60))
+    a, b, c = prose(), prose(), prose()
+    rows = [(1, a), (7, a + " tail"), (7, b), (7, b), (9, b + " end"), (5, c), (5, c + " more"), (6, None), (6, prose())]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string"), sf)
+    got = sorted((r.doc_id, r.text) for r in out.collect() if r.doc_id != 5 and r.doc_id != 6)
+    assert got == sorted([(1, a), (7, b)])
+    assert out.where("doc_id = 5").count() == 1 and out.where("doc_id = 6").count() == 2
