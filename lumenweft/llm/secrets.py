@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 
 from lumenweft.llm.native import let
 
-# What a candidate looks like (16 characters or more, with a digit), and the head of a private key.
-_IN = r"A-Za-z0-9+/_=\-"
-CANDIDATE = rf"(?<![{_IN}])(?=[A-Za-z+/_=\-]*+[0-9])[{_IN}]{{16,}}|-----BEGIN [A-Z ]{{0,24}}PRIVATE KEY-----"
+# What a candidate looks like. Whatever is assigned to a naming word (8 characters or more, of any kind but
+# blanks and quotes), a key by its known head, 16 characters or more with a digit, or the head of a private key. A name
+# and its value are apart: '=' only ends a candidate.
+_IN = r"A-Za-z0-9+/_\-"
+# What stands right before is looked at in steps, the cheapest first.
+_NAMED = r"(?<=[=: \t\"'])(?<=[=:][ \t]{0,2}[\"']?)(?<=(?i:token|secret|password|passwd|pwd|api[ _-]?key|access[ _-]?key|credential)[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?)(?![=:])[^\s\"'`,;<>]{8,}"
+CANDIDATE = rf"{_NAMED}|(?<![{_IN}])(?:(?:AKIA|ghp_|eyJ)[{_IN}]{{13,}}|(?=[A-Za-z+/_\-]*+[0-9])[{_IN}]{{16,}})={{0,2}}|-----BEGIN [A-Z ]{{0,24}}PRIVATE KEY-----"
 
 # Neighbouring words that speak for and against a secret, paths of examples, placeholders.
 FOR = r"(?i)(token|secret|passw|pwd|api[ _-]?key|access[ _-]?key|auth|bearer|credential|private)[^\n]{0,16}$"
