@@ -3,9 +3,11 @@
 All n-grams of the training texts seen LEAST times or more are in the model; an arc carries a smoothed log-probability, a
 failure arc the backoff weight. The model grows with the corpus, so no task holds it: texts are cut into chunks, whose
 distinct n-grams are dealt by hash to buckets. A bucket adds up what all chunks send and answers each with the totals of
-what it sent. Round by round a chunk learns the counts of its words and pairs, of its triples (of kept pairs only) and what
-its contexts leave to words they were not seen with; then it scores its texts. Words below LEAST fall back to the add-one
-unigram of the whole corpus.
+what it sent. Round by round a chunk learns the counts of its words and pairs, of its triples (of kept pairs only) and how
+much of its contexts the kept n-grams take; then it scores its texts. Words never seen fall back to the add-one unigram of
+the whole corpus.
+
+An n-gram's hash is sent once: later rounds name it by its place in what the bucket has already, by one bit.
 """
 
 from __future__ import annotations
@@ -19,18 +21,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenweft.llm.common import chunks, crc32_mod, mix64, word_hashes
+from lumenweft.llm.common import chunks, crc32_mod, materialize, mix64, word_hashes
 from lumenweft.llm.substrings import pack, unpack
 from lumenweft.session import ship
 
 #: Times that an n-gram is seen at least to be kept, whatever the size of the corpus.
 LEAST = 2
-DISCOUNT = 0.75
+#: Taken off the count of a kept n-gram, in quarters, so that sums stay whole numbers.
+DISCOUNT_QUARTERS = 3
+DISCOUNT = DISCOUNT_QUARTERS / 4
+#: Bits of an n-gram's hash beyond those of the number of tokens: two n-grams of one corpus are taken for one with a
+#: chance of 1 in 2**24 each. Words keep all 64.
+SPARE_BITS = 24
 #: Stands for the end of a text; no word hashes to it but by chance (1 in 2**64).
 END = np.uint64(0x656E64)
 #: Text of a chunk and of what a bucket holds, in bytes about.
-CHUNK, BUCKET_BYTES = 2 << 20, 4 << 20
-LEAST_BUCKETS, MOST_BUCKETS = 32, 4096
+CHUNK, BUCKET_BYTES = 6 << 20, 6 << 20
+LEAST_BUCKETS = 32
 
 
 def _tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,8 +50,9 @@ class Backoff:
     """The automaton in one place, as a statement of the scores: arcs (state * width + word) to (log10 probability, next
     state); failure arcs with weights. Chunks come to the same scores without it.
 
-    State 0 is the empty context; a context is a state if it has a kept successor. Probabilities of a kept n-gram are
-    discounted; what is left goes, through the backoff weight, to the words that have no arc, so they add up to one.
+    State 0 is the empty context; a context is a state if it has a kept successor. The counts of kept n-grams are
+    discounted; what that leaves of a context is the weight of its failure arc, and goes to all words by their probability
+    in the next shorter context: to those that have an arc as part of its probability. All add up to one.
     """
 
     def __init__(self, counts: np.ndarray, total: int, distinct: int, levels: list[dict[int, int]]):
@@ -87,13 +95,11 @@ class Backoff:
         for context in contexts[1:]:
             state, seen = number[context], grams[context]
             self.fail[state] = longest(context[1:])
-            lower = sum(probability(context[1:], w) for w in followers[context])
-            given = 0.0
+            left = 1 - sum(n - DISCOUNT for n in followers[context].values()) / seen
+            self.back[state] = math.log10(left)
             for word, n in followers[context].items():
-                p = (n - DISCOUNT) / seen
-                given += p
+                p = (n - DISCOUNT) / seen + left * probability(context[1:], word)
                 self.arcs[state * width + word] = (math.log10(p), longest((*context, word)))
-            self.back[state] = math.log10((1 - given) / (1 - lower))
         self.down = [0.0] * len(contexts)
         for state in range(1, len(contexts)):
             self.down[state] = self.back[state] + self.down[self.fail[state]]
@@ -151,66 +157,81 @@ class _Chunk:
         left, right = self.before(k - 1), self.at[k - 1]
         here = np.flatnonzero((left >= 0) & (right >= 0))
         here = here[kept[left[here]] & kept[right[here]]]
-        codes, first, place = np.unique(left[here] * self.width + self.ids[here], return_index=True, return_inverse=True)
+        codes, place = np.unique(left[here] * self.width + self.ids[here], return_inverse=True)
         self.at[k] = np.full(len(self.ids), -1)
         self.at[k][here] = place
-        self.prefix[k], self.suffix[k] = codes // max(1, self.width), right[here[first]]
+        some = np.empty(len(codes), np.int64)
+        some[place] = here  # one place of each, no matter which
+        self.prefix[k], self.suffix[k] = codes // max(1, self.width), right[some]
         self.hashes[k] = mix64(mix64(self.hashes[k - 1][self.prefix[k]]) + self.words[codes % max(1, self.width)])
         self.n[k] = np.bincount(place[self.trained[here]], minlength=len(codes))
 
 
+def asked_in(round_: int, order: int) -> list[tuple[bool, int]]:
+    """(are they new, words) of the n-grams asked about in a round: first the counts of words and pairs; then what the
+    followers of each context take of it, and the counts of n-grams two words longer."""
+    if round_ == 0:
+        return [(True, k) for k in range(1, min(order, 2) + 1)]
+    return [(False, round_)] + [(True, round_ + 2)] * (round_ + 2 <= order)
+
+
 def _talk(chunk: _Chunk, order: int, total: int, distinct: int):
-    """What a chunk asks, round by round, as (hashes, numbers to add up) by kind, being sent (totals, is it the first).
+    """What a chunk asks, round by round as in ``asked_in``: (which of its n-grams, a number for each to add up).
 
-    Returns the logarithms of each token's unigram and backoff probability, and whether it is known. The last two
-    arguments matter from the second round on.
+    It is sent, for each, (totals, is it the first to ask). Returns the logarithms of each token's unigram and backoff
+    probability, and whether it is known. The last two arguments matter from the second round on.
     """
-    count, first, p, back = {}, {}, {}, {}
+    count, first, p, left = {}, {}, {}, {}
     if order > 1:
         chunk.grow(2, np.ones(chunk.width, bool))
     levels = range(1, min(order, 2) + 1)
-    for k, (sums, firsts) in zip(levels, (yield [(chunk.hashes[k], [chunk.n[k]]) for k in levels]), strict=True):
-        count[k], first[k] = sums[0], firsts
-    kept = {1: np.ones(chunk.width, bool)}
+    every = {k: np.ones(len(chunk.hashes[k]), bool) for k in levels}
+    for k, (sums, firsts) in zip(levels, (yield [(every[k], chunk.n[k]) for k in levels]), strict=True):
+        count[k], first[k] = sums, firsts
+    kept = {1: every[1]}
     p[1] = (count[1] + 1.0) / (total + distinct + 1)
     for k in range(2, order + 1):
-        # Counts of k words are known; those of k + 1 words and the sums over the followers of k - 1 words are asked.
         kept[k] = count[k] >= LEAST
-        p[k] = np.where(kept[k], (count[k] - DISCOUNT) / np.maximum(1, count[k - 1][chunk.prefix[k]]), 0.0)
         own = kept[k] & first[k]
-        context = chunk.prefix[k][own]
-        given = [np.bincount(context, values[own], len(kept[k - 1])) for values in (p[k], p[k - 1][chunk.suffix[k]])]
-        asked = np.flatnonzero(count[k - 1] >= LEAST)
-        asks = [(chunk.hashes[k - 1][asked], [g[asked] for g in given])]
+        taken = np.bincount(chunk.prefix[k][own], 4 * count[k][own] - DISCOUNT_QUARTERS, len(kept[k - 1])).astype(np.int64)
+        asks = [(count[k - 1] >= LEAST, taken)]
         if k < order:
             chunk.grow(k + 1, kept[k])
-            asks.append((chunk.hashes[k + 1], [chunk.n[k + 1]]))
+            asks.append((np.ones(len(chunk.hashes[k + 1]), bool), chunk.n[k + 1]))
         told = yield asks
-        back[k - 1] = np.zeros(len(kept[k - 1]))
-        back[k - 1][asked] = np.log10(1 - told[0][0][0]) - np.log10(1 - told[0][0][1])
+        left[k - 1] = 1 - told[0][0] / (4.0 * np.maximum(1, count[k - 1]))
+        before = chunk.prefix[k]
+        p[k] = np.where(kept[k], (count[k] - DISCOUNT) / np.maximum(1, count[k - 1][before]) + left[k - 1][before] * p[k - 1][chunk.suffix[k]], 0.0)
         if k < order:
-            count[k + 1], first[k + 1] = told[1][0][0], told[1][1]
+            count[k + 1], first[k + 1] = told[1]
     # The longest kept n-gram that ends at a token decides; each longer context before it is backed off from.
     base = np.log10(p[1])[chunk.ids]
     score = base.copy()
     for k in range(2, order + 1):
         context, gram = chunk.before(k - 1), chunk.at[k]
         some = np.flatnonzero(context >= 0)
-        score[some] += back[k - 1][context[some]]
+        score[some] += np.log10(left[k - 1])[context[some]]
         some = np.flatnonzero(gram >= 0)
         some = some[kept[k][gram[some]]]
         score[some] = np.log10(p[k][gram[some]])
     return base, score, count[1][chunk.ids] > 0
 
 
-def _deal(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by bucket (the low bits) and rest, the sorted rests, and where each bucket begins (buckets + 1)."""
-    bits = np.uint64(buckets.bit_length() - 1)
-    turned = (hashes >> bits) | (hashes << (np.uint64(64) - bits))
-    order = np.argsort(turned)
-    turned = turned[order]
-    begin = np.searchsorted(turned, np.arange(buckets, dtype=np.uint64) << (np.uint64(64) - bits))
-    return order, hashes[order] >> bits, np.append(begin, len(hashes))
+class _Deal:
+    """A chunk's n-grams in the order of their buckets (the low bits of their hashes) and of the rest of their hashes."""
+
+    def __init__(self, hashes: np.ndarray, bits: int, buckets: int):
+        low = buckets.bit_length() - 1
+        hashes = hashes >> np.uint64(64 - bits)
+        bucket, rest = hashes & np.uint64(buckets - 1), hashes >> np.uint64(low)
+        self.order = np.argsort((bucket << np.uint64(bits - low)) | rest)
+        self.rest = rest[self.order]
+        self.begin = np.append(0, np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets)))
+
+
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in as few bytes as the largest of them needs."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -232,7 +253,7 @@ def _numbers(planes: np.ndarray) -> np.ndarray:
 
 
 def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as chunks: number, training tokens, tokens, and (doc_id, held_out) as an Arrow stream."""
+    """Texts as chunks: number, tokens, training tokens, the tokens, and (doc_id, held_out) as an Arrow stream."""
     chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
     for batch in batches:
         for first, end, offsets, data in chunks(batch, most=CHUNK):
@@ -245,8 +266,8 @@ def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with pa.ipc.new_stream(sink, part.schema) as stream:
                 stream.write_batch(part)
             n_train = int(np.diff(begin)[train == 1].sum())
-            columns = [pa.array([chunk]), pa.array([n_train]), pa.array([payload], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["chunk", "n_train", "payload", "rows"])
+            columns = [pa.array([chunk]), pa.array([len(tokens)]), pa.array([n_train]), pa.array([payload], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "n_tokens", "n_train", "payload", "rows"])
             chunk += 1
 
 
@@ -268,80 +289,108 @@ def _by_key(rows: Iterator[tuple]) -> Iterator[tuple[int, list[tuple]]]:
         yield key, sorted(held.pop(key), key=lambda r: r[:2])
 
 
-def _replay(rows: list[tuple], rounds: int, order: int, total: int, distinct: int, buckets: int):
-    """A chunk's talk from its rows (round, bucket, payload; round -1: itself): what it asks next, or its result."""
+class _Size:
+    """What all tasks know: longest n-grams, buckets, bits of the hashes of words and of longer n-grams."""
+
+    def __init__(self, order: int, buckets: int, tokens: int):
+        self.order, self.buckets = order, buckets
+        self.long_bits = max(buckets.bit_length(), min(64, tokens.bit_length() + SPARE_BITS))
+
+    def deal(self, chunk: _Chunk, k: int) -> _Deal:
+        return _Deal(chunk.hashes[k], 64 if k == 1 else self.long_bits, self.buckets)
+
+
+def _replay(rows: list[tuple], rounds: int, size: _Size, total: int, distinct: int):
+    """A chunk's talk from its rows (round, bucket, payload; round -1: itself): what it asks next, or its result.
+
+    The answers to a round come bucket by bucket, in the order in which the n-grams were dealt.
+    """
     chunk = _Chunk(rows[0][2])
-    talk = _talk(chunk, order, total, distinct)
-    asks = next(talk)
-    for k in range(rounds):
-        told = [unpack(r[2]) for r in rows if r[0] == k]
-        answers, at = [], 0
-        for hashes, values in asks:
-            by, back = _deal(hashes, buckets)[0], []
-            for v in range(len(values) + 1):
-                joined = np.concatenate([t[at + v] for t in told]) if told else np.zeros(0, np.int64)
-                out = np.empty(len(hashes), joined.dtype)
-                out[by] = joined
-                back.append(out)
-            answers.append((back[:-1], back[-1].astype(bool)))
-            at += len(values) + 1
+    talk = _talk(chunk, size.order, total, distinct)
+    asks, dealt = next(talk), {}
+    for r in range(rounds):
+        told = [unpack(x[2]) for x in rows if x[0] == r]
+        answers = []
+        for j, ((new, k), (which, values)) in enumerate(zip(asked_in(r, size.order), asks, strict=True)):
+            if new:
+                dealt[k] = size.deal(chunk, k)
+            order = dealt[k].order[which[dealt[k].order]]
+            sums, firsts = np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+            if told:
+                sums[order] = np.concatenate([t[2 * j] for t in told])
+            if told and new:
+                firsts[order] = np.concatenate([np.unpackbits(t[2 * j + 1])[: len(t[2 * j])] for t in told])
+            answers.append((sums, firsts))
         try:
             asks = talk.send(answers)
         except StopIteration as done:
-            return chunk, done.value
-    return chunk, asks
+            return chunk, dealt, done.value
+    return chunk, dealt, asks
 
 
-def _asker(rounds: int, order: int, total: int, distinct: int, buckets: int):
-    """(bucket, (chunk, 0, payload)) of the next round."""
+def _asker(r: int, size: _Size, total: int, distinct: int):
+    """(bucket, (chunk, round, payload)): for each kind of a round's n-grams, hashes or bits, and numbers."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for key, own in _by_key(rows):
-            _, asks = _replay(own, rounds, order, total, distinct, buckets)
-            dealt = [(*_deal(hashes, buckets), values) for hashes, values in asks]
-            for b in range(buckets):
-                if any(begin[b + 1] > begin[b] for _, _, begin, _ in dealt):
-                    parts = []
-                    for by, rest, begin, values in dealt:
-                        here = slice(begin[b], begin[b + 1])
-                        parts += [_planes(rest[here]), *(v[by[here]] for v in values)]
-                    yield b, (key, 0, pack(*parts, level=1))
+            chunk, dealt, asks = _replay(own, r, size, total, distinct)
+            kinds = asked_in(r, size.order)
+            dealt |= {k: size.deal(chunk, k) for new, k in kinds if new}
+            turned = [(new, dealt[k], which[dealt[k].order], values[dealt[k].order]) for (new, k), (which, values) in zip(kinds, asks, strict=True)]
+            for b in range(size.buckets):
+                parts, some = [], False
+                for new, deal, which, values in turned:
+                    here = slice(deal.begin[b], deal.begin[b + 1])
+                    some |= bool(which[here].any())
+                    parts += [_planes(deal.rest[here]) if new else np.packbits(which[here]), _narrow(values[here][which[here]])]
+                if some:
+                    yield b, (key, r, pack(*parts, level=1))
 
     return run
 
 
-def _answerer(round_: int, widths: list[int]):
-    """Adds up a bucket: (chunk, (round, bucket, payload, words)) for each chunk that asked.
+def _answerer(r: int, size: _Size):
+    """Adds up a bucket: (chunk, (round, bucket, payload, words)) for each chunk that asked in round ``r``.
 
-    ``widths`` has how many numbers stand with a hash, by kind of hash. The words with a count stand in one of the rows.
+    For each kind of n-grams the totals, and of new ones a bit: whether this chunk is the first that trains on it. What a
+    chunk asked before is at hand, for the n-grams it now names by bits. The words with a count stand in one of the rows.
     """
 
     def run(pairs: Iterator[tuple]) -> Iterator[tuple]:
         for bucket, rows in _by_key(pairs):
-            opened = [unpack(r[2]) for r in rows]
-            replies: list[list[np.ndarray]] = [[] for _ in rows]
-            words, at = 0, 0
-            for kind, width in enumerate(widths):
-                hashes = [_values(o[at]) for o in opened]
+            opened = {x[:2]: unpack(x[2]) for x in rows}
+            asking = [x[0] for x in rows if x[1] == r]
+            replies: list[list[np.ndarray]] = [[] for _ in asking]
+            words = 0
+            for j, (new, k) in enumerate(asked_in(r, size.order)):
+                if new:
+                    hashes = [_values(opened[c, r][2 * j]) for c in asking]
+                else:
+                    since = next((q, i) for q in range(r) for i, x in enumerate(asked_in(q, size.order)) if x == (True, k))
+                    listed = [_values(opened[c, since[0]][2 * since[1]]) if (c, since[0]) in opened else np.zeros(0, np.uint64) for c in asking]
+                    hashes = [h[np.unpackbits(opened[c, r][2 * j])[: len(h)].astype(bool)] for c, h in zip(asking, listed, strict=True)]
+                values = np.concatenate([opened[c, r][2 * j + 1].astype(np.int64) for c in asking] or [np.zeros(0, np.int64)])
                 cuts = np.cumsum([len(h) for h in hashes])[:-1]
-                _, place = np.unique(np.concatenate(hashes), return_inverse=True)
-                for v in range(width):
-                    values = np.concatenate([o[at + 1 + v] for o in opened])
-                    # Counts below 2**53 are exact as floats.
-                    sums = np.bincount(place, values).astype(values.dtype)
-                    for reply, part in zip(replies, np.split(sums[place], cuts), strict=True):
-                        reply.append(part)
-                    if v == 0:
-                        seen = np.flatnonzero(values > 0)
-                        firsts = np.zeros(len(place), np.uint8)
-                        firsts[seen[np.unique(place[seen], return_index=True)[1]]] = 1
-                for reply, part in zip(replies, np.split(firsts, cuts), strict=True):
-                    reply.append(part)
-                if kind == 0:
-                    words = int(firsts.sum())
-                at += width + 1
-            for k, (row, reply) in enumerate(zip(rows, replies, strict=True)):
-                yield row[0], (round_, bucket, pack(*reply, level=1), words if k == 0 else 0)
+                found, place = np.unique(np.concatenate(hashes or [np.zeros(0, np.uint64)]), return_inverse=True)
+                # Sums below 2**53 are exact as floats.
+                sums = np.bincount(place, values, len(found)).astype(np.int64)
+                for reply, part in zip(replies, np.split(sums[place], cuts), strict=bool(asking)):
+                    reply.append(_narrow(part))
+                if new:
+                    seen = np.flatnonzero(values > 0)[::-1]
+                    first = np.full(len(found), -1)
+                    first[place[seen]] = seen  # the last that is written is the first in order
+                    firsts = np.zeros(len(place), bool)
+                    firsts[first[first >= 0]] = True
+                    for reply, part in zip(replies, np.split(firsts, cuts), strict=bool(asking)):
+                        reply.append(np.packbits(part))
+                    if k == 1:
+                        words = int(firsts.sum())
+                else:
+                    for reply in replies:
+                        reply.append(np.zeros(0, np.uint8))
+            for i, (c, reply) in enumerate(zip(asking, replies, strict=True)):
+                yield c, (r, bucket, pack(*reply, level=1), words if i == 0 else 0)
 
     return run
 
@@ -349,12 +398,12 @@ def _answerer(round_: int, widths: list[int]):
 SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scorer(rounds: int, order: int, total: int, distinct: int, buckets: int):
+def _scorer(rounds: int, size: _Size, total: int, distinct: int):
     """The scores of each chunk's texts, as an Arrow stream."""
 
     def run(pairs: Iterator[tuple]) -> Iterator[tuple[bytearray]]:
         for _, rows in _by_key(pairs):
-            chunk, (base, score, known) = _replay(rows, rounds, order, total, distinct, buckets)
+            chunk, _, (base, score, known) = _replay(rows, rounds, size, total, distinct)
             part = pa.ipc.open_stream(rows[0][3]).read_next_batch()
             n = part.num_rows
             columns = [
@@ -390,23 +439,23 @@ def lm_scores(docs: DataFrame, held_out: object, order: int = 3) -> DataFrame:
     """
     spark = ship(docs.sparkSession)
     read = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
-    coded = read.mapInArrow(_coder, "chunk long, n_train long, payload binary, rows binary").rdd
-    # Chunks and answers meet by chunk. They are pairs in RDDs, so that a chunk is moved once, not again every round.
-    parts = max(1, 4 * coded.getNumPartitions())
-    home = coded.map(lambda r: (r[0], (-1, r[1], bytes(r[2]), bytes(r[3])))).partitionBy(parts, _spread)
-    total, size = home.map(lambda r: (r[1][1], len(r[1][2]))).fold((0, 0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
-    # A chunk takes about half of its text.
-    buckets = min(MOST_BUCKETS, 1 << max(LEAST_BUCKETS - 1, 2 * size // BUCKET_BYTES).bit_length())
-    known, distinct = home, 0
-    for k in range(max(1, order)):
-        # The kinds of a round: words and pairs; later the sums over followers and the next longer n-grams.
-        widths = [1] * min(order, 2) if k == 0 else [2, 1] if k + 2 <= order else [2]
-        asked = known.mapPartitions(_asker(k, order, total, distinct, buckets)).partitionBy(buckets, _same)
-        told = asked.mapPartitions(_answerer(k, widths)).partitionBy(parts, _spread)
-        if k == 0:
-            distinct = told.map(lambda r: r[1][3]).sum()
+    coded = materialize(read.mapInArrow(_coder, "chunk long, n_tokens long, n_train long, payload binary, rows binary"), "chunks")
+    total, tokens, n_bytes, chunks_ = coded.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_tokens")), F.coalesce(F.sum(F.length("payload")), F.lit(0)), F.count("*")).first()
+    # Chunks, what they ask and what they are told meet by key. They are pairs in RDDs, as those keep the places they were
+    # dealt to: a chunk and a hash are moved once, not again every round.
+    parts = max(spark.sparkContext.defaultParallelism, chunks_ // 2)
+    home = coded.select("chunk", "payload", "rows").rdd.map(lambda r: (r[0], (-1, 0, bytes(r[1]), bytes(r[2])))).partitionBy(parts, _spread)
+    # A chunk takes about a third of its text.
+    size = _Size(order, 1 << max(LEAST_BUCKETS - 1, 3 * n_bytes // BUCKET_BYTES).bit_length(), tokens)
+    known, heard, distinct = home, None, 0
+    for r in range(max(1, order)):
+        asked = known.mapPartitions(_asker(r, size, total, distinct)).partitionBy(size.buckets, _same)
+        heard = asked if heard is None else heard.union(asked)
+        told = heard.mapPartitions(_answerer(r, size)).partitionBy(parts, _spread)
+        if r == 0:
+            distinct = told.map(lambda x: x[1][3]).sum()
         known = known.union(told)
-    scored = known.mapPartitions(_scorer(max(1, order), order, total, distinct, buckets))
+    scored = known.mapPartitions(_scorer(max(1, order), size, total, distinct))
     return spark.createDataFrame(scored, "payload binary").mapInArrow(_opened, SCORED.format(id=read.schema["doc_id"].dataType.simpleString()))
 
 
