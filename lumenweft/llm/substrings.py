@@ -1,14 +1,17 @@
-"""Removal of repeated substrings with a difference-cover sample of the suffixes, built block by block.
+"""Removal of repeated substrings by sorting suffixes bucket by bucket, with a difference-cover sample.
 
 A difference cover D modulo v meets every pair of positions: some shift below v takes both into D. So two equal
-windows of ``length`` bytes share an equal string of length - v + 1 bytes at cover positions, and the ranks of the
-cover's suffixes (cut at that length, equal ranks for equal strings) tell where windows can repeat at all. Ranks are
-found by sorting the cover's suffixes one hash bucket at a time.
-
-Suffixes in such places are then sorted, again one bucket at a time, the bucket being that of the window's smallest
-16-byte string. Within a block of texts equal windows meet first, so a bucket gets each window once a block; long ties
-within a bucket are decided on whole windows. Memory is bounded by a block and a bucket, whose number grows with the
-input. Texts move as compressed blocks.
+windows of ``length`` bytes share an equal string of length - v + 1 bytes at cover positions: hashes of the cover's
+strings, compared over all blocks of texts, tell where windows can repeat at all. They only leave out what cannot repeat.
+
+Suffixes in the places left are sorted (up to ``length`` bytes), one bucket at a time, the bucket being that of the window's
+smallest 16-byte string, its anchor. In a bucket the cover is laid from the anchors, and the suffixes at cover positions are
+ranked first. All suffixes are then sorted by a head of a few words, and long ties by the rank of the next cover position:
+equal windows have their anchor, and so the cover, in the same place. A rank stands for the remaining bytes whatever their
+number, as it is cut by the bytes that neighbours in the sample's order share. So equality is that of bytes throughout.
+
+Within a block of texts equal windows meet first, so a bucket gets each window once a block. Memory is bounded by a block
+and a bucket, whose number grows with the input. Texts move as compressed blocks.
 """
 
 from __future__ import annotations
@@ -24,11 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenweft.llm.common import materialize, mix64, prefix_hashes, span_hashes, text_bytes
+from lumenweft.llm.common import hashed_spans, materialize, mix64, prefix_hashes, span_hashes, text_bytes
 from lumenweft.session import ship
 
-#: Bytes of text in a block and of hashing at a time; text bytes a bucket; bytes of the string that names a bucket.
-BLOCK_BYTES, PART_BYTES, BUCKET_BYTES, ANCHOR = 5 << 19, 1 << 19, 4 << 20, 16
+#: Bytes of text in a block and of hashing at a time; bytes of the string that names a bucket.
+BLOCK_BYTES, PART_BYTES, ANCHOR = 5 << 19, 1 << 19, 16
+#: Text bytes a bucket of suffixes, a bucket of hashes (4 bytes for each of the cover's strings), and a task; a task takes
+#: its blocks or buckets one at a time.
+BUCKET_BYTES, RANK_BYTES, TASK_BYTES = 4 << 20, 32 << 20, 256 << 20
 LEAST_BUCKETS = 32
 LAST = np.int64((1 << 63) - 1)
 
@@ -145,15 +151,20 @@ def cover_positions(lengths: np.ndarray, cover: np.ndarray, v: int, size: int) -
 
 
 class Plan:
-    """Window length, cover and number of buckets (a power of two)."""
+    """Window length, cover and numbers of buckets (powers of two) and tasks."""
 
     def __init__(self, length: int, n_bytes: int):
         self.length, self.v = length, period_for(length)
         self.cover = difference_cover(self.v)
         self.size = length - self.v + 1
         self.anchor = min(ANCHOR, length)
-        self.buckets = 1 << max(LEAST_BUCKETS - 1, n_bytes // BUCKET_BYTES).bit_length()
-        self.bits = 32 + self.buckets.bit_length() - 1
+        self.buckets, self.rank_buckets = (1 << max(LEAST_BUCKETS - 1, n_bytes // b).bit_length() for b in (BUCKET_BYTES, RANK_BYTES))
+        self.bits = 32 + self.rank_buckets.bit_length() - 1
+        self.tasks = max(LEAST_BUCKETS, n_bytes // TASK_BYTES)
+        # From a window whose anchor is at ``a``: bytes to the next cover position, as the cover is laid from the anchor.
+        residues = set((self.cover % self.v).tolist())
+        self.to_cover = np.array([next(d for d in range(self.v) if (d - a) % self.v in residues) for a in range(length - self.anchor + 1)])
+        self.head_words = max(1, -(-int(self.to_cover.max()) // 8))
 
     def ranks(self, lengths: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position and hash of every cover suffix of a block; the hash's upper bits name its bucket."""
@@ -173,7 +184,7 @@ def _cover_suffixes(plan: Plan):
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 _, lengths, data = unpack(payload.as_py())
                 found = np.unique(plan.ranks(lengths, data)[1])
-                cuts = np.searchsorted(found, np.arange(plan.buckets + 1, dtype=np.uint64) << np.uint64(32))
+                cuts = np.searchsorted(found, np.arange(plan.rank_buckets + 1, dtype=np.uint64) << np.uint64(32))
                 some = np.flatnonzero(np.diff(cuts))
                 packed = [pack_sorted(found[cuts[r] : cuts[r + 1]].astype(np.uint32)) for r in some.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array(packed, pa.binary())], ["bucket", "block", "payload"])
@@ -237,7 +248,7 @@ def _suffixes_of_block(plan: Plan, payload: bytes, bits: dict[int, bytes]) -> tu
     positions, ranks = plan.ranks(lengths, data)
     found, inverse, counts = np.unique(ranks, return_inverse=True, return_counts=True)
     elsewhere = np.zeros(len(found), bool)
-    cuts = np.searchsorted(found, np.arange(plan.buckets + 1, dtype=np.uint64) << np.uint64(32))
+    cuts = np.searchsorted(found, np.arange(plan.rank_buckets + 1, dtype=np.uint64) << np.uint64(32))
     for bucket, packed in bits.items():
         a, b = cuts[bucket], cuts[bucket + 1]
         elsewhere[a:b] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8))[: b - a]
@@ -286,12 +297,22 @@ def _suffixes_of_block(plan: Plan, payload: bytes, bits: dict[int, bytes]) -> tu
         return [], pack(*runs(positions[:0]))
     hashes = np.concatenate(hashes_)
     del hashes_
-    order = np.argsort(hashes, kind="stable")
-    sorted_ = hashes[order]
-    again = np.zeros(len(order), bool)
-    again[order[1:][sorted_[1:] == sorted_[:-1]]] = True
-    del hashes, order, sorted_
     starts, anchors, keys, far = (np.concatenate(x) for x in (starts_, anchors_, keys_, outer_))
+    order = np.argsort(hashes, kind="stable")
+    head = np.append(True, hashes[order[1:]] != hashes[order[:-1]])
+    leader = np.empty(len(order), np.int64)
+    leader[order] = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    del hashes, order, head
+    # Windows with the hash of an earlier one: consecutive ones with consecutive leaders are compared as one string.
+    again = leader != np.arange(len(leader))
+    some = np.flatnonzero(again)
+    if len(some):
+        new = np.append(True, (np.diff(starts[some]) != 1) | (np.diff(starts[leader[some]]) != 1))
+        heads = np.flatnonzero(new)
+        same = same_bytes(data, starts[some[heads]], starts[leader[some[heads]]], np.diff(np.append(heads, len(some))) + length - 1)
+        other = some[~same[np.cumsum(new) - 1]]
+        again[other], far[other] = False, True
+    del leader
 
     def home(x: np.ndarray) -> np.ndarray:
         return x + (home_begins - begins)[np.searchsorted(ends, x, side="right")]
@@ -306,6 +327,7 @@ def _suffixes_of_block(plan: Plan, payload: bytes, bits: dict[int, bytes]) -> tu
         heads = np.flatnonzero(new)
         sizes = np.diff(np.append(heads, len(s)))
         s, k = s[heads], k[heads]
+        anchored = (p[heads] - s).astype(np.uint16)
         bucket = (k >> np.uint64(64 - (plan.buckets.bit_length() - 1))).astype(np.int64)
         mine = np.searchsorted(ends, s, side="right")
         by = np.argsort(bucket, kind="stable")
@@ -313,7 +335,7 @@ def _suffixes_of_block(plan: Plan, payload: bytes, bits: dict[int, bytes]) -> tu
         for r in np.flatnonzero(np.diff(edges)).tolist():
             own = by[edges[r] : edges[r + 1]]
             texts = b"".join(data[x : x + n + length - 1].tobytes() for x, n in zip(s[own].tolist(), sizes[own].tolist(), strict=True))
-            packets.append((r, pack(ids[mine[own]], home(s[own]), s[own] - begins[mine[own]], sizes[own].astype(np.int32), np.frombuffer(texts, np.uint8))))
+            packets.append((r, pack(ids[mine[own]], home(s[own]), s[own] - begins[mine[own]], sizes[own].astype(np.int32), anchored[own], np.frombuffer(texts, np.uint8))))
     return packets, local
 
 
@@ -340,62 +362,128 @@ def _suffixes(plan: Plan):
     return run
 
 
+#: The first k bytes of a big-endian word of eight.
+FIRST_BYTES = np.array([((1 << 8 * k) - 1) << (64 - 8 * k) for k in range(9)], np.uint64)
+_BYTE_STEPS = np.array([1 << 8 * k for k in range(1, 8)], np.uint64)
+
+
+def big_endian_words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one number, zeros beyond the end."""
+    out = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        out[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
+    return out
+
+
+def sort_strings(word: Callable[[int, np.ndarray], np.ndarray], n: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of n strings by their words 0 to depth - 1 (``word(j, which)``); for each place in it, how many bytes its string
+    has in common with the one before, and whether they differ at all. Only ties are looked at again."""
+    order, shared, differs = np.arange(n), np.full(n, 8 * depth), np.zeros(n, bool)
+    differs[:1], shared[:1] = True, 0
+    tied = order.copy() if n > 1 else order[:0]
+    for j in range(depth):
+        if not len(tied):
+            break
+        key = word(j, order[tied])
+        by = np.argsort(key)
+        number = np.empty(len(by), np.int64)
+        number[by] = np.cumsum(np.append(False, key[by[1:]] != key[by[:-1]]))
+        place = np.argsort(np.cumsum(differs[tied]) * (int(number.max()) + 1) + number)
+        order[tied], key = order[tied[place]], key[place]
+        new = np.flatnonzero(~differs[tied][1:] & (key[1:] != key[:-1])) + 1
+        differs[tied[new]] = True
+        shared[tied[new]] = 8 * j + 7 - np.searchsorted(_BYTE_STEPS, key[new] ^ key[new - 1], side="right")
+        last = np.append(differs, True)[tied + 1]
+        tied = tied[~(differs[tied] & last)]
+    return order, shared, differs
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, most: int = PART_BYTES) -> np.ndarray:
+    """Whether the strings of ``sizes`` bytes (one at least) at a and at b are the same, for each pair."""
+    out = np.empty(len(a), bool)
+    for first, end in parts(sizes, most):
+        n = sizes[first:end]
+        starts = np.cumsum(n) - n
+        steps = np.arange(int(n.sum())) - np.repeat(starts, n)
+        out[first:end] = np.logical_and.reduceat(data[np.repeat(a[first:end], n) + steps] == data[np.repeat(b[first:end], n) + steps], starts)
+    return out
+
+
+def sorted_bucket(plan: Plan, data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, anchored: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorts the windows of runs: run and start of each window, their order, and whether a place begins a new string.
+
+    A run has ``sizes`` consecutive windows from ``begin`` on in ``data``; its first one's anchor is ``anchored`` bytes on.
+    Windows are in order of their first ``head_words`` words, equal ones together.
+    """
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    starts, at = begin[run] + step, anchored[run] - step
+    shift = plan.to_cover[at]
+    # The cover's suffixes that windows lead to, ranked by all their bytes in the run, up to the length.
+    sampled = np.zeros(len(data), bool)
+    sampled[starts + shift] = True
+    cover = np.flatnonzero(sampled)
+    place = np.cumsum(sampled) - 1
+    ends = np.zeros(len(data) + 1, np.int64)
+    ends[begin] = begin + sizes + plan.length - 1
+    left = np.minimum(np.maximum.accumulate(ends)[cover] - cover, plan.length)
+    words = big_endian_words(data)
+    depth = -(-plan.length // 8)
+
+    def of_cover(j: int, which: np.ndarray) -> np.ndarray:
+        if j == depth:  # the shorter of two that are equal as far as they go
+            return left[which].astype(np.uint64)
+        return words[np.minimum(cover[which] + 8 * j, len(data) - 1)] & FIRST_BYTES[np.clip(left[which] - 8 * j, 0, 8)]
+
+    order, shared, _ = sort_strings(of_cover, len(cover), depth + 1)
+    shared[1:] = np.minimum(shared[1:], np.minimum(left[order[1:]], left[order[:-1]]))
+    tie = np.empty(len(starts), np.uint64)
+    for d in np.unique(shift).tolist():
+        ranks = np.empty(len(cover), np.int64)
+        ranks[order] = np.cumsum(shared < plan.length - d)
+        own = np.flatnonzero(shift == d)
+        tie[own] = at[own] * (len(cover) + 1) + ranks[place[starts[own] + d]]
+
+    def of_window(j: int, which: np.ndarray) -> np.ndarray:
+        if j == plan.head_words:
+            return tie[which]
+        return words[np.minimum(starts[which] + 8 * j, len(data) - 1)] & FIRST_BYTES[min(8, max(0, plan.length - 8 * j))]
+
+    order, _, differs = sort_strings(of_window, len(starts), plan.head_words + 1)
+    return run, starts, order, differs
+
+
 def _sort_buckets(plan: Plan):
-    """Windows of a bucket in order of (doc_id, block, place): all but the first of equal ones repeat.
+    """Windows of a bucket are sorted; of equal ones all but the first by (doc_id, block, place) repeat.
 
     Whole runs come first: a run equal to an earlier one repeats in all its windows and is done.
     """
 
-    def parts_of(packet: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        spans = packet[3].astype(np.int64) + plan.length - 1
-        at = 0
-        for a, b in parts(spans):
-            size = int(spans[a:b].sum())
-            yield a, b, np.cumsum(spans[a:b]) - spans[a:b], packet[4][at : at + size]
-            at += size
-
     def repeats(rows: list[tuple]) -> Iterator[tuple[int, int, int, bytes]]:
         opened = [unpack(r[3]) for r in rows]
-        ids, starts, offsets, sizes = (np.concatenate([x[k] for x in opened]) for k in range(4))
-        sizes = sizes.astype(np.int64)
+        ids, starts, offsets, sizes, anchored, data = (np.concatenate([x[k] for x in opened]) for k in range(6))
         packet = np.repeat(np.arange(len(rows)), [len(x[0]) for x in opened])
-        blocks = np.array([r[2] for r in rows], np.int64)
+        del opened
+        sizes, blocks = sizes.astype(np.int64), np.array([r[2] for r in rows], np.int64)
+        spans = sizes + plan.length - 1
+        begin = np.cumsum(spans) - spans
         order = np.lexsort((offsets, blocks[packet], ids))
-        whole = []
-        for x in opened:
-            for a, b, begin, text in parts_of(x):
-                n = x[3][a:b].astype(np.int64)
-                whole.append(mix64(span_hashes(prefix_hashes(text), begin, begin + n + plan.length - 1) + n.astype(np.uint64)))
-        whole = np.concatenate(whole)[order]
+        whole = hashed_spans(data, begin, begin + spans)[order]
         by = np.argsort(whole, kind="stable")
-        sorted_ = whole[by]
-        done = np.zeros(len(order), bool)
-        done[order[by[1:][sorted_[1:] == sorted_[:-1]]]] = True
-        hashes, at = [], 0
-        for x in opened:
-            for a, b, begin, text in parts_of(x):
-                left = np.flatnonzero(~done[at + a : at + b])
-                if len(left):
-                    n = x[3][a:b].astype(np.int64)[left]
-                    every = np.repeat(begin[left] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    hashes.append(span_hashes(prefix_hashes(text), every, every + plan.length))
-            at += len(x[3])
-        del opened
-        left = np.flatnonzero(~done)
-        hashes = np.concatenate(hashes)
-        begin = np.cumsum(sizes[left]) - sizes[left]
-        place = np.empty(len(order), np.int64)
-        place[left] = np.arange(len(left))
-        order = place[order[~done[order]]]
-        # Windows in the order of their texts, then equal hashes together, that order kept.
-        n = sizes[left][order]
-        every = np.repeat(begin[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        hashes = hashes[every]
-        by = np.argsort(hashes, kind="stable")
-        sorted_ = hashes[by]
-        again = every[by[1:][sorted_[1:] == sorted_[:-1]]]
-        run = np.searchsorted(begin, again, side="right") - 1
-        where, home = starts[left][run] + again - begin[run], packet[left][run]
+        head = np.append(True, (whole[by[1:]] != whole[by[:-1]]) | (sizes[order[by[1:]]] != sizes[order[by[:-1]]]))
+        leader = np.empty(len(order), np.int64)
+        leader[order[by]] = order[by[np.flatnonzero(head)[np.cumsum(head) - 1]]]
+        done = leader != np.arange(len(leader))
+        some = np.flatnonzero(done)
+        done[some] = same_bytes(data, begin[some], begin[leader[some]], spans[some])
+        # Runs in the order of their texts, so that windows are numbered in that order.
+        left = order[~done[order]]
+        run, place, by, differs = sorted_bucket(plan, data, begin[left], sizes[left], anchored[left].astype(np.int64))
+        again = np.ones(len(by), bool)
+        again[np.minimum.reduceat(by, np.flatnonzero(differs))] = False
+        again = np.flatnonzero(again)
+        run = left[run[again]]
+        where, home = starts[run] + place[again] - begin[run], packet[run]
         for k in np.unique(np.concatenate([home, packet[done]])).tolist():
             own = done & (packet == k)
             firsts, lasts = runs(np.sort(where[home == k]))
@@ -444,8 +532,9 @@ def _removal(plan: Plan, with_kept: bool, schema: pa.Schema):
     return run
 
 
-def _by_block(rows: DataFrame, blocks: int, step: Callable, ddl: str) -> DataFrame:
-    return rows.repartition(blocks, "block").sortWithinPartitions("block", rows.columns[1]).mapInArrow(step, ddl)
+def _dealt(rows: DataFrame, plan: Plan, step: Callable, ddl: str) -> DataFrame:
+    """``step`` over rows dealt by their first column and sorted by them all but the last."""
+    return rows.repartition(plan.tasks, rows.columns[0]).sortWithinPartitions(*rows.columns[:-1]).mapInArrow(step, ddl)
 
 
 def substring_dedup(docs: DataFrame, length: int = 100, with_kept: bool = True) -> DataFrame:
@@ -453,8 +542,8 @@ def substring_dedup(docs: DataFrame, length: int = 100, with_kept: bool = True)
 
     ``spans`` are the maximal runs of bytes, from 0, covered by a string of ``length`` bytes that also starts earlier:
     in a smaller doc_id or earlier in the same text; all strings are judged on the input. Texts are UTF-8; null counts
-    as empty. Rows that repeat a doc_id come in the order of the input's blocks, rows without one last. Equality is
-    that of 64-bit hashes. ``kept`` holds the remaining bytes unless ``with_kept`` is false.
+    as empty. Rows that repeat a doc_id come in the order of the input's blocks, rows without one last. An empty table
+    gives an empty result; more columns are ignored. ``kept`` holds the remaining bytes unless ``with_kept`` is false.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -462,16 +551,14 @@ def substring_dedup(docs: DataFrame, length: int = 100, with_kept: bool = True)
     ship(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = materialize(read.mapInArrow(_blocks, BLOCK), "blocks")
-    n_bytes, n_blocks = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
-    plan, n_blocks = Plan(length, n_bytes), max(1, n_blocks)
-    buckets = min(plan.buckets, 4096)
+    plan = Plan(length, blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0])
     texts = blocks.select("block", F.lit(-1).cast("long").alias("bucket"), "payload")
     ranks = blocks.select("block", "payload").mapInArrow(_cover_suffixes(plan), "bucket long, block long, payload binary")
-    shared = ranks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_shared_ranks, "block long, bucket long, payload binary")
-    suffixes = _by_block(shared.unionByName(texts), n_blocks, _suffixes(plan), SORTED)
-    spans = suffixes.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "block").mapInArrow(_sort_buckets(plan), SORTED).select("block", F.lit(0).alias("part"), "payload")
+    shared = _dealt(ranks, plan, _shared_ranks, "block long, bucket long, payload binary")
+    suffixes = _dealt(shared.unionByName(texts), plan, _suffixes(plan), SORTED)
+    spans = _dealt(suffixes, plan, _sort_buckets(plan), SORTED).select("block", F.lit(0).alias("part"), "payload")
     rows = spans.unionByName(blocks.select("block", F.lit(1).alias("part"), "payload"))
-    return _by_block(rows, n_blocks, _removal(plan, with_kept, to_arrow_schema(StructType.fromDDL(KEPT))), KEPT)
+    return _dealt(rows, plan, _removal(plan, with_kept, to_arrow_schema(StructType.fromDDL(KEPT))), KEPT)
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -297,3 +297,41 @@ def test_near_dedup_of_repeated_ids(spark, sf):
     got = sorted((r.doc_id, r.text) for r in out.collect() if r.doc_id != 5 and r.doc_id != 6)
     assert got == sorted([(1, a), (7, b)])
     assert out.where("doc_id = 5").count() == 1 and out.where("doc_id = 6").count() == 2
+
+
+@pytest.mark.parametrize(("length", "letters"), [(100, 40), (33, 3), (9, 2)])
+def test_suffixes_of_a_bucket_are_sorted(length, letters):
+    """Order and groups of a bucket's windows against sorted strings; the runs share their anchor's bytes."""
+    rng = random.Random(length)
+    plan = substrings.Plan(length, 0)
+    anchor = bytes(rng.randrange(97, 97 + letters) for _ in range(plan.anchor))
+    sides = [bytes(rng.choice([0, *range(97, 97 + letters)]) for _ in range(2 * length)) for _ in range(4)]
+    texts, sizes, anchored = [], [], []
+    for _ in range(60):
+        before, n = rng.randint(0, length - plan.anchor), 0
+        n = rng.randint(1, before + 1)
+        left, right = rng.choice(sides), rng.choice(sides)
+        text = left[len(left) - before :] + anchor + right
+        texts.append(text[: n + length - 1])
+        sizes.append(n)
+        anchored.append(before)
+    data, spans = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    begin = np.cumsum(spans) - spans
+    run, starts, order, differs = substrings.sorted_bucket(plan, data, begin, np.array(sizes), np.array(anchored))
+    windows = [bytes(data[s : s + length]) for s in starts.tolist()]
+    place = [anchored[r] - (s - begin[r]) for r, s in zip(run.tolist(), starts.tolist(), strict=True)]
+    in_order = [(windows[k][: 8 * plan.head_words], place[k], windows[k]) for k in order.tolist()]
+    assert in_order == sorted(in_order)
+    assert differs.tolist() == [k == 0 or in_order[k] != in_order[k - 1] for k in range(len(in_order))] and not differs.all()
+
+
+def test_sorted_strings():
+    rng = random.Random(1)
+    texts = [bytes(rng.choice(b"ab\0") for _ in range(24)) for _ in range(300)] + [b"a" * 24] * 3
+    table = np.frombuffer(b"".join(texts), ">u8").reshape(-1, 3).astype(np.uint64)
+    order, shared, differs = substrings.sort_strings(lambda j, which: table[which, j], len(texts), 3)
+    got = [texts[k] for k in order.tolist()]
+    assert got == sorted(texts)
+    for k in range(1, len(got)):
+        same = next((i for i in range(24) if got[k][i] != got[k - 1][i]), 24)
+        assert shared[k] == same and differs[k] == (same < 24)
