@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenweft.llm.common import chunks, crc32_mod, materialize, mix64, word_hashes
+from lumenweft.llm.common import chunks, crc32_mod, mix64, word_hashes
 from lumenweft.llm.substrings import pack, unpack
 from lumenweft.session import ship
 
@@ -30,13 +30,13 @@ LEAST = 2
 #: Taken off the count of a kept n-gram, in quarters, so that sums stay whole numbers.
 DISCOUNT_QUARTERS = 3
 DISCOUNT = DISCOUNT_QUARTERS / 4
-#: Bits of an n-gram's hash beyond those of the number of tokens: two n-grams of one corpus are taken for one with a
-#: chance of 1 in 2**24 each. Words keep all 64.
-SPARE_BITS = 24
+#: Bits of an n-gram's hash beyond those of the number of tokens: an n-gram is taken for another one of the corpus with a
+#: chance of 1 in 2**20 or less, whatever its size. Words keep all 64.
+SPARE_BITS = 20
 #: Stands for the end of a text; no word hashes to it but by chance (1 in 2**64).
 END = np.uint64(0x656E64)
 #: Text of a chunk and of what a bucket holds, in bytes about.
-CHUNK, BUCKET_BYTES = 6 << 20, 6 << 20
+CHUNK, BUCKET_BYTES = 3 << 20, 6 << 20
 LEAST_BUCKETS = 32
 
 
@@ -136,12 +136,11 @@ class _Chunk:
         words, ids, self.begin, train = unpack(payload)
         self.words, self.width = _values(words), len(words) // 8
         self.ids = _numbers(ids)
-        self.doc = np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
+        self.doc = np.repeat(np.arange(len(self.begin) - 1, dtype=np.int32), np.diff(self.begin))
         self.trained = train.astype(bool)[self.doc]
         self.start = np.zeros(len(self.ids), bool)
         self.start[self.begin[:-1]] = True
-        end = np.searchsorted(self.words, END)
-        self.at = {1: np.where(self.ids == end, -1, self.ids)}
+        self.at = {1: np.where(self.words[self.ids] == END, np.int32(-1), self.ids)}
         self.hashes = {1: self.words}
         self.n = {1: np.bincount(self.ids[self.trained], minlength=self.width)}
         self.prefix, self.suffix = {}, {}
@@ -157,12 +156,12 @@ class _Chunk:
         left, right = self.before(k - 1), self.at[k - 1]
         here = np.flatnonzero((left >= 0) & (right >= 0))
         here = here[kept[left[here]] & kept[right[here]]]
-        codes, place = np.unique(left[here] * self.width + self.ids[here], return_inverse=True)
-        self.at[k] = np.full(len(self.ids), -1)
+        codes, place = np.unique(left[here].astype(np.int64) * self.width + self.ids[here], return_inverse=True)
+        self.at[k] = np.full(len(self.ids), -1, np.int32)
         self.at[k][here] = place
         some = np.empty(len(codes), np.int64)
         some[place] = here  # one place of each, no matter which
-        self.prefix[k], self.suffix[k] = codes // max(1, self.width), right[some]
+        self.prefix[k], self.suffix[k] = (codes // max(1, self.width)).astype(np.int32), right[some]
         self.hashes[k] = mix64(mix64(self.hashes[k - 1][self.prefix[k]]) + self.words[codes % max(1, self.width)])
         self.n[k] = np.bincount(place[self.trained[here]], minlength=len(codes))
 
@@ -199,7 +198,9 @@ def _talk(chunk: _Chunk, order: int, total: int, distinct: int):
             chunk.grow(k + 1, kept[k])
             asks.append((np.ones(len(chunk.hashes[k + 1]), bool), chunk.n[k + 1]))
         told = yield asks
-        left[k - 1] = 1 - told[0][0] / (4.0 * np.maximum(1, count[k - 1]))
+        # At least the discount of one n-gram is left; less could only come from hashes that are the same by chance.
+        seen = np.maximum(1.0, count[k - 1])
+        left[k - 1] = np.maximum(1 - told[0][0] / (4 * seen), DISCOUNT / seen * (told[0][0] > 0))
         before = chunk.prefix[k]
         p[k] = np.where(kept[k], (count[k] - DISCOUNT) / np.maximum(1, count[k - 1][before]) + left[k - 1][before] * p[k - 1][chunk.suffix[k]], 0.0)
         if k < order:
@@ -235,7 +236,7 @@ def _narrow(numbers: np.ndarray) -> np.ndarray:
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
-    """Sorted numbers as differences, byte plane by byte plane."""
+    """Numbers, sorted for the most part, as differences modulo 2**64, byte plane by byte plane."""
     return np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).ravel()
 
 
@@ -249,7 +250,7 @@ def _flat(numbers: np.ndarray) -> np.ndarray:
 
 
 def _numbers(planes: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
 
 
 def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,10 +259,15 @@ def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, offsets, data in chunks(batch, most=CHUNK):
             tokens, begin = _tokens(offsets, data)
-            words, ids = np.unique(tokens, return_inverse=True)
+            words, ids, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+            # The frequent words have the small numbers, which take little space; about equally frequent ones stay sorted.
+            by = np.argsort(-np.frexp(counts)[1], kind="stable")
+            number = np.empty(len(by), np.int64)
+            number[by] = np.arange(len(by))
+            words, ids = words[by], number[ids]
             part = batch.slice(first, end - first).select(["doc_id", "held_out"])
             train = np.array([h is False for h in part.column(1).to_pylist()], np.uint8)
-            payload = pack(_planes(words), _flat(ids), begin, train, level=1)
+            payload = pack(_planes(words), _flat(ids), begin, train, level=3)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema) as stream:
                 stream.write_batch(part)
@@ -439,14 +445,14 @@ def lm_scores(docs: DataFrame, held_out: object, order: int = 3) -> DataFrame:
     """
     spark = ship(docs.sparkSession)
     read = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
-    coded = materialize(read.mapInArrow(_coder, "chunk long, n_tokens long, n_train long, payload binary, rows binary"), "chunks")
-    total, tokens, n_bytes, chunks_ = coded.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_tokens")), F.coalesce(F.sum(F.length("payload")), F.lit(0)), F.count("*")).first()
+    n_bytes = read.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    coded = read.mapInArrow(_coder, "chunk long, n_tokens long, n_train long, payload binary, rows binary").rdd
     # Chunks, what they ask and what they are told meet by key. They are pairs in RDDs, as those keep the places they were
     # dealt to: a chunk and a hash are moved once, not again every round.
-    parts = max(spark.sparkContext.defaultParallelism, chunks_ // 2)
-    home = coded.select("chunk", "payload", "rows").rdd.map(lambda r: (r[0], (-1, 0, bytes(r[1]), bytes(r[2])))).partitionBy(parts, _spread)
-    # A chunk takes about a third of its text.
-    size = _Size(order, 1 << max(LEAST_BUCKETS - 1, 3 * n_bytes // BUCKET_BYTES).bit_length(), tokens)
+    parts = max(spark.sparkContext.defaultParallelism, coded.getNumPartitions(), n_bytes // (2 * CHUNK))
+    home = coded.map(lambda r: (r[0], (-1, r[1], bytes(r[3]), bytes(r[4]), r[2]))).partitionBy(parts, _spread)
+    tokens, total = home.map(lambda r: (r[1][1], r[1][4])).fold((0, 0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    size = _Size(order, 1 << max(LEAST_BUCKETS - 1, n_bytes // BUCKET_BYTES).bit_length(), tokens)
     known, heard, distinct = home, None, 0
     for r in range(max(1, order)):
         asked = known.mapPartitions(_asker(r, size, total, distinct)).partitionBy(size.buckets, _same)
