@@ -36,7 +36,7 @@ SPARE_BITS = 20
 #: Stands for the end of a text; no word hashes to it but by chance (1 in 2**64).
 END = np.uint64(0x656E64)
 #: Text of a chunk and of what a bucket holds, in bytes about.
-CHUNK, BUCKET_BYTES = 3 << 20, 6 << 20
+CHUNK, BUCKET_BYTES = 3 << 20, 8 << 20
 LEAST_BUCKETS = 32
 
 
@@ -405,9 +405,9 @@ SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _scorer(rounds: int, size: _Size, total: int, distinct: int):
-    """The scores of each chunk's texts, as an Arrow stream."""
+    """The scores of each chunk's texts."""
 
-    def run(pairs: Iterator[tuple]) -> Iterator[tuple[bytearray]]:
+    def run(pairs: Iterator[tuple]) -> Iterator[tuple]:
         for _, rows in _by_key(pairs):
             chunk, _, (base, score, known) = _replay(rows, rounds, size, total, distinct)
             part = pa.ipc.open_stream(rows[0][3]).read_next_batch()
@@ -421,21 +421,11 @@ def _scorer(rounds: int, size: _Size, total: int, distinct: int):
                 pa.array(np.bincount(chunk.doc, base, n)),
                 pa.array(np.bincount(chunk.doc, score, n)),
             ]
-            out = pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCORED.split(", ")])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, out.schema) as stream:
-                stream.write_batch(out)
-            yield (bytearray(sink.getvalue().to_pybytes()),)
+            yield from zip(*(c.to_pylist() for c in columns), strict=True)
 
     return run
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield from pa.ipc.open_stream(batch.column(0)[k].as_buffer())
-
-
 def lm_scores(docs: DataFrame, held_out: object, order: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs`` (doc_id, text).
 
@@ -462,7 +452,7 @@ def lm_scores(docs: DataFrame, held_out: object, order: int = 3) -> DataFrame:
             distinct = told.map(lambda x: x[1][3]).sum()
         known = known.union(told)
     scored = known.mapPartitions(_scorer(max(1, order), size, total, distinct))
-    return spark.createDataFrame(scored, "payload binary").mapInArrow(_opened, SCORED.format(id=read.schema["doc_id"].dataType.simpleString()))
+    return spark.createDataFrame(scored, SCORED.format(id=read.schema["doc_id"].dataType.simpleString()), verifySchema=False)
 
 
 def op5(docs: DataFrame) -> DataFrame:
