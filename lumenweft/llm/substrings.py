@@ -32,9 +32,9 @@ from lumenweft.session import ship
 
 #: Bytes of text in a block and of hashing at a time; bytes of the string that names a bucket.
 BLOCK_BYTES, PART_BYTES, ANCHOR = 5 << 19, 1 << 19, 16
-#: Text bytes a bucket of suffixes, a bucket of hashes (4 bytes for each of the cover's strings), and a task; a task takes
-#: its blocks or buckets one at a time.
-BUCKET_BYTES, RANK_BYTES, TASK_BYTES = 4 << 20, 32 << 20, 256 << 20
+#: Text bytes a bucket of suffixes, a bucket of hashes (4 bytes for each of the cover's strings), and a task, unless these
+#: would be too many; a task takes its blocks or buckets one at a time.
+BUCKET_BYTES, RANK_BYTES, TASK_BYTES, MOST_TASKS = 4 << 20, 32 << 20, 8 << 20, 100_000
 LEAST_BUCKETS = 32
 LAST = np.int64((1 << 63) - 1)
 
@@ -63,16 +63,33 @@ def period_for(length: int) -> int:
 # --- packing --------------------------------------------------------------------------------------------------------
 
 
+#: By level; under -1 what decompresses.
+_compressors: dict = {}
+
+
+def compress(data: bytes, level: int) -> bytes:
+    """With one compressor a process and level: its tables take longer to make than a small packet to compress."""
+    if level not in _compressors:
+        _compressors[level] = zstandard.ZstdCompressor(level=level)
+    return _compressors[level].compress(data)
+
+
+def decompress(data: bytes) -> bytes:
+    if -1 not in _compressors:
+        _compressors[-1] = zstandard.ZstdDecompressor()
+    return _compressors[-1].decompress(data)
+
+
 def pack(*arrays: np.ndarray, level: int = 5) -> bytes:
     parts = [struct.pack("<q", len(arrays))]
     for a in arrays:
         raw = np.ascontiguousarray(a).tobytes()
         parts += [struct.pack("<2sq", a.dtype.str[1:].encode(), len(raw)), raw]
-    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
+    return compress(b"".join(parts), level)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
+    raw = decompress(data)
     (n,), at, out = struct.unpack_from("<q", raw), 8, []
     for _ in range(n):
         kind, size = struct.unpack_from("<2sq", raw, at)
@@ -85,11 +102,11 @@ def unpack(data: bytes) -> list[np.ndarray]:
 def pack_sorted(values: np.ndarray) -> bytes:
     """Sorted 32-bit numbers as differences, byte plane by byte plane."""
     steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())
+    return compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(decompress(data), np.uint8).reshape(4, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
@@ -160,7 +177,7 @@ class Plan:
         self.anchor = min(ANCHOR, length)
         self.buckets, self.rank_buckets = (1 << max(LEAST_BUCKETS - 1, n_bytes // b).bit_length() for b in (BUCKET_BYTES, RANK_BYTES))
         self.bits = 32 + self.rank_buckets.bit_length() - 1
-        self.tasks = max(LEAST_BUCKETS, n_bytes // TASK_BYTES)
+        self.tasks = min(MOST_TASKS, max(LEAST_BUCKETS, n_bytes // TASK_BYTES))
         # From a window whose anchor is at ``a``: bytes to the next cover position, as the cover is laid from the anchor.
         residues = set((self.cover % self.v).tolist())
         self.to_cover = np.array([next(d for d in range(self.v) if (d - a) % self.v in residues) for a in range(length - self.anchor + 1)])
@@ -219,7 +236,7 @@ def _shared_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             at = np.minimum(np.searchsorted(twice, values), max(0, len(twice) - 1))
             bits = twice[at] == values if len(twice) else np.zeros(len(values), bool)
             if bits.any():
-                out.append((block, bucket, zstandard.ZstdCompressor(level=1).compress(np.packbits(bits).tobytes())))
+                out.append((block, bucket, compress(np.packbits(bits).tobytes(), 1)))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["block", "bucket", "payload"])
 
 
@@ -251,7 +268,7 @@ def _suffixes_of_block(plan: Plan, payload: bytes, bits: dict[int, bytes]) -> tu
     cuts = np.searchsorted(found, np.arange(plan.rank_buckets + 1, dtype=np.uint64) << np.uint64(32))
     for bucket, packed in bits.items():
         a, b = cuts[bucket], cuts[bucket + 1]
-        elsewhere[a:b] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8))[: b - a]
+        elsewhere[a:b] = np.unpackbits(np.frombuffer(decompress(packed), np.uint8))[: b - a]
     shared = (counts > 1)[inverse] | elsewhere[inverse]
     positions, outer = positions[shared], elsewhere[inverse][shared]
     del ranks, found, inverse, counts, shared
