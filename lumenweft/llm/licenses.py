@@ -1,8 +1,9 @@
 """Licence scans with a generalised suffix automaton of licence tokens.
 
 The automaton holds every substring of the templates. Streaming a file's tokens through it gives matching statistics:
-at each token the length of the longest template substring that ends there. Long maximal matches are then chained, per
-template, into spans whose covered tokens decide on the label. Phrases that name a licence are counted as well.
+at each token the length of the longest substring of each template that ends there. Long maximal matches are then chained,
+per template, into spans: tokens that a chain covers count for it, tokens that it skips in the file against it, and the
+words that tell a licence from its like have to stand in one match. Phrases that name a licence are counted as well.
 """
 
 from __future__ import annotations
@@ -20,7 +21,16 @@ from lumenweft.session import ship
 # Phrases that name a licence, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Public licence notices, by name and label.
+# Public licence notices, by name and label, and the words of a notice that tell it from others.
+TELLING = {
+    "mit-grant": "MIT License",
+    "mit-grant-2": "MIT license",
+    "apache-grant": "Apache License",
+    "gpl-grant": "GNU General Public License",
+    "cc-by-grant": "Creative Commons Attribution 4.0",
+    "apache-header": "Apache License",
+    "gpl-notice": "GNU General Public License",
+}
 TEMPLATES = [
     ("mit-grant", "mit", "Released under the MIT License"),
     ("mit-grant-2", "mit", "This project is licensed under the terms of the MIT license"),
@@ -58,7 +68,8 @@ TEMPLATES = [
     ),
 ]
 
-#: Matches of fewer tokens are not chained; gaps of a chain, in tokens; share of a template that a chain must cover.
+#: Matches of fewer tokens are not chained; gaps of a chain in the file, in tokens; what a chain must cover of a template,
+#: less its gaps, as a share.
 MIN_MATCH, MAX_GAP, MIN_COVERAGE = 3, 12, 0.6
 
 #: Digits, letters (after lower-casing A-Z) and everything beyond ASCII.
@@ -73,28 +84,27 @@ def _hash_words(text: str) -> np.ndarray:
 
 
 class Automaton:
-    """Suffix automaton of several token sequences; each state knows where, in which sequences, it first ends."""
+    """Suffix automaton of several token sequences; each state knows where, in which sequences, it ends."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[list[tuple[int, int]]] = [[]]
         for which, tokens in enumerate(sequences):
             last = 0
             for at, token in enumerate(tokens):
                 last = self._extend(last, token)
-                self.ends[last].setdefault(which, at)
-        for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            if self.link[state] > 0:
-                up = self.ends[self.link[state]]
-                for which, at in self.ends[state].items():
-                    up[which] = min(at, up.get(which, at))
+                self.ends[last].append((which, at))
+        self.longer: list[list[int]] = [[] for _ in self.next]
+        for state in range(1, len(self.next)):
+            self.longer[self.link[state]].append(state)
+        self.found: dict[int, dict[int, list[int]]] = {}
 
     def _new(self, length: int, nexts: dict[int, int], link: int) -> int:
         self.next.append(nexts)
         self.length.append(length)
         self.link.append(link)
-        self.ends.append({})
+        self.ends.append([])
         return len(self.next) - 1
 
     def _split(self, state: int, token: int) -> int:
@@ -121,50 +131,74 @@ class Automaton:
             self.link[new] = self._split(state, token)
         return new
 
-    def matches(self, tokens: list[int], least: int) -> Iterator[tuple[int, int, dict[int, int]]]:
-        """Maximal matches (start, length, {sequence: where it starts there}) of ``least`` tokens at least."""
+    def places(self, state: int) -> dict[int, list[int]]:
+        """Where the substrings of a state end, in all sequences that have them: its own places and those of longer ones."""
+        if state not in self.found:
+            every, left = [], [state]
+            while left:
+                s = left.pop()
+                every += self.ends[s]
+                left += self.longer[s]
+            out: dict[int, list[int]] = {}
+            for which, at in sorted(every):
+                out.setdefault(which, []).append(at)
+            self.found[state] = out
+        return self.found[state]
+
+    def matches(self, tokens: list[int], least: int) -> Iterator[tuple[int, int, int, list[int]]]:
+        """Of each sequence, the maximal matches of ``least`` tokens at least: (sequence, start, length, where they start in
+        it), in the order of their ends."""
         state = length = 0
-        held = None
+        before: dict[int, tuple[int, int]] = {}
         for at, token in enumerate([*tokens, -1]):
-            before = (state, length)
             while state and token not in self.next[state]:
                 state = self.link[state]
                 length = self.length[state]
             if token in self.next[state]:
                 state, length = self.next[state][token], length + 1
-            if length <= before[1] and before[1] >= least:
-                held = (at - before[1], before[1], {w: e - before[1] + 1 for w, e in self.ends[before[0]].items()})
-                yield held
-
-
-def chains(matches: list[tuple[int, int, dict[int, int]]], sizes: list[int], max_gap: int, coverage: float) -> list[tuple[int, int, int, int]]:
-    """(template, first token, last token, covered tokens) of the chains that cover enough of their template.
-
-    Matches of a template are joined in text order while they go forward in the template and gaps stay small.
+            # The longest match that ends here, and shorter ones of sequences that do not have it.
+            now: dict[int, tuple[int, int]] = {}
+            s, n = state, length
+            while s > 0 and n >= least:
+                for which in self.places(s):
+                    now.setdefault(which, (n, s))
+                s = self.link[s]
+                n = self.length[s]
+            for which, (n, s) in sorted(before.items()):
+                if now.get(which, (0, 0))[0] <= n:
+                    yield which, at - n, n, [e - n + 1 for e in self.places(s)[which]]
+            before = now
+
+
+def chains(matches: list[tuple[int, int, list[int]]], size: int, telling: tuple[int, int], max_gap: int, coverage: float) -> list[tuple[int, int, int, float]]:
+    """(first token, last token, covered tokens, coverage) of a template's best chains that do not overlap.
+
+    ``matches`` (start, length, places in the template) come in the order of the text. A chain goes forward in both; where
+    two of its matches overlap, the later gives way; it skips ``max_gap`` tokens of the text at most between two, and each of
+    them takes one off what is covered. One match has to hold the template's tokens ``telling`` (from, to; equal if none).
+    Of the chains to each match the best is kept: those with the telling words first, then by covered tokens less gaps.
     """
-    open_: dict[int, list[int]] = {}
-    done = []
-
-    def close(which: int) -> None:
-        first, last, _, covered = open_.pop(which)
-        if covered >= coverage * sizes[which]:
-            done.append((which, first, last, covered))
-
+    done: list[tuple[bool, int, int, int, int, int]] = []  # told, score, covered, first, end, end in the template
+    open_from = 0
     for start, length, places in matches:
-        for which, at in sorted(places.items()):
-            if which in open_:
-                first, last, end_at, covered = open_[which]
-                overlap = max(0, last + 1 - start)
-                if start <= last + 1 + max_gap and at + overlap >= end_at and length > overlap:
-                    open_[which] = [first, start + length - 1, at + length, covered + length - overlap]
-                    continue
-                if length <= covered and start <= last + 1:
-                    continue
-                close(which)
-            open_[which] = [start, start + length - 1, at + length, length]
-    for which in list(open_):
-        close(which)
-    return sorted(done)
+        while open_from < len(done) and done[open_from][4] < start - max_gap:
+            open_from += 1
+        new = []
+        for place in places:
+            told = place <= telling[0] and telling[1] <= place + length
+            best = (told or telling[0] == telling[1], length, length, start, start + length, place + length)
+            for before in done[open_from:]:
+                overlap = max(0, before[4] - start, before[5] - place)
+                gap = start + overlap - before[4]
+                if overlap < length and gap <= max_gap:
+                    best = max(best, (before[0] or told, before[1] + length - overlap - gap, before[2] + length - overlap, before[3], start + length, place + length))
+            new.append(best)
+        done += new
+    out: list[tuple[int, int, int, float]] = []
+    for told, score, covered, first, end, _ in sorted(done, key=lambda c: (-c[1], c[3])):
+        if told and score >= coverage * size and all(end <= a or b < first for a, b, _, _ in out):
+            out.append((first, end - 1, covered, score / size))
+    return sorted(out)
 
 
 SCHEMA = (
@@ -173,6 +207,11 @@ SCHEMA = (
 )
 
 
+def _place(words: np.ndarray, part: np.ndarray) -> tuple[int, int]:
+    """Where ``part`` first stands in ``words`` (from, to)."""
+    return next((k, k + len(part)) for k in range(len(words) - len(part) + 1) if (words[k : k + len(part)] == part).all())
+
+
 def _scanner(phrases: dict[str, str], templates: list[tuple[str, str, str]], schema: pa.DataType):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = [_hash_words(text) for _, _, text in templates]
@@ -180,6 +219,7 @@ def _scanner(phrases: dict[str, str], templates: list[tuple[str, str, str]], sch
         vocabulary = np.unique(np.concatenate([*hashed, *(h for h, _ in sought)]))
         ids = [np.searchsorted(vocabulary, h) for h in hashed]
         automaton, sizes = Automaton([x.tolist() for x in ids]), [len(x) for x in ids]
+        telling = [_place(x, _hash_words(TELLING.get(name, ""))) for (name, _, _), x in zip(templates, hashed, strict=True)]
         sought = [(np.searchsorted(vocabulary, h), label) for h, label in sought]
         for batch in batches:
             for first, end, offsets, data in chunks(batch):
@@ -204,14 +244,14 @@ def _scanner(phrases: dict[str, str], templates: list[tuple[str, str, str]], sch
                 run_start = np.flatnonzero(known[1:-1] & (~known[:-2] | np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else known[1:-1]))
                 run_end = np.flatnonzero(known[1:-1] & (~known[2:] | np.concatenate([doc[1:] != doc[:-1], [True]]) if len(doc) else known[1:-1])) + 1
                 long_runs = run_end - run_start >= MIN_MATCH
-                found: dict[int, list] = {}
+                found: dict[tuple[int, int], list] = {}
                 for a, b in zip(run_start[long_runs].tolist(), run_end[long_runs].tolist(), strict=True):
                     base = int(begin[doc[a]])
-                    for start, length, places in automaton.matches(token[a:b].tolist(), MIN_MATCH):
-                        found.setdefault(int(doc[a]), []).append((a - base + start, length, places))
-                for d, matches in found.items():
-                    for which, a, b, covered in chains(matches, sizes, MAX_GAP, MIN_COVERAGE):
-                        spans[d].append({"template": templates[which][0], "label": templates[which][1], "first_word": a, "last_word": b, "covered": covered, "coverage": min(1.0, covered / sizes[which])})
+                    for which, start, length, places in automaton.matches(token[a:b].tolist(), MIN_MATCH):
+                        found.setdefault((int(doc[a]), which), []).append((a - base + start, length, places))
+                for (d, which), matches in sorted(found.items()):
+                    for a, b, covered, coverage in chains(matches, sizes[which], telling[which], MAX_GAP, MIN_COVERAGE):
+                        spans[d].append({"template": templates[which][0], "label": templates[which][1], "first_word": a, "last_word": b, "covered": covered, "coverage": coverage})
                 columns = [batch.column(0).slice(first, end - first), pa.array(np.diff(begin)), pa.array(hits, schema.field("phrases").type), pa.array(spans, schema.field("spans").type)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -223,7 +263,8 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
 
     ``phrases`` lists every place of a naming phrase, ``spans`` the covered template spans, both in words from 0. Null
     and empty texts have no words. Repeated rows are scanned each; an empty table gives an empty result. Matches never
-    cross rows. Of matches that could chain in two ways the earlier start wins.
+    cross rows. Spans of one template do not overlap; of those that would, the one that covers more is there. ``coverage``
+    counts what a span covers less what it skips. TELLING has the words that a template of that name must match.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -45,18 +45,63 @@ def test_license_templates(spark):
     assert got[2].labels == got[3].labels == "" and got[2].score == 0
 
 
+def test_other_licenses_get_no_label(spark):
+    texts = [
+        "The album was released under the name Licence in 1999",
+        "Licensed under the Eclipse Public License version 2 0",
+        "This program is released under the terms of the Artistic License",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+        "This work is licensed under the European Union Public License, version 3",
+    ]
+    right = ["Licensed under the Apache License, Version 2.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed, dear reader, under the terms of the MIT license: this project is"]
+    got = {r.doc_id: r.labels for r in licenses.op2(spark.createDataFrame(list(enumerate(texts + right)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(8)] == [""] * 5 + ["apache", "cc-by", "mit"]
+
+
+def test_long_text_of_licenses(spark):
+    """Phrases, and spans of one notice, in a text of two million words."""
+    grant = "Released under the MIT License"
+    text = " ".join(["the licence of this and that"] * 100_000 + [grant] + ["software is provided as"] * 350_000 + [grant])
+    (r,) = licenses.op2(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (r.n_words, r.n_base, r.base_labels) == (*license_base(text)[:2], "mit")
+    assert [(x.template, x.first_word, x.last_word) for x in r.spans] == [("mit-grant", 600_000, 600_004), ("mit-grant", 2_000_005, 2_000_009)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=9), min_size=1, max_size=3), st.lists(st.integers(0, 3), max_size=25))
 def test_matching_statistics(sequences, text):
-    automaton = licenses.Automaton(sequences)
-    grams = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
-    longest = [max((n for n in range(i + 2) if tuple(text[i + 1 - n : i + 1]) in grams), default=0) for i in range(len(text))]
-    expected = {(i + 1 - n, n) for i, n in enumerate(longest) if n >= 2 and (i + 1 == len(text) or longest[i + 1] <= n)}
-    got = list(automaton.matches(text, 2))
-    assert {(s, n) for s, n, _ in got} == expected
-    for start, n, places in got:
-        assert {w for w, s in enumerate(sequences) if any(s[i : i + n] == text[start : start + n] for i in range(len(s)))} == set(places)
-        assert all(sequences[w][at : at + n] == text[start : start + n] for w, at in places.items())
+    got = list(licenses.Automaton(sequences).matches(text, 2))
+    expected = []
+    for w, s in enumerate(sequences):
+        grams = {tuple(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+        longest = [max((n for n in range(i + 2) if tuple(text[i + 1 - n : i + 1]) in grams), default=0) for i in range(len(text))]
+        expected += [(w, i + 1 - n, n, [k for k in range(len(s)) if s[k : k + n] == text[i + 1 - n : i + 1]]) for i, n in enumerate(longest) if n >= 2 and (i + 1 == len(text) or longest[i + 1] <= n)]
+    assert sorted(got) == sorted(expected)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=3, max_size=8), st.lists(st.integers(0, 3), max_size=14), st.integers(0, 4), st.integers(0, 3))
+def test_chains(template, text, max_gap, told):
+    """The best chain against all sequences of matches."""
+    telling = (0, min(told, len(template)))
+    matches = [m[1:] for m in licenses.Automaton([template]).matches(text, 2)]
+    single = [(s, n, p) for s, n, places in matches for p in places]
+
+    def scores(k, end, end_at, first, score, held):
+        if held:
+            yield score
+        for j in range(k, len(single)):
+            s, n, p = single[j]
+            overlap = 0 if first else max(0, end - s, end_at - p)
+            gap = 0 if first else s + overlap - end
+            if overlap < n and gap <= max_gap:
+                holds = p <= telling[0] and telling[1] <= p + n or telling[0] == telling[1]
+                yield from scores(j + 1, s + n, p + n, False, score + n - overlap - gap, held or holds)
+
+    best = max(scores(0, 0, 0, True, 0, False), default=0)
+    got = licenses.chains(matches, len(template), telling, max_gap, 1e-9)
+    assert max((round(c[3] * len(template)) for c in got), default=0) == best
+    assert all(a <= b for a, b, _, _ in got) and all(x[1] < y[0] for x, y in zip(got, got[1:], strict=False))
 
 
 def edits(a, b):
