@@ -17,21 +17,28 @@ from pyspark.sql import functions as F
 
 from lumenweft.llm.native import let
 
-# What a candidate looks like. Whatever is assigned to a naming word (8 characters or more, of any kind but
-# blanks and quotes), a key by its known head, 16 characters or more with a digit, or the head of a private key. A name
-# and its value are apart: '=' only ends a candidate.
+# What a candidate looks like. A private key from its first line to its last (or, where that is missing, with
+# the lines of characters that follow); whatever is assigned to a naming word (8 characters or more, of any kind but blanks
+# and quotes); a key by its known head; 16 characters or more with a digit. A name and its value are apart: '=' only ends a
+# candidate.
+_BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,\\\-]*?-----END [A-Z ]{0,24}PRIVATE KEY-----|(?:\s{1,4}[A-Za-z0-9+/=]{16,}){0,200})"
 _IN = r"A-Za-z0-9+/_\-"
 # What stands right before is looked at in steps, the cheapest first.
 _NAMED = r"(?<=[=: \t\"'])(?<=[=:][ \t]{0,2}[\"']?)(?<=(?i:token|secret|password|passwd|pwd|api[ _-]?key|access[ _-]?key|credential)[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?)(?![=:])[^\s\"'`,;<>]{8,}"
-CANDIDATE = rf"{_NAMED}|(?<![{_IN}])(?:(?:AKIA|ghp_|eyJ)[{_IN}]{{13,}}|(?=[A-Za-z+/_\-]*+[0-9])[{_IN}]{{16,}})={{0,2}}|-----BEGIN [A-Z ]{{0,24}}PRIVATE KEY-----"
+CANDIDATE = rf"{_BLOCK}|{_NAMED}|(?<![{_IN}])(?:(?:AKIA|ghp_|eyJ)[{_IN}]{{13,}}|(?=[A-Za-z+/_\-]*+[0-9])[{_IN}]{{16,}})={{0,2}}"
 
 # Neighbouring words that speak for and against a secret, paths of examples, placeholders.
 FOR = r"(?i)(token|secret|passw|pwd|api[ _-]?key|access[ _-]?key|auth|bearer|credential|private)[^\n]{0,16}$"
 AGAINST = r"(?i)(sha-?\d*|md5|commit|checksum|hash|uuid|guid|etag|digest|integrity|revision|session|isbn|url|https?)[^\n]{0,16}$"
 EXAMPLE_PATH = r"(?i)(test|example|sample|fixture|mock|docs?/)"
 PLACEHOLDER = r"(?i)(example|xxxx|your|change.?me|placeholder|dummy|00000|12345|abcdef)"
-# Frequent words and endings of the languages at hand.
-DICTIONARY = "the and ing tion ment able ness with from this that which there have not are was for ence ance ious ally er en der die das und ein sch keit ung lich che les des que eau eux ier oi ou la le de el los las cion ado mente ar re in on st an or es".split()
+# Frequent words and endings of the languages at hand, and words that names in programs are made of.
+DICTIONARY = (
+    "the and ing tion ment able ness with from this that which there have not are was for ence ance ious ally er en der die das und ein sch keit ung lich che les des que eau eux ier oi ou la le de el "
+    "los las cion ado mente ar re in on st an or es over under between about after before other some time year people world work home water light house stone river winter summer "
+    "user name data file index page list value test config server client message error request response service account manager default version update string number array object class "
+    "method table column image style button header footer content search filter result public static final return import export module package build release example sample internal external"
+).split()
 
 FEATURES = ("length", "digits", "capitals", "transitions", "variety", "hex", "dictionary", "letter_run", "word_for", "word_against", "assigned", "example_path", "placeholder", "groups")
 
@@ -188,21 +195,24 @@ def found_in(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
 
 
-def neighbourhoods(text: Column, found: Column) -> Column:
-    """(candidate, before, after) of each candidate; the text is split only if there are any."""
+def neighbourhoods(parts: Column, found: Column) -> Column:
+    """(candidate, before, after) of each candidate, given what the text has between them.
+
+    What stands before a candidate ends its part of the text, what stands after it begins the next part.
+    """
+    last = lambda p: F.when(F.length(p) > LEFT, F.substring(p, -LEFT, LEFT)).otherwise(p)
+    return F.transform(found, lambda c, i: F.struct(c.alias("candidate"), last(F.get(parts, i)).alias("before"), F.substring(F.get(parts, i + 1), 1, RIGHT).alias("after")))
 
-    def of(parts: Column) -> Column:
-        # What stands before a candidate ends its part of the text, what stands after it begins the next part.
-        last = lambda p: F.when(F.length(p) > LEFT, F.substring(p, -LEFT, LEFT)).otherwise(p)
-        return F.transform(found, lambda c, i: F.struct(c.alias("candidate"), last(F.get(parts, i)).alias("before"), F.substring(F.get(parts, i + 1), 1, RIGHT).alias("after")))
 
-    return F.when(F.size(found) > 0, let(F.split(text, CANDIDATE), of))
+def around(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the text's parts between candidates and the candidates; null if there are none. The text is split only then."""
+    return let(found_in(text), lambda found: F.when(F.size(found) > 0, let(F.split(text, CANDIDATE), lambda parts: body(parts, found))))
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """(doc_id, path, ordinal, candidate, before, after): every candidate of every text with its neighbourhood."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    listed = let(text, lambda t: let(found_in(t), lambda found: neighbourhoods(t, found)))
+    listed = let(text, lambda t: around(t, neighbourhoods))
     df = docs.select("doc_id", (F.col(path).cast("string") if path in docs.columns else F.lit("")).alias("path"), F.posexplode(listed).alias("ordinal", "found"))
     return df.select("doc_id", "path", "ordinal", "found.candidate", "found.before", "found.after")
 
@@ -222,9 +232,11 @@ def secret_scan(docs: DataFrame, path: str = "source", threshold: float = THRESH
 
 
 def redact(docs: DataFrame, path: str = "source", mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with each secret in a text replaced by ``mark``; n_chars, if there, follows. No row is dropped or moved.
+    """``docs`` with ``mark`` in the place of each secret; n_chars, if there, follows. No row is dropped or moved.
 
-    The forest votes within the row, and only in texts with a candidate.
+    The forest votes within the row, and only in texts with a candidate. Only the place of the candidate changes: the same
+    characters inside another word stay. A private key goes from its first line to its last. Null, empty and clean texts,
+    other columns, repeated rows and an empty table stay as they are.
     """
     forest = trained_forest(docs.sparkSession)
     place = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
@@ -234,13 +246,12 @@ def redact(docs: DataFrame, path: str = "source", mark: str = "[SECRET]", thresh
         vote = let(F.struct(*(v.alias(k) for k, v in named.items())), lambda f: forest_column(forest, lambda name: f[name]))
         return x.candidate.startswith("-----BEGIN ") | (vote >= threshold)
 
-    def cleaned(text: Column, found: Column) -> Column:
-        bad = F.array_distinct(F.transform(F.filter(neighbourhoods(text, found), secret), lambda x: x.candidate))
-        longest_first = F.transform(F.array_sort(F.transform(bad, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x.s)
-        return F.when(F.size(found) > 0, F.aggregate(longest_first, text, lambda t, s: F.replace(t, s, F.lit(mark)))).otherwise(text)
+    def cleaned(parts: Column, found: Column) -> Column:
+        instead = F.transform(neighbourhoods(parts, found), lambda x: F.when(secret(x), F.lit(mark)).otherwise(x.candidate))
+        return F.array_join(F.flatten(F.zip_with(parts, instead, lambda p, c: F.array(p, F.coalesce(c, F.lit(""))))), "")
 
     text = F.col("text").cast("string")
-    out = docs.withColumn("text", F.when(text.isNotNull(), let(text, lambda t: let(found_in(t), lambda found: cleaned(t, found)))))
+    out = docs.withColumn("text", F.when(text.isNotNull(), let(text, lambda t: F.coalesce(around(t, cleaned), t))))
     if "n_chars" in docs.columns:
         kept = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), kept).otherwise(F.col("n_chars")))
