@@ -81,16 +81,20 @@ def slots_of(ids: DataFrame, column: str) -> DataFrame:
     return F.broadcast(ids.select(slot(F.col(column)).alias("slot")).distinct())
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` that are surely none of ``ids`` (doc_id), and those that may be. Neither is shuffled.
+def split_by(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose ``column`` is surely none of ``ids`` (the same column), and those that may be. None is shuffled.
 
-    With very many ids all slots are taken and every row may be one; nothing but the saving is lost then.
+    With very many ids all slots are taken and every row may be one; nothing but the saving is lost then. Null is an id.
     """
-    slots = slots_of(ids, "doc_id")
-    same = slot(docs["doc_id"]) == slots["slot"]
+    slots = slots_of(ids, column)
+    same = slot(docs[column]) == slots["slot"]
     return docs.join(slots, same, "left_anti"), docs.join(slots, same, "left_semi")
 
 
+def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return split_by(docs, ids, "doc_id")
+
+
 # --- Arrow batches as bytes -----------------------------------------------------------------------------------------
 
 
@@ -194,36 +198,6 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     return hashed_spans(LOWER[data], starts, ends), first
 
 
-class Lookup:
-    """Places of values in a sorted array of distinct hashes, by a table over their upper bits instead of a search."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
-        bits = min(22, max(8, len(hashes).bit_length() + 6))
-        self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
-        slots, counts = np.unique(hashes >> self.shift, return_counts=True)
-        self.most = int(counts.max()) if len(counts) else 0
-        # A slot without hashes points at the end, where nothing matches.
-        empty = np.ones(1 << bits, bool)
-        empty[slots.astype(np.int64)] = False
-        self.first[empty] = len(hashes)
-        # Past the end stands the complement of the last hash: never equal to a value that was looked up there.
-        self.padded = np.append(hashes, np.full(self.most + 1, ~hashes[-1] if len(hashes) else 0, np.uint64))
-
-    def __call__(self, values: np.ndarray) -> np.ndarray:
-        """The place of each value, or -1."""
-        out = np.full(len(values), -1, np.int64)
-        if not len(self.hashes):
-            return out
-        some = np.flatnonzero((at := self.first[(values >> self.shift).astype(np.int64)]) < len(self.hashes))
-        at, sought = at[some], values[some]
-        for k in range(self.most):
-            hit = self.padded[at + k] == sought
-            out[some[hit]] = at[hit] + k
-        return out
-
-
 def crc32_mod(column, n: int):
     """crc32 of a value's text, modulo n, as a Spark expression."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(n)
