@@ -1,91 +1,10 @@
-"""Corpus preparation: each stage takes the table of documents that the stage before it kept."""
+"""Corpus preparation: STAGES in order, each over the table of documents that the stage before it kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from lumenweft.llm.stages import STAGES, run
 
-from lumenweft.llm import decontamination, minhash, mixing, quality, secrets
-from lumenweft.llm.common import materialize, split_by_ids, unused
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
-    return quality.keep_good(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8) the smallest doc_id stays, of its repeated rows one.
-
-    Where a doc_id stands with different texts, each of them is a document of its own.
-    """
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    repeated = materialize(repeated, "repeated")
-    node, digest, nth = (unused(docs.columns, c) for c in ("node", "digest", "nth"))
-
-    def with_nodes(rows: DataFrame) -> DataFrame:
-        """The number that a row's text goes by: its doc_id, or a hash of both if the doc_id is repeated."""
-        again = repeated.withColumn(node, F.lit(True))
-        return rows.join(again, "doc_id", "left").withColumn(node, F.when(F.col(node), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")))
-
-    clear, doubtful = split_by_ids(docs, repeated)
-    doubtful = with_nodes(doubtful)
-    nodes = clear.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(doubtful.select(F.col(node).alias("doc_id"), "text"))
-    moved = minhash.near_duplicates(nodes).where("not kept").select("id", F.col("component_id").alias("component"))
-    moved = materialize(moved.distinct(), "moved")
-    members = moved.union(moved.select(F.col("component").alias("id"), "component").distinct())
-    of = doubtful.select(F.col(node).alias("id"), F.col("doc_id").cast("long").alias("doc")).where("id <> doc").distinct()
-    members = materialize(members.join(of, "id", "left").withColumn("doc", F.coalesce("doc", "id")), "members")
-    best = members.groupBy("component").agg(F.min(F.struct("doc", "id")).alias("best"))
-    gone = materialize(members.join(best, "component").where("id <> best.id").select("id", "doc"), "gone")
-    # Only rows that may go or repeat are moved.
-    clear, doubtful = split_by_ids(docs, gone.select(F.col("doc").cast(docs.schema["doc_id"].dataType).alias("doc_id")).union(repeated))
-    rest = with_nodes(doubtful).join(gone.select(F.col("id").alias(node)).distinct(), node, "left_anti")
-    same = Window.partitionBy("doc_id", digest).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")))
-    once = rest.withColumn(digest, F.xxhash64("text")).withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1)
-    return clear.select(*docs.columns).unionByName(once.select(*docs.columns))
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    found = decontamination.op10(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = materialize(found.select("doc_id").distinct(), "contaminated")
-    clear, doubtful = split_by_ids(docs, found)
-    return clear.select(*docs.columns).unionByName(doubtful.join(found, "doc_id", "left_anti").select(*docs.columns))
-
-
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; every document stays."""
-    return secrets.redact(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents to train on with size and copies to take: complete epochs, and one more where sampled.
-
-    Columns of ``docs`` that are called size or copies give way to these.
-    """
-    mixed = mixing.mix(docs).withColumn("copies", F.col("epochs") + F.col("extra").cast("long")).where("copies > 0")
-    taken = mixed.groupBy("doc_id", "source").agg(F.max("size").alias("size"), F.max("copies").alias("copies"))
-    kept = [c for c in docs.columns if c.lower() not in ("size", "copies")]
-    rows = docs.select(F.struct(*kept).alias("row"))
-    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source"))
-    return rows.join(taken, same).select("row.*", "size", "copies")
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontaminate),
-    ("secret_scan", redact_secrets),
-    ("source_mix", mix_sources),
-]
-#: The retrieval, the forest and the exact duplicates cannot be put as SQL; tests compare with brute force.
+#: The retrieval, the forest and the near duplicates cannot be put as SQL; tests compare with brute force.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to the documents of ``sf_dir``; what a stage kept is stored before the next one reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
