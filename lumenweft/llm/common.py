@@ -91,10 +91,6 @@ def split_by(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, D
     return docs.join(slots, same, "left_anti"), docs.join(slots, same, "left_semi")
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return split_by(docs, ids, "doc_id")
-
-
 # --- Arrow batches as bytes -----------------------------------------------------------------------------------------
 
 

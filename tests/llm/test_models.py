@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenweft.llm import chat, decontamination, lm, mixing, substrings
+from lumenweft.llm import chat, decontamination, lm, mixing, stages, substrings
 from tests.llm.conftest import lower_words, words
 
 
@@ -245,9 +245,9 @@ def test_pipeline(spark, docs, odd, sf):
         for df in (odd, odd.where("false")):
             assert stage(spark, df, sf).columns == odd.columns
             stage(spark, df, sf).write.format("noop").mode("overwrite").save()
-    last = corpus_pipeline.mix_sources(spark, odd, sf)
+    last = stages.mix_sources(spark, odd, sf)
     assert len(set(last.columns)) == len(last.columns) and last.count() > 0
-    once = corpus_pipeline.near_dedup(spark, odd, sf)
+    once = stages.near_dedup(spark, odd, sf)
     assert once.where("doc_id in (1, 2)").count() == 1 and once.where("doc_id is null").count() == 2
 
 
@@ -292,7 +292,7 @@ def test_near_dedup_of_repeated_ids(spark, sf):
     prose = lambda: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(60))
     a, b, c = prose(), prose(), prose()
     rows = [(1, a), (7, a + " tail"), (7, b), (7, b), (9, b + " end"), (5, c), (5, c + " more"), (6, None), (6, prose())]
-    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string"), sf)
+    out = stages.near_dedup(spark, spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string"), sf)
     got = sorted((r.doc_id, r.text) for r in out.collect() if r.doc_id != 5 and r.doc_id != 6)
     assert got == sorted([(1, a), (7, b)])
     assert out.where("doc_id = 5").count() == 1 and out.where("doc_id = 6").count() == 2
@@ -373,3 +373,57 @@ def test_latent_directions_are_cut(spark, docs, sf):
     basis = decontamination.latent_basis(docs.select("text").coalesce(2), bench, idf)
     assert basis.shape[1] == decontamination.RANK < len(bench.words)
     assert np.abs(basis.T @ basis - np.eye(basis.shape[1])).max() < 1e-2
+
+
+def test_stages_on_few_and_odd_columns(spark, sf):
+    """Tables of doc_id and text only, with a map column, and contaminated rows without doc_id."""
+    text = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    prose = " ".join(f"w{k}" for k in range(60))
+    few = spark.createDataFrame([(1, prose), (1, prose), (2, prose + " x"), (None, text), (None, prose), (3, text), (3, prose[:120])], "doc_id long, text string")
+    for df in (few, few.withColumn("key", F.create_map(F.lit("a"), F.col("text")))):
+        kept = stages.near_dedup(spark, df, sf)
+        assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, prose), (0, text), (0, prose), (3, text), (3, prose[:120])])
+        clean = stages.decontaminate(spark, df, sf)
+        assert clean.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted([(1, prose), (1, prose), (2, prose + " x"), (0, prose), (3, prose[:120])])
+        for stage in (stages.quality_rules, stages.redact_secrets):
+            assert stage(spark, df, sf).count() == 7
+
+
+def test_pipeline_by_brute_force(spark, docs, sf):
+    """What each stage keeps, restated over its own input: near copies by all pairs, passages word by word, sizes and targets."""
+    plain = lambda t: " ".join(re.findall(r"\w+", (t or "").lower()))
+    good = stages.quality_rules(spark, docs, sf)
+    rows = {r.doc_id: r for r in docs.collect()}
+    ids = {r.doc_id for r in good.collect()}
+    assert all(len(words(rows[i].text)) >= 10 for i in ids)
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i in ids for w in [lower_words(rows[i].text)]}
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    order = sorted(ids)
+    for a in order:
+        for b in order:
+            both = len(shingles[a] & shingles[b]) if a < b else 0
+            if both and 5 * both >= 4 * (len(shingles[a]) + len(shingles[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    once = stages.near_dedup(spark, good, sf)
+    kept = {r.doc_id for r in once.collect()}
+    assert kept == {find(i) for i in ids} and len(kept) < len(ids)
+    items = [plain(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = {r.doc_id for r in stages.decontaminate(spark, once, sf).collect()}
+    assert clean == {i for i in kept if not any(x in plain(rows[i].text) for x in items)}
+    mixed = stages.mix_sources(spark, once.where(F.col("doc_id").isin(list(clean))), sf).collect()
+    sizes = Counter()
+    for i in clean:
+        sizes[rows[i].source] += len(words(rows[i].text))
+    goal, taken = water_fill(dict(sizes)), Counter()
+    for r in mixed:
+        assert r.size == len(words(rows[r.doc_id].text)) and 1 <= r.copies <= 2
+        taken[r.source] += r.size * r.copies
+    largest = {s: max(len(words(rows[i].text)) for i in clean if rows[i].source == s) for s in goal}
+    assert all(abs(taken[s] - goal[s]) <= largest[s] for s in goal)
