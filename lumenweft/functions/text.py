@@ -17,6 +17,11 @@ def blank(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def strip(c: Column) -> Column:
+    """Without blanks of any kind at either end; null stays null."""
+    return F.regexp_replace(F.regexp_replace(c.cast("string"), "^" + SPACES, ""), SPACES + "$", "")
+
+
 def squeeze(c: Column) -> Column:
     """Runs of blanks become one space; none at either end."""
     return F.trim(F.regexp_replace(blank(c), SPACES, " "))
@@ -40,7 +45,7 @@ def stable_id(first: Column, second: Column, ordinal: Column, title: Column, sum
     """The first given id (by truth: empty falls through, blank does not), else one made from ordinal and content."""
     given = F.coalesce(F.nullif(first.cast("string"), F.lit("")), F.nullif(second.cast("string"), F.lit("")))
     made = F.concat(F.lit("story-"), ordinal.cast("string"), F.lit("-"), F.substring(F.sha2(F.concat(blank(title), F.lit("\x00"), blank(summary)), 256), 1, 12))
-    return F.coalesce(F.nullif(F.trim(given), F.lit("")), made)
+    return F.coalesce(F.nullif(strip(given), F.lit("")), made)
 
 
 def content_hash(title: Column, summary: Column) -> Column:
@@ -48,7 +53,7 @@ def content_hash(title: Column, summary: Column) -> Column:
 
 
 def search_payload(title: Column, keywords: Column, summary: Column) -> Column:
-    named = F.when(F.trim(blank(title)) == "", F.lit("Untitled")).otherwise(blank(title))
+    named = F.when(strip(blank(title)) == "", F.lit("Untitled")).otherwise(blank(title))
     return F.concat(F.lit("Title: "), named, F.lit(" | Atmosphere: "), F.array_join(keywords, ", "), F.lit(" | Summary: "), blank(summary))
 
 
@@ -56,15 +61,15 @@ def preview(c: Column, most: int = 700) -> Column:
     """Reader-facing summary: no metadata tail, no div tags, single spaces, cut at ``most`` characters."""
     if most < 1:
         raise ValueError("most must be positive")
-    text = F.regexp_replace(blank(c), r"(?i)\n\s*(?:---\s*)?metadata(?:\s*---)?\s*:?[\s\S]*$", "")
-    text = squeeze(F.regexp_replace(text, r"(?i)</?div\b[^>]*>", ""))
+    text = F.regexp_replace(blank(c), fixed.METADATA_TAIL, "")
+    text = squeeze(F.regexp_replace(text, fixed.DIV_TAG, ""))
     return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most)), F.lit("…"))).otherwise(text)
 
 
 def speech(title: Column, c: Column, most: int = 3500) -> Column:
     """Title and preview to be read aloud; null if there is nothing to read."""
     text = preview(c, most)
-    return F.when(text != "", F.concat(F.coalesce(F.nullif(F.trim(blank(title)), F.lit("")), F.lit("This story")), F.lit(". "), text))
+    return F.when(text != "", F.concat(F.coalesce(F.nullif(strip(blank(title)), F.lit("")), F.lit("This story")), F.lit(". "), text))
 
 
 def bigrams(tokens: Column) -> Column:
@@ -87,7 +92,7 @@ def playable(c: Column) -> Column:
 
 def fallback_keywords(c: Column) -> Column:
     """Up to eight distinct words in order; short lists are padded to three by their length."""
-    words = F.slice(F.array_distinct(F.transform(F.regexp_extract_all(blank(c), F.lit("[A-Za-z][A-Za-z'-]{2,}"), F.lit(0)), lambda w: F.lower(w))), 1, 8)
+    words = F.slice(F.array_distinct(F.transform(F.regexp_extract_all(blank(c), F.lit(fixed.KEYWORD), F.lit(0)), lambda w: F.lower(w))), 1, 8)
     story, mood, drama = (F.lit(w) for w in fixed.PADDING)
     n = F.size(words)
     return F.when(n == 0, F.array(drama, story, mood)).when(n == 1, F.concat(words, F.array(story, mood))).when(n == 2, F.concat(words, F.array(mood))).otherwise(words)
@@ -95,8 +100,8 @@ def fallback_keywords(c: Column) -> Column:
 
 def contacts(c: Column) -> Column:
     """Distinct phone numbers, sorted, or a default text."""
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(blank(c), F.lit(r"(?:\+91[- ]?)?[6-9][0-9]{9}"), F.lit(0))))
-    return F.when(F.size(found) > 0, F.array_join(found, ", ")).otherwise(F.lit("Not stated"))
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(blank(c), F.lit(fixed.CONTACT), F.lit(0))))
+    return F.when(F.size(found) > 0, F.array_join(found, ", ")).otherwise(F.lit(fixed.NO_CONTACT))
 
 
 def escape_markup(c: Column, apostrophe: str | None = "&apos;") -> Column:

@@ -6,11 +6,12 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweft import fixed
+from lumenweft.functions import text as T
 from lumenweft.functions import vectors as V
 from lumenweft.session import ship
 
@@ -23,8 +24,8 @@ def clean_features(paragraph: Column, keywords: Column, scores: Column) -> tuple
 
     Valid: a paragraph, five to eight keywords and none blank, exactly the axes, all between 0 and 1.
     """
-    text = F.trim(paragraph)
-    words = F.transform(keywords, lambda k: F.lower(F.trim(k)))
+    text = T.strip(paragraph)
+    words = F.transform(keywords, lambda k: F.lower(T.strip(k)))
     axes = F.array(*(F.lit(a) for a in fixed.AXES))
     same = (F.size(F.array_except(F.map_keys(scores), axes)) == 0) & (F.size(F.array_except(axes, F.map_keys(scores))) == 0)
     inside = F.forall(F.map_values(scores), lambda v: F.coalesce(~F.isnan(v) & v.between(0.0, 1.0), F.lit(False)))
@@ -86,7 +87,8 @@ def build_stats(built: DataFrame) -> DataFrame:
     return built.agg(F.count_if(F.col("status") == "reused").alias("reused"), F.count_if(F.col("status") == "cached").alias("cached"), F.count_if(F.col("status") == "pending").alias("pending"), F.count("*").alias("total"))
 
 
-Model = Callable[[list[str]], list[list[float]]]
+#: From texts to vectors, or to pairs (index of the text, vector) in any order.
+Model = Callable[[list[str]], list]
 
 
 def stub_embedder(width: int = 16) -> Model:
@@ -98,29 +100,72 @@ def stub_embedder(width: int = 16) -> Model:
     return embed
 
 
-def embed(df: DataFrame, payload: str, model: Model, batch: int = BATCH) -> DataFrame:
-    """``df`` with ``embedding``, the model called on ``batch`` texts at a time; its answers must match in number."""
-    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+def in_order(answers: list, n: int) -> list:
+    """A model's answers in the order of its texts; pairs (index, answer) are put in order. ValueError unless there is
+    exactly one for each text."""
+    if answers and all(isinstance(a, tuple) and len(a) == 2 and isinstance(a[0], int) for a in answers):
+        answers = sorted(answers, key=lambda a: a[0])
+        if [i for i, _ in answers] != list(range(n)):
+            raise ValueError("The model's answers don't match its texts: an index is missing, repeated or out of range.")
+        return [v for _, v in answers]
+    if len(answers) != n:
+        raise ValueError("The model's answers don't match its texts.")
+    return list(answers)
+
+
+def answer_order(answers: DataFrame) -> DataFrame:
+    """(batch, n, contiguous, answers) for answers (batch, index, answer) in any order: sorted by index, and whether the
+    indexes are exactly 0 to n - 1. Null indexes never are."""
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.col("index").alias("index"), F.col("answer").alias("answer"))))
+    n, kinds = F.count("*"), F.count_distinct("index")
+    good = F.coalesce((F.min("index") == 0) & (F.max("index") == n - 1) & (kinds == n), F.lit(False))
+    return answers.groupBy("batch").agg(n.alias("n"), good.alias("contiguous"), F.transform(sorted_, lambda a: a.answer).alias("answers"))
+
+
+def _unit_vectors(vectors: list, width: int | None) -> list[list[float]]:
+    out = []
+    for v in vectors:
+        length = sum(x * x for x in v) ** 0.5
+        if not 0 < length < float("inf") or len(v) != (width or len(v)):
+            raise ValueError("The model returned an invalid vector.")
+        out.append([x / length for x in v])
+    return out
+
+
+def embed(df: DataFrame, payload: str, model: Model, batch: int = BATCH, width: int | None = None, keep_errors: bool = False) -> DataFrame:
+    """``df`` with ``embedding``, the model called on ``batch`` texts at a time; its answers must match its texts.
+
+    With ``keep_errors`` a call that fails gives its rows a null vector and the reason in ``embedding_error``; else it fails
+    the query.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
     ship(df.sparkSession)
-    schema = StructType([*df.schema.fields, StructField("embedding", ArrayType(FloatType()))])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out: list[list[float]] = []
-            for at in range(0, len(frame), batch):
-                texts = frame[payload].iloc[at : at + batch].fillna("").tolist()
-                vectors = model(texts)
-                if len(vectors) != len(texts):
-                    raise ValueError("The model's answers don't match its texts.")
-                for v in vectors:
-                    length = sum(x * x for x in v) ** 0.5
-                    if not 0 < length < float("inf"):
-                        raise ValueError("The model returned an invalid vector.")
-                    out.append([x / length for x in v])
-            yield frame.assign(embedding=out)
-
-    return df.mapInPandas(run, schema)
+    added = [StructField("embedding", ArrayType(FloatType())), *[StructField("embedding_error", StringType())] * keep_errors]
+    place = df.columns.index(payload)
+    schema = StructType([*df.schema.fields, *added])
+    arrow = to_arrow_schema(StructType(added))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            out: list[list[float] | None] = []
+            errors: list[str | None] = []
+            texts = [t or "" for t in rows.column(place).to_pylist()]
+            for at in range(0, len(texts), batch):
+                some = texts[at : at + batch]
+                try:
+                    out += _unit_vectors(in_order(model(some), len(some)), width)
+                    errors += [None] * len(some)
+                except Exception as why:
+                    if not keep_errors:
+                        raise
+                    out += [None] * len(some)
+                    errors += [f"{type(why).__name__}: {why}"] * len(some)
+            new = [pa.array(c, f.type) for c, f in zip((out, errors), arrow, strict=False)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *new], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def fingerprint(**parts: object) -> str:
@@ -134,11 +179,3 @@ def store_is_current(store: DataFrame, metadata: DataFrame, expected: str, id_co
     seen = inspect(store, id_col, vector).crossJoin(store.agg(F.count_if(~F.coalesce(V.unit(F.col(vector)), F.lit(False))).alias("not_unit")))
     same = (F.col("fingerprint") == expected) & (F.col("n") == F.col("n_rows")) & (F.col("repeated_ids") == 0) & (F.col("invalid") == 0) & (F.col("not_unit") == 0) & (F.col("least_width") == F.col("largest_width"))
     return seen.crossJoin(meta).select(F.coalesce(same, F.lit(False)).alias("current"))
-
-
-def publish(built: DataFrame, checkpoint_path: str, store_path: str, failed: Column) -> None:
-    """Rows that succeeded are committed first; the store is written only if none failed."""
-    built.where(~failed).write.mode("overwrite").parquet(checkpoint_path)
-    if built.where(failed).limit(1).count():
-        raise ValueError("Some rows failed; those that succeeded are in the checkpoint.")
-    built.sparkSession.read.parquet(checkpoint_path).write.mode("overwrite").parquet(store_path)

@@ -16,13 +16,12 @@ def _column(df: DataFrame, name: str) -> Column:
 def identity(df: DataFrame) -> Column:
     """What makes a post the same post: its first link (with the key's name), else a digest of text, time, author and
     group, else a digest of the whole row."""
-    strip = lambda c: F.regexp_replace(F.regexp_replace(c, r"^(?U)[\s\x{1c}-\x{1f}]+", ""), r"(?U)[\s\x{1c}-\x{1f}]+$", "")
     out = F.concat(F.lit("row:"), F.sha1(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns))))))
     for key in reversed([k for k in fixed.TEXT_KEYS if k in df.columns]):
-        parts = [strip(_column(df, k)) for k in (key, *fixed.FALLBACK_KEYS)]
-        out = F.when(strip(_column(df, key)) != "", F.concat(F.lit("fallback:"), F.sha1(F.concat_ws("|", *parts)))).otherwise(out)
+        parts = [T.strip(_column(df, k)) for k in (key, *fixed.FALLBACK_KEYS)]
+        out = F.when(T.strip(_column(df, key)) != "", F.concat(F.lit("fallback:"), F.sha1(F.concat_ws("|", *parts)))).otherwise(out)
     for key in reversed([k for k in fixed.URL_KEYS if k in df.columns]):
-        link = strip(_column(df, key))
+        link = T.strip(_column(df, key))
         out = F.when(link != "", F.concat(F.lit(key + ":"), link)).otherwise(out)
     return out
 
@@ -40,33 +39,30 @@ def ordered_columns(columns: list[str]) -> list[str]:
     return first + sorted(set(columns) - set(first))
 
 
-RENT = r"(?i)Rent\s*:\s*[₹Rs. ]*([0-9][0-9,]*)"
-KIND = r"(?i)\b([234])\s*BHK\b"
-MONTHS = r"(?i)\b(?:July|August)\s+2026\b"
-
-
-def filter_listings(posts: DataFrame, *order: str, months: str = MONTHS, limit: int = 20_000) -> DataFrame:
+def filter_listings(posts: DataFrame, *order: str, months: str = fixed.MONTHS, limit: int = 20_000) -> DataFrame:
     """Qualifying listings of posts (author, timestamp, postUrl, text, source_file), deduplicated before they are filtered.
 
-    The first post of a link, or of author and the text's first 200 characters, stands for it even if it is rejected.
+    The first post of a link, or of author and the text's first 200 characters, stands for it even if it is rejected. A
+    column ``Post URL`` has the link where postUrl is empty or not there.
     """
-    text, url = T.blank(F.col("text")), T.blank(F.col("postUrl"))
+    text = T.blank(F.col("text"))
+    url = F.coalesce(F.nullif(_column(posts, "postUrl"), F.lit("")), _column(posts, "Post URL"))
     key = F.when(url != "", url).otherwise(F.concat(T.blank(F.col("author")), F.lit("|"), F.substring(text, 1, 200)))
     once = keep_first(posts, key, *order)
-    amount = F.replace(F.regexp_extract(text, RENT, 1), F.lit(","), F.lit(""))
-    kept = once.where(text.rlike(KIND) & T.blank(F.col("timestamp")).rlike(months) & (amount != "") & (amount.try_cast("bigint") < limit))
-    place = F.trim(F.regexp_extract(text, r"(?i)(?:Location|Society|Address)\s*:\s*([^\n]+)", 1))
-    bathroom = F.when(text.rlike("(?i)attached bathroom|private bathroom"), "Private/attached").when(text.rlike("(?i)shared.*(?:washroom|bathroom)|(?:washroom|bathroom).*shared"), "Shared").otherwise("Not stated")
+    amount = F.replace(F.regexp_extract(text, fixed.RENT, 1), F.lit(","), F.lit(""))
+    kept = once.where(text.rlike(fixed.KIND) & T.blank(F.col("timestamp")).rlike(months) & (amount != "") & (amount.try_cast("bigint") < limit))
+    place = T.strip(F.regexp_extract(text, fixed.PLACE, 1))
+    bathroom = F.when(text.rlike(fixed.BATHROOM), "Private/attached").when(text.rlike(fixed.SHARED_BATHROOM), "Shared").otherwise(fixed.NO_BATHROOM)
     return kept.select(
         T.blank(F.col("author")).alias("poster_name"),
-        F.when(text.rlike(r"(?i)(?:Location|Society|Address)\s*:\s*([^\n]+)"), place).otherwise("Not stated").alias("google_map_location"),
+        F.when(text.rlike(fixed.PLACE), place).otherwise(fixed.NO_PLACE).alias("google_map_location"),
         bathroom.alias("private_bathroom"),
         T.blank(F.col("timestamp")).alias("post_date"),
         url.alias("post_link"),
         amount.cast("bigint").alias("room_rent_including_maintenance_inr"),
         T.contacts(text).alias("contact_number"),
         F.substring(text, 1, 1500).alias("additional_requirements"),
-        F.concat(F.regexp_extract(text, KIND, 1), F.lit("BHK")).alias("bhk"),
+        F.concat(F.regexp_extract(text, fixed.KIND, 1), F.lit("BHK")).alias("bhk"),
         T.blank(F.col("source_file")).alias("source_file"),
     )
 
@@ -74,21 +70,23 @@ def filter_listings(posts: DataFrame, *order: str, months: str = MONTHS, limit:
 def merge_listings(base: DataFrame, detail: DataFrame, keep_commas: bool = False) -> DataFrame:
     """Base posts (first of a link) with details (last of a link); defaults stand only where no detail matches.
 
-    ``base``: ordinal, poster, link, bath, rent, gender; ``detail``: ordinal, link, place, bathroom, needs, contact.
+    ``base``: ordinal, poster, link, bath, rent, gender; ``detail``: ordinal, link, place, bathroom, needs, contact. Rupee
+    signs read in a wrong encoding are mended.
     """
     left = keep_first(base.withColumn("link", T.blank(F.col("link"))), F.col("link"), "ordinal")
     right = keep_first(detail.withColumn("link", T.blank(F.col("link"))), F.col("link"), "ordinal", last=True)
     right = right.select("link", "place", "bathroom", "needs", "contact", F.lit(True).alias("matched"))
     joined = left.join(right, "link", "left")
     given = lambda column, default: F.when(F.col("matched").isNull(), default).otherwise(T.blank(F.col(column)))
+    poster, place, needs = (mojibake(c) for c in (T.blank(F.col("poster")), given("place", F.lit("Not available")), given("needs", F.lit("Not specified"))))
     rent = T.blank(F.col("rent"))
     return joined.select(
-        F.replace(T.blank(F.col("poster")), F.lit(" · Follow"), F.lit("")).alias("poster_name"),
-        given("place", F.lit("Not available")).alias("place"),
+        F.replace(poster, F.lit(" · Follow"), F.lit("")).alias("poster_name"),
+        place.alias("place"),
         given("bathroom", F.coalesce("bath", F.lit("Not stated"))).alias("bathroom"),
         (rent if keep_commas else F.replace(rent, F.lit(","), F.lit(""))).alias("rent"),
         T.blank(F.col("gender")).alias("gender"),
-        given("needs", F.lit("Not specified")).alias("needs"),
+        needs.alias("needs"),
         given("contact", F.lit("N/A")).alias("contact"),
         "link",
     )

@@ -153,21 +153,23 @@ def axis_class(value: Column) -> Column:
     return F.when(value >= 0.66, "high").when(value <= 0.34, "low").otherwise("mid")
 
 
+def _agreeing(target: Column, keep: int) -> Column:
+    """An item's axes that agree most with the target: (less, i, value), ties in axis order."""
+    weight = lambda m, t: (1.0 - F.abs(m - t)) * (1.0 + F.abs(m - 0.5) * 2.0)
+    listed = F.transform(F.arrays_zip(F.col("mood").alias("m"), target.alias("t")), lambda z, i: F.struct((-weight(z.m, z.t)).alias("less"), i.alias("i"), z.m.alias("value")))
+    return F.slice(F.array_sort(listed), 1, keep)
+
+
 def agreements(pool: DataFrame, target: Column, keep: int = 3) -> DataFrame:
     """(id, rn, axis, value, agreement): an item's axes that agree most with the target, ties in axis order."""
     axes = F.array(*(F.lit(a) for a in fixed.AXES))
-    weight = lambda m, t: (1.0 - F.abs(m - t)) * (1.0 + F.abs(m - 0.5) * 2.0)
-    listed = F.transform(F.arrays_zip(F.col("mood").alias("m"), target.alias("t")), lambda z, i: F.struct((-weight(z.m, z.t)).alias("less"), i.alias("i"), z.m.alias("value")))
-    top = F.slice(F.array_sort(listed), 1, keep)
-    out = pool.select("id", F.posexplode(top).alias("pos", "a"))
+    out = pool.select("id", F.posexplode(_agreeing(target, keep)).alias("pos", "a"))
     return out.select("id", (F.col("pos") + 1).alias("rn"), F.get(axes, F.col("a.i")).alias("axis"), F.col("a.value").alias("value"), (-F.col("a.less")).alias("agreement"))
 
 
 def explanation(target: Column) -> Column:
     """The paragraph on an item: title, creator, year, pitch, agreeing axes, themes, arc."""
-    weight = lambda m, t: (1.0 - F.abs(m - t)) * (1.0 + F.abs(m - 0.5) * 2.0)
-    listed = F.transform(F.arrays_zip(F.col("mood").alias("m"), target.alias("t")), lambda z, i: F.struct((-weight(z.m, z.t)).alias("less"), i.alias("i"), z.m.alias("value")))
-    top = F.slice(F.array_sort(listed), 1, 3)
+    top = _agreeing(target, 3)
     phrases = F.array(*(F.struct(F.lit(fixed.PHRASES[a][0]).alias("high"), F.lit(fixed.PHRASES[a][1]).alias("low")) for a in fixed.AXES))
     said = F.filter(F.transform(top, lambda a: F.when(a.value >= 0.66, F.get(phrases, a.i)["high"]).when(a.value <= 0.34, F.get(phrases, a.i)["low"])), lambda p: p.isNotNull())
     joined = F.when(F.size(said) == 1, F.get(said, 0)).otherwise(F.concat(F.array_join(F.slice(said, 1, F.greatest(F.size(said) - 1, F.lit(0))), ", "), F.lit(" and "), F.element_at(said, -1)))
@@ -177,7 +179,7 @@ def explanation(target: Column) -> Column:
         " ",
         F.concat(F.lit("**"), F.col("title"), F.lit("** by "), F.col("creator"), F.lit(" ("), F.col("year").cast("string"), F.lit(").")),
         F.coalesce("pitch", F.lit("")),
-        F.when(F.size(said) > 0, F.concat(F.lit("It is "), joined, F.lit(" — which lines up with what you said you wanted."))),
+        F.when(F.size(said) > 0, F.concat(F.lit("It is "), joined, F.lit(fixed.LINED_UP))),
         F.when(F.size(themes) > 0, F.concat(F.lit("It touches on "), listed_themes, F.lit("."))),
         F.when(F.coalesce(F.col("emotional_arc"), F.lit("")) != "", F.concat(F.col("emotional_arc"), F.lit("."))),
     )

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenweft import fixed
 from lumenweft.functions import text as T
+from lumenweft.session import ship
 
 MOST_DESCRIPTION, MOST_KEYWORDS, MOST_KEYWORD, MOST_PITCH = 900, 8, 80, 520
 
@@ -21,11 +25,17 @@ def check_candidates(prompt: str, ids: list[str]) -> None:
         raise ValueError("One to five candidates with different ids are needed.")
 
 
+def acceptable(prompt: Column, ids: Column) -> Column:
+    """The same for columns: a prompt, and an array of candidates' ids."""
+    good = F.size(ids).between(1, 5) & (F.size(F.array_distinct(ids)) == F.size(ids)) & F.forall(ids, lambda i: F.coalesce(T.strip(i) != "", F.lit(False)))
+    return F.coalesce((T.strip(prompt) != "") & (F.length(prompt) <= 4000) & good, F.lit(False))
+
+
 def candidate(record_id: Column, title: Column, paragraph: Column, summary: Column, keywords: Column, scores: Column, similarity: Column) -> list[Column]:
     """What a model sees of a candidate: bounded description and keywords, rounded similarity."""
-    words = F.slice(F.filter(F.transform(keywords, lambda k: F.substring(F.trim(k), 1, MOST_KEYWORD)), lambda k: k != ""), 1, MOST_KEYWORDS)
+    words = F.slice(F.filter(F.transform(keywords, lambda k: F.substring(T.strip(k), 1, MOST_KEYWORD)), lambda k: k != ""), 1, MOST_KEYWORDS)
     return [
-        F.trim(record_id.cast("string")).alias("record_id"),
+        T.strip(record_id.cast("string")).alias("record_id"),
         F.coalesce(title, F.lit("Untitled")).alias("title"),
         F.substring(F.coalesce(F.nullif(paragraph, F.lit("")), T.blank(summary)), 1, MOST_DESCRIPTION).alias("description"),
         F.coalesce(words, F.array().cast("array<string>")).alias("keywords"),
@@ -36,28 +46,42 @@ def candidate(record_id: Column, title: Column, paragraph: Column, summary: Colu
 
 def fallback(candidates: DataFrame, prompt: str) -> DataFrame:
     """The recommendation without a model: the first candidate (by position) with a templated pitch and reasons."""
-    first = candidates.orderBy("position").limit(1)
-    title = F.coalesce(F.nullif(F.trim(F.col("title")), F.lit("")), F.lit("this story"))
-    words = F.slice(F.filter(F.transform("keywords", lambda k: F.lower(F.trim(k))), lambda k: k != ""), 1, 3)
-    reasons = F.array(F.lit(f"It matches your request for {prompt[:120]}."))
-    themes = F.array(F.concat(F.lit("Its themes include "), F.array_join(words, ", "), F.lit(".")))
+    first = candidates.orderBy("position").limit(1)  # columns are computed for this row alone if the plan can wait
+    title = F.coalesce(F.nullif(T.strip(F.col("title")), F.lit("")), F.lit("this story"))
+    words = F.slice(F.filter(F.transform("keywords", lambda k: F.lower(T.strip(k))), lambda k: k != ""), 1, 3)
+    reasons = F.array(F.lit(f"{fixed.FALLBACK_REASON}{prompt[:120]}."))
+    themes = F.array(F.concat(F.lit(fixed.FALLBACK_THEMES), F.array_join(words, ", "), F.lit(".")))
     return first.select(
         F.col("record_id").alias("recommended_record_id"),
         title.alias("recommended_book_title"),
         F.coalesce(F.nullif(F.col("audio_url"), F.lit("")), F.nullif(F.col("audio_zip_url"), F.lit("")), F.lit("")).alias("audio_url"),
-        F.concat(title, F.lit(" is a strong match for the mood you described. Start here for a story shaped around that feeling.")).alias("pitch_script"),
+        F.concat(title, F.lit(fixed.FALLBACK_PITCH)).alias("pitch_script"),
         F.when(F.size(words) > 0, F.concat(reasons, themes)).otherwise(reasons).alias("emotional_match_reasons"),
     )
 
 
+def chosen_or_first(candidates: DataFrame, record_id: str) -> DataFrame:
+    """The candidate of that id, else the first by position; one row, none if there are no candidates."""
+    mine = F.coalesce(F.col("record_id") == F.lit(record_id), F.lit(False))
+    return candidates.orderBy(F.desc(mine), "position").limit(1)
+
+
+def chosen_or_first_each(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """For each row (request_id, record_id) of ``answers``, the candidate of that id, else the first by position."""
+    first = F.broadcast(candidates.orderBy("position").limit(1).select(F.struct(*candidates.columns).alias("first")))
+    known = candidates.select("record_id", F.struct(*candidates.columns).alias("own"))
+    joined = answers.select("request_id", "record_id").join(known, "record_id", "left").crossJoin(first)
+    return joined.select("request_id", F.coalesce("own", "first").alias("c")).select("request_id", "c.*")
+
+
 def resolve(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers (request_id, record_id, pitch, reasons) with title and link of their candidate, which must be one.
 
     ``valid`` is false for an unknown id, a blank or overlong pitch, or no reason left after cleaning.
     """
     known = candidates.select("record_id", F.col("title").alias("_title"), F.coalesce(F.nullif(F.col("audio_url"), F.lit("")), F.nullif(F.col("audio_zip_url"), F.lit("")), F.lit("")).alias("audio_url"), F.lit(True).alias("_known"))
-    reasons = F.filter(F.transform("reasons", lambda r: F.trim(r)), lambda r: F.coalesce(r != "", F.lit(False)))
-    pitch = F.trim("pitch")
+    reasons = F.filter(F.transform("reasons", lambda r: T.strip(r)), lambda r: F.coalesce(r != "", F.lit(False)))
+    pitch = T.strip(F.col("pitch"))
     good = F.col("_known").isNotNull() & F.coalesce(F.length(pitch).between(1, MOST_PITCH), F.lit(False)) & F.coalesce(F.size(reasons) > 0, F.lit(False))
     joined = answers.join(known, "record_id", "left")
     return joined.select("request_id", F.col("record_id").alias("recommended_record_id"), F.coalesce("_title", F.lit("Untitled")).alias("recommended_book_title"), "audio_url", pitch.alias("pitch_script"), reasons.alias("emotional_match_reasons"), good.alias("valid"))
@@ -82,3 +106,30 @@ def clean_intent(answer: dict, text: str) -> dict:
     if len(words) < 3:
         raise ValueError("Three to eight keywords are needed.")
     return {"intent": str(answer.get("intent", "")).strip() or "story search", "keywords": words, "query": str(answer.get("query", "")).strip() or text, "user_input": text}
+
+
+INTENT = "struct<intent:string,keywords:array<string>,query:string,user_input:string>"
+
+
+def cleaned_intents(df: DataFrame, answer: str, text: str) -> DataFrame:
+    """``df`` with ``result``: the intent in a model's answer, cleaned, or null if there is none of use."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    ship(df.sparkSession)
+    kind = _parse_datatype_string(INTENT)
+    arrow, places = to_arrow_type(kind), [df.columns.index(c) for c in (answer, text)]
+    schema = StructType([*df.schema.fields, StructField("result", kind)])
+
+    def one(said: str | None, asked: str | None) -> dict | None:
+        try:
+            return clean_intent(parse_object(said or ""), asked or "")
+        except ValueError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [one(*pair) for pair in zip(*(batch.column(k).to_pylist() for k in places), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], names=schema.names)
+
+    return df.mapInArrow(run, schema)

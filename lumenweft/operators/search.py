@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenweft.functions import text as T
 from lumenweft.functions import vectors as V
-from lumenweft.session import ship
+from lumenweft.session import scratch, ship
 
 #: Vectors up to this width are scored with an unrolled expression.
 UNROLLED = 256
@@ -34,6 +34,11 @@ def check_search(prompt: object, top_k: object) -> str:
     return query
 
 
+def accepted(query: Column, top_k: Column) -> Column:
+    """The same guards for columns: a canonical query that is not empty nor too long, and a positive number of results."""
+    return F.coalesce(F.length(query).between(1, MOST_QUERY_CHARACTERS) & (top_k >= 1), F.lit(False))
+
+
 def vector_top_k(store: DataFrame, query: list[float], k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k rows of largest dot product with one query vector, ties by id; ``vector_similarity`` is clipped to [-1, 1].
 
@@ -45,8 +50,8 @@ def vector_top_k(store: DataFrame, query: list[float], k: int = 5, id_col: str =
     return scored.orderBy(F.desc("_score"), id_col).limit(k).withColumn("vector_similarity", V.clamp(F.col("_score"), -1.0)).drop("_score")
 
 
-#: Queries that a task holds at a time, and their bytes; queries whose scores are held at a time.
-QUERIES_AT_ONCE, QUERY_BYTES, SCORED_AT_ONCE = 4096, 32 << 20, 256
+#: Bytes of queries that a task holds at a time; queries whose scores are held at a time.
+QUERY_BYTES, SCORED_AT_ONCE = 32 << 20, 256
 BATCHED = "query_id long, id long, score double"
 
 
@@ -63,49 +68,69 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
-def _batch_scorer(ids: np.ndarray, queries: np.ndarray, k: int):
+def _batch_scorer(k: int):
+    """Rows (part of the queries, kind, id, vector), sorted: the queries of a part come first, then the store's rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = range(0, len(ids), SCORED_AT_ONCE)
-        held = [(np.zeros((len(queries[a : a + SCORED_AT_ONCE]), 0), np.int64), np.zeros((len(queries[a : a + SCORED_AT_ONCE]), 0))) for a in starts]
+        part, ids, asked, queries, held = None, [], [], np.zeros((0, 0)), []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            for at, (found, scores) in held:
+                own = np.repeat(asked[at : at + SCORED_AT_ONCE], found.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(found.ravel()), pa.array(scores.ravel())], ["query_id", "id", "score"])
+
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(keys):
-                continue
-            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1).T
-            for n, a in enumerate(starts):
-                scores = queries[a : a + SCORED_AT_ONCE] @ vectors
-                own = best_of(np.broadcast_to(keys, scores.shape), scores, k)
-                held[n] = best_of(np.hstack([held[n][0], own[0]]), np.hstack([held[n][1], own[1]]), k)
-        for a, (found, scores) in zip(starts, held, strict=True):
-            asked = np.repeat(ids[a : a + SCORED_AT_ONCE], found.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(found.ravel()), pa.array(scores.ravel())], ["query_id", "id", "score"])
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
+            vectors = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for p in np.unique(keys[0]).tolist():
+                if p != part:
+                    yield from finish()
+                    part, ids, asked, held = p, [], [], []
+                mine = keys[0] == p
+                new = mine & (keys[1] == 0)
+                if new.any():
+                    ids.append((keys[2][new], vectors[new]))
+                rows = mine & (keys[1] == 1)
+                if not rows.any():
+                    continue
+                if ids and not len(asked):
+                    asked, queries = np.concatenate([i for i, _ in ids]), np.concatenate([v for _, v in ids])
+                    held = [(at, (np.zeros((len(queries[at : at + SCORED_AT_ONCE]), 0), np.int64), np.zeros((len(queries[at : at + SCORED_AT_ONCE]), 0)))) for at in range(0, len(queries), SCORED_AT_ONCE)]
+                for n, (at, best) in enumerate(held):
+                    scores = queries[at : at + SCORED_AT_ONCE] @ vectors[rows].T
+                    own = best_of(np.broadcast_to(keys[2][rows], scores.shape), scores, k)
+                    held[n] = at, best_of(np.hstack([best[0], own[0]]), np.hstack([best[1], own[1]]), k)
+        yield from finish()
 
     return run
 
 
-def vector_top_k_batch(store: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def vector_top_k_batch(store: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", store_parts: int | None = None) -> DataFrame:
     """(query_id, id, rank, score): the k best rows of ``store`` for each row (query_id, vector) of ``queries``.
 
-    Queries go in blocks of a fixed size; each task keeps k rows a query, so what is merged is small.
+    A query that is null, invalid or of another width than the store has no result; invalid rows of the store are none of
+    the results. Queries of one id that repeat count once. Both sides are cut into parts that meet pairwise, each pair in one
+    task: a part of the queries has QUERY_BYTES at most and is sent to ``store_parts`` tasks, the store once for each part of
+    the queries. Nothing passes through the driver; a task keeps k rows for each of its queries.
     """
-    ship(store.sparkSession)
-    width = store.select(F.max(F.size(vector))).first()[0]
-    rows = store.where(V.valid(F.col(vector)) & (F.size(vector) == F.lit(width))).select(F.col(id_col).cast("long"), V.doubles(F.col(vector)))
-    out, block = None, []
-    most = max(1, min(QUERIES_AT_ONCE, QUERY_BYTES // (8 * (width or 1))))
-
-    def scored(block: list) -> DataFrame:
-        ids, matrix = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
-        return rows.mapInArrow(_batch_scorer(ids, matrix, k), BATCHED)
-
-    for row in queries.select(F.col("query_id").cast("long"), V.doubles(F.col(vector))).toLocalIterator():
-        block.append(row)
-        if len(block) == most:
-            out, block = scored(block) if out is None else out.unionByName(scored(block)), []
-    if block:
-        out = scored(block) if out is None else out.unionByName(scored(block))
-    if out is None:
-        return store.sparkSession.createDataFrame([], "query_id long, id long, rank int, score double")
+    spark = ship(store.sparkSession)
+    facts = store.agg(F.max(F.size(vector)).alias("width"), F.count("*").alias("n")).first()
+    width = facts.width or 0
+    good = V.valid(F.col(vector)) & (F.size(vector) == F.lit(width))
+    asked = queries.where(good & F.col("query_id").isNotNull()).select(F.col("query_id").cast("long").alias("id"), V.doubles(F.col(vector)).alias("v")).dropDuplicates(["id"])
+    n_asked = asked.count()
+    if not n_asked or width < 1:
+        return spark.createDataFrame([], "query_id long, id long, rank int, score double")
+    query_parts = -(-n_asked * 8 * width // QUERY_BYTES)
+    parts = store_parts or max(1, min(spark.sparkContext.defaultParallelism, -(-facts.n // 10_000)), -(-facts.n * 8 * width // (256 << 20)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = asked.select(own(query_parts).alias("q"), every(parts).alias("s"), F.lit(0).alias("kind"), "id", "v")
+    rows = store.where(good).select(F.col(id_col).cast("long").alias("id"), V.doubles(F.col(vector)).alias("v"))
+    right = rows.select(every(query_parts).alias("q"), own(parts).alias("s"), F.lit(1).alias("kind"), "id", "v")
+    both = left.unionByName(right).withColumn("part", F.col("q") * F.lit(parts) + F.col("s"))
+    dealt = both.repartition(query_parts * parts, "part").sortWithinPartitions("part", "kind").select("part", "kind", "id", "v")
+    out = dealt.mapInArrow(_batch_scorer(k), BATCHED)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
 
@@ -132,25 +157,32 @@ def lexical_top_k(docs: DataFrame, prompt: str, k: int, id_col: str, tokens: Col
     """(id, score): TF-IDF cosine with one query over all rows, rows without a shared term included at 0.
 
     Ties go to the larger sha256 of query, null byte and id. Query terms that no row has count in the query's length.
-    A query without terms gives no rows. Norms need every term's frequency, so terms are counted once and joined once.
+    A query without terms gives no rows. Texts are cut into terms once: each row's terms with their counts are stored, and
+    both document frequencies and lengths come from there; the query's own terms never leave their row.
     """
     spark = docs.sparkSession
     words = [w for w in spark.range(1).select(T.terms(F.lit(prompt)).alias("t")).first()[0]]
     if not words:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
     counts = Counter(words)
-    # Only the query's terms are counted for its weights: a few rows a document, without the term table.
-    shared = docs.select(F.explode(F.array_intersect(tokens, F.array(*(F.lit(t) for t in counts)))).alias("term"))
-    known = {r.term: r["n"] for r in shared.groupBy("term").agg(F.count("*").alias("n")).collect()}
-    n = docs.count()
-    tf = term_frequencies(docs, id_col, tokens)
-    df = document_frequencies(tf)
-    weights = {t: c * (math.log((1.0 + n) / (1.0 + known.get(t, 0))) + 1.0) for t, c in counts.items()}
-    length = max(math.sqrt(sum(w * w for w in weights.values())), 1e-8)
-    of_query = F.coalesce(F.try_element_at(F.create_map(*(x for t, w in weights.items() for x in (F.lit(t), F.lit(w)))), F.col("term")), F.lit(0.0))
-    weighed = tf.join(df, "term").withColumn("w", F.col("tf") * idf(F.lit(float(n)), F.col("df")))
-    sums = weighed.groupBy("id").agg(F.sum(of_query * F.col("w")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("squares"))
-    scored = docs.select(F.col(id_col).alias("id")).join(sums, "id", "left")
-    score = F.coalesce(F.col("dot") / (F.lit(length) * F.greatest(F.sqrt("squares"), F.lit(1e-8))), F.lit(0.0))
+    path = scratch(spark, "terms")
+    docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).write.parquet(path)
+    listed = spark.read.parquet(path)
+    own = {t: F.col(f"c{j}") for j, t in enumerate(counts)}
+
+    def times(term: str) -> Column:
+        return F.size(F.filter("tokens", lambda x: x == term))
+
+    of_query = [times(t).alias(f"c{j}") for j, t in enumerate(counts)]
+    seen = listed.select(*of_query).agg(F.count("*").alias("n"), *(F.count_if(c > 0).alias(f"d{j}") for j, c in enumerate(own.values()))).first()
+    weight = {t: math.log((1.0 + seen["n"]) / (1.0 + seen[f"d{j}"])) + 1.0 for j, t in enumerate(counts)}
+    length = max(math.sqrt(sum((c * weight[t]) ** 2 for t, c in counts.items())), 1e-8)
+    tf = listed.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    squares = tf.join(document_frequencies(tf), "term").groupBy("id").agg(F.sum((F.col("tf") * idf(F.lit(float(seen["n"])), F.col("df"))) ** 2).alias("squares"))
+    dot = sum((F.lit(counts[t] * weight[t] ** 2) * own[t] for t in counts), F.lit(0.0))
+    scored = listed.select("id", *of_query).select("id", dot.alias("dot"))
+    # Only rows that share a term need their length.
+    matched = scored.where("dot > 0").join(squares, "id").select("id", (F.col("dot") / (F.lit(length) * F.greatest(F.sqrt("squares"), F.lit(1e-8)))).alias("score"))
     tie = F.sha2(F.concat(F.lit(prompt), F.lit("\x00"), F.col("id").cast("string")), 256)
-    return scored.select("id", score.alias("score")).orderBy(F.desc("score"), F.desc(tie), F.desc("id")).limit(k)
+    none = scored.where("dot = 0").select("id", F.lit(0.0).alias("score")).orderBy(F.desc(tie), F.desc("id")).limit(k)
+    return matched.unionByName(none).orderBy(F.desc("score"), F.desc(tie), F.desc("id")).limit(k)

@@ -133,7 +133,7 @@ def extract_features(stories: DataFrame, generate: Generate, attempts: int = 2)
 def processed(stories: DataFrame) -> DataFrame:
     """Stories (ordinal, record_id, cmu_id, title, summary, features) with stable id, content hash and search payload."""
     title, summary = F.col("title"), F.col("summary")
-    named = F.coalesce(F.nullif(F.trim(T.blank(title)), F.lit("")), F.lit("Untitled"))
+    named = F.coalesce(F.nullif(T.strip(T.blank(title)), F.lit("")), F.lit("Untitled"))
     return stories.withColumns({
         "source_record_hash": T.content_hash(title, summary),
         "search_payload": T.search_payload(named, F.col("keywords"), F.col("rich_descriptive_paragraph")),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenweft.functions import text as T
-from lumenweft.operators import build, listings, search
+from lumenweft.operators import listings, search
 from lumenweft.sources import files
 
 
@@ -25,22 +25,13 @@ def search_stories(store: DataFrame, prompt: str, top_k: int = 5, embedder: Call
 
 
 def intent_prompt(intent: dict) -> str:
+    """What is searched for an intent: its query and keywords."""
     return " ".join([intent["query"], *intent["keywords"]])
 
 
-def rebuild(source: DataFrame, prior: DataFrame, checkpoint: DataFrame, model: build.Model, store_path: str, checkpoint_path: str) -> DataFrame:
-    """Incremental rebuild of a vector store from stories (ordinal, title, summary).
-
-    Vectors of unchanged content are taken over from prior store or checkpoint (hash, ordinal, payload); the others are
-    made by the model, committed to the checkpoint and then published together. Returns the counts.
-    """
-    hashed = source.withColumn("hash", T.content_hash(F.col("title"), F.col("summary")))
-    state = build.incremental(hashed, prior, checkpoint)
-    pending = state.where("status = 'pending'").withColumn("text", T.search_payload(F.col("title"), F.array().cast("array<string>"), F.col("summary")))
-    made = build.embed(pending.select("ordinal", "hash", "status", "text"), "text", model).select("ordinal", "hash", "status", F.col("embedding").alias("payload"))
-    done = state.where("status <> 'pending'").select("ordinal", "hash", "status", "payload").unionByName(made)
-    build.publish(done, checkpoint_path, store_path, F.col("payload").isNull())
-    return build.build_stats(done.sparkSession.read.parquet(store_path))
+def intent_prompts(query: Column, keywords: Column) -> Column:
+    """The same, for columns."""
+    return F.array_join(F.concat(F.array(query), keywords), " ")
 
 
 def combine_exports(spark, folder: str) -> DataFrame:

@@ -1,35 +1,76 @@
-"""A vector store on disk: rows and a one-row table of metadata, written together and checked when loaded."""
+"""A vector store on disk: rows in a folder of their own, and a table of metadata whose last row names the folder.
+
+Publishing is one append of one row, so a reader finds the store before or the new one, complete, and never a mixture.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweft.functions import vectors as V
 from lumenweft.operators import build
+from lumenweft.session import delete
 
 VERSION, LEGACY_MODEL = 1, "unknown"
 
 
-def write_store(df: DataFrame, path: str, model: str, fingerprint: str, id_col: str = "record_id", vector: str = "embedding") -> None:
-    """Rows with unit vectors, then the metadata: a store without metadata is one whose writing did not end."""
+def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None if there is nothing at that path."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as why:
+        if why.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def published(spark: SparkSession, path: str) -> Row | None:
+    """The metadata of the store that counts: the one with the largest number."""
+    table = table_or_none(spark, f"{path}/metadata")
+    return None if table is None else table.orderBy(F.desc("number"), F.desc("created_at"), F.desc("rows")).first()
+
+
+def write_store(df: DataFrame, path: str, model: str, fingerprint: str, id_col: str = "record_id", vector: str = "embedding", feature_model: str = "") -> dict:
+    """Writes rows with unit vectors once, checks what was written and publishes it; returns the metadata.
+
+    ValueError if there are no rows, an id repeats or a vector is not of the one width and unit length: nothing is published
+    then. The folders of earlier stores stay until ``forget`` is called, for those who still read them.
+    """
     spark = df.sparkSession
-    build.require_unique(df, id_col).write.mode("overwrite").parquet(f"{path}/rows")
-    rows = spark.read.parquet(f"{path}/rows")
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.size(vector)).cast("long").alias("width"), F.min(V.unit(F.col(vector))).alias("normalized"))
-    facts.select(F.lit(VERSION).alias("version"), F.lit(fingerprint).alias("fingerprint"), F.lit(model).alias("model"), "n", "width", "normalized", F.current_timestamp().alias("created_at")).coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+    before = published(spark, path)
+    number = before.number + 1 if before else 1
+    folder = f"{path}/rows-{number:06d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    facts = build.inspect(rows, id_col, vector).crossJoin(rows.agg(F.count_if(~F.coalesce(V.unit(F.col(vector)), F.lit(False))).alias("not_unit"))).first()
+    if not facts.n_rows or facts.repeated_ids or facts.invalid or facts.not_unit or facts.least_width != facts.largest_width:
+        delete(spark, folder)
+        raise ValueError(f"The rows are no store: {facts.asDict()}")
+    meta = spark.range(1).select(
+        F.lit(number).cast("long").alias("number"), F.lit(VERSION).alias("version"), F.lit(fingerprint).alias("fingerprint"), F.lit(model).alias("model"), F.lit(feature_model).alias("feature_model"),
+        F.lit(folder).alias("rows"), F.lit(facts.n_rows).cast("long").alias("n"), F.lit(facts.largest_width).cast("long").alias("width"), F.lit(True).alias("normalized"), F.current_timestamp().alias("created_at"),
+    )
+    meta.coalesce(1).write.mode("append").parquet(f"{path}/metadata")
+    return published(spark, path).asDict()
+
+
+def forget(spark: SparkSession, path: str, keep: int = 1) -> int:
+    """Deletes the rows of all but the last ``keep`` stores; returns how many folders went."""
+    table = table_or_none(spark, f"{path}/metadata")
+    old = [] if table is None else table.orderBy(F.desc("number"), F.desc("created_at")).select("rows").toLocalIterator()
+    return sum(k >= keep and delete(spark, r.rows) for k, r in enumerate(old))
 
 
 def load_store(spark: SparkSession, path: str, id_col: str = "record_id", vector: str = "embedding") -> tuple[DataFrame, dict]:
     """Rows and metadata, or ValueError if they don't agree. Without metadata the vectors are normalized on the way."""
-    try:
-        meta = spark.read.parquet(f"{path}/metadata").first()
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        rows = build.import_vectors(spark.read.parquet(path), id_col, vector)
-        return rows, {"version": 0, "model": LEGACY_MODEL, "normalized": True}
-    rows = spark.read.parquet(f"{path}/rows")
+    meta = published(spark, path)
+    if meta is None:
+        return build.import_vectors(spark.read.parquet(path), id_col, vector), {"version": 0, "model": LEGACY_MODEL, "normalized": True}
+    rows = spark.read.parquet(meta.rows)
     seen = build.inspect(rows, id_col, vector).first()
     if meta.version != VERSION or meta.n != seen.n_rows or not meta.normalized or seen.repeated_ids or seen.invalid or {seen.least_width, seen.largest_width} != {meta.width}:
         raise ValueError("The store and its metadata don't agree.")

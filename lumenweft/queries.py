@@ -6,6 +6,7 @@ in SQL. All queries read whole tables; a limit stands only where the operator is
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,9 @@ from lumenweft import fixed
 from lumenweft.functions import text as T
 from lumenweft.functions import vectors as V
 from lumenweft.operators import build, listings, mood, recommend, search
+from lumenweft.plans import assistant, retrieval
+from lumenweft.plans import store as stores
+from lumenweft.plans import stories as story_plans
 from lumenweft.session import scratch
 from lumenweft.sources import files
 
@@ -85,13 +89,16 @@ def stories(spark: SparkSession, sf: str) -> DataFrame:
     return d.withColumns({
         "title": F.substring_index("text", "\n", 1),
         "record_id": F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" r"), F.col("doc_id").cast("string"))),
-        "cmu_id": F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("c"), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 6 == 2, F.lit("  ")),
+        "cmu_id": F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("c"), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 6 == 2, F.lit(" \n\u00a0")),
     })
 
 
+#: Blanks of all kinds, for trim().
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8195) || chr(12288)"
+
 _STORIES = """stories as (select *, split_part(text, chr(10), 1) as title,
   case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then ' r' || doc_id end as record_id,
-  case when doc_id % 6 = 0 then 'c' || doc_id when doc_id % 6 = 2 then '  ' end as cmu_id from documents)"""
+  case when doc_id % 6 = 0 then 'c' || doc_id when doc_id % 6 = 2 then ' ' || chr(10) || chr(160) end as cmu_id from documents)"""
 
 TARGET = {"warmth": 0.8, "depth": 0.7, "energy": 0.3, "melancholy": 0.6}
 _TARGET = _vector(TARGET)
@@ -112,10 +119,13 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select query_id, id, rank, round(score, 6) as score from (
   select q.vec_id as query_id, e.vec_id as id, list_dot_product(q.embedding::double[], e.embedding::double[]) as score,
     row_number() over (partition by q.vec_id order by list_dot_product(q.embedding::double[], e.embedding::double[]) desc, e.vec_id)::int as rank
-  from embeddings q, embeddings e where q.vec_id % 50 = 0) where rank <= 5""")
+  from embeddings q, embeddings e where q.vec_id % 50 = 0 and q.vec_id % 150 <> 50) where rank <= 5""")
 def vector_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
     store = table(spark, sf, "embeddings")
     asked = store.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    # Some queries are null, some of another width: these have no result.
+    odd = F.when(F.col("query_id") % 100 == 50, F.slice("embedding", 1, 7))
+    asked = asked.withColumn("embedding", F.when(F.col("query_id") % 150 == 50, odd).otherwise(F.col("embedding")))
     return search.vector_top_k_batch(store, asked, 5).select("query_id", "id", "rank", six(F.col("score")).alias("score"))
 
 
@@ -189,7 +199,7 @@ def low_match_flag(spark: SparkSession, sf: str) -> DataFrame:
 # --- texts ----------------------------------------------------------------------------------------------------------
 
 
-@query(f"""with {_STORIES} select doc_id, coalesce(nullif(trim(coalesce(nullif(record_id, ''), nullif(cmu_id, ''))), ''),
+@query(f"""with {_STORIES} select doc_id, coalesce(nullif(trim(coalesce(nullif(record_id, ''), nullif(cmu_id, '')), {_BLANKS}), ''),
   'story-' || doc_id || '-' || substr(sha256(title || chr(0) || coalesce(text, '')), 1, 12)) as id from stories""")
 def stable_record_id(spark: SparkSession, sf: str) -> DataFrame:
     return stories(spark, sf).select("doc_id", T.stable_id(F.col("record_id"), F.col("cmu_id"), F.col("doc_id"), F.col("title"), F.col("text")).alias("id"))
@@ -421,43 +431,45 @@ def identity_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return listings.keep_first(with_id, F.col("identity"), "doc_id").select("identity", "doc_id")
 
 
-_LISTED = """listed as (select doc_id, lang as author, case when doc_id % 5 = 0 then '' else 'http://x/' || (doc_id % 700) end as url,
-  (doc_id % 28 + 1) || ' ' || (['June', 'July', 'august'])[doc_id % 3 + 1] || ' 2026' as ts, source,
-  'Rent: ₹ ' || (5 + doc_id % 30) || ',' || lpad((n_chars % 1000)::varchar, 3, '0') || ' for ' || (1 + doc_id % 5) || ' BHK, attached bathroom' || chr(10) || 'Location: ' || source || ' road ' || chr(10) || '+91 9' || lpad(doc_id::varchar, 9, '0') || ' ' || text as body from documents)"""
+_LISTED = """listed as (select doc_id, lang as author, case when doc_id % 5 = 0 then '' when doc_id % 5 = 1 then 'http://y/' || (doc_id % 70) else 'http://x/' || (doc_id % 700) end as url,
+  (doc_id % 28 + 1) || ' ' || (['June', 'July', 'august'])[doc_id % 3 + 1] || case when doc_id % 4 = 0 then chr(160) else ' ' end || '2026' as ts, source,
+  case when doc_id % 4 = 1 then 'Rent' || chr(160) || ':' || chr(160) || '₹ ' else 'Rent: ₹ ' end || (5 + doc_id % 30) || ',' || lpad((n_chars % 1000)::varchar, 3, '0') || ' for ' || (1 + doc_id % 5) ||
+  case when doc_id % 4 = 2 then chr(160) else ' ' end || 'BHK, ' || (['attached bathroom', 'a shared washroom', 'a kitchen'])[doc_id % 8 % 3 + 1] || chr(10) || 'Location: ' || source || ' road ' || chr(10) || '+91 9' || lpad(doc_id::varchar, 9, '0') || ' ' || text as body from documents)"""
 
 
 def listed(spark: SparkSession, sf: str) -> DataFrame:
     n, s = F.col("doc_id"), lambda c: c.cast("string")
     months = F.array(F.lit("June"), F.lit("July"), F.lit("august"))
     body = F.concat(
-        F.lit("Rent: ₹ "), s(5 + n % 30), F.lit(","), F.lpad(s(F.col("n_chars") % 1000), 3, "0"), F.lit(" for "), s(1 + n % 5), F.lit(" BHK, attached bathroom\nLocation: "), F.col("source"),
+        F.when(n % 4 == 1, "Rent\u00a0:\u00a0₹ ").otherwise("Rent: ₹ "), s(5 + n % 30), F.lit(","), F.lpad(s(F.col("n_chars") % 1000), 3, "0"), F.lit(" for "), s(1 + n % 5), F.when(n % 4 == 2, "\u00a0").otherwise(" "),
+        F.lit("BHK, "), F.get(F.array(F.lit("attached bathroom"), F.lit("a shared washroom"), F.lit("a kitchen")), (n % 8 % 3).cast("int")), F.lit("\nLocation: "), F.col("source"),
         F.lit(" road \n+91 9"), F.lpad(s(n), 9, "0"), F.lit(" "), F.col("text"),
     )
     return table(spark, sf, "documents").select(
-        "doc_id", F.col("lang").alias("author"), F.when(n % 5 == 0, "").otherwise(F.concat(F.lit("http://x/"), s(n % 700))).alias("postUrl"),
-        F.concat(s(n % 28 + 1), F.lit(" "), F.get(months, (n % 3).cast("int")), F.lit(" 2026")).alias("timestamp"), F.col("source").alias("source_file"), body.alias("text"),
+        "doc_id", F.col("lang").alias("author"), F.when(n % 5 > 1, F.concat(F.lit("http://x/"), s(n % 700))).otherwise("").alias("postUrl"), F.when(n % 5 == 1, F.concat(F.lit("http://y/"), s(n % 70))).alias("Post URL"),
+        F.concat(s(n % 28 + 1), F.lit(" "), F.get(months, (n % 3).cast("int")), F.when(n % 4 == 0, "\u00a0").otherwise(" "), F.lit("2026")).alias("timestamp"), F.col("source").alias("source_file"), body.alias("text"),
     )
 
 
 @query(f"""with {_LISTED}, u as (select * from (select *, row_number() over (partition by case when url <> '' then url else author || '|' || substr(body, 1, 200) end order by doc_id) as rn from listed) where rn = 1),
-r as (select *, replace(regexp_extract(body, '(?i)Rent\\s*:\\s*[₹Rs. ]*([0-9][0-9,]*)', 1), ',', '') as amount from u)
-select author as poster_name, trim(regexp_extract(body, '(?i)(?:Location|Society|Address)\\s*:\\s*([^\\n]+)', 1)) as google_map_location, 'Private/attached' as private_bathroom, ts as post_date, url as post_link,
+r as (select *, replace(regexp_extract(body, '(?i)Rent[\\s\\x{{a0}}]*:[\\s\\x{{a0}}]*[₹Rs. ]*([0-9][0-9,]*)', 1), ',', '') as amount from u)
+select author as poster_name, trim(regexp_extract(body, '(?i)(?:Location|Society|Address)\\s*:\\s*([^\\n]+)', 1)) as google_map_location, case when regexp_matches(body, '(?i)attached bathroom|private bathroom') then 'Private/attached' when regexp_matches(body, '(?i)shared.*(?:washroom|bathroom)|(?:washroom|bathroom).*shared') then 'Shared' else 'Not stated' end as private_bathroom, ts as post_date, url as post_link,
   amount::bigint as room_rent_including_maintenance_inr, array_to_string(list_sort(list_distinct(regexp_extract_all(body, '(?:\\+91[- ]?)?[6-9][0-9]{{9}}'))), ', ') as contact_number, substr(body, 1, 1500) as additional_requirements,
-  regexp_extract(body, '(?i)\\b([234])\\s*BHK\\b', 1) || 'BHK' as bhk, source as source_file
-from r where regexp_matches(body, '(?i)\\b[234]\\s*BHK\\b') and regexp_matches(ts, '(?i)\\b(?:July|August)\\s+2026\\b') and amount <> '' and try_cast(amount as bigint) < 20000""")
+  regexp_extract(body, '(?i)\\b([234])[\\s\\x{{a0}}]*BHK\\b', 1) || 'BHK' as bhk, source as source_file
+from r where regexp_matches(body, '(?i)\\b[234][\\s\\x{{a0}}]*BHK\\b') and regexp_matches(ts, '(?i)\\b(?:July|August)[\\s\\x{{a0}}]+2026\\b') and amount <> '' and try_cast(amount as bigint) < 20000""")
 def listing_filter(spark: SparkSession, sf: str) -> DataFrame:
     return listings.filter_listings(listed(spark, sf), "doc_id")
 
 
 @query("""with base as (select * from (select doc_id, lang || ' · Follow' as poster, (doc_id % 600)::varchar as link, case when doc_id % 4 > 0 then 'Shared' end as bath, (doc_id % 40) || ',500' as rent, source as gender,
   row_number() over (partition by doc_id % 600 order by doc_id) as rn from documents) where rn = 1),
-detail as (select * from (select (doc_id % 500)::varchar as link, 'P' || quality as place, case when toxic = 0 then 'yes' else '' end as bathroom, row_number() over (partition by doc_id % 500 order by doc_id desc) as rn from labels) where rn = 1)
+detail as (select * from (select (doc_id % 500)::varchar as link, '₹' || quality as place, case when toxic = 0 then 'yes' else '' end as bathroom, row_number() over (partition by doc_id % 500 order by doc_id desc) as rn from labels) where rn = 1)
 select replace(poster, ' · Follow', '') as poster_name, case when d.link is null then 'Not available' else place end as place, case when d.link is null then coalesce(bath, 'Not stated') else bathroom end as bathroom,
   replace(rent, ',', '') as rent, gender, case when d.link is null then 'Not specified' else 'n' end as needs, case when d.link is null then 'N/A' else 'c' end as contact, b.link from base b left join detail d on d.link = b.link""")
 def listing_merge(spark: SparkSession, sf: str) -> DataFrame:
     n, s = F.col("doc_id"), lambda c: c.cast("string")
     base = table(spark, sf, "documents").select(n.alias("ordinal"), F.concat("lang", F.lit(" · Follow")).alias("poster"), s(n % 600).alias("link"), F.when(n % 4 > 0, "Shared").alias("bath"), F.concat(s(n % 40), F.lit(",500")).alias("rent"), F.col("source").alias("gender"))
-    detail = table(spark, sf, "labels").select(n.alias("ordinal"), s(n % 500).alias("link"), F.concat(F.lit("P"), s(F.col("quality"))).alias("place"), F.when(F.col("toxic") == 0, "yes").otherwise("").alias("bathroom"), F.lit("n").alias("needs"), F.lit("c").alias("contact"))
+    detail = table(spark, sf, "labels").select(n.alias("ordinal"), s(n % 500).alias("link"), F.concat(F.lit("â‚¹"), s(F.col("quality"))).alias("place"), F.when(F.col("toxic") == 0, "yes").otherwise("").alias("bathroom"), F.lit("n").alias("needs"), F.lit("c").alias("contact"))
     return listings.merge_listings(base, detail)
 
 
@@ -486,12 +498,12 @@ def incremental_build_stats(spark: SparkSession, sf: str) -> DataFrame:
     return build.build_stats(_built(spark, sf))
 
 
-@query(f"""with f as (select doc_id, case when doc_id % 7 = 0 then '  ' else split_part(text, chr(10), 1) end as p, ({_terms('text')})[1:doc_id % 10] as k, (doc_id % 13) / 10.0 as x from documents)
-select doc_id, trim(p) <> '' and len(k) between 5 and 8 and x <= 1 as valid from f""")
+@query(f"""with f as (select doc_id, case when doc_id % 7 = 0 then ' ' || chr(10) || chr(160) when doc_id % 7 = 1 then chr(10) || 'x' else split_part(text, chr(10), 1) end as p, ({_terms('text')})[1:doc_id % 10] as k, (doc_id % 13) / 10.0 as x from documents)
+select doc_id, trim(p, {_BLANKS}) <> '' and len(k) between 5 and 8 and x <= 1 as valid from f""")
 def feature_validate(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("doc_id")
     scores = F.map_from_arrays(F.array(*(F.lit(a) for a in fixed.AXES)), F.array_repeat((n % 13) / 10.0, len(fixed.AXES)))
-    paragraph = F.when(n % 7 == 0, "  ").otherwise(F.substring_index("text", "\n", 1))
+    paragraph = F.when(n % 7 == 0, " \n\u00a0").when(n % 7 == 1, "\nx").otherwise(F.substring_index("text", "\n", 1))
     good, *_ = build.clean_features(paragraph, F.slice(T.terms(F.col("text")), F.lit(1), (n % 10).cast("int")), scores)
     return table(spark, sf, "documents").select("doc_id", good.alias("valid"))
 
@@ -516,7 +528,10 @@ def candidate_payload(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    s = stories(spark, sf)
+    return _candidates_of(stories(spark, sf))
+
+
+def _candidates_of(s: DataFrame) -> DataFrame:
     return s.select(
         F.col("doc_id").alias("position"), F.col("doc_id").cast("string").alias("record_id"), "title", F.slice(T.terms(F.col("text")), 1, 5).alias("keywords"),
         F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit("http://x/"), F.col("doc_id").cast("string"))).alias("audio_url"), F.concat(F.lit("http://z/"), F.col("doc_id").cast("string")).alias("audio_zip_url"),
@@ -526,7 +541,9 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""with {_STORIES} select doc_id::varchar as recommended_record_id, coalesce(nullif(trim(title), ''), 'this story') as recommended_book_title, 'http://z/0' as audio_url,
   'It matches your request for quiet.' || case when len({_terms('text')}) > 0 then '|Its themes include ' || array_to_string(({_terms('text')})[1:3], ', ') || '.' else '' end as reasons from stories where doc_id = 0""")
 def recommend_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    out = recommend.fallback(_candidates(spark, sf), "quiet")
+    # The first row is found on the raw table; its words are cut afterwards.
+    first = stories(spark, sf).orderBy("doc_id").limit(1)
+    out = recommend.fallback(_candidates_of(first), "quiet")
     return out.select("recommended_record_id", "recommended_book_title", "audio_url", F.array_join("emotional_match_reasons", "|").alias("reasons"))
 
 
@@ -560,6 +577,13 @@ def json_array_scan(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_json_array(spark, path).select(F.col("page_id").cast("long").alias("page_id"), "url")
 
 
+@query("select page_id, url from pages")
+def json_file_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "lines")
+    files.write_json_lines(table(spark, sf, "pages").select("page_id", "url"), path)
+    return files.read_records(spark, path, "page_id string, url string").select(F.col("page_id").cast("long").alias("page_id"), "url")
+
+
 @query("select page_id, url from pages")
 def json_envelope(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "envelope.json")
@@ -575,10 +599,216 @@ def dir_union(spark: SparkSession, sf: str) -> DataFrame:
     files.write_bytes(spark, folder + "/a.csv", files.to_delimited(table(spark, sf, "benchmark")))
     files.write_bytes(spark, folder + "/b.json", files.to_json_array(table(spark, sf, "pages").select("page_id", "url")))
     files.write_bytes(spark, folder + "/c.json", b"[1, ")
-    rows = files.read_folder(spark, folder)
+    rows = files.read_folder(spark, folder, lambda name, why: None)
     return rows.groupBy("source_file").agg(F.count("*").alias("n"), F.count_if(F.col("url") != "").alias("with_url"), F.count_if(F.col("text") != "").alias("with_text"))
 
 
+@query("select item_id::varchar as item_id, text from benchmark")
+def tsv_sink(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "tsv")
+    files.write_delimited(table(spark, sf, "benchmark"), path, "\t")
+    return files.read_csv(spark, path, "\t").select("item_id", "text")
+
+
+@query("select page_id::varchar as page_id, url from pages")
+def spreadsheet_sink(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "book.xml")
+    files.write_bytes(spark, path, files.to_spreadsheet_xml({"Pages": table(spark, sf, "pages").select("page_id", "url")}))
+    return files.read_spreadsheet_xml(spark, path, "Pages")
+
+
+@query("select page_id::varchar as page_id, url from pages")
+def xlsx_sink(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "book.xlsx")
+    files.write_bytes(spark, path, files.to_xlsx({"Pages": table(spark, sf, "pages").select("page_id", "url")}))
+    return files.read_xlsx(spark, path, "Pages")
+
+
+@query(f"select i::int as position, c as name from (select unnest([{', '.join(repr(c) for c in [*fixed.FIRST_COLUMNS[:2], 'text', 'lang', 'n_chars'])}]) as c, unnest(range(0, 5)) as i)")
+def column_order(spark: SparkSession, sf: str) -> DataFrame:
+    names = listings.ordered_columns(["n_chars", "text", "lang", *reversed(fixed.FIRST_COLUMNS[:2])])
+    return spark.range(1).select(F.posexplode(F.array(*(F.lit(c) for c in names))).alias("position", "name"))
+
+
+# --- models: boundaries with deterministic stand-ins ------------------------------------------------------------------
+
+
+def _digest_vector(text: str) -> str:
+    """The unrounded coordinates of the stand-in for an embedding model."""
+    return f"list_transform(range(0, 16), lambda i: ('0x' || substr(sha256({text}), 2 * i::int + 1, 2))::int / 127.5::double - 1)"
+
+
+@query(f"""select item_id, round(v[1] / n, 5) as first, round(v[16] / n, 5) as last from (select item_id, v, sqrt(list_dot_product(v, v)) as n from (select item_id, {_digest_vector("text")} as v from benchmark))""")
+def corpus_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    e = build.embed(table(spark, sf, "benchmark"), "text", build.stub_embedder())
+    return e.select("item_id", F.round(F.get("embedding", 0).cast("double"), 5).alias("first"), F.round(F.get("embedding", 15).cast("double"), 5).alias("last"))
+
+
+@query(f"""with e as (select item_id, {_digest_vector("text")} as v from benchmark), q as (select {_digest_vector("'a quiet sea'")} as v)
+select item_id as record_id, round(list_dot_product(e.v, q.v) / sqrt(list_dot_product(e.v, e.v) * list_dot_product(q.v, q.v)), 5) as vector_similarity from e, q
+order by list_dot_product(e.v, q.v) / sqrt(list_dot_product(e.v, e.v)) desc, item_id limit 5""")
+def story_search(spark: SparkSession, sf: str) -> DataFrame:
+    model = build.stub_embedder()
+    store = build.embed(table(spark, sf, "benchmark").withColumnRenamed("item_id", "record_id"), "text", model)
+
+    def one(text: str) -> list[float]:
+        (v,) = model([text])
+        length = sum(x * x for x in v) ** 0.5
+        return [x / length for x in v]
+
+    return retrieval.search_stories(store, "  a quiet\n sea ", 5, one).select("record_id", F.round("vector_similarity", 5).alias("vector_similarity"))
+
+
+@query("""select conv_id as batch, count(*) as n, count(distinct turn) = count(*) and min(turn) = 0 and max(turn) = count(*) - 1 as contiguous,
+  array_to_string(list(coalesce(role, '') order by turn, role), ',') as answers from conversations group by conv_id""")
+def answer_order(spark: SparkSession, sf: str) -> DataFrame:
+    answers = table(spark, sf, "conversations").select(F.col("conv_id").alias("batch"), F.col("turn").alias("index"), F.coalesce("role", F.lit("")).alias("answer"))
+    return build.answer_order(answers).select("batch", "n", "contiguous", F.array_join("answers", ",").alias("answers"))
+
+
+def _stub_features(summary: str) -> str:
+    """A stand-in for the feature model: words of the summary as keywords, its length on every axis; sometimes none of use."""
+    words = summary.lower().split()[:5]
+    return json.dumps({"rich_descriptive_paragraph": " " + summary[:40], "keywords": words, "emotional_scores": {a: (len(summary) % 11) / 10 for a in fixed.AXES}})
+
+
+_LETTERS = "regexp_extract_all(text, '[^\\s]+')"
+
+
+@query(f"""select item_id, len({_LETTERS}) >= 5 as usable, case when len({_LETTERS}) >= 5 then trim(substr(text, 1, 40), {_BLANKS}) end as paragraph, case when len({_LETTERS}) >= 5 then array_to_string(list_transform(({_LETTERS})[1:5], lambda w: lower(w)), ',') end as keywords,
+  case when len({_LETTERS}) >= 5 then round((length(text) % 11) / 10.0::double, 6) end as hope from (select item_id, case when item_id % 9 = 0 then 'too short' else text end as text from benchmark)""")
+def feature_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 9 == 0, "too short").otherwise(F.col("text")).alias("summary"))
+    made = assistant.extract_features(items, _stub_features)
+    return made.select("item_id", F.col("error").isNull().alias("usable"), F.col("rich_descriptive_paragraph").alias("paragraph"), F.array_join("keywords", ",").alias("keywords"), six(F.element_at("emotional_scores", "hope")).alias("hope"))
+
+
+@query(f"""with {_STORIES}, f as (select doc_id, coalesce(nullif(trim(title, {_BLANKS}), ''), 'Untitled') as named, title, text, record_id, cmu_id, ({_terms('text')})[1:5] as k from stories)
+select doc_id, coalesce(nullif(trim(coalesce(nullif(record_id, ''), nullif(cmu_id, '')), {_BLANKS}), ''), 'story-' || doc_id || '-' || substr(sha256(title || chr(0) || coalesce(text, '')), 1, 12)) as record_id,
+  sha256('{{"summary":' || to_json(text) || ',"title":' || to_json(title) || '}}') as source_record_hash, 'Title: ' || named || ' | Atmosphere: ' || array_to_string(k, ', ') || ' | Summary: p' as search_payload from f""")
+def feature_merge(spark: SparkSession, sf: str) -> DataFrame:
+    s = stories(spark, sf).select("doc_id", F.col("doc_id").alias("ordinal"), "record_id", "cmu_id", "title", F.col("text").alias("summary"), F.slice(T.terms(F.col("text")), 1, 5).alias("keywords"), F.lit("p").alias("rich_descriptive_paragraph"))
+    return assistant.processed(s).select("doc_id", "record_id", "source_record_hash", "search_payload")
+
+
+@query("""select 'first' as build, 0::bigint as reused, 0::bigint as cached, count(*) as pending, count(*) as total, false as current from benchmark
+union all select 'same', count(*), 0, 0, count(*), true from benchmark
+union all select 'changed', count(*) filter (item_id % 3 > 0), 0, count(*) filter (item_id % 3 = 0), count(*), false from benchmark""")
+def rebuild_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A build, the same again, and one in which a third of the stories changed."""
+    path = scratch(spark, "stories")
+    models = story_plans.Models(_stub_features, build.stub_embedder(), "f1", "e1", 16)
+    source = table(spark, sf, "benchmark").select(F.col("item_id").alias("ordinal"), F.concat(F.lit("T"), F.col("item_id").cast("string")).alias("title"), F.concat("text", F.lit(" one two three four five")).alias("summary"))
+    changed = source.withColumn("summary", F.when(F.col("ordinal") % 3 == 0, F.concat("summary", F.lit(" more"))).otherwise(F.col("summary")))
+    out = []
+    for name, rows in (("first", source), ("same", source), ("changed", changed)):
+        counts = story_plans.build_store(rows, path, models)
+        out.append((name, counts["reused"], counts["cached"], counts["pending"], counts["total"], counts["current"]))
+    return spark.createDataFrame(out, "build string, reused long, cached long, pending long, total long, current boolean")
+
+
+@query("select count(*) as n, 64::bigint as width, true as normalized, min(vec_id) as least, max(vec_id) as largest from embeddings")
+def store_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "store")
+    stores.write_store(table(spark, sf, "embeddings"), path, "m", "f", "vec_id")
+    rows, meta = stores.load_store(spark, path, "vec_id")
+    return rows.agg(F.lit(meta["n"]).cast("long").alias("n"), F.lit(meta["width"]).cast("long").alias("width"), F.lit(meta["normalized"]).alias("normalized"), F.min("vec_id").alias("least"), F.max("vec_id").alias("largest"))
+
+
+_PROMPTS = "case turn % 4 when 0 then text when 1 then ' ' || chr(10) when 2 then repeat(coalesce(text, ''), 40) else null end"
+
+
+@query(f"""select conv_id, turn, q <> '' and length(q) <= 4000 and turn % 5 > 0 as accepted from (select conv_id, turn, trim(regexp_replace(nfc_normalize(coalesce({_PROMPTS}, '')), '[\\s\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}]+', ' ', 'g')) as q from conversations)""")
+def search_guards(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").withColumn("prompt", F.expr(_PROMPTS.replace("chr(10)", "'\\n'")))
+    return c.select("conv_id", "turn", search.accepted(assistant.canonical(F.col("prompt")), F.col("turn") % 5).alias("accepted"))
+
+
+@query("""select conv_id, len(ids) between 1 and 5 and len(list_distinct(ids)) = len(ids) and list_count(list_filter(ids, lambda i: trim(i) = '')) = 0 as accepted
+from (select conv_id, list(case when conv_id % 7 = 0 and turn = 1 then ' ' when conv_id % 5 = 0 then 'same' else 'r' || turn end) as ids from conversations group by conv_id)""")
+def rerank_guards(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("conv_id")
+    ids = F.collect_list(F.when((n % 7 == 0) & (F.col("turn") == 1), " ").when(n % 5 == 0, "same").otherwise(F.concat(F.lit("r"), F.col("turn").cast("string"))))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(ids.alias("ids")).select("conv_id", recommend.acceptable(F.lit("p"), F.col("ids")).alias("accepted"))
+
+
+@query("select doc_id, trim(regexp_replace(nfc_normalize(coalesce(text, '')), '[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}]+', ' ', 'g')) as query from documents")
+def canonical_query(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(assistant.canonical(F.col("text")), F.lit("")).alias("query"))
+
+
+@query("""select conv_id, turn, sha256('search' || chr(0) || 'fp' || chr(0) || coalesce(text, '')) as key from conversations""")
+def cache_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.cache_key("search", "fp", T.blank(F.col("text"))).alias("key"))
+
+
+@query(f"select doc_id, trim('q' || doc_id || ' ' || array_to_string(({_terms('text')})[1:4], ' ')) as prompt from documents")
+def search_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", retrieval.intent_prompts(F.concat(F.lit("q"), F.col("doc_id").cast("string")), F.slice(T.terms(F.col("text")), 1, 4)).alias("prompt"))
+
+
+@query("""select page_id, 'T' || page_id || '. ' || case when length(t) > 150 then rtrim(substr(t, 1, 150)) || '…' else t end as speech from (
+  select page_id, trim(regexp_replace(regexp_replace(html, '(?i)</?div\\b[^>]*>', '', 'g'), '\\s+', ' ', 'g')) as t from pages) where t <> ''""")
+def speech_script(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", T.speech(F.concat(F.lit("T"), F.col("page_id").cast("string")), F.col("html"), 150).alias("speech")).where("speech is not null")
+
+
+@query("select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&apos;') as escaped from pages")
+def markup_escape(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", T.escape_markup(F.col("html")).alias("escaped"))
+
+
+_KINDS = " ".join(f"when '{k}' then '{v}'" for k, v in fixed.EMOJI.items())
+
+
+@query(f"with {_CATALOG} select id, case case when id % 9 = 0 then 'play' else type end {_KINDS} else '{fixed.NO_EMOJI}' end as emoji from catalog")
+def type_emoji(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog(spark, sf).select("id", T.emoji(F.when(F.col("id") % 9 == 0, "play").otherwise(F.col("type"))).alias("emoji"))
+
+
+def _said(value: str, high_low: tuple[str, str]) -> str:
+    high, low = (x.replace("'", "''") for x in high_low)
+    return f"case when {value} >= 0.66 then '{high}' when {value} <= 0.34 then '{low}' end"
+
+
+_EXPLAINED = "[" + ", ".join(_said(f"mood[{i + 1}]", fixed.PHRASES[a]) for i, a in enumerate(fixed.AXES)) + "]"
+_JOINED = "case when len({x}) = 1 then {x}[1] else array_to_string({x}[1:len({x}) - 1], ', ') || ' and ' || {x}[len({x})] end"
+
+
+@query(f"""with {_CATALOG}, top as (select id, list(i order by agreement desc, i)[1:3] as best from (
+    select id, i, (1 - abs(mood[i] - ({_TARGET})[i])) * (1 + abs(mood[i] - 0.5) * 2) as agreement from (select id, mood, unnest(range(1, 13)) as i from catalog)) group by id),
+s as (select c.id, themes, list_filter(list_transform(best, lambda i: ({_EXPLAINED})[i]), lambda p: p is not null) as said from catalog c join top using (id))
+select id, '**T' || id || '** by C (2001). A pitch.' || case when len(said) > 0 then ' It is ' || {_JOINED.format(x='said')} || '{fixed.LINED_UP}' else '' end
+  || case when len(themes) > 0 then ' It touches on ' || {_JOINED.format(x='themes')} || '.' else '' end || case when id % 2 = 0 then ' An arc.' else '' end as paragraph from s""")
+def explain_text(spark: SparkSession, sf: str) -> DataFrame:
+    pool = catalog(spark, sf).withColumns({"title": F.concat(F.lit("T"), F.col("id").cast("string")), "creator": F.lit("C"), "year": F.lit(2001), "pitch": F.lit("A pitch."), "emotional_arc": F.when(F.col("id") % 2 == 0, "An arc")})
+    return pool.select("id", mood.explanation(mood.vector_literal(TARGET)).alias("paragraph"))
+
+
+@query("""select conv_id, turn, case when turn % 3 < 2 then 'i' || conv_id end as intent, case when turn % 3 < 2 then 'a,b,c' end as keywords from conversations""")
+def fenced_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of a model: an object in a fence, one with text around it, and one without any object."""
+    c = table(spark, sf, "conversations")
+    value = F.concat(F.lit('{"intent": " i'), F.col("conv_id").cast("string"), F.lit('", "keywords": ["A", "b ", "C"], "query": ""}'))
+    answer = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```json\n"), value, F.lit("\n```"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("Here: "), value, F.lit(" and {more}"))).otherwise("no object")
+    read = recommend.cleaned_intents(c.withColumn("answer", answer), "answer", "text")
+    return read.select("conv_id", "turn", F.col("result.intent").alias("intent"), F.array_join("result.keywords", ",").alias("keywords"))
+
+
+@query(f"""with {_STORIES}, a as (select conv_id * 1000 + turn as request_id, (conv_id * 7 + turn)::varchar as record_id from conversations), f as (select min(doc_id) as first from stories)
+select request_id, coalesce(s.doc_id, f.first)::varchar as record_id, coalesce(s.title, (select title from stories order by doc_id limit 1)) as title from a cross join f left join stories s on s.doc_id::varchar = a.record_id""")
+def lookup_or_first(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    answers = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), (F.col("conv_id") * 7 + F.col("turn")).cast("string").alias("record_id"))
+    return recommend.chosen_or_first_each(_candidates(spark, sf).select("position", "record_id", "title"), answers).select("request_id", "record_id", "title")
+
+
+@query("""select doc_id, replace(text, 'a', '₹') as text from documents""")
+def mojibake_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", listings.mojibake(F.replace("text", F.lit("a"), F.lit("â‚¹"))).alias("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,15 +40,45 @@ def local(cores: int = 8, partitions: int = 8) -> SparkSession:
     return builder.getOrCreate()
 
 
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """What was written at ``path`` goes when the driver's JVM ends, on any file system."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    fs, target = _path(spark, path)
+    fs.deleteOnExit(target)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share (``spark.checkpoint.dir``), or a temporary one if that is unset."""
-    import uuid
+def delete(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or folder on any file system; whether there was one."""
+    fs, target = _path(spark, path)
+    return bool(fs.delete(target, True))
 
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='lumenweft-')).rstrip('/')}/lumenweft/{name}-{uuid.uuid4().hex}"
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset and the driver's own process runs
+    the tasks, a temporary one of our own; on a cluster that is an error, as executors would not find it."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    own = getattr(sc, "_lumenweft_scratch", None)
+    if own is None:
+        own = "file://" + tempfile.mkdtemp(prefix="lumenweft-")
+        sc._lumenweft_scratch = own
+        sc.setCheckpointDir(own)
+        delete_at_exit(spark, own)
+    return own
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what is written there goes when the driver ends."""
+    folder = f"{shared_folder(spark)}/lumenweft/{uuid.uuid4().hex}"
+    fs, target = _path(spark, folder)
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    return f"{folder}/{name}"

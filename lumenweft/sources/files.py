@@ -5,9 +5,12 @@ from __future__ import annotations
 import csv
 import io
 import json
+import warnings
 import zipfile
 from collections.abc import Callable, Iterable
+from xml.etree import ElementTree
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -16,9 +19,21 @@ from lumenweft import fixed
 from lumenweft.functions import text as T
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, comma: str = ",") -> DataFrame:
     """Header, all strings, quoted line breaks; a byte order mark is skipped."""
-    return spark.read.options(header=True, multiLine=True, escape='"').csv(path)
+    return spark.read.options(header=True, multiLine=True, escape='"', sep=comma).csv(path)
+
+
+def read_records(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """Records of JSON, an object a line, in any number of files that are split; ValueError if there is none.
+
+    What is not an object fails when the rows are read (FAILFAST).
+    """
+    reader = spark.read.option("mode", "FAILFAST")
+    df = (reader.schema(schema) if schema else reader).json(path)
+    if not df.columns or df.isEmpty():
+        raise ValueError("There are no records.")
+    return df
 
 
 def _shape(spark: SparkSession, path: str) -> tuple[str, str]:
@@ -78,8 +93,16 @@ def list_files(spark: SparkSession, folder: str, endings: tuple[str, ...] = (".c
     return sorted((f for f in found if f.lower().endswith(endings)), key=lambda f: f.rsplit("/", 1)[-1])
 
 
-def read_folder(spark: SparkSession, folder: str, skipped: Callable[[str, Exception], None] = lambda name, why: None) -> DataFrame:
-    """All CSV and JSON files of a folder in order of name, as strings with ordinal; a file that can't be read is skipped."""
+#: What Spark calls files whose content it can't make sense of; anything else is not the file's own fault.
+UNREADABLE = ("MALFORMED_RECORD_IN_PARSING", "FAILED_READ_FILE", "UNABLE_TO_INFER_SCHEMA", "INVALID_JSON", "CANNOT_PARSE")
+
+
+def read_folder(spark: SparkSession, folder: str, skipped: Callable[[str, Exception], None] | None = None) -> DataFrame:
+    """All CSV and JSON files of a folder in order of name, as strings with ordinal.
+
+    Files that hold no table (not JSON, or empty) are left out, and named: by ``skipped``, or as a warning. Every other
+    failure, of the file system for instance, is raised. A file is read to its end before it counts as readable.
+    """
     frames = []
     for path in list_files(spark, folder):
         name = path.rsplit("/", 1)[-1]
@@ -87,23 +110,46 @@ def read_folder(spark: SparkSession, folder: str, skipped: Callable[[str, Except
             df = read_csv(spark, path) if name.lower().endswith(".csv") else read_enveloped(spark, path)
             if "_corrupt_record" in df.columns:
                 raise ValueError("not JSON")
-            rows = as_strings(df, name)
-            frames.append(rows.withColumn("ordinal", F.lpad(F.lit(str(len(frames))), 6, "0")).withColumn("ordinal", F.concat("ordinal", F.lit("-"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))))
-        except Exception as why:  # noqa: BLE001  the file's own fault, whatever it is
-            skipped(name, why)
+            if not df.columns:
+                raise ValueError("no columns")
+        except (ValueError, AnalysisException) as why:
+            if isinstance(why, AnalysisException) and not (why.getCondition() or "").startswith(UNREADABLE):
+                raise
+            (skipped or (lambda file, reason: warnings.warn(f"{file} is left out: {reason}", stacklevel=3)))(name, why)
+            continue
+        rows = as_strings(df, name)
+        frames.append(rows.withColumn("ordinal", F.lpad(F.lit(str(len(frames))), 6, "0")).withColumn("ordinal", F.concat("ordinal", F.lit("-"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))))
     return union_all(frames)
 
 
-# --- sinks: single files are made on the driver from rows that arrive one partition at a time -------------------------
+# --- sinks --------------------------------------------------------------------------------------------------------------
+
+
+def write_delimited(df: DataFrame, path: str, comma: str = ",") -> None:
+    """CSV or TSV with a header in every part, written by all tasks; null is empty, as is an empty text."""
+    df.select(*(T.blank(F.col(f"`{c}`")).alias(c) for c in df.columns)).write.options(header=True, sep=comma, escape='"', quoteAll=True).csv(path)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """A JSON object a line, written by all tasks; null is an empty text."""
+    df.select(*(T.blank(F.col(f"`{c}`")).alias(c) for c in df.columns)).write.json(path)
+
+
+# Single files are made on the driver, for people to open: rows arrive one partition at a time, and there may not be many.
+
+#: Rows of a single file, for a spreadsheet the most that its format takes.
+MOST_ROWS = 1_048_575
 
 
 def _rows(df: DataFrame) -> Iterable[list[str]]:
-    for row in df.toLocalIterator():
+    for n, row in enumerate(df.limit(MOST_ROWS + 1).toLocalIterator()):
+        if n == MOST_ROWS:
+            raise ValueError(f"More than {MOST_ROWS} rows do not go into a single file; write_delimited and write_json_lines take any number.")
         yield ["" if v is None else str(v) for v in row]
 
 
 def to_delimited(df: DataFrame, comma: str = ",") -> bytes:
-    """CSV or TSV with header and byte order mark."""
+    """CSV or TSV with header and byte order mark; ValueError beyond MOST_ROWS."""
     out = io.StringIO()
     writer = csv.writer(out, delimiter=comma)
     writer.writerow(df.columns)
@@ -112,7 +158,7 @@ def to_delimited(df: DataFrame, comma: str = ",") -> bytes:
 
 
 def to_json_array(df: DataFrame) -> bytes:
-    """A JSON array, indented by two, other scripts as they are."""
+    """A JSON array, indented by two, other scripts as they are; ValueError beyond MOST_ROWS."""
     return json.dumps([dict(zip(df.columns, r, strict=True)) for r in _rows(df)], ensure_ascii=False, indent=2).encode()
 
 
@@ -128,17 +174,14 @@ def _escape(text: str, apostrophe: str) -> str:
 
 def to_spreadsheet_xml(sheets: dict[str, DataFrame], apostrophe: str = "&apos;") -> bytes:
     """SpreadsheetML 2003; an empty table has an empty header."""
-    lines = ['<?xml version="1.0"?>', '<?mso-application progid="Excel.Sheet"?>', '<Workbook xmlns="urn:schemas-microsoft-com:office:spreadsheet" xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet">']
+    lines = ['<?xml version="1.0"?>', '<?mso-application progid="Excel.Sheet"?>', '<Workbook xmlns="' + fixed.SPREADSHEET + '" xmlns:ss="' + fixed.SPREADSHEET + '">']
     for name, df in sheets.items():
-        body = [r.value for r in sheet_rows(df, apostrophe).toLocalIterator()]
+        body = [r[0] for r in _rows(sheet_rows(df, apostrophe))]
         header = "".join(f'<Cell><Data ss:Type="String">{_escape(c, apostrophe)}</Data></Cell>' for c in df.columns) if body else ""
         lines += [f'<Worksheet ss:Name="{_escape(name, apostrophe)}"><Table>', f"<Row>{header}</Row>", *body, "</Table></Worksheet>"]
     return "\n".join([*lines, "</Workbook>"]).encode()
 
 
-OFFICE = "http://schemas.openxmlformats.org"
-
-
 def to_xlsx(sheets: dict[str, DataFrame]) -> bytes:
     """An Office Open XML workbook with inline strings."""
     text = lambda v: v.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
@@ -149,18 +192,48 @@ def to_xlsx(sheets: dict[str, DataFrame]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         overrides = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{kind}.worksheet+xml"/>' for k in numbers)
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{OFFICE}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{overrides}</Types>')
-        links = f'<Relationships xmlns="{OFFICE}/package/2006/relationships">'
-        z.writestr("_rels/.rels", f'{head}{links}<Relationship Id="rId1" Type="{OFFICE}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/_rels/workbook.xml.rels", head + links + "".join(f'<Relationship Id="rId{k}" Type="{OFFICE}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in numbers) + "</Relationships>")
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{fixed.OFFICE}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{overrides}</Types>')
+        links = f'<Relationships xmlns="{fixed.OFFICE}/package/2006/relationships">'
+        z.writestr("_rels/.rels", f'{head}{links}<Relationship Id="rId1" Type="{fixed.OFFICE}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", head + links + "".join(f'<Relationship Id="rId{k}" Type="{fixed.OFFICE}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in numbers) + "</Relationships>")
         listed = "".join(f'<sheet name="{text(name)}" sheetId="{k}" r:id="rId{k}"/>' for k, name in zip(numbers, sheets, strict=True))
-        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{OFFICE}/spreadsheetml/2006/main" xmlns:r="{OFFICE}/officeDocument/2006/relationships"><sheets>{listed}</sheets></workbook>')
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{fixed.OFFICE}/spreadsheetml/2006/main" xmlns:r="{fixed.OFFICE}/officeDocument/2006/relationships"><sheets>{listed}</sheets></workbook>')
         for k, df in zip(numbers, sheets.values(), strict=True):
             body = "".join(row(n, values) for n, values in enumerate([df.columns, *_rows(df)], 1))
-            z.writestr(f"xl/worksheets/sheet{k}.xml", f'{head}<worksheet xmlns="{OFFICE}/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'{head}<worksheet xmlns="{fixed.OFFICE}/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
     return out.getvalue()
 
 
+def _table(spark: SparkSession, rows: list[list[str]]) -> DataFrame:
+    header = rows[0] if rows else []
+    schema = ", ".join(f"`{c}` string" for c in header)
+    return spark.createDataFrame([tuple(r + [""] * (len(header) - len(r))) for r in rows[1:]], schema)
+
+
+def _file(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
+def read_spreadsheet_xml(spark: SparkSession, path: str, sheet: str) -> DataFrame:
+    """A sheet of SpreadsheetML 2003 with a header, all strings. A single file, read on the driver."""
+    name = f"{{{fixed.SPREADSHEET}}}"
+    for found in ElementTree.fromstring(_file(spark, path)).iter(f"{name}Worksheet"):
+        if found.get(f"{name}Name") == sheet:
+            return _table(spark, [[d.text or "" for d in row.iter(f"{name}Data")] for row in found.iter(f"{name}Row")])
+    raise ValueError(f"There is no sheet {sheet!r}.")
+
+
+def read_xlsx(spark: SparkSession, path: str, sheet: str) -> DataFrame:
+    """A sheet of a workbook with inline strings and a header. A single file, read on the driver."""
+    name = f"{{{fixed.OFFICE}/spreadsheetml/2006/main}}"
+    with zipfile.ZipFile(io.BytesIO(_file(spark, path))) as z:
+        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{name}sheet")]
+        if sheet not in names:
+            raise ValueError(f"There is no sheet {sheet!r}.")
+        rows = ElementTree.fromstring(z.read(f"xl/worksheets/sheet{names.index(sheet) + 1}.xml")).iter(f"{name}row")
+        return _table(spark, [["".join(t.text or "" for t in c.iter(f"{name}t")) for c in row.iter(f"{name}c")] for row in rows])
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A file on any file system that Spark writes, put in place by renaming."""
     jvm = spark.sparkContext._jvm

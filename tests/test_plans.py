@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenweft import fixed
-from lumenweft.plans import assistant, store
+from lumenweft.functions import text as T
+from lumenweft.operators import build
+from lumenweft.plans import assistant, store, stories
 
 ROWS = [("a", [1.0, 0.0]), ("b", [0.6, 0.8])]
 
@@ -18,11 +20,15 @@ def test_store_round_trip(spark, tmp_path):
     store.write_store(df, f"{tmp_path}/s", "stub", "f")
     rows, meta = store.load_store(spark, f"{tmp_path}/s")
     assert rows.count() == 2 and meta["model"] == "stub" and meta["width"] == 2
-    df.limit(1).write.mode("overwrite").parquet(f"{tmp_path}/s/rows")
     with pytest.raises(ValueError):
-        store.load_store(spark, f"{tmp_path}/s")
+        store.write_store(df.union(df), f"{tmp_path}/s", "stub", "g")
+    assert store.load_store(spark, f"{tmp_path}/s")[1] == meta  # what failed was not published
+    again = store.write_store(df.limit(1), f"{tmp_path}/s", "stub", "g")
+    assert rows.count() == 2 and store.load_store(spark, f"{tmp_path}/s")[0].count() == 1  # the old rows are still there
+    assert store.forget(spark, f"{tmp_path}/s") == 1 and store.load_store(spark, f"{tmp_path}/s")[1] == again
+    df.write.mode("overwrite").parquet(again["rows"])
     with pytest.raises(ValueError):
-        store.write_store(df.union(df), f"{tmp_path}/t", "stub", "f")
+        store.load_store(spark, f"{tmp_path}/s")
 
 
 def test_store_without_metadata_is_normalized(spark, tmp_path):
@@ -96,3 +102,83 @@ def test_cache_is_bounded_and_asks_once():
     with pytest.raises(ZeroDivisionError):
         cache.get("z", lambda: 1 / 0)
     assert cache.get("z", lambda: 3) == 3
+
+
+class Counting:
+    """Models that note what they are asked for, in a file, as they run in other processes; some texts fail."""
+
+    def __init__(self, path, failing=(), failing_vectors=()):
+        self.path, self.failing, self.failing_vectors = str(path), failing, failing_vectors
+
+    def generate(self, summary):
+        with open(self.path, "a") as f:
+            f.write(f"generate {summary}\n")
+        if summary in self.failing:
+            raise TimeoutError("no answer")
+        return json.dumps({"rich_descriptive_paragraph": "p " + summary, "keywords": list("abcde"), "emotional_scores": {a: 0.5 for a in fixed.AXES}})
+
+    def embed(self, texts):
+        with open(self.path, "a") as f:
+            f.write("".join(f"embed {t}\n" for t in texts))
+        if any(w in t for t in texts for w in self.failing_vectors):
+            raise TimeoutError("no vectors")
+        # Answers come in any order, with their index.
+        return [(k, [1.0, float(len(t)), float(k % 2)]) for k, t in reversed(list(enumerate(texts)))]
+
+    def models(self, **other):
+        return stories.Models(self.generate, self.embed, other.get("feature_model", "f"), other.get("embedding_model", "e"), 3)
+
+    def asked(self, kind):
+        try:
+            lines = open(self.path).read().splitlines()
+        except FileNotFoundError:
+            return []
+        return sorted(line.split(" ", 1)[1] for line in lines if line.startswith(kind))
+
+
+def test_build_resumes_from_its_own_checkpoint(spark, tmp_path):
+    source = spark.createDataFrame([(k, f"T{k}", f"s{k}") for k in range(6)], "ordinal long, title string, summary string")
+    path = f"{tmp_path}/store"
+    first = Counting(tmp_path / "1", failing=("s4",))
+    with pytest.raises(ValueError, match="failed for 1 stories.*T4"):
+        stories.build_store(source, path, first.models())
+    assert first.asked("generate") == ["s0", "s1", "s2", "s3", "s4", "s4", "s5"] and first.asked("embed") == [] and store.published(spark, path) is None
+    second = Counting(tmp_path / "2", failing_vectors=("s5",))
+    with pytest.raises(ValueError, match="Embedding failed"):
+        stories.build_store(source, path, second.models())
+    assert second.asked("generate") == ["s4"]
+    third = Counting(tmp_path / "3")
+    assert stories.build_store(source, path, third.models()) == {"current": False, "reused": 0, "cached": 6, "pending": 0, "total": 6}
+    assert third.asked("generate") == [] and len(third.asked("embed")) == 6  # each once
+    rows, meta = store.load_store(spark, path)
+    assert meta["n"] == 6 and {r.record_id.split("-")[1] for r in rows.collect()} == set("012345")
+    for r in rows.collect():  # answers in another order went to their own texts
+        assert r.embedding[1] / r.embedding[0] == pytest.approx(len(r.search_payload), rel=1e-4)
+    fourth = Counting(tmp_path / "4")
+    assert stories.build_store(source.orderBy(F.desc("ordinal")), path, fourth.models())["current"] and not fourth.asked("")
+    changed = source.withColumn("summary", F.when(F.col("ordinal") == 2, "new").otherwise(F.col("summary")))
+    assert stories.build_store(changed, path, fourth.models()) == {"current": False, "reused": 5, "cached": 0, "pending": 1, "total": 6}
+    assert fourth.asked("generate") == ["new"] and len(fourth.asked("embed")) == 1
+    other = Counting(tmp_path / "5")
+    assert stories.build_store(changed, path, other.models(embedding_model="e2"))["cached"] == 6 and len(other.asked("embed")) == 6
+    assert stories.build_store(changed, path, other.models(feature_model="f2"))["pending"] == 6
+    with pytest.raises(ValueError):
+        stories.build_store(source.withColumn("record_id", F.lit("x")), path, other.models())
+    with pytest.raises(ValueError):
+        stories.build_store(source.where("false"), f"{tmp_path}/none", other.models())
+
+
+def test_invalid_checkpoint_entries_are_not_used(spark, tmp_path):
+    source = spark.createDataFrame([(1, "T", "s")], "ordinal long, title string, summary string")
+    key = source.select(T.content_hash(F.col("title"), F.col("summary"))).first()[0]
+    bad = [(key, 1, " ", list("abcde"), {a: 0.5 for a in fixed.AXES}, None, 1, "f"), (key, 2, "p", list("abcd"), {a: 0.5 for a in fixed.AXES}, None, 1, "f"), (key, 3, "p", list("abcde"), {a: 0.5 for a in fixed.AXES}, None, 9, "f")]
+    spark.createDataFrame(bad, f"hash string, ordinal long, {assistant.FEATURES}, cache_version int, feature_model string").write.parquet(f"{tmp_path}/s/checkpoint")
+    models = Counting(tmp_path / "log")
+    assert stories.build_store(source, f"{tmp_path}/s", models.models())["pending"] == 1 and models.asked("generate") == ["s"]
+
+
+def test_answers_in_order():
+    assert build.in_order([(2, "c"), (0, "a"), (1, "b")], 3) == ["a", "b", "c"] and build.in_order([[1.0], [2.0]], 2) == [[1.0], [2.0]]
+    for bad in ([(0, "a"), (0, "b")], [(1, "a"), (2, "b")], [(0, "a")], [[1.0]]):
+        with pytest.raises(ValueError):
+            build.in_order(bad, 2)

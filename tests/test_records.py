@@ -85,23 +85,6 @@ def test_only_matching_stores_are_reused(spark):
     assert build.reusable(prior, meta, 1, "other", 2).count() == build.reusable(prior, None, 1, "m", 2).count() == 0
 
 
-def test_rebuild_is_idempotent(spark, tmp_path):
-    source = spark.createDataFrame([(1, "T", "one"), (2, "U", "two"), (3, "T", "one")], "ordinal long, title string, summary string")
-    empty = spark.createDataFrame([], "hash string, ordinal long, payload array<float>")
-    first = retrieval.rebuild(source, empty, empty, build.stub_embedder(), f"{tmp_path}/store", f"{tmp_path}/check").first()
-    assert (first.pending, first.total) == (3, 3)
-    prior = spark.read.parquet(f"{tmp_path}/store").select("hash", "ordinal", "payload")
-    again = retrieval.rebuild(source, prior, empty, build.stub_embedder(), f"{tmp_path}/store2", f"{tmp_path}/check2").first()
-    assert (again.reused, again.pending) == (3, 0)
-
-
-def test_failures_leave_a_checkpoint_and_no_store(spark, tmp_path):
-    built = spark.createDataFrame([(1, "x"), (2, None)], "n long, payload string")
-    with pytest.raises(ValueError):
-        build.publish(built, f"{tmp_path}/c", f"{tmp_path}/s", F.col("payload").isNull())
-    assert spark.read.parquet(f"{tmp_path}/c").count() == 1 and not (tmp_path / "s").exists()
-
-
 def test_currency(spark):
     store = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8])], "id long, v array<float>")
     meta = spark.createDataFrame([("f", 2)], "fingerprint string, n long")
@@ -159,8 +142,51 @@ def test_folder_to_sinks(spark, tmp_path):
     assert (tmp_path / "out" / "x.csv").read_bytes() == b"1"
 
 
+def test_folder_names_what_it_leaves_out(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    (tmp_path / "b.json").write_text("[1, ")
+    left_out = []
+    assert files.read_folder(spark, str(tmp_path), lambda name, why: left_out.append(name)).count() == 1 and left_out == ["b.json"]
+    with pytest.warns(UserWarning, match="b.json"):
+        files.read_folder(spark, str(tmp_path))
+    with pytest.raises(Exception):  # noqa: B017  transient and access failures are not the file's own
+        files.list_files(spark, str(tmp_path / "nowhere"))
+
+
+def test_single_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(files, "MOST_ROWS", 3)
+    df = spark.range(4).select(F.col("id").cast("string").alias("x"))
+    assert files.to_delimited(df.limit(3)).count(b"\n") == 4
+    for sink in (files.to_delimited, files.to_json_array, lambda t: files.to_xlsx({"a": t}), lambda t: files.to_spreadsheet_xml({"a": t})):
+        with pytest.raises(ValueError, match="3 rows"):
+            sink(df)
+
+
+def test_blanks_of_all_kinds(spark):
+    nbsp = "\u00a0"
+    posts = [(1, "a", f"1 July{nbsp}2026", "u1", f"Rent{nbsp}: ₹9,000 2{nbsp}BHK Location:{nbsp}Hill{nbsp}", "f"), (2, "b", "1 July 2026", "", "Rent: 9,000 3 BHK", "f"), (3, "b", "1 July 2026", None, "Rent: 9,000 3 BHK", "f")]
+    df = spark.createDataFrame(posts, "n long, author string, timestamp string, postUrl string, text string, source_file string")
+    got = {r.post_link: r for r in listings.filter_listings(df.withColumn("Post URL", F.when(F.col("n") > 1, F.concat(F.lit("p"), F.col("n").cast("string")))), "n").collect()}
+    assert set(got) == {"u1", "p2", "p3"} and got["u1"].google_map_location == "Hill" and got["u1"].bhk == "2BHK"
+    assert listings.filter_listings(df, "n").count() == 2
+    assert spark.range(1).select(T.stable_id(F.lit("\n\u00a0\x1c"), F.lit(None), F.lit(1), F.lit("t"), F.lit("s"))).first()[0].startswith("story-1-")
+    good, *_ = build.clean_features(F.lit("\n\u2003"), F.array(*[F.lit("a")] * 5), F.create_map(*(x for a in fixed.AXES for x in (F.lit(a), F.lit(0.5)))))
+    assert spark.range(1).select(good).first()[0] is False
+
+
+def test_chosen_or_first(spark):
+    c = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "position long, record_id string")
+    assert [recommend.chosen_or_first(c, i).first().record_id for i in ("c", "z")] == ["c", "a"] and recommend.chosen_or_first(c.where("false"), "a").count() == 0
+    answers = spark.createDataFrame([(1, "b"), (2, "z"), (3, None)], "request_id long, record_id string")
+    assert {r.request_id: r.record_id for r in recommend.chosen_or_first_each(c, answers).collect()} == {1: "b", 2: "a", 3: "a"}
+
+
 def test_embedding_answers_must_match(spark):
     df = spark.createDataFrame([("a",), ("b",)], "t string")
     assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in build.embed(df, "t", build.stub_embedder()).collect())
     with pytest.raises(Exception, match="match"):
         build.embed(df.coalesce(1), "t", lambda texts: [[1.0]]).collect()
+    kept = build.embed(df.coalesce(1), "t", lambda texts: [[1.0]], keep_errors=True).collect()
+    assert all(r.embedding is None and "match" in r.embedding_error for r in kept)
+    swapped = build.embed(df.coalesce(1), "t", lambda texts: [(1, [0.0, 2.0]), (0, [3.0, 0.0])]).collect()
+    assert {r.t: r.embedding for r in swapped} == {"a": [1.0, 0.0], "b": [0.0, 1.0]}

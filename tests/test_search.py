@@ -51,6 +51,23 @@ def test_batch_equals_single(spark, sf):
         assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [r.vec_id for r in search.vector_top_k(e, vector, 4).collect()]
 
 
+def test_batch_with_odd_queries_and_rows(spark):
+    """Null, invalid, ragged and repeated queries, invalid rows of the store, and many parts on both sides."""
+    rows = [(k, [float((k * 7) % 11 - 5), float((k * 3) % 7 - 3), 1.0]) for k in range(60)] + [(100, None), (101, [1.0]), (102, [float("nan"), 1.0, 1.0]), (103, [0.0, 0.0, 0.0])]
+    store = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, None), (3, [1.0, 0.0]), (4, [0.0, -1.0, 0.5]), (4, [0.0, -1.0, 0.5]), (5, [float("nan"), 0.0, 0.0]), (None, [1.0, 0.0, 0.0])], "query_id long, embedding array<float>")
+    whole = sorted(search.vector_top_k_batch(store, asked, 3).collect())
+    assert {r.query_id for r in whole} == {1, 4} and len(whole) == 6
+    for q, v in ((1, [1.0, 0.0, 0.0]), (4, [0.0, -1.0, 0.5])):
+        assert [r.id for r in whole if r.query_id == q] == [r.vec_id for r in search.vector_top_k(store.where("vec_id < 100"), v, 3).collect()]
+    bytes_, search.QUERY_BYTES = search.QUERY_BYTES, 24
+    try:
+        assert sorted(search.vector_top_k_batch(store, asked, 3, store_parts=5).collect()) == whole
+    finally:
+        search.QUERY_BYTES = bytes_
+    assert search.vector_top_k_batch(store.where("vec_id = 100"), asked).count() == 0
+
+
 def test_batch_without_queries(store):
     assert search.vector_top_k_batch(store, store.where("false").select(F.col("vec_id").alias("query_id"), "embedding")).count() == 0
 
