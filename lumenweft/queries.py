@@ -6,6 +6,7 @@ in SQL. All queries read whole tables; a limit stands only where the operator is
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 
@@ -16,11 +17,11 @@ from lumenweft import fixed
 from lumenweft.functions import text as T
 from lumenweft.functions import vectors as V
 from lumenweft.operators import build, listings, mood, recommend, search
-from lumenweft.plans import assistant, retrieval
+from lumenweft.plans import assistant, audio, retrieval
 from lumenweft.plans import store as stores
 from lumenweft.plans import stories as story_plans
 from lumenweft.session import scratch
-from lumenweft.sources import files
+from lumenweft.sources import files, settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -809,6 +810,49 @@ def mojibake_repair(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", listings.mojibake(F.replace("text", F.lit("a"), F.lit("â‚¹"))).alias("text"))
 
 
+SETTINGS = """\ufeff# comment
+A=1
+ export=x y # note
+B = 'q # kept'
+A=2
+1C=3
+EMPTY=
+D="
+no sign
+E_1=a=b
+"""
+
+
+@query("""select * from (values ('A', '1'), ('export', 'x y'), ('B', 'q # kept'), ('D', '"'), ('E_1', 'a=b')) as t(key, value)""")
+def config_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "settings.env")
+    files.write_bytes(spark, path, SETTINGS.encode())
+    return settings.read_settings(spark, path)
+
+
+@query("select count(*) as n, min(item_id) as least, max(item_id) as largest from benchmark")
+def artifact_copy(spark: SparkSession, sf: str) -> DataFrame:
+    path = settings.shared_copy(spark, f"{sf}/benchmark.parquet")
+    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.min("item_id").alias("least"), F.max("item_id").alias("largest"))
+
+
+def _stub_voice(script: str) -> bytes:
+    return hashlib.sha256(script.encode()).hexdigest().encode()
+
+
+@query("""select item_id, text <> '' as spoken, case when text <> '' then sha256('T. ' || case when length(text) > 3500 then rtrim(substr(text, 1, 3500)) || '…' else text end) end as audio
+from (select item_id, case when item_id % 5 = 0 then '' else trim(regexp_replace(text, '\\s+', ' ', 'g')) end as text from benchmark)""")
+def speech_audio(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "benchmark").select("item_id", F.lit("T").alias("title"), F.when(F.col("item_id") % 5 == 0, " ").otherwise(F.col("text")).alias("summary"))
+    return audio.speak(items, _stub_voice).select("item_id", F.col("error").isNull().alias("spoken"), F.decode("audio", "utf-8").alias("audio"))
+
+
+@query("""select item_id, case when item_id % 5 = 0 then null when length(text) > 200 then null else trim(regexp_replace(text, '\\s+', ' ', 'g')) end as transcript from benchmark""")
+def voice_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    sounds = table(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 5 > 0, F.encode("text", "utf-8")).otherwise(F.lit(b"")).alias("audio"))
+    return audio.transcribe(sounds, lambda b: b.decode(), 200).select("item_id", "transcript")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

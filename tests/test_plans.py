@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lumenweft import fixed
 from lumenweft.functions import text as T
 from lumenweft.operators import build
-from lumenweft.plans import assistant, store, stories
+from lumenweft.plans import assistant, audio, store, stories
+from lumenweft.sources import settings
 
 ROWS = [("a", [1.0, 0.0]), ("b", [0.6, 0.8])]
 
@@ -182,3 +183,28 @@ def test_answers_in_order():
     for bad in ([(0, "a"), (0, "b")], [(1, "a"), (2, "b")], [(0, "a")], [[1.0]]):
         with pytest.raises(ValueError):
             build.in_order(bad, 2)
+
+
+def test_speech_and_recordings(spark):
+    rows = spark.createDataFrame([("A", "sea"), ("B", " "), (None, "x"), ("C", "bad")], "title string, summary string")
+    got = [(r.script, r.audio and bytes(r.audio), r.error) for r in audio.speak(rows, lambda s: b"" if "bad" in s else s.encode()).collect()]
+    assert got[0] == ("A. sea", b"A. sea", None) and got[1][1] is None and got[2][1] == b"This story. x" and "no sound" in got[3][2]
+    sounds = spark.createDataFrame([(bytearray(b" a \n b "),), (bytearray(b""),), (None,), (bytearray(b"x" * 20),), (bytearray(b" "),)], "audio binary")
+    got = [(r.transcript, r.error) for r in audio.transcribe(sounds, lambda b: b.decode(), 10).collect()]
+    assert got[0] == ("a b", None) and all(t is None and e.startswith("ValueError") for t, e in got[1:]) and "too large" in got[3][1]
+
+
+def test_copies_of_remote_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "x.txt").write_text("hello")
+    (tmp_path / "empty.txt").write_text("")
+    monkeypatch.setattr(settings, "MOST_COPIES", 1)
+    settings._copies.clear()
+    assert settings.shared_copy(spark, f"{tmp_path}/x.txt") == f"{tmp_path}/x.txt"
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("fs.viewfs.mounttable.far.link./in", f"file://{tmp_path}")
+    far = settings.shared_copy(spark, "viewfs://far/in/x.txt")
+    assert far != "viewfs://far/in/x.txt" and spark.read.text(far).first()[0] == "hello"
+    (tmp_path / "x.txt").write_text("changed")
+    assert settings.shared_copy(spark, "viewfs://far/in/x.txt") == far and spark.read.text(far).first()[0] == "hello" and len(settings._copies) == 1
+    with pytest.raises(ValueError, match="empty"):
+        settings.shared_copy(spark, "viewfs://far/in/empty.txt")
