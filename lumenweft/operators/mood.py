@@ -108,16 +108,26 @@ def festival_lineup(pool: DataFrame, mood: dict[str, float] | None = None, festi
     return best.select("festival", "tagline", "type", "rn", "id", "score")
 
 
+#: Moods up to this count are broadcast; more meet the items in so many parts of each type.
+MOST_MOODS, TYPE_PARTS = 2_000, 64
+
+
 def slot_candidates(pool: DataFrame, moods: DataFrame, slots: list | None = None) -> DataFrame:
     """(mood_id, slot, type_pos, id, score): of each mood, slot and type as many best items as there are slots.
 
-    No more can be needed, as each slot uses up one item.
+    No more can be needed, as each slot uses up one item; a task keeps no more of what it sees before anything is moved. Few
+    moods are broadcast, so the items stay where they are; many meet parts of the items, as there are only a few types.
     """
     slots = fixed.SLOTS if slots is None else slots
     wanted = F.array(*(F.struct(F.lit(k).alias("slot"), F.lit(p).alias("type_pos"), F.lit(t).alias("type"), vector_literal(target).alias("tone")) for k, (_, types, target) in enumerate(slots) for p, t in enumerate(types)))
     asked = moods.select("mood_id", F.col("mood").alias("asked"), F.explode(wanted).alias("w")).select("mood_id", "asked", "w.*")
     target = F.zip_with("asked", "tone", lambda b, s: V.clamp(b * 0.45 + s * 0.55))
-    pairs = asked.withColumn("target", target).join(pool.select("id", "type", "mood"), "type")
+    asked, items = asked.withColumn("target", target).drop("asked", "tone"), pool.select("id", "type", "mood")
+    if moods.limit(MOST_MOODS + 1).count() <= MOST_MOODS:
+        pairs = items.join(F.broadcast(asked), "type")
+    else:
+        parts = F.explode(F.sequence(F.lit(0), F.lit(TYPE_PARTS - 1)))
+        pairs = items.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(TYPE_PARTS)).cast("int")).join(asked.withColumn("part", parts), ["type", "part"])
     order = Window.partitionBy("mood_id", "slot", "type_pos").orderBy(F.desc("score"), "id")
     return pairs.withColumn("score", V.cosine(F.col("target"), F.col("mood"))).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= len(slots)).select("mood_id", "slot", "type_pos", "type", "id", "score")
 

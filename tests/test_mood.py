@@ -80,6 +80,16 @@ def test_weekend_by_rule(spark):
     assert [(r.slot_no, r.slot, r.type, r.id) for r in got] == expected
 
 
+def test_weekend_for_many_moods(spark, monkeypatch):
+    """Parts of the items give what the broadcast gives, and the broadcast moves no item before it is cut."""
+    moods = spark.createDataFrame([(k, [((k + j) % 7) / 7 for j in range(12)]) for k in range(9)], "mood_id long, mood array<double>")
+    few = mood.plan_weekend(pool(spark, items()), moods)
+    plan = mood.slot_candidates(pool(spark, items()), moods)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "WindowGroupLimit" in plan
+    monkeypatch.setattr(mood, "MOST_MOODS", 3)
+    assert sorted(mood.plan_weekend(pool(spark, items()), moods).collect()) == sorted(few.collect())
+
+
 def test_weekend_leaves_out_empty_slots(spark):
     few = [(1, "movie", [0.5] * 12, []), (2, "game", [0.4] * 12, [])]
     moods = spark.createDataFrame([(1, [0.5] * 12)], "mood_id long, mood array<double>")
