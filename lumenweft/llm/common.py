@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweft.session import delete_at_exit
+from lumenweft.session import delete_at_exit, shared_folder
 
 #: Space, tab, line feed, vertical tab, form feed and carriage return: everything else is part of a word.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -30,26 +29,12 @@ CHUNK_BYTES = 1 << 20
 # --- scratch tables -------------------------------------------------------------------------------------------------
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = getattr(sc, "_lumenweft_scratch", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="lumenweft-")
-        sc._lumenweft_scratch = own
-        sc.setCheckpointDir(own)
-    return own
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
     The table goes when the driver ends.
     """
-    path = f"{scratch_dir(df.sparkSession)}/lumenweft/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/lumenweft/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     delete_at_exit(df.sparkSession, path)

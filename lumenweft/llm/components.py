@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from lumenweft.llm.common import materialize
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """Every neighbour and the node itself point at the node's smallest neighbour (or itself)."""
+def _star(edges: DataFrame, name: str) -> DataFrame:
+    """Every neighbour and the node itself point at the node's smallest neighbour (or itself).
+
+    The minima are stored, so that they meet the edges in a join by itself: a node with very many edges is a skewed part of
+    that, which Spark cuts up.
+    """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    return both.join(least, "u")
+    return both.join(materialize(least, name), "u")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -28,9 +32,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if sums == state or not sums[0]:
             break
         state = sums
-        large = _star(now).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: of each node and its smaller neighbours, all but the smallest point at the smallest.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = _star(now, name).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, name)
+        # Small star: of each node and its smaller neighbours, all but the smallest point at the smallest. After a large star
+        # a node has no more of them than it had neighbours that differ in their minimum.
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = materialize(small.where("u <> v").distinct(), name)
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

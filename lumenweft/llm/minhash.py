@@ -11,6 +11,7 @@ what such stars leave apart is compared blockwise, so that no link is lost and n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +24,23 @@ from lumenweft.llm.components import components
 from lumenweft.session import ship
 
 COORDINATES = 64
-#: At a similarity of 0.8 a pair misses 36 of 64 matches with a chance of 4e-6, at 0.85 of 3e-9.
-MATCHES = 36
+#: The chance that a pair just at the threshold has fewer matches than are asked for, and is lost.
+MISS = 1e-9
 #: Load of a block of the exact comparison: its shingles, and so many more for each document; two blocks and the matrix
 #: of their documents are held at once.
 BLOCK_LOAD, DOCUMENT_LOAD = 240_000, 300
 
 
+def matches_for(similarity: float, coordinates: int = COORDINATES, miss: float = MISS) -> int:
+    """The most matches to ask for so that a pair of that similarity has fewer with a chance of ``miss`` at most."""
+    chance = 0.0
+    for m in range(coordinates + 1):
+        chance += math.comb(coordinates, m) * similarity**m * (1 - similarity) ** (coordinates - m)
+        if chance > miss:
+            return max(1, m)
+    return coordinates
+
+
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each document, end to end, and where each document's begin (n + 1)."""
     hashes, first = word_hashes(offsets, data)
@@ -174,14 +185,38 @@ def _block_comparer(words: int, num: int, den: int):
     return compare
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def _between_blocks(nodes: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) between the components of a family: ``nodes`` (family, component, v, n) are dealt to blocks of bounded
+    load, and each pair of blocks of a family is compared, but for those of one and the same component."""
+    loads = nodes.groupBy("family", "component").agg(F.sum("n").alias("load")).withColumn("own", F.ceil(F.col("load") / BLOCK_LOAD))
+    small = loads.where("own <= 1").groupBy("family").agg(F.ceil(F.sum("load") / BLOCK_LOAD).alias("slots"))
+    placed = nodes.join(loads, ["family", "component"]).join(small, "family", "left")
+    placed = placed.select(
+        "family", "component", "v",
+        F.when(F.col("own") > 1, F.col("component")).otherwise(-1).alias("sole"),
+        F.when(F.col("own") > 1, F.pmod(F.xxhash64("v"), "own")).otherwise(F.pmod(F.xxhash64("component"), F.coalesce("slots", F.lit(1)))).alias("slot"),
+    ).withColumn("block", F.xxhash64("sole", "slot"))
+    placed = materialize(placed, "placed")
+    blocks = placed.select("family", "block", "sole").distinct()
+    one, two = blocks.select("family", F.col("block").alias("i"), F.col("sole").alias("one")), blocks.select("family", F.col("block").alias("j"), F.col("sole").alias("two"))
+    tasks = one.join(two, "family").where("i <= j and (one <> two or one = -1)").select("family", "i", "j")
+    seated = placed.join(texts, placed.v == texts.id).select("family", "block", "component", "v", "text")
+    left = tasks.join(seated.withColumnRenamed("block", "i"), ["family", "i"]).select("family", "i", "j", F.lit(0).alias("side"), "component", "v", "text")
+    right = tasks.where("i < j").join(seated.withColumnRenamed("block", "j"), ["family", "j"]).select("family", "i", "j", F.lit(1).alias("side"), "component", "v", "text")
+    return left.union(right).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_block_comparer(words, num, den), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, coordinates: int = COORDINATES, matches: int | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; more columns are ignored).
 
     Documents are linked if ``den * intersection >= num * union`` of their distinct shingles of ``words`` words; with
     fewer words the whole sequence is one shingle. Null or blank texts have no shingles and no links. Rows of the same
-    text are one node, named by its smallest doc_id; repeated rows change nothing. A row without doc_id is returned
-    with a null component and kept. An empty table gives an empty result.
+    text are one node, named by its smallest doc_id, and so are the rows of one doc_id: if it stands with several texts, they
+    are linked. Repeated rows change nothing. A row without doc_id is returned
+    with a null component and kept. An empty table gives an empty result. doc_id is a whole number. Two signatures have to
+    agree on ``matches`` coordinates to be compared, ``matches_for`` the threshold unless given.
     """
+    matches = matches or matches_for(num / den, coordinates)
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     signed = materialize(rows.mapInArrow(_signer(words, coordinates), "id long, n_shingles long, cls binary, sig array<int>"), "signed")
@@ -190,13 +225,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
 
     # Postings of each signature, those without a partner skipped, each document's rarest first.
     posted = classes.select("v", F.posexplode("sig").alias("at", "value")).select("v", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("key"))
-    counted = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Stored, so that a pair that very many documents have is a skewed part of a join by itself, which Spark cuts up.
+    counted = materialize(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counted")
     shared = posted.join(counted, "key").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= matches)
     # A signature's pairs of its own are the rarest of all and take up prefix places.
     prefix = materialize(shared.select("v", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (matches - 1))).alias("k")).select("v", "k.key"), "prefix")
 
     # Stars: each list's smallest document against the others; collisions counted on the whole signature.
-    leads = prefix.groupBy("key").agg(F.min("v").alias("u"))
+    leads = materialize(prefix.groupBy("key").agg(F.min("v").alias("u")), "leads")
     stars = materialize(prefix.join(leads, "key").where("u <> v").select("u", "v").distinct(), "stars")
     sig = classes.select("v", "sig")
     agreeing = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda same: same))
@@ -228,28 +264,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     nodes = nodes.join(classes.groupBy("v").agg((F.max("n") + DOCUMENT_LOAD).alias("n")), "v")
     apart = nodes.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("family")
     nodes = materialize(nodes.join(apart, "family").select("family", "component", "v", "n"), "apart")
-    loads = nodes.groupBy("family", "component").agg(F.sum("n").alias("load")).withColumn("own", F.ceil(F.col("load") / BLOCK_LOAD))
-    small = loads.where("own <= 1").groupBy("family").agg(F.ceil(F.sum("load") / BLOCK_LOAD).alias("slots"))
-    placed = nodes.join(loads, ["family", "component"]).join(small, "family", "left")
-    placed = placed.select(
-        "family", "component", "v",
-        F.when(F.col("own") > 1, F.col("component")).otherwise(-1).alias("sole"),
-        F.when(F.col("own") > 1, F.pmod(F.xxhash64("v"), "own")).otherwise(F.pmod(F.xxhash64("component"), F.coalesce("slots", F.lit(1)))).alias("slot"),
-    ).withColumn("block", F.xxhash64("sole", "slot"))
-    placed = materialize(placed, "placed")
-    blocks = placed.select("family", "block", "sole").distinct()
-    one, two = blocks.select("family", F.col("block").alias("i"), F.col("sole").alias("one")), blocks.select("family", F.col("block").alias("j"), F.col("sole").alias("two"))
-    tasks = one.join(two, "family").where("i <= j and (one <> two or one = -1)").select("family", "i", "j")
-    seated = placed.join(texts, placed.v == texts.id).select("family", "block", "component", "v", "text")
-    left = tasks.join(seated.withColumnRenamed("block", "i"), ["family", "i"]).select("family", "i", "j", F.lit(0).alias("side"), "component", "v", "text")
-    right = tasks.where("i < j").join(seated.withColumnRenamed("block", "j"), ["family", "j"]).select("family", "i", "j", F.lit(1).alias("side"), "component", "v", "text")
-    late = left.union(right).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_block_comparer(words, num, den), "u long, v long")
-    late = materialize(late, "late")
     of = joined.withColumnRenamed("node", "u").withColumnRenamed("component", "c")
-    bridges = late.join(of, "u", "left").select(F.coalesce("c", "u").alias("a"), "v").join(of.select(F.col("u").alias("v"), "c"), "v", "left").select(F.col("a").alias("u"), F.coalesce("c", "v").alias("v"))
-    merged = components(bridges, "merged").select(F.col("node").alias("component"), F.col("component").alias("final"))
     every = families.select(F.col("node").alias("v")).join(joined.withColumnRenamed("node", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    final = every.join(merged, "component", "left").select("v", F.coalesce("final", "component").alias("component"))
+    if nodes.isEmpty():
+        final = every
+    else:
+        late = materialize(_between_blocks(nodes, texts, words, num, den), "late")
+        bridges = late.join(of, "u", "left").select(F.coalesce("c", "u").alias("a"), "v").join(of.select(F.col("u").alias("v"), "c"), "v", "left").select(F.col("a").alias("u"), F.coalesce("c", "v").alias("v"))
+        merged = components(bridges, "merged").select(F.col("node").alias("component"), F.col("component").alias("final"))
+        final = every.join(merged, "component", "left").select("v", F.coalesce("final", "component").alias("component"))
     named = classes.select("cls", "v").join(final, "v", "left").select("cls", F.coalesce("component", "v").alias("component"))
     out = signed.select("id", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
