@@ -24,8 +24,9 @@ BROADCAST_SOURCES = 10_000
 
 
 def unit(seed: int) -> Column:
-    """A number in (0, 1) fixed by doc_id and seed."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    """A number in (0, 1) fixed by seed and doc_id, or the text where there is none."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), own))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -75,18 +76,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return table.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 0, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, epochs, extra) for each row of ``docs`` (doc_id, source, text).
+def mix(docs: DataFrame, seed: int = 0, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, whole: bool = False) -> DataFrame:
+    """(doc_id, source, size, source_size, target, epochs, extra) for each row of ``docs`` (doc_id, source, text); if
+    ``whole``, with the row itself as ``row``. Rows are not moved for that, but for those of the one bucket of a source where
+    its budget ends.
 
     ``epochs`` is how often every document of the source is taken, ``extra`` whether this one is taken once more.
     ``weight`` is the quality weight over size, source and ``richness``. Null texts have size 0; null is a source of its own; ties
-    in keys are broken by doc_id; rows with one doc_id draw the same key. An empty table gives an empty result.
+    in keys are broken by doc_id; rows with one doc_id draw the same key, rows without one by their text. An empty table gives
+    an empty result.
     """
     weight = quality_weight() if weight is None else weight
     measured = let(words(F.col("text").cast("string")), lambda w: F.struct(F.size(w).cast("long").alias("size"), richness(w).alias("richness")))
-    read = docs.select("doc_id", F.col("source").cast("string").alias("source"), measured.alias("m")).select("doc_id", "source", "m.*")
-    read = read.withColumn("key", -F.log(unit(seed)) / weight).withColumn("bucket", F.floor(BUCKETS * (1.0 - F.exp(-F.col("key")))).cast("int"))
-    drawn = materialize(read.withColumn("at", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "drawn")
+
+    def draw(*more: Column) -> DataFrame:
+        read = docs.select("doc_id", F.col("source").cast("string").alias("source"), measured.alias("m"), unit(seed).alias("unit"), *more).select("*", "m.*").drop("m")
+        read = read.withColumn("key", -F.log("unit") / weight).withColumn("bucket", F.floor(BUCKETS * (1.0 - F.exp(-F.col("key")))).cast("int"))
+        return read.drop("unit").withColumn("at", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+
+    drawn = materialize(draw(), "drawn")
     buckets = materialize(drawn.groupBy("at", "source", "bucket").agg(F.sum("size").alias("n")), "buckets")
     table = targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
     table = table.withColumn("at", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
@@ -108,11 +116,20 @@ def mix(docs: DataFrame, seed: int = 0, weight: Column | None = None, weights: t
     # All buckets before the one that is reached are taken, within it documents up to the rest.
     ends = reached(fine, "bucket").withColumnRenamed("bucket", "end")
     table = table.join(ends, "at", "left")
-    out = drawn.join(small(table), "at").withColumn("doubtful", F.coalesce(F.col("bucket") == F.col("end"), F.lit(False)))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(small(table), "at").withColumn("doubtful", F.coalesce(F.col("bucket") == F.col("end"), F.lit(False)))
+
+    out = placed(draw(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")) if whole else drawn)
     sure = out.where("not doubtful").withColumn("extra", (F.col("rest") > 0) & (F.col("end").isNull() | (F.col("bucket") < F.col("end"))))
     order = Window.partitionBy("at").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = out.where("doubtful").withColumn("sum", F.sum("size").over(order)).withColumn("extra", (F.col("rest") > 0) & (F.col("before") + F.col("sum") - F.col("size") / 2.0 <= F.col("rest"))).drop("sum")
-    return sure.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", "epochs", "extra")
+    edge = placed(drawn).where("doubtful").withColumn("sum", F.sum("size").over(order)).withColumn("extra", (F.col("rest") > 0) & (F.col("before") + F.col("sum") - F.col("size") / 2.0 <= F.col("rest"))).drop("sum")
+    if whole:
+        # Rows of one doc_id, source and key are taken alike.
+        taken = edge.groupBy(F.col("at").alias("at_"), F.col("doc_id").alias("doc_id_"), F.col("key").alias("key_")).agg(F.max("extra").alias("extra"))
+        same = (F.col("at") == F.col("at_")) & (F.col("key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_"))
+        edge = out.where("doubtful").join(taken, same)
+    return sure.unionByName(edge.select(*sure.columns)).select("doc_id", "source", "size", "source_size", "target", "epochs", "extra", *["row"] * whole)
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ from f"""
 
 OP9 = f"""with d as (select doc_id, source, len({WORDS.format("coalesce(text, '')")})::bigint as size,
     len(list_distinct({WORDS.format("coalesce(text, '')")}))::double as kinds,
-    (('0x' || substr(md5('0:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint + 0.5::double) / 281474976710656::double as u from documents),
+    (('0x' || substr(md5('0:' || coalesce(doc_id::varchar, 'null' || coalesce(text, ''))), 1, 12))::bigint + 0.5::double) / 281474976710656::double as u from documents),
 k as (select *, -ln(u) / (1.0::double + case when size > 0 then least(kinds / sqrt(2.0::double * size), 4.0::double) else 0.0::double end) as key from d),
 s as (select source, sum(size)::double as s, ([5.0::double, 2.0::double, 1.0::double])[(row_number() over (order by source is null, source) - 1) % 3 + 1] as w from d group by source),
 r as (select *, 2 * s / w as ratio, (1.5::double * sum(s) over () - coalesce(sum(2 * s) over (order by 2 * s / w, source is null, source rows between unbounded preceding and 1 preceding), 0))

@@ -88,14 +88,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents to train on with size and copies to take: complete epochs, and one more where sampled.
 
     Columns of ``docs`` that are called size or copies give way to these. Null is a source of its own; null texts have no
-    words. Repeated rows of a doc_id and source are taken alike. An empty table stays empty.
+    words. Rows of one doc_id, source and text are taken alike. An empty table stays empty.
     """
-    mixed = mixing.mix(docs).withColumn("copies", F.col("epochs") + F.col("extra").cast("long")).where("copies > 0")
-    taken = mixed.groupBy("doc_id", "source").agg(F.max("size").alias("size"), F.max("copies").alias("copies"))
-    kept = [c for c in docs.columns if c.lower() not in ("size", "copies")]
-    rows = docs.select(F.struct(*kept).alias("row"))
-    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source"))
-    return rows.join(taken, same).select("row.*", "size", "copies")
+    mixed = mixing.mix(docs, whole=True).withColumn("copies", F.col("epochs") + F.col("extra").cast("long")).where("copies > 0")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("size", "copies")]
+    return mixed.select(*kept, "size", "copies")
 
 
 STAGES = [
