@@ -22,8 +22,6 @@ from lumenweft.session import ship
 
 #: Bound on the labelled rows that the lexicon and the model are fitted on (in order of a hash of doc_id).
 TRAIN_ROWS = 20_000
-#: Bound on the lexicon.
-TERMS = 4000
 #: Shorter terms allow no edit; words around a hit that are its context; remembered words of a task.
 EDIT_LENGTH, CONTEXT_WORDS, REMEMBERED = 5, 12, 400_000
 
@@ -227,18 +225,19 @@ def _features(terms: dict[str, float], exceptions: set[str]):
 def train(docs: DataFrame, labels: DataFrame, usable, train_rows: int = TRAIN_ROWS) -> tuple[dict[str, float], set[str], np.ndarray]:
     """Lexicon with weights, clean words next to it, and the model, from the labelled rows where ``usable`` holds.
 
-    Two thirds of the rows give the lexicon, the others the model, so the model sees terms as new texts show them.
+    Two thirds of the rows give the lexicon, the others the model, so the model sees terms as new texts show them. A doc_id
+    trains once, with its least text. What is collected comes from ``train_rows`` texts at most, and is all of it.
     """
     labelled = labels.where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("late"))
-    rows = materialize(rows, "labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("long").alias("toxic"))
+    rows = materialize(rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("late")), "labelled")
     early, late = rows.where("not late").select("text", "toxic"), rows.where("late").select("text", "toxic")
     words = early.mapInArrow(_word_labels, "word string, toxic long, n long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     words = materialize(words, "word-labels")
     positive = early.agg(F.coalesce(F.sum("toxic"), F.lit(0))).first()[0]
     least = max(3, math.ceil(0.004 * positive))
-    top = words.where((F.col("toxic") >= least) & (F.col("toxic") >= 0.8 * F.col("n"))).orderBy(F.desc("toxic"), "word").limit(TERMS).collect()
+    top = words.where((F.col("toxic") >= least) & (F.col("toxic") >= 0.8 * F.col("n"))).orderBy(F.desc("toxic"), "word").collect()
     terms = {r.word: math.log((r.toxic + 0.5) / (r.n - r.toxic + 0.5)) for r in top}
     if not terms:
         return {}, set(), np.zeros(8)
@@ -275,7 +274,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable, train_rows: int = TRAIN
     """(doc_id, n_words, hits, score) for each row of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, toxic).
 
     Null and empty texts have no hits and the least score; without labels nothing is toxic. Several labels of one
-    doc_id count as toxic if one is; null labels are left out. Repeated rows are scored each.
+    doc_id count as toxic if one is; null labels are left out. Repeated rows are scored each; more columns are ignored,
+    whatever their names. An empty table gives an empty result.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

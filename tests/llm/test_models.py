@@ -62,6 +62,18 @@ def test_chats_with_odd_rows(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_long_conversations(spark):
+    """A conversation of 600 turns and one with a text of three million characters come back as they were."""
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k} \\ ### </turn> \n" * (k % 5)) for k in range(600)]
+    rows += [(2, 0, "user", "ask"), (2, 1, "assistant", "### a \\ b </turn> " * 170_000)]
+    got = {r.conv_id: r for r in chat.op4(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for conv in (1, 2):
+        own = [(role, t) for c, _, role, t in rows if c == conv]
+        learned = "".join(t for role, t in own if role == "assistant")
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (len(own), sha("".join(f"{a}\n{t}\n" for a, t in own)))
+        assert (got[conv].loss_chars, got[conv].loss_sha256, got[conv].rewrites) == (len(learned), sha(learned), 0)
+
+
 def test_language_model(docs):
     rows = docs.select("doc_id", "text").collect()
     counts, trained = Counter(), 0
@@ -336,6 +348,21 @@ def test_sorted_strings():
         assert shared[k] == same and differs[k] == (same < 24)
 
 
+def test_decontamination_in_very_long_texts(spark, docs, sf):
+    """Every item, planted once in a text of 300,000 words, is found, at its place."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id < 40")
+    prose = " ".join(r.text or "" for r in docs.orderBy("doc_id").collect()).split()
+    items = bench.orderBy("item_id").collect()
+    text, at = [], {}
+    for k, b in enumerate(items):
+        text += (prose * 3)[k * 997 : k * 997 + 7500]
+        at[b.item_id] = len(decontamination._hash_text(" ".join(text)))
+        text += b.text.split()
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, " ".join(text)), (10**6 + 1, None)], "doc_id long, text string"))
+    got = {r.item_id: r for r in decontamination.op10(df, bench).where("doc_id >= 1000000").collect()}
+    assert set(at) <= set(got) and all(r.lcs >= 0.99 for i, r in got.items() if i in at)
+
+
 def test_recall_of_the_cosine_gate(spark, docs, sf, monkeypatch):
     """Against subsequences in every passage: paraphrased items in long texts; and the benchmark in several passes."""
     rng = random.Random(6)

@@ -139,6 +139,17 @@ def test_toxicity_context_and_odd_rows(spark, odd):
     assert toxicity.op3(odd.where("false"), labels.where("false")).count() == 0
 
 
+def test_toxicity_of_a_very_long_text(spark):
+    """Hits, their places and the density around them against a plain scan of a text of 600,000 words."""
+    rows = [(k, f"you are a moron{'!' * (k % 3)} and rain {k} falls" if k % 2 else f"rain {k} falls on stone") for k in range(400)]
+    long = "rain falls on stone " * 100_000 + "moron moron " + "sea " * 200_000 + "a mor0n and a morom"
+    docs = spark.createDataFrame([*rows, (1000, long)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
+    (got,) = toxicity.toxicity(docs, labels, F.lit(True)).where("doc_id = 1000").collect()
+    assert {(h.at, h.term, h.edits) for h in got.hits if h.term == "moron"} == {(400_000, "moron", 0), (400_001, "moron", 0), (600_007, "moron", 1)}
+    assert got.n_words == 600_008 and got.score > 0.5
+
+
 def test_toxicity_counts_hits_anywhere():
     matcher = toxicity.Matcher({"moron": 5.0}, set())
     apart = ("moron " + "sea " * 30) * 210
