@@ -282,8 +282,9 @@ def _spread(key: int) -> int:
     return (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32
 
 
-def _same(key: int) -> int:
-    return key
+def _pairs_of(key: int) -> int:
+    """Two buckets go to a partition, one after the other: a task costs something by itself."""
+    return key >> 1
 
 
 def _by_key(rows: Iterator[tuple]) -> Iterator[tuple[int, list[tuple]]]:
@@ -439,13 +440,13 @@ def lm_scores(docs: DataFrame, held_out: object, order: int = 3) -> DataFrame:
     coded = read.mapInArrow(_coder, "chunk long, n_tokens long, n_train long, payload binary, rows binary").rdd
     # Chunks, what they ask and what they are told meet by key. They are pairs in RDDs, as those keep the places they were
     # dealt to: a chunk and a hash are moved once, not again every round.
-    parts = max(spark.sparkContext.defaultParallelism, coded.getNumPartitions(), n_bytes // (2 * CHUNK))
+    parts = max(spark.sparkContext.defaultParallelism, coded.getNumPartitions(), n_bytes // (4 * CHUNK))
     home = coded.map(lambda r: (r[0], (-1, r[1], bytes(r[3]), bytes(r[4]), r[2]))).partitionBy(parts, _spread)
     tokens, total = home.map(lambda r: (r[1][1], r[1][4])).fold((0, 0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
     size = _Size(order, 1 << max(LEAST_BUCKETS - 1, n_bytes // BUCKET_BYTES).bit_length(), tokens)
     known, heard, distinct = home, None, 0
     for r in range(max(1, order)):
-        asked = known.mapPartitions(_asker(r, size, total, distinct)).partitionBy(size.buckets, _same)
+        asked = known.mapPartitions(_asker(r, size, total, distinct)).partitionBy(size.buckets >> 1, _pairs_of)
         heard = asked if heard is None else heard.union(asked)
         told = heard.mapPartitions(_answerer(r, size)).partitionBy(parts, _spread)
         if r == 0:
