@@ -253,6 +253,16 @@ def sliding_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[:n], behind[width - 1 : width - 1 + n])
 
 
+def first_of_equal(values: np.ndarray) -> np.ndarray:
+    """For each value the first place that has the same."""
+    order = np.argsort(values)
+    new = np.append(True, values[order[1:]] != values[order[:-1]])[: len(values)]
+    out = np.empty(len(values), np.int64)
+    if len(values):
+        out[order] = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
 def _mark(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Positions below ``size`` that lie in one of the spans (ends excluded)."""
     steps = np.bincount(starts, minlength=size + 1)[: size + 1] - np.bincount(ends, minlength=size + 1)[: size + 1]
@@ -315,11 +325,8 @@ def _suffixes_of_block(plan: Plan, payload: bytes, bits: dict[int, bytes]) -> tu
     hashes = np.concatenate(hashes_)
     del hashes_
     starts, anchors, keys, far = (np.concatenate(x) for x in (starts_, anchors_, keys_, outer_))
-    order = np.argsort(hashes, kind="stable")
-    head = np.append(True, hashes[order[1:]] != hashes[order[:-1]])
-    leader = np.empty(len(order), np.int64)
-    leader[order] = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    del hashes, order, head
+    leader = first_of_equal(hashes)
+    del hashes
     # Windows with the hash of an earlier one: consecutive ones with consecutive leaders are compared as one string.
     again = leader != np.arange(len(leader))
     some = np.flatnonzero(again)
@@ -485,12 +492,9 @@ def _sort_buckets(plan: Plan):
         spans = sizes + plan.length - 1
         begin = np.cumsum(spans) - spans
         order = np.lexsort((offsets, blocks[packet], ids))
-        whole = hashed_spans(data, begin, begin + spans)[order]
-        by = np.argsort(whole, kind="stable")
-        head = np.append(True, (whole[by[1:]] != whole[by[:-1]]) | (sizes[order[by[1:]]] != sizes[order[by[:-1]]]))
         leader = np.empty(len(order), np.int64)
-        leader[order[by]] = order[by[np.flatnonzero(head)[np.cumsum(head) - 1]]]
-        done = leader != np.arange(len(leader))
+        leader[order] = order[first_of_equal(mix64(hashed_spans(data, begin, begin + spans) + sizes.astype(np.uint64))[order])]
+        done = (leader != np.arange(len(leader))) & (sizes == sizes[leader])
         some = np.flatnonzero(done)
         done[some] = same_bytes(data, begin[some], begin[leader[some]], spans[some])
         # Runs in the order of their texts, so that windows are numbered in that order.
