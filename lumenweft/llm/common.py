@@ -148,8 +148,8 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64((prefix[ends] - prefix[starts]) * down[starts])
 
 
-def hashed_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 22) -> np.ndarray:
-    """Hashes of ascending spans of some bytes, taken in slices, so that a very long text needs no longer tables."""
+def hashed_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+    """Hashes of ascending spans of some bytes, taken in slices: tables stay short, for very long texts and for the cache."""
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
         a = int(starts[i])
