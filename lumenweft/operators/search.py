@@ -140,8 +140,9 @@ def term_frequencies(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.explode(tokens).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def document_frequencies(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequencies(docs: DataFrame, tokens: Column) -> DataFrame:
+    """(term, df): in how many rows a term is. Rows send each of their terms once, tasks each of theirs once."""
+    return docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(total: Column, df: Column) -> Column:
@@ -159,6 +160,8 @@ def lexical_top_k(docs: DataFrame, prompt: str, k: int, id_col: str, tokens: Col
     Ties go to the larger sha256 of query, null byte and id. Query terms that no row has count in the query's length.
     A query without terms gives no rows. Texts are cut into terms once: each row's terms with their counts are stored, and
     both document frequencies and lengths come from there; the query's own terms never leave their row.
+    Frequencies are stored as well, so that they meet the terms in a join by itself: a very common term is a skewed part of
+    that, which Spark cuts up.
     """
     spark = docs.sparkSession
     words = [w for w in spark.range(1).select(T.terms(F.lit(prompt)).alias("t")).first()[0]]
@@ -177,8 +180,10 @@ def lexical_top_k(docs: DataFrame, prompt: str, k: int, id_col: str, tokens: Col
     seen = listed.select(*of_query).agg(F.count("*").alias("n"), *(F.count_if(c > 0).alias(f"d{j}") for j, c in enumerate(own.values()))).first()
     weight = {t: math.log((1.0 + seen["n"]) / (1.0 + seen[f"d{j}"])) + 1.0 for j, t in enumerate(counts)}
     length = max(math.sqrt(sum((c * weight[t]) ** 2 for t, c in counts.items())), 1e-8)
-    tf = listed.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    squares = tf.join(document_frequencies(tf), "term").groupBy("id").agg(F.sum((F.col("tf") * idf(F.lit(float(seen["n"])), F.col("df"))) ** 2).alias("squares"))
+    tf = term_frequencies(listed, "id", F.col("tokens"))
+    frequencies = scratch(spark, "frequencies")
+    document_frequencies(listed, F.col("tokens")).write.parquet(frequencies)
+    squares = tf.join(spark.read.parquet(frequencies), "term").groupBy("id").agg(F.sum((F.col("tf") * idf(F.lit(float(seen["n"])), F.col("df"))) ** 2).alias("squares"))
     dot = sum((F.lit(counts[t] * weight[t] ** 2) * own[t] for t in counts), F.lit(0.0))
     scored = listed.select("id", *of_query).select("id", dot.alias("dot"))
     # Only rows that share a term need their length.

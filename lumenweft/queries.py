@@ -274,7 +274,7 @@ def term_freq(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {_STORIES}, {_TF} select term, count(*) as df from tf group by term")
 def doc_freq(spark: SparkSession, sf: str) -> DataFrame:
-    return search.document_frequencies(search.term_frequencies(stories(spark, sf), "doc_id", _story_tokens()))
+    return search.document_frequencies(stories(spark, sf), _story_tokens())
 
 
 PROMPT = "the thing that was said and erthat other words oneat nowhereseen"
