@@ -114,7 +114,7 @@ def _formatter(template: Callable[[list[Turn]], str], learn: str, schema: pa.Sch
 
         for batch in batches:
             for key, role, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if turns and key != conv:
+                if turns and (key != conv or key is None):
                     yield finish()
                     turns = []
                 conv = key
@@ -138,8 +138,8 @@ def format_chats(conversations: DataFrame, template: Callable[[list[Turn]], str]
     """One row a conversation: text, loss mask over the turns of role ``learn``, turn spans, turns that rewrite history.
 
     ``conversations`` has conv_id, turn, role, text; turns are taken in order, ties by role and text, null turns first.
-    Null roles and texts count as empty; rows without conv_id form one conversation. Repeated rows are turns of their
-    own. All offsets are in code points. The rows of a conversation meet in one task, which holds one conversation at a
+    Null roles and texts count as empty; a row without conv_id is a conversation of its own. Repeated rows are turns of
+    their own. An empty table gives an empty result; more columns are ignored. All offsets are in code points. The rows of a conversation meet in one task, which holds one conversation at a
     time; rendering every prefix of it takes time with the square of its turns.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -147,7 +147,8 @@ def format_chats(conversations: DataFrame, template: Callable[[list[Turn]], str]
 
     ship(conversations.sparkSession)
     read = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    dealt = read.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    own = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(0)
+    dealt = read.repartition("conv_id", own).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return dealt.mapInArrow(_formatter(template, learn, to_arrow_schema(StructType.fromDDL(FORMATTED))), FORMATTED)
 
 

@@ -80,13 +80,13 @@ def _escaped(x: str) -> str:
 
 _HEADER = "case when substr(role, 1, 1) between 'a' and 'z' then upper(substr(role, 1, 1)) || substr(role, 2) else '=' || role end"
 _TRICKY = r"\### Assistant: </turn> ok"
-OP4 = rf"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all values (-7, 0, 'user', '{_TRICKY}'), (-7, 1, 'assistant', '{_TRICKY}'))
+OP4 = rf"""with c as (select conv_id, case when conv_id is null then row_number() over () else 0 end as own, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 0, 'user', '{_TRICKY}'), (-7, 0, 1, 'assistant', '{_TRICKY}'))
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
   sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
   sum(length('### ' || replace({_escaped(_HEADER)}, ':', '\:') || ': ' || {_escaped("text")} || ' </turn>') + 1)::bigint as formatted_chars, 0::bigint as rewrites
-from c group by conv_id"""
+from c group by conv_id, own"""
 
 OP8 = rf"""with d as (select doc_id, coalesce(text, '') as t, {WORDS.format("coalesce(text, '')")} as w from documents),
 windows as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),

@@ -60,6 +60,8 @@ def test_chats_with_odd_rows(spark):
     got = {r.conv_id: r for r in chat.op4(df).collect()}
     assert (got[1].n_turns, got[1].loss_chars, got[None].loss_chars, got[2].loss_chars) == (4, 2, 1, 0)
     assert chat.format_chats(df.where("false")).count() == 0
+    alone = chat.op4(df.where("conv_id is null").union(df.where("conv_id is null")).union(df.where("conv_id = 2"))).where("conv_id is null").collect()
+    assert [r.n_turns for r in alone] == [1, 1]
 
 
 def test_long_conversations(spark):
