@@ -69,6 +69,25 @@ def test_block_comparison_counts_exactly():
     assert set(minhash.linked_pairs(sets, groups, np.zeros(25), 4, 5)) == expected
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_edges(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges = [tuple(int(x) for x in e) for e in rng.integers(0, 60, (45, 2))]
+    parent = {n: n for e in edges if e[0] != e[1] for n in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            a, b = sorted((find(u), find(v)))
+            parent[b] = a
+    got = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r.node: r.component for r in got} == {n: find(n) for n in parent} and len(got) == len(parent)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(200, 100), (100, 150), (7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
