@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenweft.llm.common import materialize
+from lumenweft.llm.common import materialize, split_by
 from lumenweft.llm.native import let, words
 
 WEIGHTS = (5, 2, 1)
@@ -89,12 +89,12 @@ def mix(docs: DataFrame, seed: int = 0, weight: Column | None = None, weights: t
     weight = quality_weight() if weight is None else weight
     measured = let(words(F.col("text").cast("string")), lambda w: F.struct(F.size(w).cast("long").alias("size"), richness(w).alias("richness")))
 
-    def draw(*more: Column) -> DataFrame:
-        read = docs.select("doc_id", F.col("source").cast("string").alias("source"), measured.alias("m"), unit(seed).alias("unit"), *more).select("*", "m.*").drop("m")
+    def draw(rows: DataFrame, *more: Column) -> DataFrame:
+        read = rows.select("doc_id", F.col("source").cast("string").alias("source"), measured.alias("m"), unit(seed).alias("unit"), *more).select("*", "m.*").drop("m")
         read = read.withColumn("key", -F.log("unit") / weight).withColumn("bucket", F.floor(BUCKETS * (1.0 - F.exp(-F.col("key")))).cast("int"))
         return read.drop("unit").withColumn("at", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
 
-    drawn = materialize(draw(), "drawn")
+    drawn = materialize(draw(docs), "drawn")
     buckets = materialize(drawn.groupBy("at", "source", "bucket").agg(F.sum("size").alias("n")), "buckets")
     table = targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
     table = table.withColumn("at", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
@@ -120,16 +120,21 @@ def mix(docs: DataFrame, seed: int = 0, weight: Column | None = None, weights: t
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(small(table), "at").withColumn("doubtful", F.coalesce(F.col("bucket") == F.col("end"), F.lit(False)))
 
-    out = placed(draw(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")) if whole else drawn)
-    sure = out.where("not doubtful").withColumn("extra", (F.col("rest") > 0) & (F.col("end").isNull() | (F.col("bucket") < F.col("end"))))
+    names = ["doc_id", "source", "size", "source_size", "target", "epochs", "extra"]
+    by_bucket = (F.col("rest") > 0) & (F.col("end").isNull() | (F.col("bucket") < F.col("end")))
     order = Window.partitionBy("at").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed(drawn).where("doubtful").withColumn("sum", F.sum("size").over(order)).withColumn("extra", (F.col("rest") > 0) & (F.col("before") + F.col("sum") - F.col("size") / 2.0 <= F.col("rest"))).drop("sum")
-    if whole:
-        # Rows of one doc_id, source and key are taken alike.
-        taken = edge.groupBy(F.col("at").alias("at_"), F.col("doc_id").alias("doc_id_"), F.col("key").alias("key_")).agg(F.max("extra").alias("extra"))
-        same = (F.col("at") == F.col("at_")) & (F.col("key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_"))
-        edge = out.where("doubtful").join(taken, same)
-    return sure.unionByName(edge.select(*sure.columns)).select("doc_id", "source", "size", "source_size", "target", "epochs", "extra", *["row"] * whole)
+    out = placed(drawn)
+    edge = out.where("doubtful").withColumn("sum", F.sum("size").over(order)).withColumn("extra", (F.col("rest") > 0) & (F.col("before") + F.col("sum") - F.col("size") / 2.0 <= F.col("rest"))).drop("sum")
+    if not whole:
+        return out.where("not doubtful").withColumn("extra", by_bucket).unionByName(edge).select(*names)
+    # Rows of one doc_id, source and key are taken alike. Only those that may be in such a bucket, by their doc_id, are moved.
+    taken = edge.groupBy("at", "key", "doc_id").agg(F.max("extra").alias("extra"))
+    taken = materialize(taken.select(F.col("at").alias("at_"), F.col("key").alias("key_"), F.col("doc_id").alias("doc_id_"), "doc_id", "extra"), "taken")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    clear, rest = (placed(draw(rows, row)) for rows in split_by(docs, taken.select("doc_id"), "doc_id"))
+    same = (F.col("at") == F.col("at_")) & (F.col("key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_"))
+    rest = rest.join(taken.drop("doc_id"), same, "left").withColumn("extra", F.coalesce("extra", by_bucket))
+    return clear.withColumn("extra", by_bucket).select(*names, "row").unionByName(rest.select(*names, "row"))
 
 
 def op9(docs: DataFrame) -> DataFrame:
