@@ -158,7 +158,7 @@ def lexical_top_k(docs: DataFrame, prompt: str, k: int, id_col: str, tokens: Col
     """(id, score): TF-IDF cosine with one query over all rows, rows without a shared term included at 0.
 
     Ties go to the larger sha256 of query, null byte and id. Query terms that no row has count in the query's length.
-    A query without terms gives no rows. Texts are cut into terms once: each row's terms with their counts are stored, and
+    A query without terms gives no rows. Texts are cut into terms once: each row's terms are stored, and
     both document frequencies and lengths come from there; the query's own terms never leave their row.
     Frequencies are stored as well, so that they meet the terms in a join by itself: a very common term is a skewed part of
     that, which Spark cuts up.
