@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -64,11 +65,11 @@ def sample_of(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
     Only the files chosen are opened, and of each only as much as a limit needs.
     """
     text = F.substring(clean(F.col("text")), 1, SAMPLE_CHARACTERS).alias("text")
-    files = sorted(docs.inputFiles())
+    files = sorted({unquote(f.rsplit("/", 1)[-1]) for f in docs.inputFiles()})
     chosen = [files[k * len(files) // SAMPLE_FILES] for k in range(SAMPLE_FILES)] if len(files) > SAMPLE_FILES else files
     spread = len(chosen) > 1 and "_metadata" not in docs.columns
     try:
-        parts = [docs.where(F.col("_metadata.file_path") == f) for f in chosen] if spread else [docs]
+        parts = [docs.where(F.col("_metadata.file_name") == f) for f in chosen] if spread else [docs]
         drawn = [r.text for part in parts for r in part.select(text).limit(-(-sample_rows // len(parts))).collect()]
     except AnalysisException:  # the table is more than its files' rows
         drawn = []

@@ -208,6 +208,25 @@ def test_mix(docs, odd):
     assert mixing.op9(odd.where("false")).count() == 0
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    """Weights follow the sources over several ranges, and joins without a broadcast give the same."""
+    rng = random.Random(9)
+    rows = [(k, " ".join("w%d" % rng.randint(0, 50) for _ in range(rng.randint(0, 30))), f"s{rng.randint(0, 250):03d}" if k % 50 else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = sorted(map(str, mixing.op9(df).collect()))
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(words(text))
+    goal = water_fill(dict(sizes))
+    assert all(r.target == pytest.approx(goal[r.source], abs=1e-5) for r in mixing.op9(df).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.op9(df).collect())) == got
+    whole = mixing.mix(df, whole=True).collect()
+    assert sorted(str((r.row.doc_id, r.row.text, r.row.source)) for r in whole) == sorted(map(str, rows))
+    taken = {r.doc_id: r["size"] * (r.epochs + r.extra) for r in whole}
+    assert taken == {r.doc_id: r.taken for r in mixing.op9(df).collect()}
+
+
 def test_mix_prefers_weighty_documents(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("a b").alias("text"))
     got = mixing.mix(df, weight=F.when(F.col("size") >= 0, 1.0), share=0.5, most=0.5).agg(F.sum(F.col("extra").cast("int"))).first()[0]

@@ -276,6 +276,16 @@ def test_quality_base(spark, docs, odd):
     assert not re.search("Python|Pandas|Arrow", quality.op8(docs)._jdf.queryExecution().executedPlan().toString())
 
 
+def test_sample_is_spread_over_files(spark, tmp_path):
+    spark.range(1200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).repartition(12).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    drawn = quality.sample_of(df, 80)
+    files = {r.text: r.f for r in df.select("text", F.input_file_name().alias("f")).collect()}
+    assert len(drawn) == 80 and len({files[t] for t in drawn}) == quality.SAMPLE_FILES
+    assert len(quality.sample_of(df.where("doc_id < 3"), 80)) == 3 and quality.sample_of(df.where("false")) == []
+    assert len(quality.sample_of(df.groupBy("text").count(), 10)) == 10 and len(quality.sample_of(df.withColumn("_metadata", F.lit(1)), 10)) == 10
+
+
 def test_order_never_changes_a_verdict(docs):
     order = list(quality.FILTER_RULES)
     kept = {r.doc_id for r in quality.keep_good(docs).collect()}
