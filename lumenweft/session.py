@@ -12,9 +12,19 @@ from pyspark.sql import SparkSession
 PACKAGE = Path(__file__).resolve().parent
 
 
+#: What goes to a Python worker at a time, in bytes: rows of long texts would make very large batches by their number alone.
+BATCH_BYTES = "8m"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Give this package's code to the executors' Python workers, once a context."""
+    """Give this package's code to the executors' Python workers, once a context, and bound the batches they get.
+
+    A size of batches that the session was given stays.
+    """
     sc = spark.sparkContext
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, BATCH_BYTES)
     if not getattr(sc, "_lumenweft_shipped", False):
         path = Path(tempfile.mkdtemp(prefix="lumenweft-code-")) / "lumenweft_code.zip"
         with zipfile.ZipFile(path, "w") as archive:

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lumenweft import fixed
+from lumenweft import fixed, session
 from lumenweft.functions import text as T
 from lumenweft.operators import build
 from lumenweft.plans import assistant, audio, store, stories
@@ -208,3 +208,14 @@ def test_copies_of_remote_files(spark, tmp_path, monkeypatch):
     assert settings.shared_copy(spark, "viewfs://far/in/x.txt") == far and spark.read.text(far).first()[0] == "hello" and len(settings._copies) == 1
     with pytest.raises(ValueError, match="empty"):
         settings.shared_copy(spark, "viewfs://far/in/empty.txt")
+
+
+def test_batches_for_python_are_bounded(spark):
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(size)
+    session.ship(spark)
+    assert spark.conf.get(size) == session.BATCH_BYTES
+    spark.conf.set(size, "1m")
+    session.ship(spark)
+    assert spark.conf.get(size) == "1m"
+    spark.conf.unset(size)
