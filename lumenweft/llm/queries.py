@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenweft.llm import chat, decontamination, licenses, lm, minhash, mixing, quality, secrets, substrings, toxicity
+from lumenweft.llm import audit, chat, decontamination, language, licenses, lm, minhash, mixing, quality, ranked, secrets, substrings, toxicity
 from lumenweft.llm.common import documents
 
 
@@ -50,10 +50,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.op10(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.op11(documents(spark, sf_dir))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.op12(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.op13(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_minhash_dedup, op2_license_scan, op3_toxicity, op4_chat_format, op5_lm_score,
         op6_substring_dedup, op7_secret_scan, op8_quality_rules, op9_source_mix, op10_decontamination,
+        op11_language_id, op12_filter_audit, op13_ranked_search,
     )
     return {q.__name__: q for q in every}
 
@@ -115,7 +128,40 @@ c as (select k.*, e.s, e.target, e.epochs, e.target - e.epochs * e.s as rest, su
   from k join e on k.source is not distinct from e.source)
 select doc_id, size, s::bigint as source_size, round(target, 6) as target, (size * (epochs + case when rest > 0 and run - size / 2.0 <= rest then 1 else 0 end))::bigint as taken, source from c"""
 
+OP12 = rf"""with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, {WORDS.format("coalesce(text, '')")} as w from documents),
+least as (select t, min(doc_id) as m from d group by t),
+said as (select doc_id, max(coalesce(quality = 1, false)::int) as good, max(coalesce(toxic = 1, false)::int) as bad from labels group by doc_id),
+failing as (select part, coalesce(good, 0) as good, coalesce(bad, 0) as bad,
+  case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+  || case when 100 * (length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g'))) > 3 * length(d.t) then 'C' else '' end
+  || case when regexp_matches(d.t, '[#$%&*|]') then 'D' else '' end || case when d.doc_id > least.m then 'E' else '' end as mask
+  from d join least on least.t = d.t left join said on said.doc_id = d.doc_id),
+counts as (select part, mask, count(*) as n, sum(good) as good, sum(bad) as bad from failing group by part, mask),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+  where a.x not in (b.x, c.x, d.x, e.x) and b.x not in (c.x, d.x, e.x) and c.x not in (d.x, e.x) and d.x <> e.x),
+steps as (select filter_order, step::int as step, substr(filter_order, step, 1) as x, substr(filter_order, 1, step - 1) as earlier from orders, range(1, 6) as r(step)),
+acts as (select part, filter_order, step, x, n, good, bad, mask, contains(mask, x) as fails, translate(mask, earlier, '') <> mask as gone from counts, steps),
+rows as (select part, filter_order, step, x, coalesce(sum(n) filter (not fails and not gone), 0)::bigint as kept, coalesce(sum(n) filter (fails and not gone), 0)::bigint as removed,
+  coalesce(sum(n) filter (fails and gone), 0)::bigint as redundant, coalesce(sum(n) filter (mask = x), 0)::bigint as unique_fails,
+  coalesce(sum(good) filter (fails and not gone), 0)::bigint as good_lost, coalesce(sum(bad) filter (fails and not gone), 0)::bigint as toxic_lost
+  from acts group by part, filter_order, step, x)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, x))::bigint as shapley from rows"""
+
+TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""with d as (select row_number() over () as id, doc_id, {TERMS.format(ASCII_LOWER.format("coalesce(text, '')"))} as w from documents),
+size as (select count(*) as n, sum(len(w))::bigint as l from d where len(w) > 0),
+tf as (select id, term, count(*) as tf from (select id, unnest(w) as term from d) group by id, term),
+df as (select term, count(*) as df from tf group by term),
+q as (select item, term, count(*) as times from (select item, unnest(w) as term from (select row_number() over () as item, {TERMS.format(ASCII_LOWER.format("coalesce(text, '')"))} as w from benchmark)) group by item, term),
+items as (select row_number() over () as item, item_id from benchmark),
+scored as (select q.item, tf.id, sum(q.times * floor(1000 * ln((2 * size.n + 2)::double / (2 * df.df + 1)::double))::bigint
+    * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * len(d.w) * size.n) // size.l))))::bigint as score
+  from q join df on df.term = q.term join tf on tf.term = q.term join d on d.id = tf.id cross join size group by q.item, tf.id)
+select item_id, rank, doc_id, score from (select item_id, doc_id, score, (row_number() over (partition by scored.item order by score desc, doc_id nulls last))::int as rank
+  from scored join d on d.id = scored.id join items on items.item = scored.item where score > 0) where rank <= 20"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express in full; the others are tested against brute force."""
-    return {"op1_minhash_dedup": OP1, "op4_chat_format": OP4, "op8_quality_rules": OP8, "op9_source_mix": OP9}
+    return {"op1_minhash_dedup": OP1, "op4_chat_format": OP4, "op8_quality_rules": OP8, "op9_source_mix": OP9, "op12_filter_audit": OP12, "op13_ranked_search": OP13}
