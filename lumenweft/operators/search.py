@@ -42,11 +42,13 @@ def accepted(query: Column, top_k: Column) -> Column:
 def vector_top_k(store: DataFrame, query: list[float], k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k rows of largest dot product with one query vector, ties by id; ``vector_similarity`` is clipped to [-1, 1].
 
-    The query is a literal, so the plan is one scan and a top-k merge.
+    The query is a literal, so the plan is one scan and a top-k merge. Rows without a valid vector of its width (null, not
+    finite, of length zero) are none of the results.
     """
     v = F.col(vector)
     score = V.dot_literal(v, query) if len(query) <= UNROLLED else V.dot(v, F.array(*(F.lit(float(q)) for q in query)))
-    scored = store.where(F.size(v) == len(query)).withColumn("_score", score)
+    some = F.exists(v, lambda x: x != 0)
+    scored = store.where((F.size(v) == len(query)) & some).withColumn("_score", score).where(F.abs("_score") < float("inf"))
     return scored.orderBy(F.desc("_score"), id_col).limit(k).withColumn("vector_similarity", V.clamp(F.col("_score"), -1.0)).drop("_score")
 
 

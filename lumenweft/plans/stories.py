@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenweft.functions import text as T
@@ -17,7 +17,7 @@ from lumenweft.functions import vectors as V
 from lumenweft.operators import build
 from lumenweft.plans import assistant
 from lumenweft.plans import store as stores
-from lumenweft.session import scratch
+from lumenweft.session import delete, scratch
 
 CHECKPOINT_VERSION = 1
 FEATURES = ("rich_descriptive_paragraph", "keywords", "emotional_scores")
@@ -70,6 +70,27 @@ def reusable_entries(spark: SparkSession, path: str, models: Models) -> DataFram
     return _payload(rows.where(good), V.normalized(F.col("embedding")))
 
 
+def compact_checkpoint(spark: SparkSession, path: str) -> int:
+    """Rewrites the checkpoint's many small tables as one, the last good row of each hash and model; returns its rows.
+
+    The builds that append to the checkpoint meanwhile lose nothing: only the tables that were read are deleted, once the
+    new one is in place, and rows that stand in both count once anyway.
+    """
+    folder = f"{path}/checkpoint"
+    table = stores.table_or_none(spark, folder)
+    if table is None:
+        return 0
+    old = table.inputFiles()
+    last = Window.partitionBy("hash", "feature_model", "cache_version").orderBy(F.desc("ordinal"))
+    kept = spark.read.schema(table.schema).parquet(*old).withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth")
+    kept = _stored(kept, "compacted")
+    n = kept.count()
+    kept.coalesce(max(1, len(old) // 64)).write.mode("append").parquet(folder)
+    for file in old:
+        delete(spark, file)
+    return n
+
+
 def cached_entries(spark: SparkSession, path: str, models: Models) -> DataFrame:
     """(hash, ordinal, payload) of the checkpoint: valid features of the same model and format, without vectors."""
     table = stores.table_or_none(spark, f"{path}/checkpoint")

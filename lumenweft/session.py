@@ -50,20 +50,21 @@ def local(cores: int = 8, partitions: int = 8) -> SparkSession:
     return builder.getOrCreate()
 
 
-def _path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the JVM's, for any file system that Spark knows."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """What was written at ``path`` goes when the driver's JVM ends, on any file system."""
-    fs, target = _path(spark, path)
+    fs, target = hadoop_path(spark, path)
     fs.deleteOnExit(target)
 
 
 def delete(spark: SparkSession, path: str) -> bool:
     """Deletes a file or folder on any file system; whether there was one."""
-    fs, target = _path(spark, path)
+    fs, target = hadoop_path(spark, path)
     return bool(fs.delete(target, True))
 
 
@@ -88,7 +89,7 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; what is written there goes when the driver ends."""
     folder = f"{shared_folder(spark)}/lumenweft/{uuid.uuid4().hex}"
-    fs, target = _path(spark, folder)
+    fs, target = hadoop_path(spark, folder)
     fs.mkdirs(target)
     fs.deleteOnExit(target)
     return f"{folder}/{name}"
