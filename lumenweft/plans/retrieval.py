@@ -9,19 +9,32 @@ from pyspark.sql import functions as F
 
 from lumenweft.functions import text as T
 from lumenweft.operators import listings, search
+from lumenweft.plans import inverted
 from lumenweft.sources import files
 
 
-def search_stories(store: DataFrame, prompt: str, top_k: int = 5, embedder: Callable[[str], list[float]] | None = None, id_col: str = "record_id") -> DataFrame:
+def _story_tokens(store: DataFrame) -> Column:
+    parts = [T.blank(F.col(c)) if c in store.columns else F.lit("") for c in ("summary", "rich_descriptive_paragraph")]
+    words = F.array_join("keywords", " ") if "keywords" in store.columns else F.lit("")
+    return search.story_tokens(T.blank(F.col("title")), *parts, words)
+
+
+def index_stories(store: DataFrame, path: str, id_col: str = "record_id") -> dict:
+    """A stored index over the stories' texts, for ``search_stories``."""
+    return inverted.build_index(store, path, id_col, _story_tokens(store))
+
+
+def search_stories(store: DataFrame, prompt: str, top_k: int = 5, embedder: Callable[[str], list[float]] | None = None, id_col: str = "record_id", index: str | None = None) -> DataFrame:
     """The stories nearest to a prompt: by vector if there is an embedder, else by TF-IDF over title, summary,
-    paragraph and keywords. Guards come before any plan is made."""
+    paragraph and keywords, by the ``index`` stored for them if one is named. Guards come before any plan is made."""
     query = search.check_search(prompt, top_k)
     if embedder is not None:
         return search.vector_top_k(store, embedder(query), top_k, id_col)
-    parts = [T.blank(F.col(c)) if c in store.columns else F.lit("") for c in ("summary", "rich_descriptive_paragraph")]
-    words = F.array_join("keywords", " ") if "keywords" in store.columns else F.lit("")
-    found = search.lexical_top_k(store, query, top_k, id_col, search.story_tokens(T.blank(F.col("title")), *parts, words))
-    return store.join(found.select(F.col("id").alias(id_col), F.col("score").alias("vector_similarity")), id_col).orderBy(F.desc("vector_similarity"))
+    if index is not None:
+        found = inverted.search_index(store.sparkSession, index, query, top_k)
+    else:
+        found = search.lexical_top_k(store, query, top_k, id_col, _story_tokens(store))
+    return store.join(F.broadcast(found.select(F.col("id").alias(id_col), F.col("score").alias("vector_similarity"))), id_col).orderBy(F.desc("vector_similarity"))
 
 
 def intent_prompt(intent: dict) -> str:

@@ -17,10 +17,10 @@ from lumenweft import fixed
 from lumenweft.functions import text as T
 from lumenweft.functions import vectors as V
 from lumenweft.operators import build, listings, mood, recommend, search
-from lumenweft.plans import assistant, audio, retrieval
+from lumenweft.plans import assistant, audio, inverted, retrieval
 from lumenweft.plans import store as stores
 from lumenweft.plans import stories as story_plans
-from lumenweft.session import scratch
+from lumenweft.session import hadoop_path, scratch
 from lumenweft.sources import files, settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,8 +288,49 @@ s as (select w.doc_id, sum(coalesce(qw.w, 0) * w.w) as dot, sum(w.w * w.w) as sq
 select d.doc_id as id, round(coalesce(dot / (greatest((select sqrt(sum(w * w)) from qw), 1e-8) * greatest(sqrt(sq), 1e-8)), 0), 6) as score from stories d left join s using (doc_id)
 order by coalesce(dot / sqrt(sq), 0) desc, sha256('{PROMPT}' || chr(0) || d.doc_id) desc, d.doc_id desc limit 10""")
 def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.lexical_top_k(stories(spark, sf), PROMPT, 10, "doc_id", _story_tokens())
-    return found.select("id", six(F.col("score")).alias("score"))
+    """Over the stored index of all stories; the first search of a session over these tables builds it."""
+    return inverted.search_index(spark, _story_index(spark, sf), PROMPT, 10).select("id", six(F.col("score")).alias("score"))
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _story_index(spark: SparkSession, sf: str) -> str:
+    """The index of the stories of these tables, kept for the session as long as the files are the same."""
+    fs, path = hadoop_path(spark, f"{sf}/documents.parquet")
+    files_ = fs.listStatus(path)
+    mark = build.fingerprint(application=spark.sparkContext.applicationId, files=sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files_))
+    key = (sf, mark)
+    if key not in _INDEXES:
+        folder = scratch(spark, "index")
+        inverted.build_index(stories(spark, sf), folder, "doc_id", _story_tokens())
+        _INDEXES[key] = folder
+    return _INDEXES[key]
+
+
+_WEIGHED = f"""with {_STORIES}, {_TF}, df as (select term, count(*) as df from tf group by term), n as (select count(*)::double as n from stories),
+w as (select doc_id, tf.term, tf, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join df using (term) cross join n),
+lengths as (select doc_id, greatest(sqrt(sum(w * w)), 1e-8) as length from w group by doc_id)"""
+
+
+@query(f"""{_WEIGHED} select term, count(*)::bigint as df, round(max(tf / length), 6) as most from w join lengths using (doc_id) group by term""")
+def lexical_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Builds the stored index of all stories anew; its terms, in how many documents each is, and the largest weight."""
+    path = scratch(spark, "index")
+    inverted.build_index(stories(spark, sf), path, "doc_id", _story_tokens())
+    return inverted.vocabulary(spark, path).select("term", F.col("df").cast("long").alias("df"), six(F.col("most")).alias("most"))
+
+
+LATER = "words nowhereseen dedie rain over the harbour lantern"
+
+
+@query(SQL["lexical_topk"].replace(PROMPT, LATER))
+def lexical_extended(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of two thirds of the stories, extended by the others, is that of all."""
+    path, all_ = scratch(spark, "index"), stories(spark, sf)
+    inverted.build_index(all_.where("doc_id % 3 > 0"), path, "doc_id", _story_tokens())
+    inverted.extend_index(all_.where("doc_id % 3 = 0"), path, "doc_id", _story_tokens())
+    return inverted.search_index(spark, path, LATER, 10).select("id", six(F.col("score")).alias("score"))
 
 
 # --- moods ----------------------------------------------------------------------------------------------------------
