@@ -2,7 +2,7 @@
 
 What is on disk:
 
-* ``segments``: each document's terms and how often it has them, cut once and never changed; an extension adds a segment.
+* ``segments``: the terms of each document and how often it has them, cut once and never changed; an extension adds one.
 * ``postings``: blocks of a term's postings (document, frequency over the document's length), in folders by a hash of the
   term, sorted by term. A block holds the documents of one part; parts gather documents of about the same length (so that
   few parts hold the largest weights) and have PART documents at most, give or take. A block knows its largest weight.
@@ -40,18 +40,12 @@ def _log(path: str) -> str:
     return f"{path}/_log"
 
 
-def frequencies(tokens: Column) -> Column:
-    """Terms of an array with their numbers: an array of (term, tf), sorted by term."""
-    # Sorted and cut into runs: counting each kind by itself takes the square of a long text's terms.
-    in_order = F.array_sort(tokens)
-    firsts = F.filter(F.sequence(F.lit(0), F.size(in_order) - 1), lambda i: (i == 0) | (F.get(in_order, i) != F.get(in_order, i - 1)))
-    runs = F.zip_with(firsts, F.slice(F.concat(firsts, F.array(F.size(in_order))), 2, F.size(firsts)), lambda a, b: F.struct(F.get(in_order, a).alias("term"), (b - a).alias("tf")))
-    return F.when(F.size(tokens) > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
-
-
 def _segment(docs: DataFrame, path: str, id_col: str, tokens: Column) -> str:
+    """Writes (id, term, tf) of some documents, and their ids, as some have no terms; texts are cut once, ids come from there."""
     folder = f"{path}/segments/{uuid.uuid4().hex}"
-    docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).select("id", frequencies(F.col("tokens")).alias("terms")).write.parquet(folder)
+    cut = _table(docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")), "tokens")
+    cut.select("id").write.parquet(f"{folder}/ids")
+    cut.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").cast("int").alias("tf")).write.parquet(f"{folder}/terms")
     return folder
 
 
@@ -63,19 +57,19 @@ def _table(df: DataFrame, name: str) -> DataFrame:
 
 def _publish(spark: SparkSession, path: str, segments: list[str]) -> dict:
     """Writes the postings and documents of some segments; what a version says of them."""
-    forward = spark.read.parquet(*segments)
-    n = forward.count()
-    repeated = forward.groupBy("id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("id").isNull()).select(F.col("id").cast("string")).take(3)
+    ids = spark.read.parquet(*(f"{s}/ids" for s in segments))
+    postings = spark.read.parquet(*(f"{s}/terms" for s in segments))
+    n = ids.count()
+    repeated = ids.groupBy("id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("id").isNull()).select(F.col("id").cast("string")).take(3)
     if repeated:
         raise ValueError(f"Ids of documents are null or repeat: {[r.id for r in repeated]}")
-    postings = forward.select("id", F.inline("terms"))
     df = _table(postings.groupBy("term").agg(F.count("*").alias("df")), "df")
     totals = df.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("postings"), F.count("*").alias("terms")).first()
     square = (F.col("tf") * idf(F.lit(float(n)), F.col("df"))) ** 2
     # Squares are added in order of size, so that documents of the same terms have the same length to the last bit.
-    squares = postings.join(df, "term").groupBy("id").agg(F.array_sort(F.collect_list(square)).alias("s"))
+    squares = postings.join(df, "term").groupBy("id").agg(F.sort_array(F.collect_list(square)).alias("s"))
     lengths = squares.select("id", F.greatest(F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x)), F.lit(1e-8)).alias("length"))
-    lengths = forward.select("id").join(lengths, "id", "left").withColumn("tier", F.coalesce(F.floor(2 * F.log2("length")).cast("int"), F.lit(-100)))
+    lengths = ids.join(lengths, "id", "left").withColumn("tier", F.coalesce(F.floor(2 * F.log2("length")).cast("int"), F.lit(-100)))
     lengths = _table(lengths, "lengths")
     tiers = lengths.groupBy("tier").agg(F.count("*").alias("n")).orderBy("tier").collect()
     first, slices = 0, F.create_map(*(x for r in tiers for x in (F.lit(r.tier), F.lit(-(-r.n // PART))))) if tiers else None
@@ -85,15 +79,15 @@ def _publish(spark: SparkSession, path: str, segments: list[str]) -> dict:
         first += -(-r.n // PART)
     part = F.create_map(*begins)[F.col("tier")] + F.pmod(F.xxhash64("id"), slices[F.col("tier")].cast("long")).cast("int") if tiers else F.lit(0)
     name = uuid.uuid4().hex
-    places = _table(lengths.select("id", "length", part.alias("part")), "places")
-    places.write.parquet(f"{path}/documents/{name}")
+    lengths.select("id", "length", part.cast("int").alias("part")).write.parquet(f"{path}/documents/{name}")
+    places = spark.read.parquet(f"{path}/documents/{name}")
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, totals.postings // POSTINGS_PER_BUCKET))
-    weighed = forward.where(F.size("terms") > 0).join(places, "id").select("id", "length", "part", F.inline("terms"))
+    weighed = postings.join(places, "id")
     one = F.struct(F.col("id"), (F.col("tf") / F.col("length")).alias("weight"))
-    blocks = weighed.groupBy("term", "part").agg(F.array_sort(F.collect_list(one)).alias("rows"))
+    blocks = weighed.groupBy("term", "part").agg(F.sort_array(F.collect_list(one)).alias("rows"))
     blocks = blocks.select("term", "part", F.size("rows").alias("n"), F.array_max(F.col("rows")["weight"]).alias("most"), F.col("rows")["id"].alias("ids"), F.col("rows")["weight"].alias("weights"), bucket_of(F.col("term"), buckets).alias("bucket"))
     blocks.repartitionByRange("bucket", "term", "part").sortWithinPartitions("bucket", "term", "part").write.partitionBy("bucket").parquet(f"{path}/postings/{name}")
-    return {"segments": segments, "postings": f"{path}/postings/{name}", "documents": f"{path}/documents/{name}", "n": n, "n_terms": totals.terms, "n_postings": totals.postings, "parts": first, "buckets": buckets, "id": forward.schema["id"].dataType.simpleString()}
+    return {"segments": segments, "postings": f"{path}/postings/{name}", "documents": f"{path}/documents/{name}", "n": n, "n_terms": totals.terms, "n_postings": totals.postings, "parts": first, "buckets": buckets, "id": ids.schema["id"].dataType.simpleString()}
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -200,7 +194,7 @@ class Search:
     def scores(self, blocks: DataFrame) -> DataFrame:
         """(id, score) of the documents in some blocks, the terms' shares added in the order of the query."""
         each = blocks.select(self.place.alias("j"), self.gain.alias("gain"), F.inline(F.arrays_zip("ids", "weights"))).select(F.col("ids").alias("id"), F.struct("j", (F.col("gain") * F.col("weights")).alias("s")).alias("share"))
-        shares = F.array_sort(F.collect_list("share"))
+        shares = F.sort_array(F.collect_list("share"))
         return each.groupBy("id").agg(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x.s).alias("score"))
 
     def tie(self) -> Column:
@@ -226,7 +220,7 @@ def search_index(spark: SparkSession, path: str, prompt: str, k: int) -> DataFra
 
     Ties go to the larger sha256 of prompt, null byte and id. Documents without a shared term follow at 0 if there are fewer
     than k others; only then are all ids read. Prompt terms that no document has count in the prompt's length. A prompt
-    without terms finds nothing. Repeated or null ids can't be in an index.
+    without terms finds nothing. Repeated or null ids can't be in an index. The driver holds k rows.
     """
     version = current(spark, path)
     search = Search(spark, version, prompt)
@@ -234,8 +228,9 @@ def search_index(spark: SparkSession, path: str, prompt: str, k: int) -> DataFra
     if not search.names or not version["n"]:
         return empty
     search.prepare()
-    found = _table(search.best(search.scores(search.reachable(k)), k), "found")
-    if found.count() >= min(k, version["n"]):
+    rows = search.best(search.scores(search.reachable(k)), k).collect()
+    found = spark.createDataFrame(rows, empty.schema)
+    if len(rows) >= min(k, version["n"]):
         return search.best(found, k)
     # Fewer than k share a term: all of these are in ``found``.
     others = spark.read.parquet(version["documents"]).select("id").join(F.broadcast(found), "id", "left_anti")

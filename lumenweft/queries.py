@@ -321,15 +321,21 @@ def lexical_index(spark: SparkSession, sf: str) -> DataFrame:
     return inverted.vocabulary(spark, path).select("term", F.col("df").cast("long").alias("df"), six(F.col("most")).alias("most"))
 
 
-LATER = "words nowhereseen dedie rain over the harbour lantern"
+LATER = "world search the harbour lantern page content"
 
 
-@query(SQL["lexical_topk"].replace(PROMPT, LATER))
+@query(f"""with tf as (select page_id, term, count(*) as tf from (select page_id, unnest({_terms("url || ' ' || html")}) as term from pages) group by all), n as (select count(*)::double as n from pages),
+df as (select term, count(*) as df from tf group by term), q as (select term, count(*) as c from (select unnest({_terms("'" + LATER + "'")}) as term) group by term),
+qw as (select q.term, c * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) as w from q cross join n left join df using (term)),
+w as (select page_id, tf.term, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join df using (term) cross join n),
+s as (select w.page_id, sum(coalesce(qw.w, 0) * w.w) / (greatest((select sqrt(sum(w * w)) from qw), 1e-8) * greatest(sqrt(sum(w.w * w.w)), 1e-8)) as score from w left join qw using (term) group by w.page_id)
+select page_id as id, round(coalesce(score, 0), 6) as score from pages left join s using (page_id) order by round(coalesce(score, 0), 12) desc, sha256('{LATER}' || chr(0) || page_id) desc, page_id desc limit 10""")
 def lexical_extended(spark: SparkSession, sf: str) -> DataFrame:
-    """An index of two thirds of the stories, extended by the others, is that of all."""
-    path, all_ = scratch(spark, "index"), stories(spark, sf)
-    inverted.build_index(all_.where("doc_id % 3 > 0"), path, "doc_id", _story_tokens())
-    inverted.extend_index(all_.where("doc_id % 3 = 0"), path, "doc_id", _story_tokens())
+    """An index of two thirds of the pages, extended by the others, is that of all."""
+    path, all_ = scratch(spark, "index"), table(spark, sf, "pages")
+    tokens = T.terms(F.concat("url", F.lit(" "), "html"))
+    inverted.build_index(all_.where("page_id % 3 > 0"), path, "page_id", tokens)
+    inverted.extend_index(all_.where("page_id % 3 = 0"), path, "page_id", tokens)
     return inverted.search_index(spark, path, LATER, 10).select("id", six(F.col("score")).alias("score"))
 
 
