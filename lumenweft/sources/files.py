@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from lumenweft import fixed
 from lumenweft.functions import text as T
+from lumenweft.sources import arrays
 
 
 def read_csv(spark: SparkSession, path: str, comma: str = ",") -> DataFrame:
@@ -43,18 +44,10 @@ def _shape(spark: SparkSession, path: str) -> tuple[str, str]:
     return ((ends.a or "").strip().lstrip("﻿")[:1], (ends.b or "").strip()[-1:]) if ends.a else ("", "")
 
 
-def read_json_array(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """The rows of a top-level JSON array; ValueError if the file is empty, no array, or goes on after it.
-
-    Trailing and missing commas and an unclosed array fail when the rows are read (FAILFAST).
-    """
-    first, last = _shape(spark, path)
-    if not first:
-        raise ValueError("The file is empty.")
-    if first != "[" or last != "]":
-        raise ValueError("The file is not one JSON array.")
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
-    return (reader.schema(schema) if schema else reader).json(path)
+def read_json_array(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """The rows of a top-level JSON array; ValueError (ArrayError) that names what is wrong if the file is empty, no array, not
+    closed, goes on after it, or has a comma too many or too few. Files are read by ranges."""
+    return arrays.read_array(spark, path, schema)
 
 
 def read_enveloped(spark: SparkSession, path: str) -> DataFrame:
