@@ -21,7 +21,7 @@ from lumenweft.plans import assistant, audio, inverted, retrieval
 from lumenweft.plans import store as stores
 from lumenweft.plans import stories as story_plans
 from lumenweft.session import hadoop_path, scratch
-from lumenweft.sources import files, settings
+from lumenweft.sources import files, settings, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -620,9 +620,8 @@ def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query("select page_id, url from pages")
 def json_array_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "array.json")
-    rows = table(spark, sf, "pages").select("page_id", "url").orderBy("page_id")
-    files.write_bytes(spark, path, files.to_json_array(rows))
-    return files.read_json_array(spark, path).select(F.col("page_id").cast("long").alias("page_id"), "url")
+    sinks.write_json_array(table(spark, sf, "pages").select("page_id", "url").orderBy("page_id"), path)
+    return files.read_json_array(spark, path, "page_id string, url string").select(F.col("page_id").cast("long").alias("page_id"), "url")
 
 
 @query("select page_id, url from pages")
@@ -635,8 +634,7 @@ def json_file_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query("select page_id, url from pages")
 def json_envelope(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "envelope.json")
-    rows = files.to_json_array(table(spark, sf, "pages").select("page_id", "url"))
-    files.write_bytes(spark, path, b'{"total": 1, "results": ' + rows + b"}")
+    sinks.write_enveloped(table(spark, sf, "pages").select("page_id", "url"), path, "results", '"total": 1')
     return files.read_enveloped(spark, path).select(F.col("page_id").cast("long").alias("page_id"), "url")
 
 
@@ -644,8 +642,8 @@ def json_envelope(spark: SparkSession, sf: str) -> DataFrame:
   select 'a.csv' as source_file, '' as url, text from benchmark union all select 'b.json', url, '' from pages) group by source_file""")
 def dir_union(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch(spark, "folder")
-    files.write_bytes(spark, folder + "/a.csv", files.to_delimited(table(spark, sf, "benchmark")))
-    files.write_bytes(spark, folder + "/b.json", files.to_json_array(table(spark, sf, "pages").select("page_id", "url")))
+    sinks.write_delimited_file(table(spark, sf, "benchmark"), folder + "/a.csv")
+    sinks.write_json_array(table(spark, sf, "pages").select("page_id", "url"), folder + "/b.json")
     files.write_bytes(spark, folder + "/c.json", b"[1, ")
     rows = files.read_folder(spark, folder, lambda name, why: None)
     return rows.groupBy("source_file").agg(F.count("*").alias("n"), F.count_if(F.col("url") != "").alias("with_url"), F.count_if(F.col("text") != "").alias("with_text"))
@@ -661,15 +659,17 @@ def tsv_sink(spark: SparkSession, sf: str) -> DataFrame:
 @query("select page_id::varchar as page_id, url from pages")
 def spreadsheet_sink(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "book.xml")
-    files.write_bytes(spark, path, files.to_spreadsheet_xml({"Pages": table(spark, sf, "pages").select("page_id", "url")}))
-    return files.read_spreadsheet_xml(spark, path, "Pages")
+    sinks.write_spreadsheet_xml({"Pages": table(spark, sf, "pages").select("page_id", "url")}, path)
+    found = sinks.read_sheet_rows(spark, path).where(F.get("cells", 0) != "page_id")
+    return found.select(F.get("cells", 0).alias("page_id"), F.get("cells", 1).alias("url"))
 
 
 @query("select page_id::varchar as page_id, url from pages")
 def xlsx_sink(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "book.xlsx")
-    files.write_bytes(spark, path, files.to_xlsx({"Pages": table(spark, sf, "pages").select("page_id", "url")}))
-    return files.read_xlsx(spark, path, "Pages")
+    sinks.write_xlsx({"Pages": table(spark, sf, "pages").select("page_id", "url")}, path)
+    found = sinks.read_xlsx_rows(spark, path).where(F.get("cells", 0) != "page_id")
+    return found.select(F.get("cells", 0).alias("page_id"), F.get("cells", 1).alias("url"))
 
 
 @query(f"select i::int as position, c as name from (select unnest([{', '.join(repr(c) for c in [*fixed.FIRST_COLUMNS[:2], 'text', 'lang', 'n_chars'])}]) as c, unnest(range(0, 5)) as i)")

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import json
 import warnings
-import zipfile
 from collections.abc import Callable, Iterable
-from xml.etree import ElementTree
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,107 +123,8 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.select(*(T.blank(F.col(f"`{c}`")).alias(c) for c in df.columns)).write.json(path)
 
 
-# Single files are made on the driver, for people to open: rows arrive one partition at a time, and there may not be many.
-
-#: Rows of a single file, for a spreadsheet the most that its format takes.
-MOST_ROWS = 1_048_575
-
-
-def _rows(df: DataFrame) -> Iterable[list[str]]:
-    for n, row in enumerate(df.limit(MOST_ROWS + 1).toLocalIterator()):
-        if n == MOST_ROWS:
-            raise ValueError(f"More than {MOST_ROWS} rows do not go into a single file; write_delimited and write_json_lines take any number.")
-        yield ["" if v is None else str(v) for v in row]
-
-
-def to_delimited(df: DataFrame, comma: str = ",") -> bytes:
-    """CSV or TSV with header and byte order mark; ValueError beyond MOST_ROWS."""
-    out = io.StringIO()
-    writer = csv.writer(out, delimiter=comma)
-    writer.writerow(df.columns)
-    writer.writerows(_rows(df))
-    return out.getvalue().encode("utf-8-sig")
-
-
-def to_json_array(df: DataFrame) -> bytes:
-    """A JSON array, indented by two, other scripts as they are; ValueError beyond MOST_ROWS."""
-    return json.dumps([dict(zip(df.columns, r, strict=True)) for r in _rows(df)], ensure_ascii=False, indent=2).encode()
-
-
-def sheet_rows(df: DataFrame, apostrophe: str = "&apos;") -> DataFrame:
-    """A column of SpreadsheetML rows, all cells strings, made by expressions."""
-    cells = [F.concat(F.lit('<Cell><Data ss:Type="String">'), T.escape_markup(F.col(f"`{c}`"), apostrophe), F.lit("</Data></Cell>")) for c in df.columns]
-    return df.select(F.concat(F.lit("<Row>"), *cells, F.lit("</Row>")).alias("value"))
-
-
-def _escape(text: str, apostrophe: str) -> str:
-    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", apostrophe)
-
-
-def to_spreadsheet_xml(sheets: dict[str, DataFrame], apostrophe: str = "&apos;") -> bytes:
-    """SpreadsheetML 2003; an empty table has an empty header."""
-    lines = ['<?xml version="1.0"?>', '<?mso-application progid="Excel.Sheet"?>', '<Workbook xmlns="' + fixed.SPREADSHEET + '" xmlns:ss="' + fixed.SPREADSHEET + '">']
-    for name, df in sheets.items():
-        body = [r[0] for r in _rows(sheet_rows(df, apostrophe))]
-        header = "".join(f'<Cell><Data ss:Type="String">{_escape(c, apostrophe)}</Data></Cell>' for c in df.columns) if body else ""
-        lines += [f'<Worksheet ss:Name="{_escape(name, apostrophe)}"><Table>', f"<Row>{header}</Row>", *body, "</Table></Worksheet>"]
-    return "\n".join([*lines, "</Workbook>"]).encode()
-
-
-def to_xlsx(sheets: dict[str, DataFrame]) -> bytes:
-    """An Office Open XML workbook with inline strings."""
-    text = lambda v: v.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    row = lambda n, values: f'<row r="{n}">' + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{text(v)}</t></is></c>' for v in values) + "</row>"
-    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    numbers = range(1, len(sheets) + 1)
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        overrides = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{kind}.worksheet+xml"/>' for k in numbers)
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{fixed.OFFICE}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{overrides}</Types>')
-        links = f'<Relationships xmlns="{fixed.OFFICE}/package/2006/relationships">'
-        z.writestr("_rels/.rels", f'{head}{links}<Relationship Id="rId1" Type="{fixed.OFFICE}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/_rels/workbook.xml.rels", head + links + "".join(f'<Relationship Id="rId{k}" Type="{fixed.OFFICE}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in numbers) + "</Relationships>")
-        listed = "".join(f'<sheet name="{text(name)}" sheetId="{k}" r:id="rId{k}"/>' for k, name in zip(numbers, sheets, strict=True))
-        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{fixed.OFFICE}/spreadsheetml/2006/main" xmlns:r="{fixed.OFFICE}/officeDocument/2006/relationships"><sheets>{listed}</sheets></workbook>')
-        for k, df in zip(numbers, sheets.values(), strict=True):
-            body = "".join(row(n, values) for n, values in enumerate([df.columns, *_rows(df)], 1))
-            z.writestr(f"xl/worksheets/sheet{k}.xml", f'{head}<worksheet xmlns="{fixed.OFFICE}/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
-    return out.getvalue()
-
-
-def _table(spark: SparkSession, rows: list[list[str]]) -> DataFrame:
-    header = rows[0] if rows else []
-    schema = ", ".join(f"`{c}` string" for c in header)
-    return spark.createDataFrame([tuple(r + [""] * (len(header) - len(r))) for r in rows[1:]], schema)
-
-
-def _file(spark: SparkSession, path: str) -> bytes:
-    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-
-
-def read_spreadsheet_xml(spark: SparkSession, path: str, sheet: str) -> DataFrame:
-    """A sheet of SpreadsheetML 2003 with a header, all strings. A single file, read on the driver."""
-    name = f"{{{fixed.SPREADSHEET}}}"
-    for found in ElementTree.fromstring(_file(spark, path)).iter(f"{name}Worksheet"):
-        if found.get(f"{name}Name") == sheet:
-            return _table(spark, [[d.text or "" for d in row.iter(f"{name}Data")] for row in found.iter(f"{name}Row")])
-    raise ValueError(f"There is no sheet {sheet!r}.")
-
-
-def read_xlsx(spark: SparkSession, path: str, sheet: str) -> DataFrame:
-    """A sheet of a workbook with inline strings and a header. A single file, read on the driver."""
-    name = f"{{{fixed.OFFICE}/spreadsheetml/2006/main}}"
-    with zipfile.ZipFile(io.BytesIO(_file(spark, path))) as z:
-        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{name}sheet")]
-        if sheet not in names:
-            raise ValueError(f"There is no sheet {sheet!r}.")
-        rows = ElementTree.fromstring(z.read(f"xl/worksheets/sheet{names.index(sheet) + 1}.xml")).iter(f"{name}row")
-        return _table(spark, [["".join(t.text or "" for t in c.iter(f"{name}t")) for c in row.iter(f"{name}c")] for row in rows])
-
-
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """A file on any file system that Spark writes, put in place by renaming."""
+    """A small file on any file system that Spark writes, put in place by renaming. Tables go through ``sinks``."""
     jvm = spark.sparkContext._jvm
     target, temporary = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
