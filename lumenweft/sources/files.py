@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import warnings
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
-from pyspark.errors import AnalysisException
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from lumenweft import fixed
 from lumenweft.functions import text as T
+from lumenweft.session import hadoop_path, scratch, ship
 from lumenweft.sources import arrays
 
 
@@ -72,6 +76,11 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return out.select(*(T.blank(F.col(f"`{c}`")).alias(c) for c in out.columns))
 
 
+def file_size(spark: SparkSession, path: str) -> int:
+    fs, target = hadoop_path(spark, path)
+    return fs.getFileStatus(target).getLen()
+
+
 def list_files(spark: SparkSession, folder: str, endings: tuple[str, ...] = (".csv", ".json")) -> list[str]:
     """Files of a folder by name, on any file system that Spark reads."""
     jvm = spark.sparkContext._jvm
@@ -81,33 +90,92 @@ def list_files(spark: SparkSession, folder: str, endings: tuple[str, ...] = (".c
     return sorted((f for f in found if f.lower().endswith(endings)), key=lambda f: f.rsplit("/", 1)[-1])
 
 
-#: What Spark calls files whose content it can't make sense of; anything else is not the file's own fault.
-UNREADABLE = ("MALFORMED_RECORD_IN_PARSING", "FAILED_READ_FILE", "UNABLE_TO_INFER_SCHEMA", "INVALID_JSON", "CANNOT_PARSE")
+#: Files up to this size are read whole, many a task; larger JSON arrays by ranges.
+WHOLE_BYTES = 64 << 20
+ROWS = "source_file string, nth long, fields map<string,string>"
+
+
+def _csv_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ROWS of whole CSV files (name, content), each under its own header, which is row -1. A name that is blank or repeats
+    gets its place."""
+    for batch in batches:
+        for name, content in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+            rows = [r for r in csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline="")) if r]
+            header: list[str] = []
+            for k, c in enumerate(rows[0] if rows else []):
+                header.append(c + str(k) if c in header else c or f"_c{k}")
+            fields = [[(c, "") for c in header], *([(c, r[k] if k < len(r) else "") for k, c in enumerate(header)] for r in rows[1:])] if header else []
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(fields), pa.string()), pa.array(range(-1, len(fields) - 1), pa.int64()), pa.array(fields, pa.map_(pa.string(), pa.string()))], ["source_file", "nth", "fields"])
+
+
+def _json_rows(value: Column) -> Column:
+    """The objects of a JSON text, as maps of texts: of a list, of the first list under a known key, or the one object."""
+    many = lambda c: F.from_json(c, "array<map<string,string>>")
+    is_list = lambda c: F.startswith(F.ltrim(c), F.lit("["))
+    of_object = F.array(F.from_json(value, "map<string,string>"))
+    for key in reversed(fixed.ENVELOPE_KEYS):
+        inner = F.get_json_object(value, f"$.{key}")
+        of_object = F.when(is_list(inner), many(inner)).otherwise(of_object)
+    return F.when(F.try_parse_json(value).isNull(), None).when(is_list(value), many(value)).otherwise(of_object)
+
+
+def folder_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(ROWS of all CSV and JSON files of a folder, (source_file, reason) of those that hold no table).
+
+    One scan of the CSV files and one of the JSON files, however many there are, in one plan; JSON files of more than
+    WHOLE_BYTES are read by ranges, each by itself. Rows are stored, so files are read once. A file is a row of the listing
+    on the driver, and whole in one task (but for the large ones).
+    """
+    ship(spark)
+    found = list_files(spark, folder)
+    name = lambda c: F.url_decode(F.replace(F.element_at(F.split(c, "/"), -1), F.lit("+"), F.lit("%2B")))
+    of = lambda end, large: [f for f in found if f.lower().endswith(end) and (file_size(spark, f) > WHOLE_BYTES) == large]
+    large, small = of(".json", True), of(".json", False)
+    parts: list[DataFrame] = []
+    if small:
+        texts = spark.read.option("wholetext", True).text(small).select(name(F.col("_metadata.file_path")).alias("source_file"), F.ltrim(F.replace("value", F.lit("\ufeff"), F.lit(""))).alias("value"))
+        rows = texts.select("source_file", F.coalesce(_json_rows(F.col("value")), F.array().cast("array<map<string,string>>")).alias("rows"))
+        parts.append(rows.select("source_file", F.posexplode_outer("rows").alias("nth", "fields")).select("source_file", F.col("nth").cast("long").alias("nth"), "fields"))
+    bad = []
+    for path in large:
+        own = path.rsplit("/", 1)[-1]
+        try:
+            values = arrays.elements(spark, path)
+            # Numbered by the byte where their range begins: in order, but not one after the other.
+            parts.append(values.select(F.lit(own).alias("source_file"), (F.col("start") * 2**20 + F.col("nth")).alias("nth"), F.from_json("value", "map<string,string>").alias("fields")))
+        except arrays.ArrayError as why:
+            bad.append((own, str(why)))
+    tables_csv = [f for f in found if f.lower().endswith(".csv")]
+    if tables_csv:
+        raw = spark.read.format("binaryFile").load(tables_csv).select(name(F.col("path")).alias("source_file"), "content")
+        parts.append(raw.mapInArrow(_csv_rows, ROWS))
+    path = scratch(spark, "folder")
+    empty = spark.createDataFrame([], ROWS)
+    reduce(DataFrame.unionByName, parts, empty).where("fields is not null").write.parquet(path)
+    rows = spark.read.schema(ROWS).parquet(path)
+    names = spark.createDataFrame([(f.rsplit("/", 1)[-1],) for f in found], "source_file string")
+    without = names.join(rows.select("source_file").distinct(), "source_file", "left_anti").join(spark.createDataFrame(bad, "source_file string, why string"), "source_file", "left")
+    return rows, without.select("source_file", F.coalesce("why", F.when(F.endswith(F.lower("source_file"), F.lit(".csv")), "no columns").otherwise("not JSON, or no objects")).alias("reason"))
 
 
 def read_folder(spark: SparkSession, folder: str, skipped: Callable[[str, Exception], None] | None = None) -> DataFrame:
-    """All CSV and JSON files of a folder in order of name, as strings with ordinal.
+    """All CSV and JSON files of a folder in order of name, as strings with ordinal: every column that any row has (first
+    seen, first), empty where a row lacks it.
 
     Files that hold no table (not JSON, or empty) are left out, and named: by ``skipped``, or as a warning. Every other
-    failure, of the file system for instance, is raised. A file is read to its end before it counts as readable.
+    failure, of the file system for instance, is raised.
     """
-    frames = []
-    for path in list_files(spark, folder):
-        name = path.rsplit("/", 1)[-1]
-        try:
-            df = read_csv(spark, path) if name.lower().endswith(".csv") else read_enveloped(spark, path)
-            if "_corrupt_record" in df.columns:
-                raise ValueError("not JSON")
-            if not df.columns:
-                raise ValueError("no columns")
-        except (ValueError, AnalysisException) as why:
-            if isinstance(why, AnalysisException) and not (why.getCondition() or "").startswith(UNREADABLE):
-                raise
-            (skipped or (lambda file, reason: warnings.warn(f"{file} is left out: {reason}", stacklevel=3)))(name, why)
-            continue
-        rows = as_strings(df, name)
-        frames.append(rows.withColumn("ordinal", F.lpad(F.lit(str(len(frames))), 6, "0")).withColumn("ordinal", F.concat("ordinal", F.lit("-"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))))
-    return union_all(frames)
+    rows, without = folder_rows(spark, folder)
+    for r in without.orderBy("source_file").collect():
+        (skipped or (lambda file, reason: warnings.warn(f"{file} is left out: {reason}", stacklevel=3)))(r.source_file, ValueError(r.reason))
+    columns = rows.select("source_file", F.posexplode(F.map_keys("fields")).alias("place", "column")).groupBy("column").agg(F.min(F.struct("source_file", "place")).alias("first"))
+    names = [r.column for r in columns.orderBy("first").collect()]
+    if not names:
+        raise ValueError("There is nothing to unite.")
+    ranks = spark.createDataFrame([(f.rsplit("/", 1)[-1], k) for k, f in enumerate(list_files(spark, folder))], "source_file string, file int")
+    ordinal = F.concat_ws("-", F.lpad(F.col("file").cast("string"), 6, "0"), F.lpad(F.col("nth").cast("string"), 20, "0"))
+    own = rows.where("nth >= 0").join(F.broadcast(ranks), "source_file")
+    return own.select(*(T.blank(F.col("fields")[c]).alias(c) for c in names if c != "source_file"), "source_file", ordinal.alias("ordinal"))
 
 
 # --- sinks --------------------------------------------------------------------------------------------------------------

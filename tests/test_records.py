@@ -145,6 +145,35 @@ def test_folder_names_what_it_leaves_out(spark, tmp_path):
         files.list_files(spark, str(tmp_path / "nowhere"))
 
 
+def test_folder_in_one_scan(spark, tmp_path, monkeypatch):
+    for k in range(120):
+        (tmp_path / f"f {k:03d}+é.json").write_text(json.dumps([{"a": k, f"k{k % 3}": {"x": [1, None]}}, {"a": None, "b": 1.5}]))
+        (tmp_path / f"g{k:03d}.csv").write_text(f"a,,a,k{k % 2}\n{k},x,y\n\n\"1,\n2\",3,4,5,6\n")
+    (tmp_path / "h.csv").write_text("")
+    (tmp_path / "i.csv").write_text("only,header\n")
+    for name, text in (("j.json", "[1, 2]"), ("k.json", '{"results": []}'), ("l.json", "{"), ("m.json", '{"b": true, "results": 3}')):
+        (tmp_path / name).write_text(text)
+    left_out = []
+    rows = files.read_folder(spark, str(tmp_path), lambda name, why: left_out.append(name))
+    assert left_out == ["h.csv", "j.json", "k.json", "l.json"]
+    assert set(rows.columns) == {"a", "b", "k0", "k1", "k2", "_c1", "a2", "only", "header", "results", "source_file", "ordinal"}
+    got = sorted((r.ordinal, r.source_file, r.a, r.b, r.k1, r._c1) for r in rows.collect())
+    assert len(got) == 120 * 4 + 1 and len({o for o, *_ in got}) == len(got)
+    assert got[2][1:] == ("f 001+é.json", "1", "", '{"x":[1,null]}', "") and got[3][1:] == ("f 001+é.json", "", "1.5", "", "")
+    assert ("g001.csv", "1,\n2", "", "5", "3") in {r[1:] for r in got} and got[-1][1:] == ("m.json", "", "true", "", "")
+    plan = files.folder_rows(spark, str(tmp_path))[0]._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Relation") == 1
+    # Large files by ranges: the same rows in the same order.
+    monkeypatch.setattr(files, "WHOLE_BYTES", 10)
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "f.json").write_text((tmp_path / "f 001+é.json").read_text())
+    (tmp_path / "one" / "bad.json").write_text("[1, 2, 3, 4,]")
+    left_out.clear()
+    large = files.read_folder(spark, f"{tmp_path}/one", lambda name, why: left_out.append(f"{name} {why}"))
+    assert [(r.a, r.b, r.k1) for r in large.orderBy("ordinal").collect()] == [("1", "", '{"x":[1,null]}'), ("", "1.5", "")]
+    assert len(left_out) == 1 and left_out[0].startswith("bad.json trailing comma")
+
+
 def test_blanks_of_all_kinds(spark):
     nbsp = "\u00a0"
     posts = [(1, "a", f"1 July{nbsp}2026", "u1", f"Rent{nbsp}: ₹9,000 2{nbsp}BHK Location:{nbsp}Hill{nbsp}", "f"), (2, "b", "1 July 2026", "", "Rent: 9,000 3 BHK", "f"), (3, "b", "1 July 2026", None, "Rent: 9,000 3 BHK", "f")]
