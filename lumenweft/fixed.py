@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 # The axes of a mood vector, in order.
-AXES = "valence energy warmth tension depth romance mystery nostalgia hope melancholy wonder humor".split()
+AXES = ("valence", "energy", "warmth", "tension", "depth", "romance", "mystery", "nostalgia", "hope", "melancholy", "wonder", "humor")
 
 # Words that are left out of TF-IDF.
-STOPWORDS = "the and for with that this from want find story about something".split()
+STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "want", "find", "story", "about", "something")
 
 # Mood words and what each adds to which axis.
 LEXICON = {
@@ -113,11 +113,14 @@ EMOJI = {"movie": "🎬", "book": "📖", "podcast": "🎧", "game": "🎮", "mu
 NO_EMOJI = "✨"
 
 # Columns that identify a post or hold its text, in order; columns that come first in an export.
-URL_KEYS = "postUrl post_url postLink post_link url link".split()
-TEXT_KEYS = "text content postText description message".split()
-FALLBACK_KEYS = "timestamp date author groupName".split()
-FIRST_COLUMNS = "author name timestamp date postUrl post_url postLink post_link text content description groupName group source_file".split()
-ENVELOPE_KEYS = "posts data results items".split()
+URL_KEYS = ("postUrl", "post_url", "postLink", "post_link", "url", "link")
+TEXT_KEYS = ("text", "content", "postText", "description", "message")
+FALLBACK_KEYS = ("timestamp", "date", "author", "groupName")
+FIRST_COLUMNS = (
+    "author", "name", "timestamp", "date", "postUrl", "post_url", "postLink", "post_link", "text", "content", "description",
+    "groupName", "group", "source_file",
+)
+ENVELOPE_KEYS = ("posts", "data", "results", "items")
 
 # Endings of direct audio files; words that pad a short keyword list.
 AUDIO_ENDINGS = (".mp3", ".wav", ".m4a", ".ogg")

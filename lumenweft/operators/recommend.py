@@ -4,15 +4,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenweft import fixed
 from lumenweft.functions import text as T
-from lumenweft.session import ship
 
 MOST_DESCRIPTION, MOST_KEYWORDS, MOST_KEYWORD, MOST_PITCH = 900, 8, 80, 520
 
@@ -108,28 +105,19 @@ def clean_intent(answer: dict, text: str) -> dict:
     return {"intent": str(answer.get("intent", "")).strip() or "story search", "keywords": words, "query": str(answer.get("query", "")).strip() or text, "user_input": text}
 
 
-INTENT = "struct<intent:string,keywords:array<string>,query:string,user_input:string>"
-
-
 def cleaned_intents(df: DataFrame, answer: str, text: str) -> DataFrame:
-    """``df`` with ``result``: the intent in a model's answer, cleaned, or null if there is none of use."""
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
-
-    ship(df.sparkSession)
-    kind = _parse_datatype_string(INTENT)
-    arrow, places = to_arrow_type(kind), [df.columns.index(c) for c in (answer, text)]
-    schema = StructType([*df.schema.fields, StructField("result", kind)])
-
-    def one(said: str | None, asked: str | None) -> dict | None:
-        try:
-            return clean_intent(parse_object(said or ""), asked or "")
-        except ValueError:
-            return None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [one(*pair) for pair in zip(*(batch.column(k).to_pylist() for k in places), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], names=schema.names)
-
-    return df.mapInArrow(run, schema)
+    """``df`` with ``result``: the intent in a model's answer, cleaned as by ``clean_intent``, or null if there is none of use.
+
+    The answer's first brace begins the object; what follows it is not read. Of an object with a key twice there is no use.
+    """
+    said, asked = F.col(f"`{answer}`"), T.blank(F.col(f"`{text}`"))
+    at = F.locate("{", said)
+    value = F.when(at > 0, F.try_parse_json(F.substring(said, at, F.length(said))))
+    read = lambda key, kind: F.try_variant_get(value, f"$.{key}", kind)
+    words = read("keywords", "array<string>")
+    all_texts = (F.schema_of_variant(read("keywords", "variant")) == "ARRAY<STRING>") & F.forall(words, lambda w: w.isNotNull())
+    kept = F.transform(F.filter(words, lambda w: T.strip(w) != ""), lambda w: F.lower(T.strip(w)))
+    good = all_texts & F.size(words).between(3, 8) & (F.size(kept) >= 3)
+    or_else = lambda key, default: F.coalesce(F.nullif(T.strip(read(key, "string")), F.lit("")), default)
+    result = F.struct(or_else("intent", F.lit("story search")).alias("intent"), kept.alias("keywords"), or_else("query", asked).alias("query"), asked.alias("user_input"))
+    return df.withColumn("result", F.when(good, result))

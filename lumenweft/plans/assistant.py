@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import json
-import threading
-from collections import OrderedDict
 from collections.abc import Callable, Iterator
-from concurrent.futures import Future
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -25,40 +22,6 @@ class Unavailable(Exception):
     """The model can't be reached; a local fallback may answer instead."""
 
 
-class OnceCache:
-    """A bounded cache (least recently used go) in which requests for one key wait for the first of them."""
-
-    def __init__(self, most: int = 256):
-        self.most, self.lock, self.values = most, threading.Lock(), OrderedDict()
-        self.pending: dict[object, Future] = {}
-
-    def get(self, key: object, make: Callable[[], object]) -> object:
-        with self.lock:
-            if key in self.values:
-                self.values.move_to_end(key)
-                return self.values[key]
-            waiting = self.pending.get(key)
-            if waiting is None:
-                self.pending[key] = Future()
-        if waiting is not None:
-            return waiting.result()
-        future = self.pending[key]
-        try:
-            value = make()
-        except BaseException as why:
-            with self.lock:
-                del self.pending[key]
-            future.set_exception(why)
-            raise
-        with self.lock:
-            self.values[key] = value
-            if len(self.values) > self.most:
-                self.values.popitem(last=False)
-            del self.pending[key]
-        future.set_result(value)
-        return value
-
-
 def check_intent(spark, text: str, generate: Generate) -> dict:
     """Intent, keywords and query of a request; if the model is unavailable, keywords are taken from the text."""
     if not isinstance(text, str) or not text.strip():
@@ -142,8 +105,14 @@ def processed(stories: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(StringType())
-def canonical(texts: pd.Series) -> pd.Series:
-    """NFC and single spaces, for a column (there is no expression for NFC)."""
+def _composed(texts: pd.Series) -> pd.Series:
     import unicodedata
 
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()))
+
+
+def canonical(text: Column) -> Column:
+    """NFC and single spaces, for a column. There is no expression for NFC: texts with more than ASCII go to Python, the
+    others stay where they are."""
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return F.when(text.isNull(), None).when(plain, T.squeeze(text)).otherwise(_composed(F.when(~plain, text)))

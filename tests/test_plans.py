@@ -1,8 +1,6 @@
 """Stores on disk and requests that a model answers."""
 
 import json
-import threading
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,27 +80,10 @@ def test_features_and_payload(spark):
 
 
 def test_canonical_column(spark):
-    df = spark.createDataFrame([("é  x y",), (None,)], "t string")
-    assert [r[0] for r in df.select(assistant.canonical(F.col("t"))).collect()] == ["é x y", None]
-
-
-def test_cache_is_bounded_and_asks_once():
-    cache, calls = assistant.OnceCache(2), []
-
-    def slow():
-        calls.append(1)
-        time.sleep(0.1)
-        return "v"
-
-    threads = [threading.Thread(target=lambda: cache.get("k", slow)) for _ in range(5)]
-    [t.start() for t in threads]
-    [t.join() for t in threads]
-    assert len(calls) == 1 and cache.get("k", slow) == "v"
-    cache.get("a", lambda: 1), cache.get("b", lambda: 2)
-    assert "k" not in cache.values and len(cache.values) == 2
-    with pytest.raises(ZeroDivisionError):
-        cache.get("z", lambda: 1 / 0)
-    assert cache.get("z", lambda: 3) == 3
+    texts = ["é\u00a0\u2003x y", None, " a \x1c\t b\n", "", "e\u0301\u00a0 z ", "\x85"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(assistant.canonical(F.col("t"))).collect()]
+    assert got == [None if t is None else T.canonical_query(t) for t in texts]
 
 
 class Counting:

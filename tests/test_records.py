@@ -109,6 +109,27 @@ def test_recommendations(spark):
             recommend.clean_intent(bad, "t")
 
 
+def test_cleaned_intents_as_one_by_one(spark):
+    def one(said, asked):
+        try:
+            found = recommend.clean_intent(recommend.parse_object(said or ""), asked or "")
+            return tuple(found[k] for k in ("intent", "keywords", "query", "user_input"))
+        except ValueError:
+            return None
+
+    good = '{"intent": " Find ", "keywords": ["A", "b ", "C\u00a0"], "query": " q "}'
+    said = [
+        good, f"```json\n{good}\n```", f"Here: {good} and {{more}}", f"{good}}}", "no object", None, "", "{", "use {this}: " + good,
+        '{"keywords": ["a", "b", " "]}', '{"keywords": ["a", "b", 3]}', '{"keywords": ["a", "b", null]}', '{"keywords": "a b c"}', '{"keywords": ["a", "b"]}', "{}",
+        '{"keywords": ["a", "b", "c", " "]}', '{"keywords": ["1", "2", "3", "4", "5", "6", "7", "8", "9"]}', '{"intent": 5, "keywords": ["x", "y", "z"], "query": "\\"}"}', '{"a": {"b": [1, {"c": "}"}]}, "keywords": ["É", "y", "z"]} {',
+    ]
+    df = spark.createDataFrame([(k, s, None if k % 5 == 4 else f" t{k}") for k, s in enumerate(said)], "k int, said string, asked string")
+    out = recommend.cleaned_intents(df, "said", "asked")
+    assert "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: r.result and tuple(r.result) for r in out.collect()}
+    assert got == {r.k: one(r.said, r.asked) for r in df.collect()}
+
+
 def test_json_arrays(spark, tmp_path):
     def read(text):
         (tmp_path / "x.json").write_bytes(text.encode())
