@@ -293,8 +293,29 @@ def test_order_never_changes_a_verdict(docs):
     for names in (order, order[::-1]):
         w = quality.words(F.col("text"))
         assert kept == {r.doc_id for r in docs.where(quality.cascade(names, quality.FILTER_RULES, F.col("text"), w).isNull()).collect()}
-    ranked = quality.cascade_order(docs, quality.RULES)
-    assert sorted(n for n, _, _ in ranked) == sorted(quality.RULES)
+
+
+def test_order_is_the_same_each_time(spark, docs, odd):
+    first = quality.cascade_order(docs, quality.FILTER_RULES)
+    assert sorted(n for n, _, _ in first) == sorted(quality.FILTER_RULES)
+    assert [quality.cascade_order(d, quality.FILTER_RULES) for d in (docs, docs.repartition(5))] == [first, first]
+    values = [-share / work for _, work, share in first]
+    assert values == sorted(values) and any(share > 0 for _, _, share in first)
+    assert {s for _, _, s in quality.cascade_order(odd.where("false"), quality.RULES)} == {0.0}
+    assert quality.cascade_order(odd, quality.RULES) == quality.cascade_order(odd.select("text", "doc_id"), quality.RULES)
+    # Work is what a text has of it: a rule over words costs less where words are long.
+    made = spark.createDataFrame([("ab " * 2000,), ("c" * 6000,)], "text string")
+    work = lambda df: {n: w for n, w, _ in quality.cascade_order(df, quality.RULES)}
+    short, long = work(made.where("text like 'ab%'")), work(made.where("text like 'c%'"))
+    assert short["stutter"] > 100 * long["stutter"] and short["symbols"] == long["symbols"]
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{k * 7919 % 30011}" for k in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, text + " " + text), (3, "! " * 40_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.op8(df).collect()}
+    assert [got[k].n_words for k in (1, 2, 3)] == [60_000, 120_000, 40_000]
+    assert got[2].n_repeat_words == 120_000 and got[2].base_failed and got[1].n_repeat_words == quality_base(text)[5 - 1]
 
 
 def test_clean_documents_stay(spark, docs, sf):
