@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from lumenweft.llm.native import let
 
-# What a candidate looks like. A private key from its first line to its last (or, where that is missing, with
-# the lines of characters that follow); whatever is assigned to a naming word (8 characters or more, of any kind but blanks
+# What a candidate looks like. A private key from its first line to its last (or, where another first line or
+# the last line of something else comes before that, or none, with the lines of characters that follow: so no sign is looked
+# at again for another first line); whatever is assigned to a naming word (8 characters or more, of any kind but blanks
 # and quotes); a key by its known head; 16 characters or more with a digit. A name and its value are apart: '=' only ends a
 # candidate.
-_BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,\\\-]*?-----END [A-Z ]{0,24}PRIVATE KEY-----|(?:\s{1,4}[A-Za-z0-9+/=]{16,}){0,200})"
+_KEY = r"A-Za-z0-9+/=\s:,\\"
+_BLOCK = rf"-----BEGIN [A-Z ]{{0,24}}PRIVATE KEY-----(?:[{_KEY}]*+(?:-(?!----(?:BEGIN|END) )[{_KEY}]*+)*+-----END [A-Z ]{{0,24}}PRIVATE KEY-----|(?:\s{{1,4}}[A-Za-z0-9+/=]{{16,}}){{0,200}})"
 _IN = r"A-Za-z0-9+/_\-"
 # What stands right before is looked at in steps, the cheapest first.
 _NAMED = r"(?<=[=: \t\"'])(?<=[=:][ \t]{0,2}[\"']?)(?<=(?i:token|secret|password|passwd|pwd|api[ _-]?key|access[ _-]?key|credential)[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?)(?![=:])[^\s\"'`,;<>]{8,}"
@@ -30,6 +32,9 @@ CANDIDATE = rf"{_BLOCK}|{_NAMED}|(?<![{_IN}])(?:(?:AKIA|ghp_|eyJ)[{_IN}]{{13,}}|
 # Neighbouring words that speak for and against a secret, paths of examples, placeholders.
 FOR = r"(?i)(token|secret|passw|pwd|api[ _-]?key|access[ _-]?key|auth|bearer|credential|private)[^\n]{0,16}$"
 AGAINST = r"(?i)(sha-?\d*|md5|commit|checksum|hash|uuid|guid|etag|digest|integrity|revision|session|isbn|url|https?)[^\n]{0,16}$"
+# Right after a finding: what ends a value, and what says that it is none.
+ENDED = r"^([\"';,)]|\s*$|\s*\n)"
+AFTERWARDS = r"(?i)^[^\n]{0,12}\b(example|sample|placeholder|checksum|digest|commit|revision|dummy|fake|page|chapter)\b"
 EXAMPLE_PATH = r"(?i)(test|example|sample|fixture|mock|docs?/)"
 PLACEHOLDER = r"(?i)(example|xxxx|your|change.?me|placeholder|dummy|00000|12345|abcdef)"
 # Frequent words and endings of the languages at hand, and words that names in programs are made of.
@@ -40,7 +45,7 @@ DICTIONARY = (
     "method table column image style button header footer content search filter result public static final return import export module package build release example sample internal external"
 ).split()
 
-FEATURES = ("length", "digits", "capitals", "transitions", "variety", "hex", "dictionary", "letter_run", "word_for", "word_against", "assigned", "example_path", "placeholder", "groups")
+FEATURES = ("length", "digits", "capitals", "transitions", "variety", "hex", "dictionary", "letter_run", "word_for", "word_against", "assigned", "ended", "word_after", "example_path", "placeholder", "groups")
 
 #: Neighbouring characters that are looked at, bound on labelled findings, and the forest.
 LEFT, RIGHT = 60, 30
@@ -48,8 +53,8 @@ TRAIN_ROWS, TREES, DEPTH, LEAF = 4000, 15, 5, 8
 THRESHOLD = 0.5
 
 
-def features(candidate: Column, before: Column, path: Column) -> dict[str, Column]:
-    """FEATURES of a candidate with what stands before it and the path of its text."""
+def features(candidate: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
+    """FEATURES of a candidate with what stands before and after it and the path of its text."""
     c, n = candidate, F.length(candidate).cast("double")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
     flag = lambda condition: F.coalesce(condition, F.lit(False)).cast("double")
@@ -66,6 +71,8 @@ def features(candidate: Column, before: Column, path: Column) -> dict[str, Colum
         "word_for": flag(before.rlike(FOR)),
         "word_against": flag(before.rlike(AGAINST)),
         "assigned": flag(before.rlike(r"[=:]\s*[\"']?$")),
+        "ended": flag(F.coalesce(after, F.lit("")).rlike(ENDED)),
+        "word_after": flag(after.rlike(AFTERWARDS)),
         "example_path": flag(path.rlike(EXAMPLE_PATH)),
         "placeholder": flag(c.rlike(PLACEHOLDER)),
         "groups": F.regexp_count(c, F.lit("[-_/=+]")).cast("double"),
@@ -73,8 +80,8 @@ def features(candidate: Column, before: Column, path: Column) -> dict[str, Colum
 
 
 def with_features(df: DataFrame) -> DataFrame:
-    """Adds FEATURES to a table with candidate, before and path."""
-    return df.withColumns(features(F.col("candidate"), F.col("before"), F.col("path")))
+    """Adds FEATURES to a table with candidate, before, after and path."""
+    return df.withColumns(features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path")))
 
 
 def labelled_findings(rows: int = TRAIN_ROWS, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
@@ -87,6 +94,8 @@ def labelled_findings(rows: int = TRAIN_ROWS, seed: int = 11) -> list[tuple[str,
     keyed = lambda: rng.choice(["token", "api_key", "secret", "password", "auth_token", "ACCESS_KEY", "client_secret", "Bearer", "credential"])
     benign = lambda: rng.choice(["sha256", "md5", "commit", "checksum", "hash", "uuid", "etag", "integrity", "revision", "session"])
     joined = lambda: rng.choice([" = \"", "=", ": ", ": '", " "])
+    closing = lambda: rng.choice(['" ' + prose(), '"', "\n" + prose(), "'\n", " " + prose(), ""])
+    denied = lambda: rng.choice([" is an example ", " (sample) ", " checksum ", " # placeholder ", " is the commit ", ", a dummy "]) + prose()
     key = [
         lambda: pick(hexes, rng.choice([32, 40, 64])),
         lambda: pick(letters, rng.randint(20, 44)),
@@ -114,15 +123,17 @@ def labelled_findings(rows: int = TRAIN_ROWS, seed: int = 11) -> list[tuple[str,
         kind = rng.random()
         test = path.startswith(("tests", "docs"))
         if kind < 0.4:
-            out.append((rng.choice(key)(), prose() + keyed() + joined(), '" ' + prose(), path, int(not test or rng.random() < 0.3)))
+            out.append((rng.choice(key)(), prose() + keyed() + joined(), closing(), path, int(not test or rng.random() < 0.3)))
         elif kind < 0.5:  # keys without a word that names them
-            out.append((rng.choice(key[1:6])(), prose() + rng.choice(["", "= \"", ": "]), " " + prose(), path, int(not test)))
+            out.append((rng.choice(key[1:6])(), prose() + rng.choice(["", "= \"", ": "]), closing(), path, int(not test)))
+        elif kind < 0.55:
+            out.append((rng.choice(key[:3])(), prose() + rng.choice(["", benign() + joined()]), denied(), path, 0))
         elif kind < 0.65:
-            out.append((rng.choice(key[:3])(), prose() + benign() + joined(), " " + prose(), path, 0))
+            out.append((rng.choice(key[:3])(), prose() + benign() + joined(), closing(), path, 0))
         elif kind < 0.75:
             out.append((rng.choice(plain[7:9])(), prose() + keyed() + joined(), " " + prose(), path, 0))
         else:
-            out.append((rng.choice(plain)(), prose() + rng.choice(["", "", benign() + joined()]), " " + prose(), path, 0))
+            out.append((rng.choice(plain)(), prose() + rng.choice(["", "", benign() + joined()]), rng.choice([" " + prose(), closing()]), path, 0))
     return out
 
 
@@ -222,7 +233,8 @@ def secret_scan(docs: DataFrame, path: str = "source", threshold: float = THRESH
 
     ``docs`` has doc_id, text and, as path, ``path`` (empty if there is no such column). Null and empty texts have no
     candidates; repeated rows and repeated candidates are all listed, ``ordinal`` being the place among a row's
-    candidates. A private key's head is always a secret.
+    candidates. A private key's head is always a secret. Other columns, clashing names among them, are ignored; an empty table
+    gives no rows. Texts are searched whole, in time that grows with their length.
     """
     found = with_features(candidates(docs, path))
     head = F.col("candidate").startswith("-----BEGIN ")
@@ -242,7 +254,7 @@ def redact(docs: DataFrame, path: str = "source", mark: str = "[SECRET]", thresh
     place = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
 
     def secret(x: Column) -> Column:
-        named = features(x.candidate, x.before, place)
+        named = features(x.candidate, x.before, x.after, place)
         vote = let(F.struct(*(v.alias(k) for k, v in named.items())), lambda f: forest_column(forest, lambda name: f[name]))
         return x.candidate.startswith("-----BEGIN ") | (vote >= threshold)
 
