@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenweft.llm.common import chunks, crc32_mod, mix64, word_hashes
+from lumenweft.llm.language import Sorted
 from lumenweft.llm.substrings import pack, unpack
 from lumenweft.session import ship
 
@@ -47,8 +48,8 @@ def _tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Backoff:
-    """The automaton in one place, as a statement of the scores: arcs (state * width + word) to (log10 probability, next
-    state); failure arcs with weights. Chunks come to the same scores without it.
+    """The automaton of a small corpus in one place, built from its counts alone: what tests hold the chunks' automata to.
+    Arcs (state * width + word) lead to (log10 probability, next state); failure arcs have weights.
 
     State 0 is the empty context; a context is a state if it has a kept successor. The counts of kept n-grams are
     discounted; what that leaves of a context is the weight of its failure arc, and goes to all words by their probability
@@ -143,7 +144,7 @@ class _Chunk:
         self.at = {1: np.where(self.words[self.ids] == END, np.int32(-1), self.ids)}
         self.hashes = {1: self.words}
         self.n = {1: np.bincount(self.ids[self.trained], minlength=self.width)}
-        self.prefix, self.suffix = {}, {}
+        self.prefix, self.suffix, self.word = {}, {}, {}
 
     def before(self, k: int) -> np.ndarray:
         """The n-gram of k words that ends right before each token, or -1."""
@@ -162,7 +163,8 @@ class _Chunk:
         some = np.empty(len(codes), np.int64)
         some[place] = here  # one place of each, no matter which
         self.prefix[k], self.suffix[k] = (codes // max(1, self.width)).astype(np.int32), right[some]
-        self.hashes[k] = mix64(mix64(self.hashes[k - 1][self.prefix[k]]) + self.words[codes % max(1, self.width)])
+        self.word[k] = (codes % max(1, self.width)).astype(np.int32)
+        self.hashes[k] = mix64(mix64(self.hashes[k - 1][self.prefix[k]]) + self.words[self.word[k]])
         self.n[k] = np.bincount(place[self.trained[here]], minlength=len(codes))
 
 
@@ -178,7 +180,7 @@ def _talk(chunk: _Chunk, order: int, total: int, distinct: int):
     """What a chunk asks, round by round as in ``asked_in``: (which of its n-grams, a number for each to add up).
 
     It is sent, for each, (totals, is it the first to ask). Returns the logarithms of each token's unigram and backoff
-    probability, and whether it is known. The last two arguments matter from the second round on.
+    probability, as the automaton gives them, and whether it is known. The last two arguments matter from the second round on.
     """
     count, first, p, left = {}, {}, {}, {}
     if order > 1:
@@ -205,17 +207,93 @@ def _talk(chunk: _Chunk, order: int, total: int, distinct: int):
         p[k] = np.where(kept[k], (count[k] - DISCOUNT) / np.maximum(1, count[k - 1][before]) + left[k - 1][before] * p[k - 1][chunk.suffix[k]], 0.0)
         if k < order:
             count[k + 1], first[k + 1] = told[1]
-    # The longest kept n-gram that ends at a token decides; each longer context before it is backed off from.
-    base = np.log10(p[1])[chunk.ids]
-    score = base.copy()
-    for k in range(2, order + 1):
-        context, gram = chunk.before(k - 1), chunk.at[k]
-        some = np.flatnonzero(context >= 0)
-        score[some] += np.log10(left[k - 1])[context[some]]
-        some = np.flatnonzero(gram >= 0)
-        some = some[kept[k][gram[some]]]
-        score[some] = np.log10(p[k][gram[some]])
-    return base, score, count[1][chunk.ids] > 0
+    return Arcs(chunk, order, kept, p, left).read(chunk), count[1][chunk.ids] > 0
+
+
+#: Tokens of a segment; the texts of a chunk are read through the automaton in segments, side by side.
+SEGMENT = 256
+
+
+class Arcs:
+    """The states, arcs and failure arcs that a chunk's texts can reach.
+
+    State 0 is the empty context; a context is a state if it has a kept successor in the corpus. ``arcs`` finds state *
+    width + word; ``weight`` and ``to`` have an arc's log10 probability and next state, ``fail`` and ``back`` a state's failure
+    arc. State 0 has an arc for every word, so no token is left without one.
+    """
+
+    def __init__(self, chunk: _Chunk, order: int, kept: dict[int, np.ndarray], p: dict[int, np.ndarray], left: dict[int, np.ndarray]):
+        self.order, self.width = order, chunk.width
+        state: dict[int, np.ndarray] = {}
+        n = 1
+        for k in range(1, order):
+            some = left[k] < 1
+            state[k] = np.where(some, n + np.cumsum(some) - 1, 0)
+            n += int(some.sum())
+        # The longest end of an n-gram that is a state, by way of its end that is one word shorter.
+        longest: dict[int, np.ndarray] = {}
+        for k in range(1, order + 1):
+            shorter = longest[k - 1][chunk.suffix[k]] if k > 1 else np.zeros(chunk.width, np.int64)
+            longest[k] = np.where(state[k] > 0, state[k], shorter) if k < order else shorter
+        self.fail, self.back = np.zeros(n, np.int64), np.zeros(n)
+        for k in range(1, order):
+            some = np.flatnonzero(state[k])
+            self.back[state[k][some]] = np.log10(left[k][some])
+            if k > 1:
+                self.fail[state[k][some]] = longest[k - 1][chunk.suffix[k][some]]
+        self.first, self.after = np.log10(p[1]), longest[1]
+        keys, weights, to = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for k in range(2, order + 1):
+            some = np.flatnonzero(kept[k])
+            keys.append(state[k - 1][chunk.prefix[k][some]] * self.width + chunk.word[k][some])
+            weights.append(np.log10(p[k][some]))
+            to.append(longest[k][some])
+        self.arcs = Sorted(np.concatenate(keys))
+        self.weight, self.to = np.concatenate(weights)[self.arcs.order], np.concatenate(to)[self.arcs.order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log10 probability of a word after each state, and the states that follow."""
+        total, then = self.first[word], self.after[word]
+        here = np.flatnonzero(state)
+        at, words, passed = state[here], word[here], np.zeros(len(here))
+        while len(here):
+            arc = self.arcs.find((at * self.width + words).astype(np.uint64))
+            found = arc >= 0
+            total[here[found]] = passed[found] + self.weight[arc[found]]
+            then[here[found]] = self.to[arc[found]]
+            on = ~found
+            here, at, words, passed = here[on], at[on], words[on], passed[on] + self.back[at[on]]
+            at = self.fail[at]
+            last = at == 0  # the empty context has an arc for every word
+            total[here[last]] += passed[last]
+            here, at, words, passed = here[~last], at[~last], words[~last], passed[~last]
+        return total, then
+
+    def read(self, chunk: _Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities of the chunk's tokens: of the unigram, and along the automaton.
+
+        A text begins in the empty context. A segment further in begins as many tokens early as a context has words at most:
+        after these the automaton is in the state it would be in from the text's begin.
+        """
+        ids, lead = chunk.ids, self.order - 1
+        score = np.zeros(len(ids))
+        starts = [np.arange(a, b, SEGMENT) for a, b in zip(chunk.begin[:-1].tolist(), chunk.begin[1:].tolist(), strict=True)]
+        ends = np.repeat(chunk.begin[1:], [len(x) for x in starts])
+        begin = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        early = np.minimum(lead, begin - np.repeat(chunk.begin[:-1], [len(x) for x in starts]))
+        ends = np.minimum(ends, begin + SEGMENT)
+        at, state = begin - early, np.zeros(len(begin), np.int64)
+        # Those with most tokens first: a step takes the first of them.
+        by = np.argsort(at - ends, kind="stable")
+        at, ends, begin, state = at[by], ends[by], begin[by], state[by]
+        sizes = ends - at
+        for k in range(int(sizes.max(initial=0))):
+            n = int(np.searchsorted(-sizes, -k, side="left"))  # segments of more than k tokens
+            now = at[:n] + k
+            total, state[:n] = self.step(state[:n], ids[now])
+            own = now >= begin[:n]
+            score[now[own]] = total[own]
+        return self.first[ids], score
 
 
 class _Deal:
@@ -410,7 +488,7 @@ def _scorer(rounds: int, size: _Size, total: int, distinct: int):
 
     def run(pairs: Iterator[tuple]) -> Iterator[tuple]:
         for _, rows in _by_key(pairs):
-            chunk, _, (base, score, known) = _replay(rows, rounds, size, total, distinct)
+            chunk, _, ((base, score), known) = _replay(rows, rounds, size, total, distinct)
             part = pa.ipc.open_stream(rows[0][3]).read_next_batch()
             n = part.num_rows
             columns = [
@@ -432,7 +510,8 @@ def lm_scores(docs: DataFrame, held_out: object, order: int = 3) -> DataFrame:
 
     ``held_out`` is a boolean column; rows where it is true train nothing. Null texts count as empty and consist of the
     end alone. Repeated rows count and are scored each. Without training texts every word is unknown. Base and score
-    are sums over tokens of log10 probabilities: of the add-one unigram, and of the backoff automaton.
+    are sums over tokens of log10 probabilities: of the add-one unigram, and of the backoff automaton. Other columns,
+    clashing names among them, are ignored; an empty table gives no rows. A text of any length is one chunk at most.
     """
     spark = ship(docs.sparkSession)
     read = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out.alias("held_out"))

@@ -286,7 +286,8 @@ def test_pipeline(spark, docs, odd, sf):
 
 def test_language_model_keeps_every_ngram_seen_twice(spark, docs):
     """Scores are those of the automaton over all n-grams seen twice or more, and what it learns grows with the corpus."""
-    rows = [(r.doc_id, lower_words(r.text)) for r in docs.select("doc_id", "text").orderBy("doc_id").limit(60).collect()]
+    rows = [(r.doc_id, lower_words(r.text)) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    assert max(len(w) for _, w in rows) > 3 * lm.SEGMENT
     learned = [w for i, w in rows if zlib.crc32(str(i).encode()) % 7 != 2]
     number = {w: k for k, w in enumerate(sorted({x for t in learned for x in t}))}
     texts, width = [[number[x] for x in t] for t in learned], len(number)
