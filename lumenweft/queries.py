@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lumenweft import fixed
 from lumenweft.functions import text as T
 from lumenweft.functions import vectors as V
-from lumenweft.operators import build, listings, mood, recommend, search
+from lumenweft.operators import build, listings, mood, phrases, recommend, search
 from lumenweft.plans import assistant, audio, inverted, retrieval
 from lumenweft.plans import store as stores
 from lumenweft.plans import stories as story_plans
@@ -362,6 +362,15 @@ def mood_parse(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.select("doc_id", F.get(axes, F.col("i")).alias("axis"), six(F.col("value")).alias("value"))
 
 
+@query(SQL["mood_parse"])
+def mood_parse_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by a lexicon that is a table."""
+    rows = [(k, word, axis, delta) for k, (word, deltas) in enumerate(WORDS.items()) for axis, delta in deltas.items()]
+    axes = F.array(*(F.lit(a) for a in fixed.AXES))
+    parsed = phrases.parse_moods(table(spark, sf, "documents").select("doc_id", "text"), "text", spark.createDataFrame(rows, "ordinal int, phrase string, axis string, delta double"))
+    return parsed.select("doc_id", F.posexplode("mood").alias("i", "value")).select("doc_id", F.get(axes, F.col("i")).alias("axis"), six(F.col("value")).alias("value"))
+
+
 @query(f"with {_CATALOG} select id, type, round(list_sum(mood), 6) as mood_sum, array_to_string(themes, ',') as themes from catalog")
 def catalog_scan(spark: SparkSession, sf: str) -> DataFrame:
     return catalog(spark, sf).select("id", "type", six(V.total(F.col("mood"))).alias("mood_sum"), F.array_join("themes", ",").alias("themes"))
