@@ -17,7 +17,7 @@ from lumenweft import fixed
 from lumenweft.functions import text as T
 from lumenweft.functions import vectors as V
 from lumenweft.operators import build, listings, mood, phrases, recommend, search
-from lumenweft.plans import assistant, audio, inverted, retrieval
+from lumenweft.plans import assistant, audio, clustered, inverted, retrieval
 from lumenweft.plans import store as stores
 from lumenweft.plans import stories as story_plans
 from lumenweft.session import hadoop_path, scratch
@@ -117,6 +117,14 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.vector_top_k(table(spark, sf, "embeddings"), _query_vector(spark, sf), 5).select("vec_id", six(F.col("vector_similarity")).alias("vector_similarity"))
 
 
+@query(SQL["vector_topk"])
+def vector_topk_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a store in cells around centroids."""
+    path = scratch(spark, "cells")
+    clustered.build_cells(table(spark, sf, "embeddings"), path)
+    return clustered.vector_top_k(spark, path, _query_vector(spark, sf), 5).select("vec_id", six(F.col("vector_similarity")).alias("vector_similarity"))
+
+
 @query("""select query_id, id, rank, round(score, 6) as score from (
   select q.vec_id as query_id, e.vec_id as id, list_dot_product(q.embedding::double[], e.embedding::double[]) as score,
     row_number() over (partition by q.vec_id order by list_dot_product(q.embedding::double[], e.embedding::double[]) desc, e.vec_id)::int as rank
