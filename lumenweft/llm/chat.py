@@ -139,8 +139,9 @@ def format_chats(conversations: DataFrame, template: Callable[[list[Turn]], str]
 
     ``conversations`` has conv_id, turn, role, text; turns are taken in order, ties by role and text, null turns first.
     Null roles and texts count as empty; a row without conv_id is a conversation of its own. Repeated rows are turns of
-    their own. An empty table gives an empty result; more columns are ignored. All offsets are in code points. The rows of a conversation meet in one task, which holds one conversation at a
-    time; rendering every prefix of it takes time with the square of its turns.
+    their own. conv_id is a whole number (or text that is one; other text fails the query). An empty table gives an empty
+    result; more columns are ignored. All offsets are in code points. The rows of a conversation meet in one task, which holds
+    one conversation at a time; rendering every prefix of it takes time with the square of its turns.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
