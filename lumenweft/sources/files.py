@@ -76,18 +76,16 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return out.select(*(T.blank(F.col(f"`{c}`")).alias(c) for c in out.columns))
 
 
-def file_size(spark: SparkSession, path: str) -> int:
-    fs, target = hadoop_path(spark, path)
-    return fs.getFileStatus(target).getLen()
+def _listed(spark: SparkSession, folder: str, endings: tuple[str, ...]) -> list[tuple[str, int]]:
+    """(path, bytes) of the files of a folder by name, from one listing."""
+    fs, path = hadoop_path(spark, folder)
+    found = [(s.getPath().toString(), s.getLen()) for s in fs.listStatus(path) if s.isFile()]
+    return sorted((f for f in found if f[0].lower().endswith(endings)), key=lambda f: f[0].rsplit("/", 1)[-1])
 
 
 def list_files(spark: SparkSession, folder: str, endings: tuple[str, ...] = (".csv", ".json")) -> list[str]:
     """Files of a folder by name, on any file system that Spark reads."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath().toString() for s in fs.listStatus(path) if s.isFile()]
-    return sorted((f for f in found if f.lower().endswith(endings)), key=lambda f: f.rsplit("/", 1)[-1])
+    return [f for f, _ in _listed(spark, folder, endings)]
 
 
 #: Files up to this size are read whole, many a task; larger JSON arrays by ranges.
@@ -127,9 +125,10 @@ def folder_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     on the driver, and whole in one task (but for the large ones).
     """
     ship(spark)
-    found = list_files(spark, folder)
+    sizes = dict(_listed(spark, folder, (".csv", ".json")))
+    found = list(sizes)
     name = lambda c: F.url_decode(F.replace(F.element_at(F.split(c, "/"), -1), F.lit("+"), F.lit("%2B")))
-    of = lambda end, large: [f for f in found if f.lower().endswith(end) and (file_size(spark, f) > WHOLE_BYTES) == large]
+    of = lambda end, large: [f for f in found if f.lower().endswith(end) and (sizes[f] > WHOLE_BYTES) == large]
     large, small = of(".json", True), of(".json", False)
     parts: list[DataFrame] = []
     if small:
