@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lumenweft.operators import search
@@ -24,20 +23,15 @@ def search_stream(prompts: DataFrame, store: DataFrame, sink: Callable[[DataFram
 
 
 def upsert_stream(records: DataFrame, store_path: str, checkpoint: str, key: str = "hash") -> StreamingQuery:
-    """Appends the records of a stream whose ``key`` the store does not have yet, once each.
+    """Appends the records of a stream whose ``key`` the store does not have yet, once each; null is a key.
 
-    The store is partitioned by batch, and a batch that runs again replaces its own part, so nothing is stored twice.
+    The keys seen are the stream's state, kept with the checkpoint and dealt over the tasks, so a batch reads nothing of the
+    store, however large that is. The store is partitioned by batch, and a batch that runs again replaces its own part, so
+    nothing is stored twice. A store belongs to one checkpoint; many keys want the RocksDB state store, which is on disk.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            known = spark.read.option("basePath", store_path).parquet(store_path).where(F.col("batch") < number).select(key)
-            fresh = fresh.join(known, key, "left_anti")
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{store_path}/batch={number}")
-
-    return records.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{store_path}/batch={number}")
+
+    fresh = records.dropDuplicates([key])
+    return fresh.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
