@@ -132,7 +132,7 @@ def folder_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     large, small = of(".json", True), of(".json", False)
     parts: list[DataFrame] = []
     if small:
-        texts = spark.read.option("wholetext", True).text(small).select(name(F.col("_metadata.file_path")).alias("source_file"), F.ltrim(F.replace("value", F.lit("\ufeff"), F.lit(""))).alias("value"))
+        texts = spark.read.text(small, wholetext=True).select(name(F.col("_metadata.file_path")).alias("source_file"), F.ltrim(F.replace("value", F.lit("\ufeff"), F.lit(""))).alias("value"))
         rows = texts.select("source_file", F.coalesce(_json_rows(F.col("value")), F.array().cast("array<map<string,string>>")).alias("rows"))
         parts.append(rows.select("source_file", F.posexplode_outer("rows").alias("nth", "fields")).select("source_file", F.col("nth").cast("long").alias("nth"), "fields"))
     bad = []

@@ -168,7 +168,7 @@ def test_folder_names_what_it_leaves_out(spark, tmp_path):
 
 def test_folder_in_one_scan(spark, tmp_path, monkeypatch):
     for k in range(120):
-        (tmp_path / f"f {k:03d}+é.json").write_text(json.dumps([{"a": k, f"k{k % 3}": {"x": [1, None]}}, {"a": None, "b": 1.5}]))
+        (tmp_path / f"f {k:03d}+é.json").write_text(json.dumps([{"a": k, f"k{k % 3}": {"x": [1, None]}}, {"a": None, "b": 1.5}], indent=k % 2 * 2 or None))
         (tmp_path / f"g{k:03d}.csv").write_text(f"a,,a,k{k % 2}\n{k},x,y\n\n\"1,\n2\",3,4,5,6\n")
     (tmp_path / "h.csv").write_text("")
     (tmp_path / "i.csv").write_text("only,header\n")
