@@ -39,3 +39,13 @@ def test_entry(spark):
     import __spark_entry__
 
     assert [r.vec_id for r in __spark_entry__.entry(spark).collect()][0] == 0
+
+
+def test_transcripts_are_bounded_in_characters(spark, tmp_path):
+    texts = ["é" * 200, "é" * 201, "词 " * 90, "a" * 200, "a" * 201, " two\n\tblanks  ", "\U0001f600" * 200]
+    rows = [(5 * k + 1, t) for k, t in enumerate(texts)] + [(5, "silent"), (10, "é" * 150)]
+    spark.createDataFrame(rows, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries()["voice_transcripts"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"create view benchmark as select * from '{tmp_path}/benchmark.parquet/*.parquet'")
+    assert {(r.item_id, r.transcript) for r in got} == set(con.sql(oracle_sql()["voice_transcripts"]).fetchall())
