@@ -6,7 +6,10 @@ these prefixes are merged; documents with fewer than m shared pairs are skipped
 the whole signature, pairs below m are dropped, and the rest is confirmed on the full shingle sets.
 
 Copies collapse to one class first. Within a posting list every document is paired with the list's smallest one only;
-what such stars leave apart is compared blockwise, so that no link is lost and no list is expanded into pairs.
+in lists that such stars leave apart, signatures are compared blockwise. Families are what agreeing signatures connect, not
+what shares a posting list: lists meet by chance in large corpora and would make one family of most documents. Within a family
+texts are compared, stars first and then blockwise what these leave apart, so that no link is lost and no list is expanded
+into pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ MISS = 1e-9
 #: Load of a block of the exact comparison: its shingles, and so many more for each document; two blocks and the matrix
 #: of their documents are held at once.
 BLOCK_LOAD, DOCUMENT_LOAD = 240_000, 300
+#: Load of a signature, so that a block has about 2,000, and bytes of the matrix of agreements that is held at once.
+SIGNATURE_LOAD, MATRIX_BYTES = 120, 1 << 22
 
 
 def matches_for(similarity: float, coordinates: int = COORDINATES, miss: float = MISS) -> int:
@@ -159,6 +164,59 @@ def linked_pairs(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray,
     return out
 
 
+def linking_signatures(rows: np.ndarray, groups: np.ndarray, sides: np.ndarray, matches: int) -> list[tuple[int, int]]:
+    """Pairs that agree on ``matches`` coordinates at least, of different groups and, if there are two sides, of different
+    sides: only so many as connect the groups that all such pairs connect."""
+    n = len(rows)
+    columns = np.ascontiguousarray(rows.T)
+    label = np.unique(groups, return_inverse=True)[1]
+    two, out, step = len(np.unique(sides)) > 1, [], max(1, MATRIX_BYTES // max(1, n))
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        same = np.zeros((b - a, n), np.uint8)
+        for column in columns:
+            same += column[a:b, None] == column
+        for i in range(a, b):
+            ok = same[i - a] >= matches
+            if two:
+                ok &= sides != sides[i]
+            near = np.flatnonzero(ok)
+            while len(near := near[label[near] != label[i]]):
+                out.append((i, int(near[0])))
+                label[label == label[near[0]]] = label[i]
+    return out
+
+
+def _signature_comparer(matches: int):
+    """As ``_block_comparer``, of signatures."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def finish() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            sides, comps, nodes, rows = zip(*held, strict=True)
+            pairs = linking_signatures(np.array(rows), np.array(comps, np.int64), np.array(sides, np.int64), matches)
+            return [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in pairs]
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            found = []
+            flat, at = batch.column(6).flatten().to_numpy(), np.append(0, np.cumsum(batch.column(6).value_lengths().to_numpy()))
+            for k, (*pair, side, comp, v) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
+                if pair != key:
+                    found += finish()
+                    key, held = pair, []
+                held.append((side, comp, v, flat[at[k] : at[k + 1]]))
+            yield batch_of(found)
+        yield batch_of(finish())
+
+    return compare
+
+
 def _block_comparer(words: int, num: int, den: int):
     """Rows sorted by block pair; a pair of blocks is compared as soon as all its rows are there."""
 
@@ -185,9 +243,10 @@ def _block_comparer(words: int, num: int, den: int):
     return compare
 
 
-def _between_blocks(nodes: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _between_blocks(nodes: DataFrame, contents: DataFrame, column: str, comparer) -> DataFrame:
     """Links (u, v) between the components of a family: ``nodes`` (family, component, v, n) are dealt to blocks of bounded
-    load, and each pair of blocks of a family is compared, but for those of one and the same component."""
+    load, and each pair of blocks of a family is compared, but for those of one and the same component. ``contents`` has id
+    and the ``column`` to compare."""
     loads = nodes.groupBy("family", "component").agg(F.sum("n").alias("load")).withColumn("own", F.ceil(F.col("load") / BLOCK_LOAD))
     small = loads.where("own <= 1").groupBy("family").agg(F.ceil(F.sum("load") / BLOCK_LOAD).alias("slots"))
     placed = nodes.join(loads, ["family", "component"]).join(small, "family", "left")
@@ -200,10 +259,24 @@ def _between_blocks(nodes: DataFrame, texts: DataFrame, words: int, num: int, de
     blocks = placed.select("family", "block", "sole").distinct()
     one, two = blocks.select("family", F.col("block").alias("i"), F.col("sole").alias("one")), blocks.select("family", F.col("block").alias("j"), F.col("sole").alias("two"))
     tasks = one.join(two, "family").where("i <= j and (one <> two or one = -1)").select("family", "i", "j")
-    seated = placed.join(texts, placed.v == texts.id).select("family", "block", "component", "v", "text")
-    left = tasks.join(seated.withColumnRenamed("block", "i"), ["family", "i"]).select("family", "i", "j", F.lit(0).alias("side"), "component", "v", "text")
-    right = tasks.where("i < j").join(seated.withColumnRenamed("block", "j"), ["family", "j"]).select("family", "i", "j", F.lit(1).alias("side"), "component", "v", "text")
-    return left.union(right).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_block_comparer(words, num, den), "u long, v long")
+    seated = placed.join(contents, placed.v == contents.id).select("family", "block", "component", "v", column)
+    left = tasks.join(seated.withColumnRenamed("block", "i"), ["family", "i"]).select("family", "i", "j", F.lit(0).alias("side"), "component", "v", column)
+    right = tasks.where("i < j").join(seated.withColumnRenamed("block", "j"), ["family", "j"]).select("family", "i", "j", F.lit(1).alias("side"), "component", "v", column)
+    return left.union(right).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(comparer, "u long, v long")
+
+
+def _agreeing_in_lists(prefix: DataFrame, joined: DataFrame, sig: DataFrame, matches: int) -> DataFrame:
+    """Links (u, v) of agreeing signatures between the components (``joined``) of each posting list. Lists of the same
+    documents are compared once. Compared is a byte of each coordinate, which agrees wherever the whole does."""
+    listed = prefix.join(joined.withColumnRenamed("node", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    lists = listed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("v")).alias("one"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("two"),
+    )
+    apart = lists.where("low <> high").groupBy("n", "one", "two").agg(F.min("key").alias("key")).select("key")
+    nodes = materialize(listed.join(apart, "key").select(F.col("key").alias("family"), "component", "v", F.lit(SIGNATURE_LOAD).alias("n")), "lists")
+    short = sig.select(F.col("v").alias("id"), F.transform("sig", lambda x: (x.bitwiseAND(255) - 128).cast("tinyint")).alias("sig"))
+    return _between_blocks(nodes, short, "sig", _signature_comparer(matches))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, coordinates: int = COORDINATES, matches: int | None = None) -> DataFrame:
@@ -236,9 +309,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     stars = materialize(prefix.join(leads, "key").where("u <> v").select("u", "v").distinct(), "stars")
     sig = classes.select("v", "sig")
     agreeing = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda same: same))
-    families = components(stars, "families")
-    slots = slots_of(families, "node")
-    sig = sig.join(slots, slot(sig.v) == slots.slot, "left_semi")
+    starred = slots_of(stars.select("u").union(stars.select(F.col("v").alias("u"))), "u")
+    sig = materialize(sig.join(starred, slot(sig.v) == starred.slot, "left_semi"), "sig")
     pairs = (
         stars.join(sig.select("v", F.col("sig").alias("a")), "v")
         .join(sig.select(F.col("v").alias("u"), F.col("sig").alias("b")), "u")
@@ -248,7 +320,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     )
     pairs = materialize(pairs, "pairs")
 
-    # Texts of documents that share a posting list at all; the others need no further look.
+    # Families: what agreeing signatures connect, of the stars and then of the lists that these leave apart.
+    agreed = materialize(components(pairs, "agreed"), "agreed")
+    pairs = materialize(pairs.union(_agreeing_in_lists(prefix, agreed, sig, matches)).distinct(), "pairs")
+    families = materialize(components(pairs, "families"), "families")
+    slots = slots_of(families, "node")
+
+    # Texts of documents that agree with another one; the others need no further look.
     likely = rows.join(slots, slot(rows.id) == slots.slot, "left_semi")
     texts = materialize(likely.join(families.select(F.col("node").alias("id")), "id", "left_semi"), "texts")
     weights = pairs.groupBy("u").agg(F.ceil(F.count("*") / 64).alias("salts"))
@@ -269,7 +347,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     if nodes.isEmpty():
         final = every
     else:
-        late = materialize(_between_blocks(nodes, texts, words, num, den), "late")
+        late = materialize(_between_blocks(nodes, texts, "text", _block_comparer(words, num, den)), "late")
         bridges = late.join(of, "u", "left").select(F.coalesce("c", "u").alias("a"), "v").join(of.select(F.col("u").alias("v"), "c"), "v", "left").select(F.col("a").alias("u"), F.coalesce("c", "v").alias("v"))
         merged = components(bridges, "merged").select(F.col("node").alias("component"), F.col("component").alias("final"))
         final = every.join(merged, "component", "left").select("v", F.coalesce("final", "component").alias("component"))

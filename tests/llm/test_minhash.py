@@ -69,6 +69,47 @@ def test_block_comparison_counts_exactly():
     assert set(minhash.linked_pairs(sets, groups, np.zeros(25), 4, 5)) == expected
 
 
+def test_lists_that_meet_by_chance_make_no_family(spark, monkeypatch):
+    # Halves that stand in two texts each: every text shares posting lists with two others and is like none.
+    half = lambda k: " ".join(f"h{k}w{i}" for i in range(150))
+    rows = [(k, f"{half(k)} {half((k + 1) % 300)}") for k in range(300)] + [(1000, f"{half(7)} x {half(8)}")]
+    sizes, store = {}, minhash.materialize
+
+    def spy(df, name):
+        out = store(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", spy)
+    got = minhash.op1(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: 7 if k == 1000 else k for k, _ in rows}
+    assert sizes["prefix"] > 600 and sizes["apart"] == 0 and sizes["texts"] == 2
+
+
+def test_signatures_in_many_blocks(docs, monkeypatch):
+    monkeypatch.setattr(minhash, "SIGNATURE_LOAD", minhash.BLOCK_LOAD // 2)
+    monkeypatch.setattr(minhash, "MATRIX_BYTES", 8)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert {r.doc_id: r.component_id for r in minhash.op1(docs).collect()} == by_pairs(rows, 3, 85, 100)[0]
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_agreeing_signatures_connect_all_that_agree(two):
+    rng = np.random.default_rng(4)
+    rows, groups, sides = rng.integers(0, 4, (60, 16)).astype(np.int8), rng.integers(0, 40, 60), rng.integers(0, 2, 60) if two else np.zeros(60, int)
+    agree = {(i, j) for i, j in itertools.combinations(range(60), 2) if (rows[i] == rows[j]).sum() >= 8 and groups[i] != groups[j] and (not two or sides[i] != sides[j])}
+
+    def classes(pairs):
+        label = groups.copy()
+        for _ in range(60):
+            for i, j in pairs:
+                label[(label == label[i]) | (label == label[j])] = min(label[i], label[j])
+        return label.tolist()
+
+    got = minhash.linking_signatures(rows, groups, sides, 8)
+    assert {tuple(sorted(p)) for p in got} <= agree and classes(got) == classes(agree) and len(got) < 40 and len(agree) > 20
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_of_random_edges(spark, seed):
     rng = np.random.default_rng(seed)
