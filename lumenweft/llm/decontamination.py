@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of the documents and of the benchmark become TF-IDF vectors over the corpus' words, in a fixed number of slots by
-hash, with document frequencies of the whole corpus. A distributed randomised SVD of passages gives the leading directions;
+hash, with document frequencies of the whole corpus. A distributed randomised SVD of all passages gives the leading directions;
 the benchmark's passages, which are the queries, take part in it with as much weight as the corpus. Kept are RANK directions
 in all, whatever the sizes. Passages near a benchmark passage there are candidates; a longest common subsequence of words
 and a check of the answer confirm them. With up to RANK - CORPUS_RANK passages of the benchmark all of its directions fit;
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenweft.llm.common import LOWER, chunks, hashed_spans, materialize, word_spans
+from lumenweft.llm.common import LOWER, chunks, hashed_spans, word_spans
 from lumenweft.llm.licenses import IS_TOKEN
 from lumenweft.session import ship
 
@@ -32,8 +32,9 @@ SLOTS = 1 << SLOT_BITS
 COMMON = 0.05
 #: Directions of the latent space; those of the corpus before the benchmark joins, with some in excess for accuracy.
 RANK, CORPUS_RANK, EXTRA = 128, 64, 32
-#: The decomposition is fitted on the passages of about so many documents, drawn by a hash, in so many tasks.
-FIT_DOCUMENTS, FIT_TASKS = 20_000, 4
+#: A task that fits the decomposition sums up about so many documents (its sums have a row for each slot, 25 MB), this many
+#: passages at a time.
+FIT_DOCUMENTS, FIT_PASSAGES = 40_000, 64
 #: Cosine of a candidate, and how much of the benchmark passage's own length its vector must reach along it.
 COSINE, REACH = 0.3, 0.3
 LCS_SURE, LCS_LIKELY, ANSWER = 0.8, 0.6, 0.6
@@ -155,19 +156,14 @@ def _sketcher(idf: np.ndarray):
         total = np.zeros(omega.shape, np.float32)
         for batch in batches:
             for _, _, offsets, data in chunks(batch):
-                row, word, _ = strided(*tokens(offsets, data), idf, PIECE)
-                for at in range(0, len(row), 1 << 15):
-                    # Passages whole: from one's beginning to another's.
-                    a, b = (int(np.searchsorted(row, row[k])) if k < len(row) else len(row) for k in (at, at + (1 << 15)))
-                    if a == b:
-                        continue
-                    starts = np.flatnonzero(np.append(True, row[a + 1 : b] != row[a : b - 1]))
-                    own, slots = np.cumsum(np.append(False, row[a + 1 : b] != row[a : b - 1])), word[a:b]
-                    value = idf[slots] / np.sqrt(np.add.reduceat(idf[slots] ** 2, starts))[own]
-                    projected = np.add.reduceat(omega[slots] * value[:, None], starts, axis=0)
-                    order = np.argsort(slots, kind="stable")
-                    heads = np.flatnonzero(np.append(True, slots[order[1:]] != slots[order[:-1]]))
-                    total[slots[order[heads]]] += np.add.reduceat(projected[own[order]] * value[order][:, None], heads, axis=0)
+                row, word, first = strided(*tokens(offsets, data), idf, PIECE)
+                for low in range(0, int(first[-1]), FIT_PASSAGES):
+                    a, b = np.searchsorted(row, (low, low + FIT_PASSAGES))
+                    slots, at = np.unique(word[a:b], return_inverse=True)
+                    x = np.zeros((FIT_PASSAGES, len(slots)), np.float32)
+                    x[row[a:b] - low, at] = idf[word[a:b]]
+                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+                    total[slots] += x.T @ (x @ omega[slots])
         some = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([r.tobytes() for r in total[some]], pa.binary())], ["word", "row"])
 
@@ -199,14 +195,14 @@ def leading(columns: np.ndarray, rank: int) -> np.ndarray:
     return columns @ vectors[:, good].astype(np.float32)
 
 
-def latent_basis(sample: DataFrame, benchmark: Benchmark, idf: np.ndarray) -> np.ndarray:
-    """RANK orthonormal directions (SLOTS x RANK at most): leading ones of the passages of ``sample`` and the benchmark.
+def latent_basis(docs: DataFrame, benchmark: Benchmark, idf: np.ndarray) -> np.ndarray:
+    """RANK orthonormal directions (SLOTS x RANK at most): leading ones of the passages of ``docs`` (text) and the benchmark.
 
     With a random ``omega`` every task sums its share of A'A omega; the sums, a row for each slot at most, are all that
     reaches the driver. It completes the decomposition of the corpus (Nystrom) and merges the benchmark's rows into it, some
     at a time. These are scaled to weigh as much, in all, as the corpus' directions.
     """
-    sums = sample.mapInArrow(_sketcher(idf), "word long, row binary").repartition("word").sortWithinPartitions("word").mapInArrow(_adder, "word long, row binary")
+    sums = docs.mapInArrow(_sketcher(idf), "word long, row binary").repartition("word").sortWithinPartitions("word").mapInArrow(_adder, "word long, row binary")
     y = np.zeros((SLOTS, CORPUS_RANK + EXTRA), np.float32)
     for r in sums.toLocalIterator():
         y[r.word] = np.frombuffer(r.row, np.float32)
@@ -301,7 +297,7 @@ def _retriever(benchmark: Benchmark, some: np.ndarray, rows: np.ndarray, cosine:
     return run
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Candidates with LCS_LIKELY at least: doc_id, item_id, passage (its first word), cosine, lcs, answer, contaminated.
 
     The best passage stands for a document and an item (a block of PIECES_AT_ONCE of its passages, if it is that long).
@@ -310,7 +306,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COS
     have none in the result. The benchmark is the stated query set: the driver reads it, and its passages are held by every
     task, PIECES_AT_ONCE in each pass over the documents; document frequencies and the decomposition are made once. A
     document is contaminated if a passage shares LCS_SURE of an item's passage in order, or LCS_LIKELY and ANSWER of the
-    answer's words. The decomposition is fitted on the passages of ``fit_documents`` documents or so, all rows are searched.
+    answer's words. The decomposition is fitted on the passages of all documents, and all are searched.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -330,9 +326,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COS
         else:
             df[r.word] = r.n
     idf = weights(sought, df, n)
-    share = 1 << 30 if n <= fit_documents else (fit_documents << 30) // n
-    sample = read.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share).select("text")
-    some, rows = telling_words(idf, latent_basis(materialize(sample, "sample").coalesce(FIT_TASKS), sought, idf))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // FIT_DOCUMENTS))
+    some, rows = telling_words(idf, latent_basis(read.select("text").coalesce(tasks), sought, idf))
     parts = [sought.part(at, at + PIECES_AT_ONCE) for at in range(0, len(sought.words), PIECES_AT_ONCE)]
     found = [read.mapInArrow(_retriever(part, some, rows, cosine, schema), ddl) for part in parts]
     out = found[0]

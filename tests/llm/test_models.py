@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -306,6 +307,40 @@ def test_language_model_keeps_every_ngram_seen_twice(spark, docs):
         assert got[i] == pytest.approx(model.score([number.get(x, -1) for x in w] + [-1]) + rest)
 
 
+def test_decontamination_is_fitted_on_all_documents(spark, sf, monkeypatch):
+    seen, basis = [], decontamination.latent_basis
+
+    def spy(df, *rest):
+        seen.append((df.count(), df.distinct().count()))
+        return basis(df, *rest)
+
+    monkeypatch.setattr(decontamination, "latent_basis", spy)
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").orderBy("item_id").limit(2)
+    many = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word number "), "id", F.lit(" of many")).alias("text"))
+    copies = bench.select(F.col("item_id") + 100_000, "text")
+    got = decontamination.op10(many.union(copies), bench).collect()
+    assert seen == [(30_002, 30_002)] and {(r.doc_id - 100_000, r.item_id) for r in got} == {(r.item_id, r.item_id) for r in bench.collect()}
+
+
+def test_sums_of_the_fit_are_those_of_all_passages():
+    rng = np.random.default_rng(3)
+    texts = ["", None, *(" ".join(f"w{k}" for k in rng.integers(0, 300, n)) for n in (1, 63, 64, 65, 900, 9000))]
+    idf = rng.random(decontamination.SLOTS).astype(np.float32)
+    expected = np.zeros((decontamination.SLOTS, decontamination.CORPUS_RANK + decontamination.EXTRA))
+    for text in filter(None, texts):
+        slots = (decontamination._hash_text(text) >> np.uint64(64 - decontamination.SLOT_BITS)).astype(np.int64)
+        for at in range(0, len(slots), decontamination.PIECE):
+            own = np.unique(slots[at : at + decontamination.PIECE])
+            x = idf[own].astype(float) / np.linalg.norm(idf[own].astype(float))
+            expected[own] += np.outer(x, x @ decontamination._omega()[own])
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    got = np.zeros_like(expected)
+    for out in decontamination._sketcher(idf)(iter([batch, batch.slice(0, 0)])):
+        for slot, row in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            got[slot] = np.frombuffer(row, np.float32)
+    assert np.allclose(got, expected, atol=1e-3)
+
+
 def test_decontamination_beside_repeated_words(spark, docs, sf):
     """Items that are there word by word are found, however often one of their words is repeated around them."""
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
