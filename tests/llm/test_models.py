@@ -322,6 +322,20 @@ def test_decontamination_is_fitted_on_all_documents(spark, sf, monkeypatch):
     assert seen == [(30_002, 30_002)] and {(r.doc_id - 100_000, r.item_id) for r in got} == {(r.item_id, r.item_id) for r in bench.collect()}
 
 
+def test_the_pipeline_decontaminates_by_all_documents(spark, sf, monkeypatch):
+    seen, basis = [], decontamination.latent_basis
+
+    def spy(df, *rest):
+        seen.append(df.count())
+        return basis(df, *rest)
+
+    monkeypatch.setattr(decontamination, "latent_basis", spy)
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text").orderBy("doc_id").limit(2)
+    many = spark.range(1000, 31_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word number "), "id", F.lit(" of many")).alias("text"))
+    assert dict(corpus_pipeline.STAGES)["decontamination"](spark, many.union(bench), sf).count() == 30_000
+    assert seen == [30_002]
+
+
 def test_sums_of_the_fit_are_those_of_all_passages():
     rng = np.random.default_rng(3)
     texts = ["", None, *(" ".join(f"w{k}" for k in rng.integers(0, 300, n)) for n in (1, 63, 64, 65, 900, 9000))]
