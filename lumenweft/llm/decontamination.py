@@ -35,6 +35,8 @@ RANK, CORPUS_RANK, EXTRA = 128, 64, 32
 #: A task that fits the decomposition sums up about so many documents (its sums have a row for each slot, 25 MB), this many
 #: passages at a time.
 FIT_DOCUMENTS, FIT_PASSAGES = 40_000, 64
+#: Rows of these sums that leave a task at a time (1.5 MB): together they would be held again, as rows, as bytes and as Arrow.
+ROWS_AT_ONCE = 4096
 #: Cosine of a candidate, and how much of the benchmark passage's own length its vector must reach along it.
 COSINE, REACH = 0.3, 0.3
 LCS_SURE, LCS_LIKELY, ANSWER = 0.8, 0.6, 0.6
@@ -164,8 +166,9 @@ def _sketcher(idf: np.ndarray):
                     x[row[a:b] - low, at] = idf[word[a:b]]
                     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
                     total[slots] += x.T @ (x @ omega[slots])
-        some = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([r.tobytes() for r in total[some]], pa.binary())], ["word", "row"])
+        for low in range(0, SLOTS, ROWS_AT_ONCE):
+            some = low + np.flatnonzero(total[low : low + ROWS_AT_ONCE].any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([r.tobytes() for r in total[some]], pa.binary())], ["word", "row"])
 
     return run
 

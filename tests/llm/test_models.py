@@ -355,6 +355,13 @@ def test_sums_of_the_fit_are_those_of_all_passages():
     assert np.allclose(got, expected, atol=1e-3)
 
 
+def test_sums_of_the_fit_leave_a_task_in_small_batches():
+    words = pa.array([" ".join(f"w{k}" for k in range(at, at + 1000)) for at in range(0, 400_000, 1000)], pa.string())
+    batch = pa.RecordBatch.from_arrays([words], ["text"])
+    sizes = [(out.num_rows, out.nbytes) for out in decontamination._sketcher(np.ones(decontamination.SLOTS, np.float32))(iter([batch]))]
+    assert sum(n for n, _ in sizes) > 0.99 * decontamination.SLOTS and max(size for _, size in sizes) < 2e6
+
+
 def test_decontamination_beside_repeated_words(spark, docs, sf):
     """Items that are there word by word are found, however often one of their words is repeated around them."""
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
