@@ -127,7 +127,7 @@ class _Range:
                 yield self.nth, b"".join(self.held), self.opens, True, bool(ends[c]), self.closings, self.stray, None
                 self.nth += 1
             begin, self.opens, self.held, self.closings, self.stray = c + 1, not ends[c], [], 0, 0
-        if begin < len(raw):
+        if begin < len(raw) and depths[-1] > 0:  # outside of the array there are only blanks
             self.held.append(raw[begin:])
             self.closings += int(sums[0][-1])
             self.stray += int(sums[1][-1])

@@ -116,6 +116,12 @@ def test_errors_have_names(spark, tmp_path, kind):
         assert raised.value.kind == kind, text
 
 
+def test_blanks_around_an_array_are_no_element(spark, tmp_path):
+    for k, (text, rows) in enumerate({" \n[] \n ": [], ' [{"a": 1}] \n\t': [(1,)], '\n [{"a": 1}, {"a": 2}]\n': [(1,), (2,)]}.items()):
+        (tmp_path / f"{k}.json").write_text(text)
+        assert sorted(tuple(r) for r in files.read_json_array(spark, f"{tmp_path}/{k}.json", "a long").collect()) == rows, text
+
+
 def test_arrays_without_rows_or_objects(spark, tmp_path):
     (tmp_path / "none.json").write_text(" [ \n ] ")
     assert files.read_json_array(spark, f"{tmp_path}/none.json", "a long").collect() == []
